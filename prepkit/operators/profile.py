@@ -54,9 +54,8 @@ def rank_sources(quality: DataFrame, key: str = "anio",
 def best_source(quality: DataFrame, key: str = "anio", by: str = "null_cells") -> DataFrame:
     """O2: the source with the fewest missing cells (ties → smallest key),
     computed rather than hard-coded.  One-row result."""
-    return quality.agg(
-        F.min_by(col(key), F.struct(col(by), col(key))).alias(key),
-        F.min(col(by)).alias(by))
+    rank = F.struct(col(by).isNull(), col(by), col(key))   # missing counts last
+    return quality.agg(F.min_by(col(key), rank).alias(key), F.min(col(by)).alias(by))
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
