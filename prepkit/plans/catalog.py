@@ -20,6 +20,8 @@ from ..operators import features as feat
 from ..operators import profile as prof
 from ..operators import projection as proj
 from ..operators import setops, stats
+from ..operators.impute import ChainedImputer
+from . import pipelines
 from ..session import scratch_path
 from ..sinks.files import write_csv, write_csv_indexed
 from ..sources.batch import read_keyed_sources
@@ -436,6 +438,78 @@ def q_yearly_sources(spark, d):
 SQL_YEARLY = f"{WITH_READINGS}\nSELECT *, CAST(year(l_shipdate) AS BIGINT) AS anio FROM readings"
 
 
+# ------------------------------------------------------------------ W3 / W4 / W6–W8
+
+PREP_KEEP = ["l_orderkey", "l_linenumber", "l_linestatus"]
+BAND_EDGES = [0.0, 10.0, 25.0, float("inf")]
+BAND_LABELS = ["low", "mid", "high"]
+
+
+def q_impute_fit_transform(spark, d):
+    """Dedupe → time features → one-hot station → chained imputation
+    fitted and applied on the same rows (F2).  Rows-only check (no SQL)."""
+    out, _imp = pipelines.prepare_and_impute(readings(spark, d), time_col="l_shipdate",
+                                             station_col="l_returnflag", drop=[], keep=PREP_KEEP)
+    return out
+
+
+def _holdout_input(spark, d):
+    r = readings(spark, d)
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in READING_KEYS])
+    return r.select(key.alias("row_id"), *MEASURES)
+
+
+def q_impute_train_test(spark, d):
+    """Deterministic 80/20 split, fit on train, impute test, round
+    half-even, row key first (F3, F4, P9, K2 layout).  Rows-only check."""
+    out, _imp = pipelines.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
+    return out
+
+
+def q_post_imputation_corr(spark, d):
+    """W7 on W6's output: the leading key dropped by position, then the
+    correlation table."""
+    out, _imp = pipelines.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
+    return pipelines.post_imputation_stats(out)["corr"]
+
+
+def q_imputation_check(spark, d):
+    """Central measures of the gapped input next to the imputed one."""
+    src = readings(spark, d).select(*MEASURES)
+    imputed = ChainedImputer(MEASURES).fit_transform(src)
+    return pipelines.imputation_check(src, imputed)["measures"]
+
+
+def q_clean_transform(spark, d):
+    """W4 on the stand-in: fences → clip → right-closed bins of the clipped,
+    unscaled quantity → population z-scores from the clipped data."""
+    r = readings(spark, d)
+    out, _params = pipelines.clean_and_transform(
+        r, outlier_cols=MEASURES, bin_col="l_quantity", edges=BAND_EDGES, labels=BAND_LABELS,
+        bin_out="quantity_band", scaled_cols=MEASURES)
+    return out.select(*READING_KEYS, *[round_half_up(col(c), 6).alias(c) for c in MEASURES], "quantity_band")
+
+
+def _clean_sql():
+    k = "CAST(1.5 AS DOUBLE)"
+    q = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in MEASURES)
+    f = ", ".join(f"q1_{c} - {k} * (q3_{c} - q1_{c}) AS lo_{c}, q3_{c} + {k} * (q3_{c} - q1_{c}) AS hi_{c}"
+                  for c in MEASURES)
+    clip = ", ".join(f"CASE WHEN (CASE WHEN {c} > hi_{c} THEN hi_{c} ELSE {c} END) < lo_{c} THEN lo_{c} "
+                     f"ELSE (CASE WHEN {c} > hi_{c} THEN hi_{c} ELSE {c} END) END AS {c}" for c in MEASURES)
+    m = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in MEASURES)
+    z = ", ".join(f"{_round_sql(f'({c} - m_{c}) / (CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 1.0 ELSE s_{c} END)', 6)} AS {c}"
+                  for c in MEASURES)
+    band = ("CASE WHEN l_quantity > 0 AND l_quantity <= 10 THEN 'low' WHEN l_quantity > 10 AND l_quantity <= 25 "
+            "THEN 'mid' WHEN l_quantity > 25 THEN 'high' END")
+    return (f"{WITH_READINGS}, q AS (SELECT {q} FROM readings), f AS (SELECT {f} FROM q), "
+            f"c AS (SELECT {', '.join(READING_KEYS)}, {clip} FROM readings, f), m AS (SELECT {m} FROM c)\n"
+            f"SELECT {', '.join(READING_KEYS)}, {z}, {band} AS quantity_band FROM c, m")
+
+
+SQL_CLEAN = _clean_sql()
+
+
 QUERIES: dict[str, Query] = {
     "quality_by_year": q_quality_by_year,
     "best_year": q_best_year,
@@ -467,6 +541,11 @@ QUERIES: dict[str, Query] = {
     "round_even": q_round_even,
     "csv_roundtrip": q_csv_roundtrip,
     "yearly_sources": q_yearly_sources,
+    "clean_transform": q_clean_transform,
+    "impute_fit_transform": q_impute_fit_transform,
+    "impute_train_test": q_impute_train_test,
+    "post_imputation_corr": q_post_imputation_corr,
+    "imputation_check": q_imputation_check,
 }
 
 ORACLE: dict[str, str] = {
@@ -500,4 +579,5 @@ ORACLE: dict[str, str] = {
     "round_even": SQL_ROUND_EVEN,
     "csv_roundtrip": SQL_CSV,
     "yearly_sources": SQL_YEARLY,
+    "clean_transform": SQL_CLEAN,
 }

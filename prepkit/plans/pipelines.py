@@ -1,0 +1,169 @@
+"""The reference's workflows W1–W8, composed from the operators.
+
+Each function takes DataFrames (never files it must find by itself, except
+W1's source template) and returns DataFrames or small fitted parameters.
+Defaults follow the reference's sensor layout; every name is a parameter.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import col, numeric_columns, round_half_even
+from ..operators import profile as prof
+from ..operators import setops, stats
+from ..operators.features import IQRClipper, OneHot, Standardizer, bin_right_closed, train_test_split
+from ..operators.impute import ChainedImputer
+from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
+from ..sources.batch import read_keyed_sources
+
+# Column roles of the reference's air-quality tables.
+TIME_COL = "Fecha y hora"
+STATION_COL = "Estacion"
+NO_VARIANCE_COLS = ["RAINF"]
+OUTLIER_COLS = ["PM10", "PM2.5", "O3", "CO"]
+SCALED_COLS = ["CO", "NO", "NO2", "NOX", "O3", "PM10", "PM2.5", "PRS", "RH", "SR", "TOUT", "WSR", "WDR"]
+BIN_COL = "PM10"
+BIN_EDGES = [0.0, 50.0, 100.0, float("inf")]
+BIN_LABELS = ["Buena", "Regular", "Mala"]
+BIN_OUT = "Calidad_Aire_PM10"
+
+
+# ------------------------------------------------------------------ W1
+
+
+@dataclass
+class Consolidated:
+    data: DataFrame          # all present sources, tagged with the key
+    quality: DataFrame       # A6, ranked (O1)
+    best: DataFrame          # O2, one row
+    skipped: list            # S3 report
+
+
+def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callable[[list[str]], DataFrame],
+                        key: str = "anio") -> Consolidated:
+    """One scan over every present yearly source, per-source quality
+    summary, ranking and the most complete source."""
+    df, skipped = read_keyed_sources(spark, template, keys, reader, key=key)
+    quality = prof.quality_by_source(df, key)
+    return Consolidated(df, prof.rank_sources(quality, key), prof.best_source(quality, key), skipped)
+
+
+# ------------------------------------------------------------------ W2
+
+
+def understand(df: DataFrame) -> dict[str, DataFrame]:
+    """Shape, schema profile, null percentages (labelled) and
+    duplicate count."""
+    return {"shape": prof.shape(df), "schema": prof.schema_profile(df),
+            "null_pct": prof.null_pct_labels(prof.null_profile(df)),
+            "duplicates": prof.duplicate_count(df)}
+
+
+# ------------------------------------------------------------------ W3
+
+
+@dataclass
+class Prepared:
+    data: DataFrame          # imputer input (pass-through columns kept)
+    features: list[str]      # imputed / predictor columns
+    encoder: OneHot
+
+
+def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_COL,
+            drop: Sequence[str] = NO_VARIANCE_COLS, month: str = "Mes", hour: str = "Hora",
+            keep: Sequence[str] = ()) -> Prepared:
+    """W3 up to the imputer: de-duplicate, drop the no-variance columns,
+    parse time and derive month/hour, one-hot the station (first level
+    dropped).  The timestamp stays as a pass-through column (never detached
+    and re-attached by position)."""
+    d = setops.distinct_rows(df)
+    d = drop_checked(d, list(drop)) if drop else d
+    d = add_time_features(d, time_col, month, hour)
+    enc = OneHot(station_col).fit(d)
+    d = enc.transform(d)
+    passthrough = [time_col, *keep]
+    features = [c for c in d.columns if c not in passthrough]
+    d = d.select(*[col(c) for c in passthrough],
+                 *[col(c).cast("double").alias(c) for c in features])
+    return Prepared(d, features, enc)
+
+
+def prepare_and_impute(df: DataFrame, **kw) -> tuple[DataFrame, ChainedImputer]:
+    """:func:`prepare` then chained-equation imputation fitted and
+    applied on the same rows (F2)."""
+    prep = prepare(df, **kw)
+    data = prep.data.persist()
+    imp = ChainedImputer(prep.features).fit(data)
+    return imp.transform(data), imp
+
+
+# ------------------------------------------------------------------ W4
+
+
+def clean_and_transform(df: DataFrame, outlier_cols: Sequence[str] = OUTLIER_COLS,
+                        bin_col: str = BIN_COL, edges: Sequence[float] = BIN_EDGES,
+                        labels: Sequence[str] = BIN_LABELS, bin_out: str = BIN_OUT,
+                        scaled_cols: Sequence[str] = SCALED_COLS) -> tuple[DataFrame, dict]:
+    """IQR fences on the input, clip, bin the clipped (unscaled) value,
+    then standardise with moments of the clipped data.  Two aggregations
+    (quartiles; moments) and one projection."""
+    clip = IQRClipper(list(outlier_cols)).fit(df)
+    c = clip.transform(df)
+    c = c.withColumn(bin_out, bin_right_closed(col(bin_col), edges, labels))
+    scaler = Standardizer([s for s in scaled_cols if s in c.columns]).fit(c)
+    return scaler.transform(c), {"fences": clip.fences, "scaler": scaler.params}
+
+
+# ------------------------------------------------------------------ W5 / W7
+
+
+def correlate(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
+    """Covariance (population), correlation and its labelled cells."""
+    corr = stats.corr_matrix(df, cols)
+    return {"cov": stats.cov_matrix(df, cols), "corr": corr, "labels": stats.corr_labels(corr)}
+
+
+def post_imputation_stats(df: DataFrame) -> dict[str, DataFrame]:
+    """Drop the leading index column by position, then W5 on the rest."""
+    data = select_by_position(df, 1)
+    return correlate(data, data.columns)
+
+
+# ------------------------------------------------------------------ W6
+
+
+def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TIME_COL, STATION_COL),
+                   test_size: float = 0.2, seed: int = 42, round_output: bool = True,
+                   index: str = "row_id") -> tuple[DataFrame, ChainedImputer]:
+    """Drop the non-numeric columns, split train/test deterministically,
+    fit on train, impute test, optionally round half-even (the reference
+    rounds every cell), with the row key first."""
+    key = (col(keys[0]).cast("string") if len(keys) == 1
+           else F.concat_ws(":", *[col(k).cast("string") for k in keys]))
+    d = df.withColumn(index, key)
+    train, test = train_test_split(d, [index], test_size, seed)
+    train = drop_checked(train, [c for c in drop if c in train.columns])
+    test = drop_checked(test, [c for c in drop if c in test.columns])
+    features = [c for c in test.columns if c != index]
+    imp = ChainedImputer(features).fit(train)
+    out = imp.transform(test)
+    if round_output:
+        out = out.select(col(index), *[round_half_even(col(c)).alias(c) for c in features])
+    return move_to_front(out, [index]), imp
+
+
+# ------------------------------------------------------------------ W8
+
+
+def imputation_check(original: DataFrame, imputed: DataFrame) -> dict[str, DataFrame]:
+    """Null counts left after imputation and central measures of both
+    inputs side by side (one grouped pass)."""
+    num = [c for c in numeric_columns(imputed) if c in original.columns]
+    return {"nulls": prof.null_profile(imputed),
+            "measures": stats.compare_stages({"original": original.select(*[col(c) for c in num]),
+                                              "imputed": imputed.select(*[col(c) for c in num])})}
