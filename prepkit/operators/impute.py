@@ -282,12 +282,13 @@ class ChainedImputer:
         parts = x.mapInPandas(partial_grams, schema)
         summed = parts.groupBy("pattern", "chunk").agg(
             *[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(_CHUNK)])
-        n_pat = summed.select("pattern").distinct().count()
-        if n_pat > self.max_patterns:
+        # one job; the limit bounds what can reach the driver
+        cap = self.max_patterns * nchunk
+        rows = summed.limit(cap + 1).collect()
+        if len(rows) > cap:
             raise ValueError(
-                f"{n_pat} missingness patterns exceed max_patterns={self.max_patterns}; "
+                f"more than max_patterns={self.max_patterns} missingness patterns; "
                 "raise max_patterns (driver memory ≈ patterns × (p+1)² × 8 bytes)")
-        rows = summed.collect()
         index: dict[int, int] = {}
         for r in rows:
             index.setdefault(r["pattern"], len(index))

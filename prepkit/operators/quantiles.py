@@ -1,13 +1,13 @@
 """Exact, linearly interpolated quantiles that scale.
 
-Two exact strategies, chosen per column from a HyperLogLog estimate of its
-distinct count (one cheap pass):
-
-* **bounded cardinality** (sensor readings with a few decimals, flags,
-  counts): Spark's ``percentile`` aggregate.  Its buffer is one entry per
-  distinct value, merged in one task for a global aggregate, so it is used
-  only when the distinct count is below ``distinct_bound``.
-* **high cardinality**: distributed histogram refinement.  Each round
+Default strategy — distributed histogram refinement, exact for any
+cardinality and any skew.  Spark's built-in ``percentile`` keeps one buffer
+entry per distinct value and merges a global aggregate in ONE task, so it is
+only offered as ``method="percentile"`` for columns known to have few
+distinct values.
+
+* **refinement**: one grouped pass gives count/min/max per (group, column).
+  Each further round
   narrows, for every wanted order statistic, the value interval that holds
   it: rows inside the interval are bucketed into ``buckets`` equal-width
   buckets and counted with one ``groupBy(target, bucket)`` (partial
@@ -34,7 +34,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col
 
-DISTINCT_BOUND = 500_000
 BUCKETS = 1024
 FINAL_BOUND = 100_000
 MAX_ROUNDS = 64
@@ -42,7 +41,7 @@ MAX_TARGETS = 200_000
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), distinct_bound: int = DISTINCT_BOUND,
+                    by: Sequence[str] = (), method: str = "refine",
                     buckets: int = BUCKETS, final_bound: int = FINAL_BOUND) -> DataFrame:
     """Tidy ``(by..., column_name, p, value)``; NULLs skipped; a column with
     no values gives NULL."""
@@ -50,20 +49,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability out of range: {p}")
-    x = {c: col(c).cast("double") for c in cols}
-    est = df.agg(*[F.approx_count_distinct(x[c], 0.05).alias(f"__d{i}")
-                   for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if est[f"__d{i}"] <= distinct_bound]
-    large = [c for c in cols if c not in small]
-    parts = []
-    if small:
-        parts.append(_percentile_path(df, small, probs, by))
-    if large:
-        parts.append(_refine_path(df, large, probs, by, buckets, final_bound))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if method == "percentile":
+        return _percentile_path(df, cols, probs, by)
+    if method != "refine":
+        raise ValueError(f"unknown method {method!r}")
+    return _refine_path(df, cols, probs, by, buckets, final_bound)
 
 
 def _percentile_path(df, cols, probs, by):
@@ -98,11 +88,11 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
         for i, c in enumerate(cols)]))).where(F.col("__v").isNotNull())
     stats = (tall.groupBy(*[col(k) for k in by], "__cid")
              .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx")))
-    n_groups = stats.count()
-    if n_groups * 2 * len(probs) > MAX_TARGETS:
-        raise ValueError("too many (group, column) pairs for exact quantiles "
-                         f"({n_groups}); group by fewer keys or use approx_quantiles")
-    srows = stats.collect()
+    limit = MAX_TARGETS // (2 * len(probs)) + 1
+    srows = stats.limit(limit).collect()
+    if len(srows) >= limit:
+        raise ValueError("too many (group, column) pairs for exact quantiles; "
+                         "group by fewer keys or use approx_quantiles")
     targets: list[_Target] = []
     wanted: dict[tuple, list[tuple[float, int, int, float]]] = {}
     for r in srows:
@@ -129,9 +119,20 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
                             T.StructField("__lo", T.DoubleType()),
                             T.StructField("__hi", T.DoubleType())])
 
-    def join_active(active):
-        tdf = spark.createDataFrame([(t.tid, *t.gkey, t.cid, t.lo, t.hi) for t in active], tschema)
-        # the target table is bounded by MAX_TARGETS rows: broadcast is safe
+    def probes(active):
+        """Targets sharing (group, column, interval) share one probe, so a
+        row is read once per interval, not once per wanted rank."""
+        ids: dict[tuple, int] = {}
+        of: dict[int, int] = {}
+        for t in active:
+            key = (t.gkey, t.cid, t.lo, t.hi)
+            of[t.tid] = ids.setdefault(key, len(ids))
+        return ids, of
+
+    def join_probes(ids):
+        rows = [(pid, *g, cid, lo, hi) for (g, cid, lo, hi), pid in ids.items()]
+        tdf = spark.createDataFrame(rows, tschema)
+        # at most MAX_TARGETS probe rows: the broadcast side has a proven bound
         j = tall.join(F.broadcast(tdf), on=[*by, "__cid"], how="inner")
         return j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
 
@@ -142,25 +143,30 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
         final = [t for t in active if t.inside <= final_bound]
         hist = [t for t in active if t.inside > final_bound]
         if final:
+            ids, of = probes(final)
             got: dict[int, list[float]] = {}
-            for r in join_active(final).select("__tid", "__v").collect():
+            for r in join_probes(ids).select("__tid", "__v").collect():
                 got.setdefault(r["__tid"], []).append(r["__v"])
+            for vals in got.values():
+                vals.sort()
             for t in final:
-                vals = sorted(got.get(t.tid, []))
-                t.value, t.done = vals[t.k - t.below], True
+                t.value, t.done = got[of[t.tid]][t.k - t.below], True
         if hist:
+            ids, of = probes(hist)
             width = (F.col("__hi") - F.col("__lo"))
             b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * buckets),
                         F.lit(buckets - 1)).cast("int")
-            h = (join_active(hist).groupBy("__tid", b.alias("__b"))
+            h = (join_probes(ids).groupBy("__tid", b.alias("__b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
                  .collect())
             per: dict[int, list] = {}
             for r in h:
                 per.setdefault(r["__tid"], []).append((r["__b"], r["n"], r["mn"], r["mx"]))
+            for lst in per.values():
+                lst.sort()
             for t in hist:
                 acc = t.below
-                for _b, n, mn, mx in sorted(per[t.tid]):
+                for _b, n, mn, mx in per[of[t.tid]]:
                     if t.k < acc + n:
                         t.lo, t.hi, t.below, t.inside = mn, mx, acc, n
                         if mn == mx:

@@ -25,13 +25,13 @@ def test_refinement_path_equals_builtin(spark):
     vals = np.concatenate([rng.normal(100, 30, 20000), np.full(9000, 42.0), rng.exponential(5, 3000)])
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(vals)], "x double, g int")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    exact = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs).collect()}
+    exact = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs, method="percentile").collect()}
     refined = {r["p"]: r["value"] for r in
-               exact_quantiles(df, ["x"], probs, distinct_bound=0, buckets=16, final_bound=500).collect()}
+               exact_quantiles(df, ["x"], probs, buckets=16, final_bound=500).collect()}
     for p in probs:
         assert refined[p] == pytest.approx(exact[p], rel=1e-12)
         assert exact[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12)
-    grouped = exact_quantiles(df, ["x"], [0.5], by=["g"], distinct_bound=0, buckets=8, final_bound=300)
+    grouped = exact_quantiles(df, ["x"], [0.5], by=["g"], buckets=8, final_bound=300)
     for r in grouped.collect():
         sub = vals[np.arange(len(vals)) % 3 == r["g"]]
         assert r["value"] == pytest.approx(float(np.median(sub)), rel=1e-12)
