@@ -45,11 +45,14 @@ class Consolidated:
 
 
 def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callable[[list[str]], DataFrame],
-                        key: str = "anio") -> Consolidated:
+                        key: str = "anio", path_column: str | None = None,
+                        exclude: Sequence[str] = ()) -> Consolidated:
     """One scan over every present yearly source, per-source quality
-    summary, ranking and the most complete source."""
-    df, skipped = read_keyed_sources(spark, template, keys, reader, key=key)
-    quality = prof.quality_by_source(df, key)
+    summary, ranking and the most complete source.  ``exclude`` names
+    bookkeeping columns (e.g. the file path) left out of the null count."""
+    df, skipped = read_keyed_sources(spark, template, keys, reader, key=key, path_column=path_column)
+    cols = [c for c in df.columns if c != key and c not in set(exclude)]
+    quality = prof.quality_by_source(df, key, cols=cols)
     return Consolidated(df, prof.rank_sources(quality, key), prof.best_source(quality, key), skipped)
 
 

@@ -45,18 +45,22 @@ def resolve_sources(spark: SparkSession, template: str, keys: Iterable,
     return ResolvedSources(present, skipped)
 
 
-def key_from_path(template: str, placeholder: str = "year"):
-    """Column expression extracting the key from ``_metadata.file_path``,
-    using the template's last path component as the pattern."""
+def key_from_path(template: str, placeholder: str = "year", path_column: str | None = None):
+    """Column expression extracting the key from the row's source path
+    (``_metadata.file_path`` for file sources, or ``path_column`` for sources
+    that emit it themselves), using the template's last path component as
+    the pattern."""
     last = template.rstrip("/").split("/")[-1]
     pat = re.escape(last).replace(re.escape("{" + placeholder + "}"), r"(\d+)")
-    return F.regexp_extract(F.col("_metadata.file_path"), pat, 1)
+    src = F.col(path_column) if path_column else F.col("_metadata.file_path")
+    return F.regexp_extract(src, pat, 1)
 
 
 def read_keyed_sources(spark: SparkSession, template: str, keys: Iterable,
                        reader: Callable[[list[str]], DataFrame], key: str = "anio",
                        placeholder: str = "year", key_type: str = "bigint",
-                       require_any: bool = True) -> tuple[DataFrame | None, list]:
+                       require_any: bool = True,
+                       path_column: str | None = None) -> tuple[DataFrame | None, list]:
     """Read every present source in one scan; return ``(df, skipped_keys)``.
 
     ``reader(paths)`` builds the scan (CSV, Parquet, ...); it must be a
@@ -68,7 +72,7 @@ def read_keyed_sources(spark: SparkSession, template: str, keys: Iterable,
         return None, res.skipped
     paths = [p for _, p in res.present]
     df = reader(paths)
-    df = df.withColumn(key, key_from_path(template, placeholder).cast(key_type))
+    df = df.withColumn(key, key_from_path(template, placeholder, path_column).cast(key_type))
     return df, res.skipped
 
 
