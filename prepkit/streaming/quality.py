@@ -1,0 +1,59 @@
+"""W1's per-source quality summary over files that keep arriving.
+
+The reference re-runs its yearly loop whenever a new export lands; as a
+Structured Streaming query each new file is read once, and the per-year
+``(total_rows, null_cells)`` aggregate is kept as streaming state (one row
+per year — bounded by the number of sources, not by the data).  The
+checkpoint lives in the shared folder (``spark.checkpoint.dir``), so a
+restarted driver or lost executor resumes exactly where it stopped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.profile import row_nulls
+from ..session import scratch_path
+from ..sources.batch import key_from_path
+from ..sources.csv import as_schema
+
+
+def quality_stream(spark: SparkSession, source_dir: str, schema, name_template: str,
+                   fmt: str = "csv", key: str = "anio", options: dict | None = None,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming per-source quality: ``(key, total_rows, null_cells)``.
+
+    ``name_template`` is the path component carrying the key, e.g.
+    ``"BD_{year}"`` or ``"BD_{year}.csv"``.  Plain (not ``key=value``)
+    directory names: the streaming file scan would otherwise try to
+    discover them as partition columns outside the declared schema."""
+    sch = as_schema(schema)
+    r = spark.readStream.format(fmt).schema(sch)
+    opts = {"header": "true"} if fmt == "csv" else {}
+    opts.update(options or {})
+    if max_files_per_trigger:
+        opts["maxFilesPerTrigger"] = str(max_files_per_trigger)
+    for k, v in opts.items():
+        r = r.option(k, v)
+    src = r.load(source_dir)
+    # the streaming file scan cannot project _metadata next to partition
+    # directories; input_file_name() carries the same path
+    tagged = (src.withColumn("__path", F.input_file_name())
+              .withColumn(key, key_from_path(name_template, path_column="__path").cast("bigint"))
+              .drop("__path"))
+    cols = [f.name for f in sch.fields]
+    return (tagged.groupBy(key)
+            .agg(F.count(F.lit(1)).alias("total_rows"), F.sum(row_nulls(cols)).alias("null_cells")))
+
+
+def start(df: DataFrame, query_name: str, sink: str = "memory", checkpoint: str | None = None,
+          available_now: bool = True) -> StreamingQuery:
+    """Run the aggregate in complete mode (the summary table is rewritten on
+    every trigger).  ``available_now`` processes what has arrived and stops."""
+    ckpt = checkpoint or scratch_path(df.sparkSession, f"stream-{query_name}")
+    w = (df.writeStream.outputMode("complete").format(sink).queryName(query_name)
+         .option("checkpointLocation", ckpt))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
