@@ -129,6 +129,43 @@ def _tri(p1: int):
     return np.triu_indices(p1)
 
 
+def update_state_grams(w_state: np.ndarray, miss: np.ndarray, j: int, w: np.ndarray) -> None:
+    """In place: after column ``j`` ← ``w · [1, state]`` on the patterns
+    where ``j`` is missing, their state Grams ``W = A G Aᵀ`` change only in
+    row/column ``j+1`` (O(p²) per pattern)."""
+    sel = miss[:, j]
+    if sel.any():
+        ws = w_state[sel]
+        v = ws @ w
+        ws[:, j + 1, :] = v
+        ws[:, :, j + 1] = v
+        ws[:, j + 1, j + 1] = v @ w
+        w_state[sel] = ws
+
+
+def regression_weights(s: np.ndarray, j: int, max_iter: int, tol: float) -> np.ndarray:
+    """Weights over ``[1, state]`` predicting column ``j`` from the summed
+    state Gram ``s`` of the rows where ``j`` is observed."""
+    p = s.shape[0] - 1
+    nn = s[0, 0]
+    mean = s[0, 1:] / nn
+    cov = s[1:, 1:] - nn * np.outer(mean, mean)
+    k = [i for i in range(p) if i != j]
+    coef = bayesian_ridge_from_moments(nn, cov[np.ix_(k, k)], cov[k, j], float(cov[j, j]), max_iter, tol)
+    w = np.zeros(p + 1)
+    w[0] = mean[j] - mean[k] @ coef
+    w[[i + 1 for i in k]] = coef
+    return w
+
+
+def _unpack(flat: np.ndarray, p1: int) -> np.ndarray:
+    iu = _tri(p1)
+    g = np.zeros((len(flat), p1, p1))
+    g[:, iu[0], iu[1]] = flat
+    g[:, iu[1], iu[0]] = flat
+    return g
+
+
 # ---------------------------------------------------------------- the estimator
 
 
@@ -191,39 +228,12 @@ class ChainedImputer:
             self.rounds_, self.n_iter_ = [], 0
             return self
 
-        codes, grams = self._pattern_grams(x)
-        self.n_patterns_ = len(codes)
-        miss = code_bits(codes, p)
-
-        # state Grams W_P = A_P G_P A_Pᵀ; initially A = I on observed entries
-        w_state = grams.copy()
-        rounds = []
-        for _t in range(self.max_iter):
-            steps = []
-            for j in self.order_:
-                obs = ~miss[:, j]
-                s = w_state[obs].sum(axis=0)
-                nn = s[0, 0]
-                mean = s[0, 1:] / nn
-                cov = s[1:, 1:] - nn * np.outer(mean, mean)
-                k = [i for i in range(p) if i != j]
-                coef = bayesian_ridge_from_moments(
-                    nn, cov[np.ix_(k, k)], cov[k, j], float(cov[j, j]),
-                    self.ridge_max_iter, self.ridge_tol)
-                b0 = mean[j] - mean[k] @ coef
-                w = np.zeros(p + 1)
-                w[0] = b0
-                w[[i + 1 for i in k]] = coef
-                steps.append((j, w))
-                sel = miss[:, j]
-                if sel.any():
-                    ws = w_state[sel]
-                    v = ws @ w                      # (m, p+1)
-                    ws[:, j + 1, :] = v
-                    ws[:, :, j + 1] = v
-                    ws[:, j + 1, j + 1] = v @ w
-                    w_state[sel] = ws
-            rounds.append(steps)
+        codes, grams, summed = self._pattern_grams(x)
+        if codes is not None:
+            self.n_patterns_ = len(codes)
+            rounds = self._rounds_local(codes, grams)
+        else:
+            rounds = self._rounds_distributed(summed)
         self.rounds_ = [[(int(j), [float(v) for v in w]) for j, w in steps] for steps in rounds]
 
         # one pass measures every round's largest row-wise L1 change
@@ -238,6 +248,76 @@ class ChainedImputer:
         self.rounds_ = self.rounds_[:stop]
         return self
 
+    def _rounds_local(self, codes: np.ndarray, grams: np.ndarray) -> list:
+        """All rounds on the driver: pattern Grams fit in memory."""
+        p = len(self.columns)
+        miss = code_bits(codes, p)
+        w_state = grams.copy()          # W_P = A_P G_P A_Pᵀ; A = I initially
+        rounds = []
+        for _t in range(self.max_iter):
+            steps = []
+            for j in self.order_:
+                w = regression_weights(w_state[~miss[:, j]].sum(axis=0), j,
+                                       self.ridge_max_iter, self.ridge_tol)
+                steps.append((j, w))
+                update_state_grams(w_state, miss, j, w)
+            rounds.append(steps)
+        return rounds
+
+    def _rounds_distributed(self, summed: DataFrame) -> list:
+        """Exact fallback when there are more than ``max_patterns``
+        patterns: the pattern Grams stay in a checkpointed Spark table.  Each
+        regression is one job that replays the round's earlier steps per
+        pattern and returns one partial Gram sum per partition; after every
+        round the advanced state Grams are checkpointed again."""
+        from ..session import checkpoint
+        p = len(self.columns)
+        p1 = p + 1
+        iu = _tri(p1)
+        ntri = len(iu[0])
+        packed = (summed.select("pattern", "chunk", F.array(*[F.col(f"s{i}") for i in range(_CHUNK)]).alias("v"))
+                  .groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("chunk", "v"))).alias("cs")))
+        table = checkpoint(packed.select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri)
+                                         .alias("g")))
+        self.n_patterns_ = table.count()
+
+        def load(b):
+            codes = b["pattern"].to_numpy(dtype=np.int64)
+            return code_bits(codes, p), _unpack(np.stack(b["g"].to_numpy()), p1)
+
+        def sums(steps, j):
+            def fn(batches):
+                acc = np.zeros((p1, p1))
+                for b in batches:
+                    if len(b):
+                        miss, w_state = load(b)
+                        for jj, w in steps:
+                            update_state_grams(w_state, miss, jj, w)
+                        acc += w_state[~miss[:, j]].sum(axis=0)
+                yield pd.DataFrame({"acc": [acc[iu].tolist()]})
+            return fn
+
+        def advance(steps):
+            def fn(batches):
+                for b in batches:
+                    if len(b):
+                        miss, w_state = load(b)
+                        for jj, w in steps:
+                            update_state_grams(w_state, miss, jj, w)
+                        yield pd.DataFrame({"pattern": b["pattern"], "g": list(w_state[:, iu[0], iu[1]])})
+            return fn
+
+        rounds = []
+        for _t in range(self.max_iter):
+            steps = []
+            for j in self.order_:
+                parts = table.mapInPandas(sums(list(steps), j), "acc array<double>").collect()
+                s = _unpack(np.sum([np.asarray(r["acc"]) for r in parts], axis=0)[None, :], p1)[0]
+                steps.append((j, regression_weights(s, j, self.ridge_max_iter, self.ridge_tol)))
+            rounds.append(steps)
+            table = checkpoint(table.mapInPandas(advance(list(steps)), "pattern long, g array<double>"))
+        return rounds
+
     def _pattern_grams(self, x: DataFrame):
         p = len(self.columns)
         p1 = p + 1
@@ -286,9 +366,8 @@ class ChainedImputer:
         cap = self.max_patterns * nchunk
         rows = summed.limit(cap + 1).collect()
         if len(rows) > cap:
-            raise ValueError(
-                f"more than max_patterns={self.max_patterns} missingness patterns; "
-                "raise max_patterns (driver memory ≈ patterns × (p+1)² × 8 bytes)")
+            # too many patterns for driver memory: keep them in Spark
+            return None, None, summed
         index: dict[int, int] = {}
         for r in rows:
             index.setdefault(r["pattern"], len(index))
@@ -297,12 +376,9 @@ class ChainedImputer:
             i = index[r["pattern"]]
             ci = r["chunk"]
             flat[i, ci * _CHUNK:(ci + 1) * _CHUNK] = [r[f"s{k}"] for k in range(_CHUNK)]
-        flat = flat[:, :ntri]
-        grams = np.zeros((len(index), p1, p1))
-        grams[:, iu[0], iu[1]] = flat
-        grams[:, iu[1], iu[0]] = flat
+        grams = _unpack(flat[:, :ntri], p1)
         codes = np.array(list(index.keys()), dtype=np.int64)
-        return codes, grams
+        return codes, grams, summed
 
     def _round_changes(self, x: DataFrame, rounds) -> np.ndarray:
         p = len(self.columns)

@@ -69,3 +69,13 @@ def test_pass_through_and_persistence(sensor):
     b = _matrix(again.transform(df), COLS)
     assert np.array_equal(a, b)
     assert imp.transform(df).columns == df.columns
+
+
+def test_distributed_rounds_equal_driver_rounds(sensor):
+    df = _prepared(sensor)
+    local = ChainedImputer(COLS).fit(df)
+    dist = ChainedImputer(COLS, max_patterns=2).fit(df)    # forces the Spark-side rounds
+    assert dist.n_patterns_ == local.n_patterns_ and dist.n_iter_ == local.n_iter_
+    a = _matrix(local.transform(df), COLS)
+    b = _matrix(dist.transform(df), COLS)
+    np.testing.assert_allclose(a, b, rtol=1e-10, atol=1e-10)
