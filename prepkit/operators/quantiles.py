@@ -6,8 +6,8 @@ entry per distinct value and merges a global aggregate in ONE task, so it is
 only offered as ``method="percentile"`` for columns known to have few
 distinct values.
 
-* **refinement**: one grouped pass gives count/min/max per (group, column).
-  Each further round
+* **refinement**: one wide grouped pass gives count/min/max per (group,
+  column).  Each further round
   narrows, for every wanted order statistic, the value interval that holds
   it: rows inside the interval are bucketed into ``buckets`` equal-width
   buckets and counted with one ``groupBy(target, bucket)`` (partial
@@ -81,23 +81,38 @@ class _Target:
     done: bool = False
 
 
+EXPR_PROBES = 64
+
+
+def _eq(c, v):
+    return c.eqNullSafe(F.lit(v))
+
+
 def _refine_path(df, cols, probs, by, buckets, final_bound):
     spark = df.sparkSession
-    tall = df.select(*[col(k) for k in by], F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__cid"), col(c).cast("double").alias("__v"))
-        for i, c in enumerate(cols)]))).where(F.col("__v").isNotNull())
-    stats = (tall.groupBy(*[col(k) for k in by], "__cid")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx")))
-    limit = MAX_TARGETS // (2 * len(probs)) + 1
-    srows = stats.limit(limit).collect()
-    if len(srows) >= limit:
-        raise ValueError("too many (group, column) pairs for exact quantiles; "
-                         "group by fewer keys or use approx_quantiles")
+    x = [col(c).cast("double") for c in cols]
+    keys = [col(k) for k in by]
+    # pass 1: count / min / max of every column per group, one wide aggregate
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(x[i]).alias(f"__n{i}"), F.min(x[i]).alias(f"__mn{i}"), F.max(x[i]).alias(f"__mx{i}")]
+    wide = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
+    limit = MAX_TARGETS // (2 * len(probs) * len(cols)) + 1
+    grows = wide.limit(limit).collect()
+    if len(grows) >= limit:
+        raise ValueError("too many groups for exact quantiles; group by fewer keys or use approx_quantiles")
+    srows = []
+    for r in grows:
+        g = tuple(r[k] for k in by)
+        for cid in range(len(cols)):
+            if r[f"__n{cid}"]:
+                srows.append({"g": g, "cid": cid, "n": r[f"__n{cid}"],
+                              "mn": r[f"__mn{cid}"], "mx": r[f"__mx{cid}"]})
     targets: list[_Target] = []
     wanted: dict[tuple, list[tuple[float, int, int, float]]] = {}
+    rank_of: dict[tuple, dict[int, _Target]] = {}
     for r in srows:
-        g = tuple(r[k] for k in by)
-        cid, n = r["__cid"], r["n"]
+        g, cid, n = r["g"], r["cid"], r["n"]
         ranks: dict[int, _Target] = {}
         for p in probs:
             h = (n - 1) * p
@@ -110,7 +125,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
                     targets.append(t)
                     ranks[k] = t
             wanted.setdefault((g, cid), []).append((p, lo_r, hi_r, h))
-        wanted[(g, cid, "ranks")] = ranks  # type: ignore[index]
+        rank_of[(g, cid)] = ranks
 
     key_fields = [f for f in df.schema.fields if f.name in by]
     tschema = T.StructType([T.StructField("__tid", T.LongType()),
@@ -118,6 +133,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
                             T.StructField("__cid", T.IntegerType()),
                             T.StructField("__lo", T.DoubleType()),
                             T.StructField("__hi", T.DoubleType())])
+    tall = None
 
     def probes(active):
         """Targets sharing (group, column, interval) share one probe, so a
@@ -129,12 +145,35 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
             of[t.tid] = ids.setdefault(key, len(ids))
         return ids, of
 
-    def join_probes(ids):
+    def probe_rows(ids):
+        """(__tid, __v, __lo, __hi) for every value inside a probe interval."""
+        nonlocal tall
+        if len(ids) <= EXPR_PROBES:
+            # few probes: codegen'd predicates, no join; the OR of interval
+            # predicates also lets Parquet skip row groups in later rounds
+            entries, conds = [], []
+            for (g, cid, lo, hi), pid in ids.items():
+                cond = (x[cid] >= F.lit(lo)) & (x[cid] <= F.lit(hi))
+                for kc, gv in zip(keys, g):
+                    cond = cond & _eq(kc, gv)
+                conds.append(cond)
+                entries.append(F.when(cond, F.struct(F.lit(pid).cast("long").alias("__tid"),
+                                                      x[cid].alias("__v"), F.lit(lo).alias("__lo"),
+                                                      F.lit(hi).alias("__hi"))))
+            anyc = conds[0]
+            for c in conds[1:]:
+                anyc = anyc | c
+            # explode + filter (a higher-order filter would leave codegen)
+            return (df.where(anyc).select(F.explode(F.array(*entries)).alias("__e"))
+                    .where(F.col("__e").isNotNull()).select("__e.*"))
+        if tall is None:
+            tall = df.select(*keys, F.inline(F.array(*[
+                F.struct(F.lit(i).alias("__cid"), x[i].alias("__v")) for i in range(len(cols))])))
         rows = [(pid, *g, cid, lo, hi) for (g, cid, lo, hi), pid in ids.items()]
-        tdf = spark.createDataFrame(rows, tschema)
         # at most MAX_TARGETS probe rows: the broadcast side has a proven bound
-        j = tall.join(F.broadcast(tdf), on=[*by, "__cid"], how="inner")
-        return j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        j = tall.join(F.broadcast(spark.createDataFrame(rows, tschema)), on=[*by, "__cid"], how="inner")
+        return (j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+                .select("__tid", "__v", "__lo", "__hi"))
 
     for _ in range(MAX_ROUNDS):
         active = [t for t in targets if not t.done]
@@ -145,7 +184,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
         if final:
             ids, of = probes(final)
             got: dict[int, list[float]] = {}
-            for r in join_probes(ids).select("__tid", "__v").collect():
+            for r in probe_rows(ids).select("__tid", "__v").collect():
                 got.setdefault(r["__tid"], []).append(r["__v"])
             for vals in got.values():
                 vals.sort()
@@ -156,7 +195,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
             width = (F.col("__hi") - F.col("__lo"))
             b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * buckets),
                         F.lit(buckets - 1)).cast("int")
-            h = (join_probes(ids).groupBy("__tid", b.alias("__b"))
+            h = (probe_rows(ids).groupBy("__tid", b.alias("__b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
                  .collect())
             per: dict[int, list] = {}
@@ -178,16 +217,15 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
 
     out = []
     for r in srows:
-        g = tuple(r[k] for k in by)
-        cid = r["__cid"]
-        ranks = wanted[(g, cid, "ranks")]  # type: ignore[index]
+        g, cid = r["g"], r["cid"]
+        ranks = rank_of[(g, cid)]
         for p, lo_r, hi_r, h in wanted[(g, cid)]:
             a, b = ranks[lo_r].value, ranks[hi_r].value
             v = a if (lo_r == hi_r or a == b) else (hi_r - h) * a + (h - lo_r) * b
             out.append((*g, cols[cid], p, v))
-    # columns with no values at all in a group: NULL, as the built-in path
-    seen = {(tuple(r[k] for k in by), r["__cid"]) for r in srows}
-    groups = {tuple(r[k] for k in by) for r in srows} or ({()} if not by else set())
+    # a column with no values in a group: NULL, as the built-in path
+    seen = {(r["g"], r["cid"]) for r in srows}
+    groups = [tuple(r[k] for k in by) for r in grows]
     for g in groups:
         for cid, c in enumerate(cols):
             if (g, cid) not in seen:
