@@ -88,14 +88,24 @@ def _eq(c, v):
     return c.eqNullSafe(F.lit(v))
 
 
-def _refine_path(df, cols, probs, by, buckets, final_bound):
+def quantiles_with_moments(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                           by: Sequence[str] = (), buckets: int = BUCKETS,
+                           final_bound: int = FINAL_BOUND):
+    """Exact quantiles plus ``{(group, column): (n, min, max, sum)}`` from the
+    same first pass (callers that also need moments save a scan)."""
+    return _refine_path(df, list(cols), [float(p) for p in probs], list(by), buckets, final_bound,
+                        with_moments=True)
+
+
+def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
     spark = df.sparkSession
     x = [col(c).cast("double") for c in cols]
     keys = [col(k) for k in by]
     # pass 1: count / min / max of every column per group, one wide aggregate
     aggs = []
     for i in range(len(cols)):
-        aggs += [F.count(x[i]).alias(f"__n{i}"), F.min(x[i]).alias(f"__mn{i}"), F.max(x[i]).alias(f"__mx{i}")]
+        aggs += [F.count(x[i]).alias(f"__n{i}"), F.min(x[i]).alias(f"__mn{i}"), F.max(x[i]).alias(f"__mx{i}"),
+                 F.sum(x[i]).alias(f"__s{i}")]
     wide = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
     limit = MAX_TARGETS // (2 * len(probs) * len(cols)) + 1
     grows = wide.limit(limit).collect()
@@ -234,7 +244,12 @@ def _refine_path(df, cols, probs, by, buckets, final_bound):
                             T.StructField("column_name", T.StringType()),
                             T.StructField("p", T.DoubleType()),
                             T.StructField("value", T.DoubleType())])
-    return spark.createDataFrame(out, oschema)
+    result = spark.createDataFrame(out, oschema)
+    if not with_moments:
+        return result
+    moments = {(tuple(r[k] for k in by), c): (r[f"__n{i}"], r[f"__mn{i}"], r[f"__mx{i}"], r[f"__s{i}"])
+               for r in grows for i, c in enumerate(cols)}
+    return result, moments
 
 
 def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

@@ -16,44 +16,37 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, numeric_columns
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_with_moments
 from .setops import union_by_name
 
 
-def _tidy(wide: DataFrame, keys: Sequence[str], items: list[tuple[str, dict[str, Column]]]) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(name).alias("column_name"),
-                 *[c.alias(k) for k, c in stats.items()])
-        for i, (name, stats) in enumerate(items)])
-    return wide.select(*[col(k) for k in keys], F.inline(rows))
-
-
 def central_measures(df: DataFrame, cols: Sequence[str] | None = None,
                      by: Sequence[str] = ()) -> DataFrame:
     """Mean, exact median, max, min and half-range
     (``(max - min) / 2``, the reference's "rango medio") for every numeric
     column, NULLs skipped.  Optional grouping keys ``by`` (A20 uses a stage
-    tag).  Result: one row per (group, column)."""
+    tag).  Result: one row per (group, column).
+
+    Count, sum, min and max come from the first pass of the exact-median
+    computation, so the whole table of measures costs the median's passes
+    only (the mean is ``sum / count``, as Spark's ``avg``)."""
     by = list(by)
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=by)
-    x = {c: col(c).cast("double") for c in cols}
-    med = exact_quantiles(df, cols, [0.5], by=by)  # tidy: by.., column_name, p, value
-    med = med.select(*[col(k) for k in by], "column_name", F.col("value").alias("median"))
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.avg(x[c]).alias(f"__mean{i}"), F.max(x[c]).alias(f"__max{i}"),
-                 F.min(x[c]).alias(f"__min{i}")]
-    wide = df.groupBy(*[col(k) for k in by]).agg(*aggs) if by else df.agg(*aggs)
-    items = [(c, {"mean": F.col(f"__mean{i}"), "max": F.col(f"__max{i}"),
-                  "min": F.col(f"__min{i}"),
-                  "half_range": (F.col(f"__max{i}") - F.col(f"__min{i}")) / 2})
-             for i, c in enumerate(cols)]
-    tidy = _tidy(wide, by, items)
-    out = tidy.join(med, on=[*by, "column_name"], how="left")
-    return out.select(*[col(k) for k in by], "ordinal", "column_name", "mean", "median",
-                      "max", "min", "half_range")
+    med, mom = quantiles_with_moments(df, cols, [0.5], by=by)
+    medians = {(tuple(r[k] for k in by), r["column_name"]): r["value"] for r in med.collect()}
+    rows = []
+    for (g, c), (n, mn, mx, sm) in sorted(mom.items(), key=lambda kv: (repr(kv[0][0]), cols.index(kv[0][1]))):
+        mean = sm / n if n else None
+        half = (mx - mn) / 2 if n else None
+        rows.append((*g, cols.index(c), c, mean, medians.get((g, c)), mx, mn, half))
+    key_fields = [f for f in df.schema.fields if f.name in by]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in key_fields],
+                           T.StructField("ordinal", T.LongType()), T.StructField("column_name", T.StringType()),
+                           *[T.StructField(n, T.DoubleType()) for n in ("mean", "median", "max", "min", "half_range")]])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def compare_stages(stages: Mapping[str, DataFrame], cols: Sequence[str] | None = None,
