@@ -57,21 +57,24 @@ def shared_dir(spark: SparkSession) -> str:
 
     Read from the session; set our own only where it is unset (local runs
     and tests).  The same folder is registered as the RDD checkpoint dir so
-    ``DataFrame.checkpoint()`` works.
-    """
+    ``DataFrame.checkpoint()`` works."""
     global _LOCAL_SHARED
-    sc = spark.sparkContext
-    d = sc.getConf().get(_CKPT_KEY, None)
-    if not d:
-        try:
-            d = spark.conf.get(_CKPT_KEY, None)
-        except Exception:  # pragma: no cover - conf lookup differences
-            d = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no JVM context on the client
+        sc = None
+    d = None
+    try:
+        d = spark.conf.get(_CKPT_KEY, None)
+    except Exception:
+        d = None
+    if not d and sc is not None:
+        d = sc.getConf().get(_CKPT_KEY, None)
     if not d:
         if _LOCAL_SHARED is None:
             _LOCAL_SHARED = tempfile.mkdtemp(prefix="prepkit-shared-")
         d = _LOCAL_SHARED
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
