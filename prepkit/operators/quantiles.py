@@ -36,7 +36,7 @@ from ..functions.columns import col
 
 BUCKETS = 1024
 FINAL_BOUND = 100_000
-MAX_ROUNDS = 64
+MAX_ROUNDS = 10_000   # safety net; every histogram round strictly narrows its intervals
 MAX_TARGETS = 200_000
 
 
@@ -82,6 +82,8 @@ class _Target:
 
 
 EXPR_PROBES = 64
+FETCH_BUDGET = 4_000_000     # values fetched to the driver per round, at most
+HIST_BUDGET = 4_000_000      # histogram rows (probes × buckets) per round, at most
 
 
 def _eq(c, v):
@@ -97,6 +99,22 @@ def quantiles_with_moments(df: DataFrame, cols: Sequence[str], probs: Sequence[f
                         with_moments=True)
 
 
+def _within_budget(targets, budget, cost):
+    """Targets (grouped by shared interval) whose summed cost fits the
+    budget; at least one interval is always admitted."""
+    seen, out, used = {}, [], 0
+    for t in sorted(targets, key=lambda t: (t.gkey.__repr__(), t.cid, t.lo)):
+        key = (t.gkey, t.cid, t.lo, t.hi)
+        if key not in seen:
+            c = cost(t)
+            if out and used + c > budget:
+                continue
+            seen[key] = True
+            used += c
+        out.append(t)
+    return out
+
+
 def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
     spark = df.sparkSession
     x = [col(c).cast("double") for c in cols]
@@ -191,6 +209,10 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
             break
         final = [t for t in active if t.inside <= final_bound]
         hist = [t for t in active if t.inside > final_bound]
+        # budgets: what reaches the driver per round is bounded whatever the
+        # number of groups; probes beyond a budget wait for the next round
+        final = _within_budget(final, FETCH_BUDGET, lambda t: t.inside)
+        hist = _within_budget(hist, HIST_BUDGET, lambda t: buckets)
         if final:
             ids, of = probes(final)
             got: dict[int, list[float]] = {}

@@ -77,3 +77,16 @@ def test_compare_stages_A20(spark):
     got = {r["stage"]: r for r in stats.compare_stages({"before": a, "after": b}).collect()}
     assert got["before"]["mean"] == 2.0 and got["after"]["mean"] == 1.0
     assert not math.isnan(got["after"]["median"])
+
+
+def test_refinement_respects_round_budgets(spark, monkeypatch):
+    import prepkit.operators.quantiles as qm
+    monkeypatch.setattr(qm, "FETCH_BUDGET", 50)
+    monkeypatch.setattr(qm, "HIST_BUDGET", 8)
+    rng = np.random.default_rng(3)
+    vals = rng.normal(0, 1, 3000)
+    df = spark.createDataFrame([(float(v), int(i % 5)) for i, v in enumerate(vals)], "x double, g int")
+    got = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"], buckets=8, final_bound=40).collect()
+    for r in got:
+        sub = vals[np.arange(len(vals)) % 5 == r["g"]]
+        assert r["value"] == pytest.approx(float(np.quantile(sub, r["p"])), rel=1e-12)
