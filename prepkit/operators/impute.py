@@ -50,6 +50,8 @@ from ..functions.columns import col
 
 _EPS = float(np.finfo(np.float64).eps)
 _CHUNK = 64
+_PATTERN_CHUNK = 256        # patterns replayed together in the convergence pass
+_CACHE_PATTERNS = 4096      # state maps cached per task in transform
 
 
 # ---------------------------------------------------------------- regression
@@ -388,7 +390,6 @@ class ChainedImputer:
         nr = len(rounds)
 
         def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cache: dict[int, list] = {}
             best = np.zeros(nr)
             for b in batches:
                 if len(b) == 0:
@@ -399,15 +400,17 @@ class ChainedImputer:
                 h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
                 codes = pattern_codes(miss)
                 uniq, inv = np.unique(codes, return_inverse=True)
-                new = [c for c in uniq.tolist() if c not in cache]
-                if new:
-                    hist = replay(np.array(new, dtype=np.int64), p, r_np, keep_rounds=True)
-                    for i, c in enumerate(new):
-                        cache[c] = [hh[i] for hh in hist]
-                for t in range(nr):
-                    d = np.stack([cache[c][t + 1] - cache[c][t] for c in uniq.tolist()])
-                    delta = np.einsum("nij,nj->ni", d[inv], h)
-                    best[t] = max(best[t], float(np.abs(delta).sum(axis=1).max()))
+                # distinct patterns in fixed-size chunks: memory per task is
+                # bounded by _PATTERN_CHUNK × rounds × (p+1)², whatever the data
+                for lo in range(0, len(uniq), _PATTERN_CHUNK):
+                    chunk = uniq[lo:lo + _PATTERN_CHUNK]
+                    rows = np.flatnonzero((inv >= lo) & (inv < lo + len(chunk)))
+                    hist = replay(chunk, p, r_np, keep_rounds=True)
+                    local = inv[rows] - lo
+                    for t in range(nr):
+                        d = (hist[t + 1] - hist[t])[local]
+                        delta = np.einsum("nij,nj->ni", d, h[rows])
+                        best[t] = max(best[t], float(np.abs(delta).sum(axis=1).max()))
             yield pd.DataFrame({"changes": [best.tolist()]})
 
         has_gap = None
@@ -452,6 +455,8 @@ class ChainedImputer:
                 codes = pattern_codes(miss)
                 uniq, inv = np.unique(codes, return_inverse=True)
                 new = [c for c in uniq.tolist() if c not in cache]
+                if len(cache) + len(new) > _CACHE_PATTERNS:
+                    cache.clear()               # bounded per-task memory
                 if new:
                     a_new = replay(np.array(new, dtype=np.int64), p, rounds)
                     for i, c in enumerate(new):
