@@ -342,14 +342,15 @@ class ChainedImputer:
                 order = np.argsort(codes, kind="stable")
                 cs, hs = codes[order], h[order]
                 starts = np.flatnonzero(np.r_[True, cs[1:] != cs[:-1]])
-                outer = (hs[:, :, None] * hs[:, None, :])[:, iu[0], iu[1]]
-                sums = np.add.reduceat(outer, starts, axis=0)
-                for code, v in zip(cs[starts], sums):
-                    code = int(code)
+                ends = np.r_[starts[1:], len(cs)]
+                for a, e in zip(starts, ends):
+                    seg = hs[a:e]
+                    v = (seg.T @ seg)[iu]           # one BLAS product per pattern segment
+                    code = int(cs[a])
                     if code in acc:
                         acc[code] += v
                     else:
-                        acc[code] = v.copy()
+                        acc[code] = v
             if acc:
                 rows_code, rows_chunk, rows_vals = [], [], []
                 for code, v in acc.items():

@@ -19,6 +19,7 @@ from ..operators import setops, stats
 from ..operators.features import IQRClipper, OneHot, Standardizer, bin_right_closed, train_test_split
 from ..operators.impute import ChainedImputer
 from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
+from ..sinks.files import write_stage
 from ..sources.batch import read_keyed_sources
 
 # Column roles of the reference's air-quality tables.
@@ -100,7 +101,10 @@ def prepare_and_impute(df: DataFrame, **kw) -> tuple[DataFrame, ChainedImputer]:
     """:func:`prepare` then chained-equation imputation fitted and
     applied on the same rows (F2)."""
     prep = prepare(df, **kw)
-    data = prep.data.persist()
+    # the fit makes three passes and the transform one: stage the prepared
+    # table once in the shared folder instead of recomputing the dedupe
+    # shuffle per pass (a written stage also survives lost executors)
+    data = write_stage(prep.data, "prepared")
     imp = ChainedImputer(prep.features).fit(data)
     return imp.transform(data), imp
 
