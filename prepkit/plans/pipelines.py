@@ -19,7 +19,7 @@ from ..operators import setops, stats
 from ..operators.features import IQRClipper, OneHot, Standardizer, bin_right_closed, train_test_split
 from ..operators.impute import ChainedImputer
 from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
-from ..sinks.files import write_stage
+from ..sinks.files import write_csv, write_stage
 from ..sources.batch import read_keyed_sources
 
 # Column roles of the reference's air-quality tables.
@@ -47,13 +47,21 @@ class Consolidated:
 
 def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callable[[list[str]], DataFrame],
                         key: str = "anio", path_column: str | None = None,
-                        exclude: Sequence[str] = ()) -> Consolidated:
+                        exclude: Sequence[str] = (), output_root: str | None = None) -> Consolidated:
     """One scan over every present yearly source, per-source quality
     summary, ranking and the most complete source.  ``exclude`` names
-    bookkeeping columns (e.g. the file path) left out of the null count."""
+    bookkeeping columns (e.g. the file path) left out of the null count.
+
+    With ``output_root`` the unified rows are written as CSV, one directory
+    per key (K1, written in parallel by every task), and the summary gains
+    the ``output_path`` of each source's directory."""
     df, skipped = read_keyed_sources(spark, template, keys, reader, key=key, path_column=path_column)
     cols = [c for c in df.columns if c != key and c not in set(exclude)]
     quality = prof.quality_by_source(df, key, cols=cols)
+    if output_root:
+        write_csv(df.drop(*[c for c in exclude if c in df.columns]), output_root, partition_by=[key])
+        quality = quality.withColumn(
+            "output_path", F.concat(F.lit(output_root.rstrip("/") + f"/{key}="), col(key).cast("string")))
     return Consolidated(df, prof.rank_sources(quality, key), prof.best_source(quality, key), skipped)
 
 

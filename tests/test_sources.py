@@ -64,16 +64,20 @@ def test_workbook_declared_schema_and_first_sheet_S7(spark, workbooks):
 def test_yearly_workbooks_skip_missing_W1_S2_S3(spark, workbooks):
     ddl = ("`Fecha y hora` timestamp_ntz, CO double, NO double, SO2 double, PM10 double, `PM2.5` double, "
            "Estacion string, file string")
+    out_root = tempfile.mkdtemp(prefix="unified-")
     res = consolidate_sources(
         spark, os.path.join(workbooks, "BD {year}.xlsx"), range(2020, 2026),
         lambda paths: read_workbooks(spark, paths, schema=ddl, sheet_column="Estacion"),
-        path_column="file", exclude=["file"])
+        path_column="file", exclude=["file"], output_root=out_root)
     assert res.skipped == [2020, 2022, 2024, 2025]
     q = {r["anio"]: r for r in res.quality.collect()}
     assert set(q) == {2021, 2023} and q[2021]["total_rows"] == 120
     pdf = res.data.where("anio = 2021").drop("file", "anio").toPandas()
     assert q[2021]["null_cells"] == int(pdf.isna().sum().sum())
     assert res.best.first()["anio"] in (2021, 2023)
+    assert q[2021]["output_path"] == out_root + "/anio=2021"
+    back = read_csv(spark, q[2021]["output_path"], ddl.replace(", file string", ""))
+    assert back.count() == 120
 
 
 def test_csv_wrong_delimiter_fails_S5(spark):
