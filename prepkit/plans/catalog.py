@@ -21,7 +21,7 @@ from ..operators import profile as prof
 from ..operators import projection as proj
 from ..operators import setops, stats
 from ..operators.impute import ChainedImputer
-from . import pipelines
+from . import workflows
 from ..session import scratch_path
 from ..sinks.files import write_csv, write_csv_indexed
 from ..sources.batch import read_keyed_sources
@@ -448,7 +448,7 @@ BAND_LABELS = ["low", "mid", "high"]
 def q_impute_fit_transform(spark, d):
     """Dedupe → time features → one-hot station → chained imputation
     fitted and applied on the same rows (F2).  Rows-only check (no SQL)."""
-    out, _imp = pipelines.prepare_and_impute(readings(spark, d), time_col="l_shipdate",
+    out, _imp = workflows.prepare_and_impute(readings(spark, d), time_col="l_shipdate",
                                              station_col="l_returnflag", drop=[], keep=PREP_KEEP)
     return out
 
@@ -462,29 +462,29 @@ def _holdout_input(spark, d):
 def q_impute_train_test(spark, d):
     """Deterministic 80/20 split, fit on train, impute test, round
     half-even, row key first (F3, F4, P9, K2 layout).  Rows-only check."""
-    out, _imp = pipelines.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
+    out, _imp = workflows.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
     return out
 
 
 def q_post_imputation_corr(spark, d):
     """W7 on W6's output: the leading key dropped by position, then the
     correlation table."""
-    out, _imp = pipelines.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
-    return pipelines.post_imputation_stats(out)["corr"]
+    out, _imp = workflows.impute_holdout(_holdout_input(spark, d), keys=["row_id"], drop=[])
+    return workflows.post_imputation_stats(out)["corr"]
 
 
 def q_imputation_check(spark, d):
     """Central measures of the gapped input next to the imputed one."""
     src = readings(spark, d).select(*MEASURES)
     imputed = ChainedImputer(MEASURES).fit_transform(src)
-    return pipelines.imputation_check(src, imputed)["measures"]
+    return workflows.imputation_check(src, imputed)["measures"]
 
 
 def q_clean_transform(spark, d):
     """W4 on the stand-in: fences → clip → right-closed bins of the clipped,
     unscaled quantity → population z-scores from the clipped data."""
     r = readings(spark, d)
-    out, _params = pipelines.clean_and_transform(
+    out, _params = workflows.clean_and_transform(
         r, outlier_cols=MEASURES, bin_col="l_quantity", edges=BAND_EDGES, labels=BAND_LABELS,
         bin_out="quantity_band", scaled_cols=MEASURES)
     return out.select(*READING_KEYS, *[round_half_up(col(c), 6).alias(c) for c in MEASURES], "quantity_band")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import sensor_rows
 from prepkit.operators import profile as prof
-from prepkit.plans.pipelines import consolidate_sources
+from prepkit.plans.workflows import consolidate_sources
 from prepkit.sinks.files import write_csv, write_csv_indexed
 from prepkit.sources.batch import read_keyed_sources
 from prepkit.sources.csv import malformed_counts, read_csv
