@@ -154,13 +154,13 @@ def sig_round(c: Column, digits: int = 9) -> Column:
     up = F.pow(F.lit(10.0), k)
     down = F.pow(F.lit(10.0), -k)
     r = F.when(k >= 0, F.round(c * up) / up).otherwise(F.round(c / down) * down)
-    return F.when(c.isNull() | (c == 0), c).otherwise(r)
+    return F.when(c.isNull() | (c == 0), c + F.lit(0.0)).otherwise(r)
 
 
 def sig_round_sql(expr: str, digits: int = 9) -> str:
     """The same rounding as SQL text (used by the DuckDB oracle)."""
     x = f"({expr})"
     k = f"({digits - 1} - floor(log10(abs({x}))))"
-    return (f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} "
+    return (f"(CASE WHEN {x} IS NULL OR {x} = 0 THEN {x} + CAST(0.0 AS DOUBLE) "
             f"WHEN {k} >= 0 THEN round({x} * pow(10.0, {k})) / pow(10.0, {k}) "
             f"ELSE round({x} / pow(10.0, -{k})) * pow(10.0, -{k}) END)")

@@ -45,7 +45,8 @@ WITH_READINGS = f"WITH readings AS ({readings_sql()})"
 def _round_sql(expr: str, k: int) -> str:
     """Half-away rounding to ``k`` decimals: scale, round, scale back."""
     f = f"CAST({float(10 ** k)!r} AS DOUBLE)"
-    return f"(round(({expr}) * {f}) / {f})"
+    # + 0.0 turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    return f"(round(({expr}) * {f}) / {f} + CAST(0.0 AS DOUBLE))"
 
 
 def _nullsum_sql(cols):
