@@ -109,3 +109,21 @@ def test_keyed_csv_sources_K1_S2(spark):
     assert skipped == [2019, 2023]
     got = prof.quality_by_source(back, "anio").orderBy("anio").collect()
     assert [(r["anio"], r["total_rows"]) for r in got] == [(2020, 10), (2021, 10), (2022, 10)]
+
+
+@pytest.mark.parametrize("shared,date1904,custom", [(True, False, False), (False, True, True), (True, True, False)])
+def test_workbook_encodings(spark, shared, date1904, custom):
+    d = tempfile.mkdtemp(prefix="wb-enc-")
+    t0 = dt.datetime(2022, 3, 4, 5, 0)
+    rows = [["Fecha y hora", "PM10", "Nota"], [t0, 12.5, "ok"], [t0 + dt.timedelta(hours=1), None, "NA"],
+            [t0 + dt.timedelta(hours=2), 7.0, "ok"]]
+    path = write_xlsx(os.path.join(d, "w.xlsx"), {"Norte": rows, "Sur": rows[:2]},
+                      shared=shared, date1904=date1904, custom_date=custom)
+    df = read_workbooks(spark, [path], schema="`Fecha y hora` timestamp_ntz, PM10 double, Nota string, "
+                                              "sheet string, file string")
+    got = sorted((r["sheet"], r["Fecha y hora"], r["PM10"], r["Nota"]) for r in df.collect())
+    assert got == [("Norte", t0, 12.5, "ok"), ("Norte", t0 + dt.timedelta(hours=1), None, None),
+                   ("Norte", t0 + dt.timedelta(hours=2), 7.0, "ok"), ("Sur", t0, 12.5, "ok")]
+    inferred = read_workbooks(spark, [path])
+    assert dict(inferred.dtypes)["Fecha y hora"] == "string"
+    assert inferred.where("sheet = 'Sur'").first()["Fecha y hora"] == "2022-03-04 05:00:00"
