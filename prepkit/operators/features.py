@@ -74,20 +74,63 @@ def split_hash(keys: Sequence[str], seed: int = 42) -> Column:
 
 
 def assign_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42,
-                 column: str = "split") -> DataFrame:
+                 column: str = "split", exact: bool = False) -> DataFrame:
     """tag each row ``'test'`` (hash fraction < ``test_size``) or
     ``'train'``.  Unlike ``randomSplit`` the membership does not depend on
     the partition layout, so re-running after a lost executor gives the same
-    split."""
+    split.  ``exact``: see :func:`train_test_split`."""
+    if exact:
+        tagged, is_test = _exact_test_predicate(df, keys, test_size, seed)
+        return (tagged.withColumn(column, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+                .drop("__h1", "__h2"))
     return df.withColumn(column, F.when(split_hash(keys, seed) < test_size, F.lit("test"))
                          .otherwise(F.lit("train")))
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
-                     seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """disjoint, exhaustive ``(train, test)``."""
-    h = split_hash(keys, seed)
-    return df.where(h >= test_size), df.where(h < test_size)
+                     seed: int = 42, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """disjoint, exhaustive ``(train, test)``.
+
+    ``exact=True`` puts exactly ``ceil(test_size * n)`` rows in test (as a
+    shuffling split does): the rows with the smallest ``(h1, h2)``, the
+    first and second 32 bits of the key hash.  The thresholds are exact
+    order statistics found by distributed refinement, never by a global
+    sort or a single-partition window.  Rows whose keys are identical share
+    their fate, so with duplicate keys the count can exceed the target by
+    the size of one tied group."""
+    if not exact:
+        h = split_hash(keys, seed)
+        return df.where(h >= test_size), df.where(h < test_size)
+    tagged, is_test = _exact_test_predicate(df, keys, test_size, seed)
+    test = tagged.where(is_test).drop("__h1", "__h2")
+    train = tagged.where(~is_test).drop("__h1", "__h2")
+    return train, test
+
+
+def _exact_test_predicate(df: DataFrame, keys: Sequence[str], test_size: float, seed: int):
+    from .quantiles import order_statistics
+    h1, h2 = _hash_words(keys, seed)
+    tagged = df.withColumn("__h1", h1).withColumn("__h2", h2)
+    n = tagged.count()
+    k = math.ceil(test_size * n)
+    if k == 0:
+        return tagged, F.lit(False)
+    t1 = order_statistics(tagged, "__h1", [k - 1])[k - 1]
+    c = tagged.agg(F.count_if(F.col("__h1") < t1).alias("below"),
+                   F.count_if(F.col("__h1") == t1).alias("tied")).first()
+    need = k - c["below"]
+    if need >= c["tied"]:
+        return tagged, F.col("__h1") <= F.lit(t1)
+    t2 = order_statistics(tagged.where(F.col("__h1") == t1), "__h2", [need - 1])[need - 1]
+    return tagged, (F.col("__h1") < F.lit(t1)) | ((F.col("__h1") == F.lit(t1)) & (F.col("__h2") <= F.lit(t2)))
+
+
+def _hash_words(keys: Sequence[str], seed: int):
+    parts = [F.lit(str(seed))] + [col(k).cast("string") for k in keys]
+    hx = F.md5(F.concat_ws(":", *parts))
+    w1 = F.conv(F.substring(hx, 1, 8), 16, 10).cast("bigint").cast("double")
+    w2 = F.conv(F.substring(hx, 9, 8), 16, 10).cast("bigint").cast("double")
+    return w1, w2
 
 
 # --------------------------------------------------------------------- F5/F6

@@ -115,7 +115,14 @@ def _within_budget(targets, budget, cost):
     return out
 
 
-def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
+def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
+                     buckets: int = BUCKETS, final_bound: int = FINAL_BOUND) -> dict[int, float]:
+    """Exact k-th smallest non-NULL values (0-based ranks) of one column,
+    by the same distributed refinement."""
+    return _refine_path(df, [column], [], [], buckets, final_bound, ranks=list(ranks))
+
+
+def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False, ranks=None):
     spark = df.sparkSession
     x = [col(c).cast("double") for c in cols]
     keys = [col(k) for k in by]
@@ -125,7 +132,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
         aggs += [F.count(x[i]).alias(f"__n{i}"), F.min(x[i]).alias(f"__mn{i}"), F.max(x[i]).alias(f"__mx{i}"),
                  F.sum(x[i]).alias(f"__s{i}")]
     wide = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
-    limit = MAX_TARGETS // (2 * len(probs) * len(cols)) + 1
+    limit = MAX_TARGETS // (2 * max(1, len(probs), len(ranks or ())) * len(cols)) + 1
     grows = wide.limit(limit).collect()
     if len(grows) >= limit:
         raise ValueError("too many groups for exact quantiles; group by fewer keys or use approx_quantiles")
@@ -141,19 +148,27 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
     rank_of: dict[tuple, dict[int, _Target]] = {}
     for r in srows:
         g, cid, n = r["g"], r["cid"], r["n"]
-        ranks: dict[int, _Target] = {}
+        by_rank: dict[int, _Target] = {}
+
+        def want(k):
+            if k not in by_rank:
+                if not 0 <= k < n:
+                    raise ValueError(f"rank {k} outside 0..{n - 1}")
+                t = _Target(len(targets), g, cid, k, r["mn"], r["mx"], 0, n)
+                if r["mn"] == r["mx"]:
+                    t.value, t.done = r["mn"], True
+                targets.append(t)
+                by_rank[k] = t
+
+        for k in ranks or ():
+            want(int(k))
         for p in probs:
             h = (n - 1) * p
             lo_r, hi_r = math.floor(h), math.ceil(h)
-            for k in (lo_r, hi_r):
-                if k not in ranks:
-                    t = _Target(len(targets), g, cid, k, r["mn"], r["mx"], 0, n)
-                    if r["mn"] == r["mx"]:
-                        t.value, t.done = r["mn"], True
-                    targets.append(t)
-                    ranks[k] = t
+            want(lo_r)
+            want(hi_r)
             wanted.setdefault((g, cid), []).append((p, lo_r, hi_r, h))
-        rank_of[(g, cid)] = ranks
+        rank_of[(g, cid)] = by_rank
 
     key_fields = [f for f in df.schema.fields if f.name in by]
     tschema = T.StructType([T.StructField("__tid", T.LongType()),
@@ -247,12 +262,15 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False):
     else:
         raise RuntimeError("exact quantile refinement did not converge")
 
+    if ranks is not None:
+        found = rank_of.get(((), 0), {})
+        return {int(k): found[int(k)].value for k in ranks} if found else {int(k): None for k in ranks}
     out = []
     for r in srows:
         g, cid = r["g"], r["cid"]
-        ranks = rank_of[(g, cid)]
-        for p, lo_r, hi_r, h in wanted[(g, cid)]:
-            a, b = ranks[lo_r].value, ranks[hi_r].value
+        by_rank = rank_of[(g, cid)]
+        for p, lo_r, hi_r, h in wanted.get((g, cid), []):
+            a, b = by_rank[lo_r].value, by_rank[hi_r].value
             v = a if (lo_r == hi_r or a == b) else (hi_r - h) * a + (h - lo_r) * b
             out.append((*g, cols[cid], p, v))
     # a column with no values in a group: NULL, as the built-in path

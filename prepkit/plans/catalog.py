@@ -226,6 +226,20 @@ SQL_SPLIT = ("SELECT event_id, CASE WHEN CAST(('0x' || substr(md5('42:' || CAST(
              "FROM events")
 
 
+def q_split_exact(spark, d):
+    ev = table(spark, d, "events").select("event_id")
+    return feat.assign_split(ev, ["event_id"], 0.2, 42, exact=True)
+
+
+_HEX = "md5('42:' || CAST(event_id AS VARCHAR))"
+SQL_SPLIT_EXACT = (f"WITH h AS (SELECT event_id, CAST(('0x' || substr({_HEX}, 1, 8)) AS BIGINT) AS h1, "
+                   f"CAST(('0x' || substr({_HEX}, 9, 8)) AS BIGINT) AS h2 FROM events), "
+                   "r AS (SELECT event_id, row_number() OVER (ORDER BY h1, h2) AS rn FROM h), "
+                   "n AS (SELECT count(*) AS n FROM events) "
+                   "SELECT event_id, CASE WHEN rn <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split "
+                   "FROM r, n")
+
+
 # ------------------------------------------------------------------ W4 / W8
 
 
@@ -528,6 +542,7 @@ QUERIES: dict[str, Query] = {
     "project_drop": q_project_drop,
     "one_hot": q_one_hot,
     "split_train_test": q_split_train_test,
+    "split_exact": q_split_exact,
     "central_measures": q_central_measures,
     "before_after": q_before_after,
     "iqr_fences": q_iqr_fences,
@@ -566,6 +581,7 @@ ORACLE: dict[str, str] = {
     "project_drop": SQL_PROJECT,
     "one_hot": SQL_ONE_HOT,
     "split_train_test": SQL_SPLIT,
+    "split_exact": SQL_SPLIT_EXACT,
     "central_measures": SQL_CENTRAL,
     "before_after": SQL_BEFORE_AFTER,
     "iqr_fences": SQL_FENCES,

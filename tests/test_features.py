@@ -51,3 +51,15 @@ def test_standardize_population_F8(spark):
     out = Standardizer(["a", "k"]).fit(df).transform(df).collect()
     assert [round(r["a"], 6) for r in out] == [-1.224745, 0.0, 1.224745]
     assert [r["k"] for r in out] == [0.0, 0.0, 0.0]
+
+
+def test_exact_split_count_F4(spark):
+    import math as _m
+    df = spark.range(4999).withColumnRenamed("id", "k")
+    train, test = train_test_split(df, ["k"], 0.2, 42, exact=True)
+    assert test.count() == _m.ceil(0.2 * 4999)
+    assert train.count() + test.count() == 4999 and train.join(test, "k").count() == 0
+    # the exact test set is the smallest hashes: it contains the plain split's test rows
+    _, approx = train_test_split(df, ["k"], 0.2, 42)
+    small, big = (approx, test) if approx.count() <= test.count() else (test, approx)
+    assert small.join(big, "k", "left_anti").count() == 0
