@@ -22,7 +22,9 @@ Why this runs at scale: every regression is affine, so all rows sharing a
 missingness pattern ``P`` have a state that is one affine map ``A_P`` of
 ``h = [1, observed values shifted by the fit means, 0 where missing]``.
 Every regression therefore needs only the per-pattern second-moment
-matrices ``G_P = Σ h hᵀ``, which Spark computes in ONE pass
+matrices ``G_P = Σ h hᵀ``, which Spark computes in ONE pass (about a
+provisional centre from a ``limit`` sample; the exact means, counts and
+max |x| come out of the same pass and the Grams are re-centred exactly)
 (``mapInPandas`` with NumPy per Arrow batch, partial sums combined per task,
 then summed per pattern by a grouped aggregation; a pattern holding most
 rows costs one row per task).  The rounds run on the driver on
@@ -51,6 +53,7 @@ _EPS = float(np.finfo(np.float64).eps)
 _CHUNK = 64
 _PATTERN_CHUNK = 256        # patterns replayed together in the convergence pass
 _CACHE_PATTERNS = 4096      # state maps cached per task in transform
+_SHIFT_SAMPLE = 1000        # rows used for the provisional centre of the Gram pass
 
 
 # ---------------------------------------------------------------- regression
@@ -159,6 +162,15 @@ def regression_weights(s: np.ndarray, j: int, max_iter: int, tol: float) -> np.n
     return w
 
 
+def reshift_grams(grams: np.ndarray, miss: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Grams of ``[1, x - c]`` → Grams of ``[1, x - μ]`` for every pattern
+    (``delta = c - μ``, applied on observed entries only): ``M G Mᵀ``."""
+    p1 = grams.shape[1]
+    m = np.broadcast_to(np.eye(p1), grams.shape).copy()
+    m[:, 1:, 0] = np.where(miss, 0.0, delta)
+    return m @ grams @ np.transpose(m, (0, 2, 1))
+
+
 def _unpack(flat: np.ndarray, p1: int) -> np.ndarray:
     iu = _tri(p1)
     g = np.zeros((len(flat), p1, p1))
@@ -211,30 +223,39 @@ class ChainedImputer:
         if p > 62:
             raise ValueError("at most 62 imputed columns are supported")
         x = self._matrix(df)
-        xs = [F.col(f"x{i}") for i in range(p)]
-        row = x.agg(F.count(F.lit(1)).alias("__n"),
-                    *[F.count(v).alias(f"__c{i}") for i, v in enumerate(xs)],
-                    *[F.avg(v).alias(f"__m{i}") for i, v in enumerate(xs)],
-                    *[F.max(F.abs(v)).alias(f"__a{i}") for i, v in enumerate(xs)]).first()
-        n = row["__n"]
-        counts = np.array([row[f"__c{i}"] for i in range(p)], dtype=np.float64)
+        shift = self._sample_shift(x)
+        summed, nchunk = self._gram_table(x, shift)
+        cap = self.max_patterns * nchunk
+        rows = summed.limit(cap + 2).collect()       # one job; the limit bounds the driver
+        local = len(rows) <= cap + 1                 # + the max-abs row
+        if local:
+            codes, grams_c, max_abs_cols = self._assemble(rows, nchunk)
+            n = float(grams_c[:, 0, 0].sum())
+            miss = code_bits(codes, p)
+            counts = np.array([grams_c[~miss[:, j], 0, 0].sum() for j in range(p)])
+            sums = grams_c[:, 0, 1:].sum(axis=0)
+        else:
+            from ..session import checkpoint
+            summed = checkpoint(summed)
+            n, counts, sums, max_abs_cols = self._table_stats(summed)
         empty = [c for i, c in enumerate(self.columns) if counts[i] == 0]
         if empty:
             raise ValueError(f"columns entirely missing at fit: {empty}")
-        self.means_ = [float(row[f"__m{i}"]) for i in range(p)]
-        max_abs = max(float(row[f"__a{i}"]) for i in range(p))
+        means = shift + sums / counts
+        self.means_ = [float(v) for v in means]
+        max_abs = float(np.max(max_abs_cols))
         frac = (n - counts) / n
         self.order_ = [int(j) for j in np.argsort(frac, kind="mergesort")]
         if p == 1:
             self.rounds_, self.n_iter_ = [], 0
             return self
-
-        codes, grams, summed = self._pattern_grams(x)
-        if codes is not None:
+        delta = shift - means
+        if local:
+            grams = reshift_grams(grams_c, miss, delta)
             self.n_patterns_ = len(codes)
             rounds = self._rounds_local(codes, grams)
         else:
-            rounds = self._rounds_distributed(summed)
+            rounds = self._rounds_distributed(summed, delta)
         self.rounds_ = [[(int(j), [float(v) for v in w]) for j, w in steps] for steps in rounds]
 
         # one pass measures every round's largest row-wise L1 change
@@ -265,7 +286,7 @@ class ChainedImputer:
             rounds.append(steps)
         return rounds
 
-    def _rounds_distributed(self, summed: DataFrame) -> list:
+    def _rounds_distributed(self, summed: DataFrame, delta: np.ndarray) -> list:
         """Exact fallback when there are more than ``max_patterns``
         patterns: the pattern Grams stay in a checkpointed Spark table.  Each
         regression is one job that replays the round's earlier steps per
@@ -276,10 +297,19 @@ class ChainedImputer:
         p1 = p + 1
         iu = _tri(p1)
         ntri = len(iu[0])
-        packed = (summed.select("pattern", "chunk", F.array(*[F.col(f"s{i}") for i in range(_CHUNK)]).alias("v"))
+        packed = (summed.where(F.col("pattern") >= 0)
+                  .select("pattern", "chunk", F.array(*[F.col(f"s{i}") for i in range(_CHUNK)]).alias("v"))
                   .groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("chunk", "v"))).alias("cs")))
-        table = checkpoint(packed.select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri)
-                                         .alias("g")))
+        raw = packed.select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri).alias("g"))
+
+        def reshift(batches):
+            for b in batches:
+                if len(b):
+                    codes = b["pattern"].to_numpy(dtype=np.int64)
+                    g = reshift_grams(_unpack(np.stack(b["g"].to_numpy()), p1), code_bits(codes, p), delta)
+                    yield pd.DataFrame({"pattern": b["pattern"], "g": list(g[:, iu[0], iu[1]])})
+
+        table = checkpoint(raw.mapInPandas(reshift, "pattern long, g array<double>"))
         self.n_patterns_ = table.count()
 
         def load(b):
@@ -319,23 +349,42 @@ class ChainedImputer:
             table = checkpoint(table.mapInPandas(advance(list(steps)), "pattern long, g array<double>"))
         return rounds
 
-    def _pattern_grams(self, x: DataFrame):
+    def _sample_shift(self, x: DataFrame) -> np.ndarray:
+        """A provisional centre per column from the first rows (a ``limit``
+        job reads one split): keeps the Gram sums well conditioned, and the
+        exact means are recovered from the Grams afterwards, so no separate
+        moments pass is needed."""
+        p = len(self.columns)
+        rows = x.limit(_SHIFT_SAMPLE).collect()
+        if not rows:
+            return np.zeros(p)
+        m = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=np.float64)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            c = np.nanmean(m, axis=0)
+        return np.where(np.isnan(c), 0.0, c)
+
+    def _gram_table(self, x: DataFrame, shift: np.ndarray):
+        """Per (pattern, chunk) sums of the upper-triangle Gram entries of
+        ``h = [1, x - shift (0 where missing)]``, plus one row (pattern -1)
+        carrying the per-column max |x|.  Lazy; one pass when evaluated."""
         p = len(self.columns)
         p1 = p + 1
         iu = _tri(p1)
         ntri = len(iu[0])
         nchunk = (ntri + _CHUNK - 1) // _CHUNK
-        mu = np.asarray(self.means_)
         cols = [f"x{i}" for i in range(p)]
 
         def partial_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc: dict[int, np.ndarray] = {}
+            top = np.zeros(p)
             for b in batches:
                 if len(b) == 0:
                     continue
                 m = b[cols].to_numpy(dtype=np.float64, na_value=np.nan)
                 miss = np.isnan(m)
-                z = np.where(miss, 0.0, m - mu)
+                top = np.maximum(top, np.where(miss, 0.0, np.abs(m)).max(axis=0))
+                z = np.where(miss, 0.0, m - shift)
                 h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
                 codes = pattern_codes(miss)
                 order = np.argsort(codes, kind="stable")
@@ -351,7 +400,7 @@ class ChainedImputer:
                     else:
                         acc[code] = v
             if acc:
-                rows_code, rows_chunk, rows_vals = [], [], []
+                rows_code, rows_chunk, rows_vals = [-1], [0], [np.pad(top, (0, _CHUNK - p)).tolist()]
                 for code, v in acc.items():
                     for ci in range(nchunk):
                         rows_code.append(code)
@@ -363,24 +412,47 @@ class ChainedImputer:
         schema = "pattern long, chunk int, vals array<double>"
         parts = x.mapInPandas(partial_grams, schema)
         summed = parts.groupBy("pattern", "chunk").agg(
-            *[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(_CHUNK)])
-        # one job; the limit bounds what can reach the driver
-        cap = self.max_patterns * nchunk
-        rows = summed.limit(cap + 1).collect()
-        if len(rows) > cap:
-            # too many patterns for driver memory: keep them in Spark
-            return None, None, summed
+            *[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(_CHUNK)],
+            *[F.max(F.col("vals")[i]).alias(f"m{i}") for i in range(p)])
+        return summed, nchunk
+
+    def _assemble(self, rows, nchunk: int):
+        p = len(self.columns)
+        p1 = p + 1
+        ntri = p1 * (p1 + 1) // 2
+        top = np.zeros(p)
         index: dict[int, int] = {}
         for r in rows:
-            index.setdefault(r["pattern"], len(index))
+            if r["pattern"] >= 0:
+                index.setdefault(r["pattern"], len(index))
         flat = np.zeros((len(index), nchunk * _CHUNK))
         for r in rows:
+            if r["pattern"] < 0:
+                top = np.array([r[f"m{k}"] for k in range(p)], dtype=np.float64)
+                continue
             i = index[r["pattern"]]
             ci = r["chunk"]
             flat[i, ci * _CHUNK:(ci + 1) * _CHUNK] = [r[f"s{k}"] for k in range(_CHUNK)]
-        grams = _unpack(flat[:, :ntri], p1)
         codes = np.array(list(index.keys()), dtype=np.int64)
-        return codes, grams, summed
+        return codes, _unpack(flat[:, :ntri], p1), top
+
+    def _table_stats(self, summed: DataFrame):
+        """Counts, shifted sums and max |x| from the pattern table (Spark
+        side; row 0 of every Gram lies in chunk 0)."""
+        p = len(self.columns)
+        pat, s0 = F.col("pattern"), F.col("s0")
+        real = (F.col("chunk") == 0) & (pat >= 0)
+        aggs = [F.sum(F.when(real, s0)).alias("n")]
+        for j in range(p):
+            clear = (F.shiftright(pat, j).bitwiseAND(F.lit(1)) == 0)
+            aggs.append(F.sum(F.when(real & clear, s0)).alias(f"c{j}"))
+            aggs.append(F.sum(F.when(real, F.col(f"s{j + 1}"))).alias(f"t{j}"))
+            aggs.append(F.max(F.when(pat < 0, F.col(f"m{j}"))).alias(f"a{j}"))
+        r = summed.agg(*aggs).first()
+        counts = np.array([r[f"c{j}"] or 0.0 for j in range(p)])
+        sums = np.array([r[f"t{j}"] or 0.0 for j in range(p)])
+        top = np.array([r[f"a{j}"] or 0.0 for j in range(p)])
+        return float(r["n"]), counts, sums, top
 
     def _round_changes(self, x: DataFrame, rounds) -> np.ndarray:
         p = len(self.columns)
