@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col
 
-BUCKETS = 1024
+BUCKETS = 1024               # minimum buckets per histogram round
+MAX_BUCKETS = 65_536
 FINAL_BOUND = 100_000
 MAX_ROUNDS = 10_000   # safety net; every histogram round strictly narrows its intervals
 MAX_TARGETS = 200_000
@@ -227,7 +228,7 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False,
         # budgets: what reaches the driver per round is bounded whatever the
         # number of groups; probes beyond a budget wait for the next round
         final = _within_budget(final, FETCH_BUDGET, lambda t: t.inside)
-        hist = _within_budget(hist, HIST_BUDGET, lambda t: buckets)
+        hist = _within_budget(hist, HIST_BUDGET, lambda t: buckets)   # ≥ buckets rows per probe
         if final:
             ids, of = probes(final)
             got: dict[int, list[float]] = {}
@@ -239,9 +240,13 @@ def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False,
                 t.value, t.done = got[of[t.tid]][t.k - t.below], True
         if hist:
             ids, of = probes(hist)
+            # enough buckets that one round brings the largest interval under
+            # the fetch bound (fewer passes at scale), within the row budget
+            nb = max(buckets, min(MAX_BUCKETS, HIST_BUDGET // max(1, len(ids)),
+                                  math.ceil(4 * max(t.inside for t in hist) / final_bound)))
             width = (F.col("__hi") - F.col("__lo"))
-            b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * buckets),
-                        F.lit(buckets - 1)).cast("int")
+            b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * nb),
+                        F.lit(nb - 1)).cast("int")
             h = (probe_rows(ids).groupBy("__tid", b.alias("__b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
                  .collect())
