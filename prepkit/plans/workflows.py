@@ -88,14 +88,21 @@ class Prepared:
 
 def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_COL,
             drop: Sequence[str] = NO_VARIANCE_COLS, month: str = "Mes", hour: str = "Hora",
-            keep: Sequence[str] = ()) -> Prepared:
+            keep: Sequence[str] = (), stage: bool = True) -> Prepared:
     """W3 up to the imputer: de-duplicate, drop the no-variance columns,
     parse time and derive month/hour, one-hot the station (first level
     dropped).  The timestamp stays as a pass-through column (never detached
-    and re-attached by position)."""
+    and re-attached by position).
+
+    With ``stage`` the de-duplicated table is written once to the shared
+    folder (one shuffle in total, durable against lost executors); the
+    encoder is fitted on the stage and applied lazily on top of it, so the
+    imputer's passes re-read the stage instead of re-running the shuffle."""
     d = setops.distinct_rows(df)
     d = drop_checked(d, list(drop)) if drop else d
     d = add_time_features(d, time_col, month, hour)
+    if stage:
+        d = write_stage(d, "prepared")
     enc = OneHot(station_col).fit(d)
     d = enc.transform(d)
     passthrough = [time_col, *keep]
@@ -109,12 +116,8 @@ def prepare_and_impute(df: DataFrame, **kw) -> tuple[DataFrame, ChainedImputer]:
     """:func:`prepare` then chained-equation imputation fitted and
     applied on the same rows (F2)."""
     prep = prepare(df, **kw)
-    # the fit makes three passes and the transform one: stage the prepared
-    # table once in the shared folder instead of recomputing the dedupe
-    # shuffle per pass (a written stage also survives lost executors)
-    data = write_stage(prep.data, "prepared")
-    imp = ChainedImputer(prep.features).fit(data)
-    return imp.transform(data), imp
+    imp = ChainedImputer(prep.features).fit(prep.data)
+    return imp.transform(prep.data), imp
 
 
 # ------------------------------------------------------------------ W4
