@@ -121,15 +121,14 @@ def glimpse(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
         return F.array_join(F.transform(entries, lambda s: s.getField("__v")), ", ")
 
     firsts = top.agg(*[first_values(i).alias(f"__f{i}") for i in range(len(fields))])
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    n_rows = df.count()                      # one number (a partial + final count)
     rows = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("ordinal"),
                  F.lit(f.name).alias("column_name"),
                  F.lit(f.dataType.simpleString()).alias("dtype"),
                  F.col(f"__f{i}").alias("first_values"))
         for i, f in enumerate(fields)])
-    # both sides are single-row aggregates: the cross join is 1 x 1
-    return firsts.crossJoin(n_rows).select(F.col("n_rows"), F.inline(rows))
+    return firsts.select(F.lit(n_rows).cast("bigint").alias("n_rows"), F.inline(rows))
 
 
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
