@@ -46,19 +46,72 @@ _DATE_FMT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 _DATE_TOKENS = re.compile(r"[dmyhs]", re.I)
 
 
+def _is_uri(p: str) -> bool:
+    return re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://", p) is not None or p.startswith("file:")
+
+
+def _local(p: str) -> str | None:
+    """Local path of a plain path or ``file:`` URI; None for other schemes."""
+    if not _is_uri(p):
+        return p
+    if p.startswith("file:"):
+        from urllib.parse import unquote, urlparse
+        return unquote(urlparse(p).path)
+    return None
+
+
+def _remote_fs(uri: str):
+    from urllib.parse import quote
+
+    from pyarrow import fs as pafs
+    return pafs.FileSystem.from_uri(quote(uri, safe=":/?=&%@[]*"))
+
+
+def _open(path: str):
+    """A seekable binary stream: local paths and ``file:`` URIs directly,
+    other URIs (``s3://``, ``hdfs://``) through ``pyarrow.fs`` so executors
+    read shared storage themselves."""
+    loc = _local(path)
+    if loc is not None:
+        return open(loc, "rb")
+    fsys, inner = _remote_fs(path)
+    return fsys.open_input_file(inner)
+
+
 def _expand(paths) -> list[str]:
     if isinstance(paths, str):
         paths = json.loads(paths) if paths.strip().startswith("[") else [p for p in paths.split(",") if p]
     out: list[str] = []
     for p in paths:
-        hits = sorted(_glob.glob(p))
-        out.extend(hits if hits else [])
+        loc = _local(p)
+        if loc is None:
+            out.extend(_expand_uri(p))
+        else:
+            out.extend(sorted(_glob.glob(loc)))
     return out
 
 
+def _expand_uri(uri: str) -> list[str]:
+    """Wildcards in the last path component only."""
+    import fnmatch
+
+    from pyarrow import fs as pafs
+    fsys, inner = _remote_fs(uri)
+    scheme, rest = uri.split("://", 1)
+    # object stores list "bucket/key" paths; HDFS-style stores list "/path"
+    prefix = f"{scheme}://" + (rest.split("/", 1)[0] if inner.startswith("/") else "")
+    base, _, name = inner.rpartition("/")
+    if not any(ch in name for ch in "*?["):
+        info = fsys.get_file_info(inner)
+        return [uri] if info.type == pafs.FileType.File else []
+    infos = fsys.get_file_info(pafs.FileSelector(base or "/", recursive=False))
+    return sorted(prefix + i.path for i in infos
+                  if i.type == pafs.FileType.File and fnmatch.fnmatch(i.base_name, name))
+
+
 def list_sheets(path: str) -> list[tuple[str, str]]:
     """``[(sheet name, member path in the zip)]`` in workbook order."""
-    with zipfile.ZipFile(path) as z:
+    with _open(path) as fh, zipfile.ZipFile(fh) as z:
         wb = ET.fromstring(z.read("xl/workbook.xml"))
         rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
     targets = {r.get("Id"): r.get("Target") for r in rels.findall("pr:Relationship", _NS)}
@@ -126,7 +179,7 @@ def _serial_to_datetime(v: float, date1904: bool) -> _dt.datetime:
 def iter_sheet(path: str, member: str) -> Iterator[list]:
     """Yield each row as a list of decoded cell values (str, float, bool,
     datetime or None), header row included."""
-    with zipfile.ZipFile(path) as z:
+    with _open(path) as fh, zipfile.ZipFile(fh) as z:
         sst = _shared_strings(z)
         dates, d1904 = _date_styles(z)
         with z.open(member) as fh:

@@ -127,3 +127,10 @@ def test_workbook_encodings(spark, shared, date1904, custom):
     inferred = read_workbooks(spark, [path])
     assert dict(inferred.dtypes)["Fecha y hora"] == "string"
     assert inferred.where("sheet = 'Sur'").first()["Fecha y hora"] == "2022-03-04 05:00:00"
+
+
+def test_workbook_file_uri_and_glob(spark, workbooks):
+    df = read_workbooks(spark, ["file://" + os.path.join(workbooks, "BD 20*.xlsx")],
+                        schema="`Fecha y hora` timestamp_ntz, PM10 double, sheet string, file string")
+    assert df.count() == 240
+    assert {r["file"].rsplit("/", 1)[-1] for r in df.select("file").distinct().collect()} == {"BD 2021.xlsx", "BD 2023.xlsx"}
