@@ -1,10 +1,13 @@
-"""Streaming W1 summary: two yearly exports, then a third arrives."""
+"""Streaming W1 summary: two yearly exports, then a third arrives; the query
+restarts from its checkpoint (as after a lost driver) and only reads the
+new file, keeping the earlier years in its state."""
 
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
+from prepkit.session import scratch_path
 from prepkit.sinks.files import write_csv
 from prepkit.streaming.quality import quality_stream, start
 
@@ -13,22 +16,26 @@ def _export(base, d, year):
     write_csv(base.where(F.col("anio") == year).drop("anio"), os.path.join(d, f"BD_{year}"))
 
 
-def test_quality_stream_incremental(spark):
+def test_quality_stream_resumes_from_checkpoint(spark):
     d = tempfile.mkdtemp(prefix="stream-src-")
     base = spark.range(30).select((F.col("id") % 3 + 2020).alias("anio"),
                                   F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") * 0.5).alias("v"),
                                   F.col("id").alias("k"))
     for y in (2020, 2021):
         _export(base, d, y)
+    ckpt = scratch_path(spark, "stream-test")
     df = quality_stream(spark, os.path.join(d, "BD_*"), "v double, k long", "BD_{year}")
-    q = start(df, "quality_stream_test")
+    q = start(df, "quality_stream_a", checkpoint=ckpt)
     q.awaitTermination(120)
-    got = {r["anio"]: (r["total_rows"], r["null_cells"]) for r in spark.sql("SELECT * FROM quality_stream_test").collect()}
-    exp = {r["anio"]: (r["n"], r["z"]) for r in base.where("anio < 2022").groupBy("anio").agg(
+    got = {r["anio"]: (r["total_rows"], r["null_cells"]) for r in spark.sql("SELECT * FROM quality_stream_a").collect()}
+    exp = {r["anio"]: (r["n"], r["z"]) for r in base.groupBy("anio").agg(
         F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("z")).collect()}
-    assert got == exp
+    assert got == {y: exp[y] for y in (2020, 2021)}
+
     _export(base, d, 2022)
-    q2 = start(df, "quality_stream_test2")
+    q2 = start(df, "quality_stream_b", checkpoint=ckpt)      # same checkpoint: resume
     q2.awaitTermination(120)
-    got2 = {r["anio"]: r["total_rows"] for r in spark.sql("SELECT * FROM quality_stream_test2").collect()}
-    assert got2 == {2020: 10, 2021: 10, 2022: 10}
+    got2 = {r["anio"]: (r["total_rows"], r["null_cells"]) for r in spark.sql("SELECT * FROM quality_stream_b").collect()}
+    assert got2 == exp
+    read_now = sum(p["numInputRows"] for p in q2.recentProgress)
+    assert read_now == 10                                    # only the new export was read
