@@ -18,6 +18,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import col, parse_number, parse_timestamp
+from ..sinks.files import write_stage
 from ..sources.workbook import read_workbooks
 from .workflows import (SCALED_COLS, STATION_COL, TIME_COL, clean_and_transform, consolidate_sources,
                         correlate, imputation_check, impute_holdout, post_imputation_stats,
@@ -52,6 +53,8 @@ def run_study(spark: SparkSession, template: str, years: Iterable[int] = range(2
     year = normalize_readings(w1.data.where(col("anio") == best).drop("anio", "file"))
     described = understand(year)
     imputed, imputer = prepare_and_impute(year)
+    # W4 makes several passes (quartiles, moments): impute once, then re-read
+    imputed = write_stage(imputed, "imputed")
     clean, params = clean_and_transform(imputed)
     scaled = [c for c in SCALED_COLS if c in clean.columns]
     return {"quality": w1.quality, "best_year": best, "skipped": w1.skipped, "understand": described,

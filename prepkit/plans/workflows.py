@@ -178,9 +178,13 @@ def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TI
 # ------------------------------------------------------------------ W8
 
 
-def imputation_check(original: DataFrame, imputed: DataFrame) -> dict[str, DataFrame]:
+def imputation_check(original: DataFrame, imputed: DataFrame, stage: bool = True) -> dict[str, DataFrame]:
     """Null counts left after imputation and central measures of both
-    inputs side by side (one grouped pass)."""
+    inputs side by side (one grouped computation).  The measures make
+    several passes (exact medians), so an imputed table is staged once in
+    the shared folder rather than re-imputed per pass."""
+    if stage:
+        imputed = write_stage(imputed, "imputed")
     num = [c for c in numeric_columns(imputed) if c in original.columns]
     return {"nulls": prof.null_profile(imputed),
             "measures": stats.compare_stages({"original": original.select(*[col(c) for c in num]),
