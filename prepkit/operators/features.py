@@ -196,6 +196,13 @@ def bin_right_closed(c: Column, edges: Sequence[float], labels: Sequence[str]) -
     return expr
 
 
+def unbinned_count(df: DataFrame, value_col: str, label_col: str) -> DataFrame:
+    """Rows with a value but no label (≤ the first edge or above the last):
+    values the bins silently turn into missing labels.  One aggregate."""
+    return df.agg(F.count_if(col(value_col).isNotNull() & col(label_col).isNull()).alias("unbinned"),
+                  F.count(col(value_col)).alias("with_value"))
+
+
 def bin_rank(c: Column, edges: Sequence[float]) -> Column:
     """The ordered-category rank (1-based) of :func:`bin_right_closed`."""
     return bin_right_closed(c, edges, [str(i + 1) for i in range(len(edges) - 1)]).cast("int")

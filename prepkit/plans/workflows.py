@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, numeric_columns, round_half_even
 from ..operators import profile as prof
 from ..operators import setops, stats
-from ..operators.features import IQRClipper, OneHot, Standardizer, bin_right_closed, train_test_split
+from ..operators.features import (IQRClipper, OneHot, Standardizer, bin_right_closed, train_test_split,
+                                  unbinned_count)
 from ..operators.impute import ChainedImputer
 from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
 from ..sinks.files import write_csv, write_stage
@@ -129,12 +130,14 @@ def clean_and_transform(df: DataFrame, outlier_cols: Sequence[str] = OUTLIER_COL
                         scaled_cols: Sequence[str] = SCALED_COLS) -> tuple[DataFrame, dict]:
     """IQR fences on the input, clip, bin the clipped (unscaled) value,
     then standardise with moments of the clipped data.  Two aggregations
-    (quartiles; moments) and one projection."""
+    (quartiles; moments) and one projection.  ``params["unbinned"]`` (lazy)
+    counts values that no bin takes (e.g. an imputed PM10 ≤ 0)."""
     clip = IQRClipper(list(outlier_cols)).fit(df)
     c = clip.transform(df)
     c = c.withColumn(bin_out, bin_right_closed(col(bin_col), edges, labels))
     scaler = Standardizer([s for s in scaled_cols if s in c.columns]).fit(c)
-    return scaler.transform(c), {"fences": clip.fences, "scaler": scaler.params}
+    return scaler.transform(c), {"fences": clip.fences, "scaler": scaler.params,
+                                 "unbinned": unbinned_count(c, bin_col, bin_out)}
 
 
 # ------------------------------------------------------------------ W5 / W7

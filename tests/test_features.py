@@ -63,3 +63,11 @@ def test_exact_split_count_F4(spark):
     _, approx = train_test_split(df, ["k"], 0.2, 42)
     small, big = (approx, test) if approx.count() <= test.count() else (test, approx)
     assert small.join(big, "k", "left_anti").count() == 0
+
+
+def test_unbinned_count_F7(spark):
+    from prepkit.operators.features import bin_right_closed, unbinned_count
+    df = spark.createDataFrame([(v,) for v in [-3.0, 0.0, 10.0, 60.0, None]], "pm double")
+    df = df.withColumn("lab", bin_right_closed(F.col("pm"), [0, 50, 100, float("inf")], ["Buena", "Regular", "Mala"]))
+    r = unbinned_count(df, "pm", "lab").first()
+    assert (r["unbinned"], r["with_value"]) == (2, 4)
