@@ -54,6 +54,7 @@ _CHUNK = 64
 _PATTERN_CHUNK = 256        # patterns replayed together in the convergence pass
 _CACHE_PATTERNS = 4096      # state maps cached per task in transform
 _SHIFT_SAMPLE = 1000        # rows used for the provisional centre of the Gram pass
+_DRIVER_GRAM_BYTES = 1 << 30   # pattern Grams kept on the driver, at most (else Spark-side rounds)
 
 
 # ---------------------------------------------------------------- regression
@@ -93,16 +94,38 @@ def bayesian_ridge_from_moments(n: float, xtx: np.ndarray, xty: np.ndarray, yty:
 # ---------------------------------------------------------------- pattern algebra
 
 
+_BITS = 62                  # missing flags per int64 word of a pattern key
+
+
+def n_words(p: int) -> int:
+    return (p + _BITS - 1) // _BITS
+
+
 def pattern_codes(missing: np.ndarray) -> np.ndarray:
-    """Bitmask per row: bit j set ⇔ column j missing (p ≤ 62)."""
-    p = missing.shape[1]
-    weights = (np.int64(1) << np.arange(p, dtype=np.int64))
-    return (missing.astype(np.int64) * weights).sum(axis=1)
+    """Pattern key per row: ``(n, words)`` int64, bit ``j % 62`` of word
+    ``j // 62`` set ⇔ column ``j`` missing (any number of columns)."""
+    n, p = missing.shape
+    out = np.zeros((n, n_words(p)), dtype=np.int64)
+    for w in range(out.shape[1]):
+        blk = missing[:, w * _BITS:(w + 1) * _BITS].astype(np.int64)
+        out[:, w] = (blk << np.arange(blk.shape[1], dtype=np.int64)).sum(axis=1)
+    return out
 
 
 def code_bits(codes: np.ndarray, p: int) -> np.ndarray:
-    """(U, p) boolean matrix of missing flags for each code."""
-    return ((codes[:, None] >> np.arange(p, dtype=np.int64)) & 1).astype(bool)
+    """(U, p) boolean matrix of missing flags for each pattern key."""
+    codes = np.asarray(codes, dtype=np.int64).reshape(len(codes), -1)
+    parts = []
+    for w in range(n_words(p)):
+        width = min(_BITS, p - w * _BITS)
+        parts.append(((codes[:, w:w + 1] >> np.arange(width, dtype=np.int64)) & 1).astype(bool))
+    return np.concatenate(parts, axis=1)
+
+
+def unique_codes(codes: np.ndarray):
+    """Distinct pattern keys and, per row, the index of its key."""
+    uniq, inv = np.unique(codes, axis=0, return_inverse=True)
+    return uniq, np.asarray(inv).reshape(-1)
 
 
 def replay(codes: np.ndarray, p: int, rounds: list, upto: int | None = None,
@@ -220,14 +243,14 @@ class ChainedImputer:
     # ------------------------------------------------------------ fit
     def fit(self, df: DataFrame) -> "ChainedImputer":
         p = len(self.columns)
-        if p > 62:
-            raise ValueError("at most 62 imputed columns are supported")
         x = self._matrix(df)
         shift = self._sample_shift(x)
         summed, nchunk = self._gram_table(x, shift)
-        cap = self.max_patterns * nchunk
-        rows = summed.limit(cap + 2).collect()       # one job; the limit bounds the driver
-        local = len(rows) <= cap + 1                 # + the max-abs row
+        fit_driver = max(1, _DRIVER_GRAM_BYTES // (3 * 8 * (p + 1) ** 2))
+        cap = min(self.max_patterns, fit_driver) * nchunk
+        mrows = (p + _CHUNK - 1) // _CHUNK            # max-abs rows
+        rows = summed.limit(cap + mrows + 1).collect()   # one job; the limit bounds the driver
+        local = len(rows) <= cap + mrows
         if local:
             codes, grams_c, max_abs_cols = self._assemble(rows, nchunk)
             n = float(grams_c[:, 0, 0].sum())
@@ -297,7 +320,7 @@ class ChainedImputer:
         p1 = p + 1
         iu = _tri(p1)
         ntri = len(iu[0])
-        packed = (summed.where(F.col("pattern") >= 0)
+        packed = (summed.where(F.col("pattern")[0] >= 0)
                   .select("pattern", "chunk", F.array(*[F.col(f"s{i}") for i in range(_CHUNK)]).alias("v"))
                   .groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("chunk", "v"))).alias("cs")))
         raw = packed.select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri).alias("g"))
@@ -305,15 +328,15 @@ class ChainedImputer:
         def reshift(batches):
             for b in batches:
                 if len(b):
-                    codes = b["pattern"].to_numpy(dtype=np.int64)
+                    codes = np.stack(b["pattern"].to_numpy()).astype(np.int64)
                     g = reshift_grams(_unpack(np.stack(b["g"].to_numpy()), p1), code_bits(codes, p), delta)
                     yield pd.DataFrame({"pattern": b["pattern"], "g": list(g[:, iu[0], iu[1]])})
 
-        table = checkpoint(raw.mapInPandas(reshift, "pattern long, g array<double>"))
+        table = checkpoint(raw.mapInPandas(reshift, "pattern array<long>, g array<double>"))
         self.n_patterns_ = table.count()
 
         def load(b):
-            codes = b["pattern"].to_numpy(dtype=np.int64)
+            codes = np.stack(b["pattern"].to_numpy()).astype(np.int64)
             return code_bits(codes, p), _unpack(np.stack(b["g"].to_numpy()), p1)
 
         def sums(steps, j):
@@ -346,7 +369,7 @@ class ChainedImputer:
                 s = _unpack(np.sum([np.asarray(r["acc"]) for r in parts], axis=0)[None, :], p1)[0]
                 steps.append((j, regression_weights(s, j, self.ridge_max_iter, self.ridge_tol)))
             rounds.append(steps)
-            table = checkpoint(table.mapInPandas(advance(list(steps)), "pattern long, g array<double>"))
+            table = checkpoint(table.mapInPandas(advance(list(steps)), "pattern array<long>, g array<double>"))
         return rounds
 
     def _sample_shift(self, x: DataFrame) -> np.ndarray:
@@ -376,7 +399,7 @@ class ChainedImputer:
         cols = [f"x{i}" for i in range(p)]
 
         def partial_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            acc: dict[int, np.ndarray] = {}
+            acc: dict[tuple, np.ndarray] = {}
             top = np.zeros(p)
             for b in batches:
                 if len(b) == 0:
@@ -386,34 +409,39 @@ class ChainedImputer:
                 top = np.maximum(top, np.where(miss, 0.0, np.abs(m)).max(axis=0))
                 z = np.where(miss, 0.0, m - shift)
                 h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                codes = pattern_codes(miss)
-                order = np.argsort(codes, kind="stable")
-                cs, hs = codes[order], h[order]
-                starts = np.flatnonzero(np.r_[True, cs[1:] != cs[:-1]])
-                ends = np.r_[starts[1:], len(cs)]
+                uniq, inv = unique_codes(pattern_codes(miss))
+                order = np.argsort(inv, kind="stable")
+                hs, iv = h[order], inv[order]
+                starts = np.flatnonzero(np.r_[True, iv[1:] != iv[:-1]])
+                ends = np.r_[starts[1:], len(iv)]
                 for a, e in zip(starts, ends):
                     seg = hs[a:e]
                     v = (seg.T @ seg)[iu]           # one BLAS product per pattern segment
-                    code = int(cs[a])
-                    if code in acc:
-                        acc[code] += v
+                    key = tuple(int(c) for c in uniq[iv[a]])
+                    if key in acc:
+                        acc[key] += v
                     else:
-                        acc[code] = v
+                        acc[key] = v
             if acc:
-                rows_code, rows_chunk, rows_vals = [-1], [0], [np.pad(top, (0, _CHUNK - p)).tolist()]
-                for code, v in acc.items():
+                rows_code, rows_chunk, rows_vals = [], [], []
+                for ci in range((p + _CHUNK - 1) // _CHUNK):     # max |x| rows, key [-1]
+                    seg = top[ci * _CHUNK:(ci + 1) * _CHUNK]
+                    rows_code.append([-1])
+                    rows_chunk.append(ci)
+                    rows_vals.append(np.pad(seg, (0, _CHUNK - len(seg))).tolist())
+                for key, v in acc.items():
                     for ci in range(nchunk):
-                        rows_code.append(code)
+                        rows_code.append(list(key))
                         rows_chunk.append(ci)
                         seg = v[ci * _CHUNK:(ci + 1) * _CHUNK]
                         rows_vals.append(np.pad(seg, (0, _CHUNK - len(seg))).tolist())
                 yield pd.DataFrame({"pattern": rows_code, "chunk": rows_chunk, "vals": rows_vals})
 
-        schema = "pattern long, chunk int, vals array<double>"
+        schema = "pattern array<long>, chunk int, vals array<double>"
         parts = x.mapInPandas(partial_grams, schema)
         summed = parts.groupBy("pattern", "chunk").agg(
             *[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(_CHUNK)],
-            *[F.max(F.col("vals")[i]).alias(f"m{i}") for i in range(p)])
+            *[F.max(F.col("vals")[i]).alias(f"m{i}") for i in range(_CHUNK)])
         return summed, nchunk
 
     def _assemble(self, rows, nchunk: int):
@@ -421,33 +449,41 @@ class ChainedImputer:
         p1 = p + 1
         ntri = p1 * (p1 + 1) // 2
         top = np.zeros(p)
-        index: dict[int, int] = {}
+        index: dict[tuple, int] = {}
         for r in rows:
-            if r["pattern"] >= 0:
-                index.setdefault(r["pattern"], len(index))
+            if r["pattern"][0] >= 0:
+                index.setdefault(tuple(r["pattern"]), len(index))
         flat = np.zeros((len(index), nchunk * _CHUNK))
         for r in rows:
-            if r["pattern"] < 0:
-                top = np.array([r[f"m{k}"] for k in range(p)], dtype=np.float64)
-                continue
-            i = index[r["pattern"]]
             ci = r["chunk"]
+            if r["pattern"][0] < 0:
+                for k in range(_CHUNK):
+                    if ci * _CHUNK + k < p:
+                        top[ci * _CHUNK + k] = r[f"m{k}"]
+                continue
+            i = index[tuple(r["pattern"])]
             flat[i, ci * _CHUNK:(ci + 1) * _CHUNK] = [r[f"s{k}"] for k in range(_CHUNK)]
-        codes = np.array(list(index.keys()), dtype=np.int64)
+        codes = np.array(list(index.keys()), dtype=np.int64).reshape(len(index), n_words(p))
         return codes, _unpack(flat[:, :ntri], p1), top
 
     def _table_stats(self, summed: DataFrame):
         """Counts, shifted sums and max |x| from the pattern table (Spark
-        side; row 0 of every Gram lies in chunk 0)."""
+        side).  Row 0 of a Gram is upper-triangle entries 0..p."""
         p = len(self.columns)
-        pat, s0 = F.col("pattern"), F.col("s0")
-        real = (F.col("chunk") == 0) & (pat >= 0)
-        aggs = [F.sum(F.when(real, s0)).alias("n")]
+        pat, chunk = F.col("pattern"), F.col("chunk")
+        real = pat[0] >= 0
+
+        def entry(t):                      # upper-triangle entry t of row 0
+            return F.when(real & (chunk == t // _CHUNK), F.col(f"s{t % _CHUNK}"))
+
+        aggs = [F.sum(entry(0)).alias("n")]
         for j in range(p):
-            clear = (F.shiftright(pat, j).bitwiseAND(F.lit(1)) == 0)
-            aggs.append(F.sum(F.when(real & clear, s0)).alias(f"c{j}"))
-            aggs.append(F.sum(F.when(real, F.col(f"s{j + 1}"))).alias(f"t{j}"))
-            aggs.append(F.max(F.when(pat < 0, F.col(f"m{j}"))).alias(f"a{j}"))
+            word = F.get(pat, F.lit(j // _BITS))     # NULL on the one-word max-abs rows
+            clear = (F.shiftright(word, j % _BITS).bitwiseAND(F.lit(1)) == 0)
+            aggs.append(F.sum(F.when(clear, entry(0))).alias(f"c{j}"))
+            aggs.append(F.sum(entry(j + 1)).alias(f"t{j}"))
+            aggs.append(F.max(F.when((pat[0] < 0) & (chunk == j // _CHUNK), F.col(f"m{j % _CHUNK}")))
+                        .alias(f"a{j}"))
         r = summed.agg(*aggs).first()
         counts = np.array([r[f"c{j}"] or 0.0 for j in range(p)])
         sums = np.array([r[f"t{j}"] or 0.0 for j in range(p)])
@@ -470,8 +506,7 @@ class ChainedImputer:
                 miss = np.isnan(m)
                 z = np.where(miss, 0.0, m - mu)
                 h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                codes = pattern_codes(miss)
-                uniq, inv = np.unique(codes, return_inverse=True)
+                uniq, inv = unique_codes(pattern_codes(miss))
                 # distinct patterns in fixed-size chunks: memory per task is
                 # bounded by _PATTERN_CHUNK × rounds × (p+1)², whatever the data
                 for lo in range(0, len(uniq), _PATTERN_CHUNK):
@@ -512,7 +547,7 @@ class ChainedImputer:
         cols = [f"v{names.index(c)}" for c in self.columns]
 
         def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cache: dict[int, np.ndarray] = {}
+            cache: dict[tuple, np.ndarray] = {}
             for b in batches:
                 if len(b) == 0:
                     yield b
@@ -524,16 +559,17 @@ class ChainedImputer:
                     continue
                 z = np.where(miss, 0.0, m - mu)
                 h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                codes = pattern_codes(miss)
-                uniq, inv = np.unique(codes, return_inverse=True)
-                new = [c for c in uniq.tolist() if c not in cache]
+                uniq, inv = unique_codes(pattern_codes(miss))
+                keys = [tuple(int(v) for v in row) for row in uniq]
+                new = [i for i, k in enumerate(keys) if k not in cache]
                 if len(cache) + len(new) > _CACHE_PATTERNS:
                     cache.clear()               # bounded per-task memory
+                    new = list(range(len(keys)))
                 if new:
-                    a_new = replay(np.array(new, dtype=np.int64), p, rounds)
-                    for i, c in enumerate(new):
-                        cache[c] = a_new[i]
-                a = np.stack([cache[c] for c in uniq.tolist()])[inv]
+                    a_new = replay(uniq[new], p, rounds)
+                    for i, a_i in zip(new, a_new):
+                        cache[keys[i]] = a_i
+                a = np.stack([cache[k] for k in keys])[inv]
                 state = np.einsum("nij,nj->ni", a, h)[:, 1:] + mu
                 filled = np.where(miss, state, m)
                 for i, c in enumerate(cols):

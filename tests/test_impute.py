@@ -79,3 +79,21 @@ def test_distributed_rounds_equal_driver_rounds(sensor):
     a = _matrix(local.transform(df), COLS)
     b = _matrix(dist.transform(df), COLS)
     np.testing.assert_allclose(a, b, rtol=1e-10, atol=1e-10)
+
+
+def test_more_than_62_columns(spark):
+    rng = np.random.default_rng(11)
+    n, p = 300, 70
+    base = rng.normal(size=(n, 5))
+    x = base @ rng.normal(size=(5, p)) + 0.3 * rng.normal(size=(n, p)) + 10.0
+    x[rng.random((n, p)) < 0.04] = np.nan
+    cols = [f"c{j}" for j in range(p)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x],
+                               ", ".join(f"{c} double" for c in cols))
+    # driver rounds (3 rounds), then Spark-side rounds (1 round: one job per column)
+    for cap, rounds in ((50_000, 3), (2, 1)):
+        ref = RowwiseImputer(max_iter=rounds).fit(x)
+        imp = ChainedImputer(cols, max_iter=rounds, max_patterns=cap).fit(df)
+        got = _matrix(imp.transform(df), cols)
+        assert imp.n_iter_ == ref.n_iter
+        np.testing.assert_allclose(got, ref.fitted, rtol=1e-8, atol=1e-8)
