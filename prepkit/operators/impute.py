@@ -123,9 +123,15 @@ def code_bits(codes: np.ndarray, p: int) -> np.ndarray:
 
 
 def unique_codes(codes: np.ndarray):
-    """Distinct pattern keys and, per row, the index of its key."""
-    uniq, inv = np.unique(codes, axis=0, return_inverse=True)
-    return uniq, np.asarray(inv).reshape(-1)
+    """Distinct pattern keys and, per row, the index of its key (1-D sorts:
+    ``unique(axis=0)`` is an order of magnitude slower per batch)."""
+    if codes.shape[1] == 1:
+        uniq, inv = np.unique(codes[:, 0], return_inverse=True)
+        return uniq.reshape(-1, 1), np.asarray(inv).reshape(-1)
+    c = np.ascontiguousarray(codes)
+    rows = c.view(np.dtype((np.void, c.dtype.itemsize * c.shape[1]))).ravel()
+    _, first, inv = np.unique(rows, return_index=True, return_inverse=True)
+    return c[first], np.asarray(inv).reshape(-1)
 
 
 def replay(codes: np.ndarray, p: int, rounds: list, upto: int | None = None,
