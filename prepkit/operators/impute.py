@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..session import ship_package
 
 _EPS = float(np.finfo(np.float64).eps)
 _CHUNK = 64
@@ -249,6 +250,7 @@ class ChainedImputer:
     # ------------------------------------------------------------ fit
     def fit(self, df: DataFrame) -> "ChainedImputer":
         p = len(self.columns)
+        ship_package(df.sparkSession)          # the Python stages below run our code
         x = self._matrix(df)
         shift = self._sample_shift(x)
         summed, nchunk = self._gram_table(x, shift)
@@ -539,6 +541,7 @@ class ChainedImputer:
         """Fill the gaps of ``columns`` (DOUBLE, no NULLs afterwards); all
         other columns pass through unchanged, in the original order."""
         p = len(self.columns)
+        ship_package(df.sparkSession)
         mu = np.asarray(self.means_)
         rounds = self._rounds_np()
         names = list(df.columns)

@@ -12,11 +12,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 _LOCAL_SHARED: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def get_session(master: str | None = None, app: str = "prepkit",
@@ -89,3 +91,31 @@ def checkpoint(df, eager: bool = True):
     a lost executor would lose the data)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (executors).
+
+    Stages that run our Python code on executors (``mapInPandas``, the
+    workbook data source) need the package there; a driver-side ``sys.path``
+    entry does not reach them.  The package is zipped once per application
+    and added with ``addPyFile``, which distributes it to every executor
+    (a no-op concern when the package is installed on the cluster)."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:       # Spark Connect: ship with the session's artifacts instead
+        return
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="prepkit-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("prepkit", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -329,6 +329,8 @@ class WorkbookDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from ..session import ship_package
+    ship_package(spark)                     # readers run on executors
     spark.dataSource.register(WorkbookDataSource)
 
 
