@@ -1,7 +1,7 @@
 """Operator 9: exact duplicates by content sort (DataFrame functions only).
 
 Texts are normalised (ASCII white space deleted) and range-partitioned by
-their bytes with splitters that Spark samples.  Each partition is sorted
+their first bytes with splitters that Spark samples.  Each partition is sorted
 externally, so equal texts are neighbours, and the window's group boundaries
 compare whole neighbouring texts.  A salt from the document id is the second
 sort key: a text that a third of all rows share is cut into ``salts`` runs
@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from prepkit.llm.common import SPACES, stage
 
 
+#: Code points of the normalised text that the splitters are sampled from.
+HEAD = 32
+
+
 def normalised(text: Column) -> Column:
     """``text`` (NULL: empty) without ASCII white space."""
     out = F.coalesce(text, F.lit(""))
@@ -38,10 +42,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(salts)).cast("int").alias("salt"),
         F.char_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("points"),
         normalised(F.col(f"`{text_col}`")).alias("norm"))
-    runs = Window.partitionBy("norm", "salt")
+    # splitters are sampled from short keys, so that what reaches the driver stays small
+    base = base.withColumn("head", F.substring("norm", 1, HEAD))
+    runs = Window.partitionBy("head", "salt", "norm")
     first = runs.orderBy(F.desc("points"), F.asc_nulls_last("id"))
     local = stage(
-        base.repartitionByRange(F.col("norm"), F.col("salt"))
+        base.repartitionByRange(F.col("head"), F.col("salt"))
         .select("id", "salt", "points", F.row_number().over(first).alias("place"),
                 F.count(F.lit(1)).over(runs).alias("n"), F.unhex(F.sha2(F.col("norm"), 256)).alias("sha")),
         "exact-runs")
