@@ -4,18 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prepkit.llm import bm25
+from prepkit.llm.chat import format_turns, read_back
 from prepkit.llm.common import table
 from prepkit.llm.exact_dedup import exact_groups
+from prepkit.llm.langid import identify
+from prepkit.llm.line_dedup import LineDedup
 from prepkit.llm.mixing import Mix
 from prepkit.llm.packing import pack_documents
+from prepkit.llm.secrets import scan_secrets
+from prepkit.llm.simhash import near_duplicates
+from prepkit.llm.toxicity import toxicity
+
+
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id 100 divides."""
+    return bm25.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], chats.schema)
+    return read_back(format_turns(chats.union(extra)))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup does to each document; line numbers count from 0."""
+    found = LineDedup(table(spark, sf_dir, "documents")).documents()
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "n_links")
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -25,9 +66,53 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packing, op9_exact_dedup, op10_mixing)}
+    f.__name__: f for f in (op1_bm25_search, op2_toxicity, op3_chat_formatting, op4_packing, op5_language_id, op6_simhash_dedup,
+                            op7_line_dedup, op8_secret_scans, op9_exact_dedup, op10_mixing)}
 
 ORACLE: dict[str, str] = {
+    "op1_bm25_search": r"""
+WITH tok AS (
+  SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term <> '' GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+stat AS (SELECT count(*) AS n, (SELECT sum(dl) FROM len) / count(*) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stat GROUP BY term, n),
+score AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN len ON len.doc_id = d.doc_id, stat
+  WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, d.doc_id),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score WHERE score > 0)
+SELECT query_id, rank, doc_id, score FROM best WHERE rank <= 10""",
+    "op7_line_dedup": r"""
+WITH line AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line,
+         unnest(string_split(coalesce(text, ''), chr(10))) AS body
+  FROM documents),
+sets AS (
+  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), x -> x <> ''))) AS words
+  FROM line),
+class AS (
+  SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c
+  FROM sets WHERE len(words) >= 5 GROUP BY words),
+word AS (SELECT c, n, unnest(words) AS w FROM class),
+seen AS (SELECT w, count(*) AS times FROM word GROUP BY w),
+ranked AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY times, w) AS pos FROM word JOIN seen USING (w)),
+prefix AS (SELECT * FROM ranked WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1),
+pair AS (
+  SELECT DISTINCT a.c AS a, b.c AS b FROM prefix a JOIN prefix b USING (w)
+  WHERE a.c <> b.c AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+link AS (
+  SELECT a, b, y.first AS other FROM pair JOIN class x ON x.c = a JOIN class y ON y.c = b
+  WHERE len(list_intersect(x.words, y.words)) >= 0.8 * (x.n + y.n - len(list_intersect(x.words, y.words))) - 1e-9),
+near AS (SELECT a AS c, count(*) AS links, min(other) AS other FROM link GROUP BY a),
+judged AS (
+  SELECT s.doc_id, s.line, coalesce(links, 0) AS links,
+         coalesce(least(first, coalesce(other, first)) < (s.doc_id, s.line), false) AS removed
+  FROM sets s LEFT JOIN class USING (words) LEFT JOIN near USING (c))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+       coalesce(string_agg(line, ',' ORDER BY line) FILTER (removed), '') AS removed, CAST(sum(links) AS BIGINT) AS n_links
+FROM judged GROUP BY doc_id""",
     "op9_exact_dedup": r"""
 WITH base AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
