@@ -79,7 +79,7 @@ class LineDedup:
         k1, k2 = _keys()
         parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(
             F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-        lines = (rows.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+        lines = (rows.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
                  .select("id", "row", "copy", "line", codes_of(F.col("body"), self.levels).alias("codes")))
         self.lines = stage(lines.select(
             "id", "row", "copy", "line", n.alias("n"), F.when(long, k1).alias("k1"), F.when(long, k2).alias("k2"), F.when(long, parity).alias("parity"),

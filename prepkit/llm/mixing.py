@@ -141,7 +141,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  weights: Sequence[float] = (5, 2, 1), most: float = 3.0, block_words: int = 128,
-                 shard_words: int = 1 << 23, chunk_docs: int = 4096, seed: int = 20):
+                 shard_words: int = 1 << 23, chunk_docs: int = 512, seed: int = 20):
         spark = docs.sparkSession
         ship_package(spark)
         self.id_col = id_col

@@ -90,7 +90,7 @@ WITH line AS (
          unnest(string_split(coalesce(text, ''), chr(10))) AS body
   FROM documents),
 sets AS (
-  SELECT doc_id, line, list_sort(list_distinct(list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), x -> x <> ''))) AS words
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) AS words
   FROM line),
 class AS (
   SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c
