@@ -203,7 +203,8 @@ class Mix:
             F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block_index"))
         lo = F.greatest(F.col("start"), F.col("block_index") * b)
         hi = F.least(F.col("start") + F.col("size"), F.col("block_index") * b + F.col("words"))
-        return (cut.join(self.slots, ["number", "block_index"]).where(hi > lo)
+        # Spark's size estimate of the slots is that of their ranges: never broadcast them
+        return (cut.join(self.slots.hint("merge"), ["number", "block_index"]).where(hi > lo)
                 .select("id", "number", "start", "turn", "shard", (lo - F.col("start")).alias("first"), (hi - F.col("start")).alias("last")))
 
     def taken(self) -> DataFrame:
