@@ -226,6 +226,7 @@ class Mix:
         copy = Window.partitionBy("__id")
         taken = (self.placed.withColumnRenamed("id", "__id")
                  .withColumn("__copy", F.row_number().over(copy.orderBy("size", "start")))
+                 .where("size > 0")       # empty documents start where the next one does
                  .join(taken, ["number", "start"])
                  .select(F.col("__id").alias("__taken_id"), F.col("__copy").alias("__taken_copy"), "__spans",
                          (F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]) == F.col("size")).alias("__whole")))
