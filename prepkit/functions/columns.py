@@ -131,19 +131,17 @@ def percent_label(c: Column, digits: int = 2) -> Column:
 
 
 def clip_upper(c: Column, hi) -> Column:
-    """Values above ``hi`` become ``hi``; NULL stays NULL."""
+    """Values above ``hi`` become ``hi``; NULL stays NULL, and NaN (which
+    Spark sorts above all numbers) is missing too, so it becomes NULL."""
+    c = nan_to_null(c)
     return F.when(c > hi, hi).otherwise(c)
 
 
 def clip_lower(c: Column, lo) -> Column:
+    c = nan_to_null(c)
     return F.when(c < lo, lo).otherwise(c)
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """P12 division that yields NULL instead of raising on a zero divisor."""
-    return F.try_divide(a, b)
-
-
 def sig_round(c: Column, digits: int = 9) -> Column:
     """Round to ``digits`` significant digits (presentation of statistics
     whose magnitude is data dependent).  Only exact powers of ten are used as

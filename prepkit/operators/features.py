@@ -9,14 +9,14 @@ partition-local.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip_lower, clip_upper, col
-from .quantiles import exact_quantiles
+from ..functions.columns import clip_lower, clip_upper, col, nan_to_null
+from .quantiles import exact_quantiles, order_statistic
 
 # --------------------------------------------------------------------- F1
 
@@ -28,20 +28,18 @@ class OneHot:
     the source column is removed.  NULL → all false.
 
     Not ML's ``StringIndexer + OneHotEncoder`` (frequency order, drops the
-    *last* level, vector output).  The category list is a fitted parameter
-    with a hard bound (``max_categories``): an encoder's width must not grow
-    with the data."""
+    *last* level, vector output).  The category list is a fitted parameter;
+    ``max_categories``, if given, makes ``fit`` fail beyond that many."""
 
     column: str
     drop_first: bool = True
     sep: str = "_"
-    max_categories: int = 1024
+    max_categories: int | None = None
     categories: list = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> "OneHot":
-        vals = (df.select(col(self.column).alias("v")).where(F.col("v").isNotNull())
-                .distinct().orderBy("v").limit(self.max_categories + 1).collect())
-        if len(vals) > self.max_categories:
+        vals = df.select(col(self.column).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
+        if self.max_categories is not None and len(vals) > self.max_categories:
             raise ValueError(f"{self.column}: more than {self.max_categories} categories")
         self.categories = [r["v"] for r in vals]
         return self
@@ -82,7 +80,7 @@ def assign_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, see
     if exact:
         tagged, is_test = _exact_test_predicate(df, keys, test_size, seed)
         return (tagged.withColumn(column, F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-                .drop("__h1", "__h2"))
+                .drop("__h"))
     return df.withColumn(column, F.when(split_hash(keys, seed) < test_size, F.lit("test"))
                          .otherwise(F.lit("train")))
 
@@ -92,45 +90,30 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2,
     """disjoint, exhaustive ``(train, test)``.
 
     ``exact=True`` puts exactly ``ceil(test_size * n)`` rows in test (as a
-    shuffling split does): the rows with the smallest ``(h1, h2)``, the
-    first and second 32 bits of the key hash.  The thresholds are exact
-    order statistics found by distributed refinement, never by a global
-    sort or a single-partition window.  Rows whose keys are identical share
+    shuffling split does): the rows with the smallest leading 60 bits of the
+    key hash.  The threshold is an exact order statistic, found with the number
+    of rows and never by a global sort or a single-partition window.  Rows whose keys are identical share
     their fate, so with duplicate keys the count can exceed the target by
     the size of one tied group."""
     if not exact:
         h = split_hash(keys, seed)
         return df.where(h >= test_size), df.where(h < test_size)
     tagged, is_test = _exact_test_predicate(df, keys, test_size, seed)
-    test = tagged.where(is_test).drop("__h1", "__h2")
-    train = tagged.where(~is_test).drop("__h1", "__h2")
+    test = tagged.where(is_test).drop("__h")
+    train = tagged.where(~is_test).drop("__h")
     return train, test
 
 
 def _exact_test_predicate(df: DataFrame, keys: Sequence[str], test_size: float, seed: int):
-    from .quantiles import order_statistics
-    h1, h2 = _hash_words(keys, seed)
-    tagged = df.withColumn("__h1", h1).withColumn("__h2", h2)
-    n = tagged.count()
-    k = math.ceil(test_size * n)
-    if k == 0:
-        return tagged, F.lit(False)
-    t1 = order_statistics(tagged, "__h1", [k - 1])[k - 1]
-    c = tagged.agg(F.count_if(F.col("__h1") < t1).alias("below"),
-                   F.count_if(F.col("__h1") == t1).alias("tied")).first()
-    need = k - c["below"]
-    if need >= c["tied"]:
-        return tagged, F.col("__h1") <= F.lit(t1)
-    t2 = order_statistics(tagged.where(F.col("__h1") == t1), "__h2", [need - 1])[need - 1]
-    return tagged, (F.col("__h1") < F.lit(t1)) | ((F.col("__h1") == F.lit(t1)) & (F.col("__h2") <= F.lit(t2)))
-
-
-def _hash_words(keys: Sequence[str], seed: int):
+    tagged = df.withColumn("__h", _hash_60(keys, seed))
+    _, last = order_statistic(tagged, "__h", test_size)
+    return tagged, F.lit(False) if last is None else F.col("__h") <= F.lit(last)
+
+
+def _hash_60(keys: Sequence[str], seed: int) -> Column:
+    """The leading 60 bits of the key hash (15 hex digits, so always positive)."""
     parts = [F.lit(str(seed))] + [col(k).cast("string") for k in keys]
-    hx = F.md5(F.concat_ws(":", *parts))
-    w1 = F.conv(F.substring(hx, 1, 8), 16, 10).cast("bigint").cast("double")
-    w2 = F.conv(F.substring(hx, 9, 8), 16, 10).cast("bigint").cast("double")
-    return w1, w2
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 # --------------------------------------------------------------------- F5/F6
@@ -183,11 +166,11 @@ class IQRClipper:
 
 def bin_right_closed(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """label by right-closed intervals ``(e0, e1], (e1, e2], ...``;
-    values ≤ e0, above the last edge, or NULL → NULL.  (ML's ``Bucketizer``
+    values ≤ e0, above the last edge, NULL or NaN → NULL.  (ML's ``Bucketizer``
     is left-closed and would put the edge value in the next bin.)"""
     if len(labels) != len(edges) - 1:
         raise ValueError("need exactly len(edges) - 1 labels")
-    expr = None
+    expr, c = None, nan_to_null(c)
     for lo, hi, lab in zip(edges[:-1], edges[1:], labels):
         cond = c > F.lit(lo)
         if not math.isinf(hi):
@@ -203,11 +186,6 @@ def unbinned_count(df: DataFrame, value_col: str, label_col: str) -> DataFrame:
                   F.count(col(value_col)).alias("with_value"))
 
 
-def bin_rank(c: Column, edges: Sequence[float]) -> Column:
-    """The ordered-category rank (1-based) of :func:`bin_right_closed`."""
-    return bin_right_closed(c, edges, [str(i + 1) for i in range(len(edges) - 1)]).cast("int")
-
-
 # --------------------------------------------------------------------- F8
 
 
@@ -223,7 +201,7 @@ class Standardizer:
     def fit(self, df: DataFrame) -> "Standardizer":
         aggs = []
         for i, c in enumerate(self.columns):
-            x = col(c).cast("double")
+            x = nan_to_null(col(c).cast("double"))
             aggs += [F.avg(x).alias(f"__m{i}"), F.stddev_pop(x).alias(f"__s{i}")]
         row = df.agg(*aggs).first()
         self.params = {c: (row[f"__m{i}"], row[f"__s{i}"]) for i, c in enumerate(self.columns)}
@@ -239,20 +217,3 @@ class Standardizer:
             else:
                 out.append(col(c))
         return df.select(*out)
-
-
-def params_json(obj) -> dict:
-    """Fitted parameters as plain JSON-able data."""
-    return asdict(obj)
-
-
-def apply_fences(df: DataFrame, fences: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """F6 with given fences ``{col: (lo, hi)}``."""
-    out = []
-    for c in df.columns:
-        if c in fences:
-            lo, hi = fences[c]
-            out.append(clip_lower(clip_upper(col(c), F.lit(hi)), F.lit(lo)).alias(c))
-        else:
-            out.append(col(c))
-    return df.select(*out)

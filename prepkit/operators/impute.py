@@ -20,19 +20,21 @@ regressor, deterministic posterior-mean prediction):
 
 Why this runs at scale: every regression is affine, so all rows sharing a
 missingness pattern ``P`` have a state that is one affine map ``A_P`` of
-``h = [1, observed values shifted by the fit means, 0 where missing]``.
-Every regression therefore needs only the per-pattern second-moment
-matrices ``G_P = Σ h hᵀ``, which Spark computes in ONE pass (about a
-provisional centre from a ``limit`` sample; the exact means, counts and
-max |x| come out of the same pass and the Grams are re-centred exactly)
-(``mapInPandas`` with NumPy per Arrow batch, partial sums combined per task,
-then summed per pattern by a grouped aggregation; a pattern holding most
-rows costs one row per task).  The rounds run on the driver on
-``(p+1)×(p+1)`` matrices; the state Gram of a pattern is updated in
-``O(p²)`` per regression.  The convergence test is ONE more pass (every
-round's change is measured at once, on rows that have a gap), and
-``transform`` is a per-batch affine map.  Only coefficients (``rounds × p ×
-p`` numbers) and the pattern Grams travel to the driver.
+``h = [1, observed values less the fit means, 0 where missing]``.  Every
+regression therefore needs only the per-pattern second-moment matrices
+``G_P = Σ h hᵀ``.  One JVM aggregate gives counts, means and largest absolute
+values; ONE Arrow pass gives the Grams (a task holds at most ``_HELD_BYTES`` of
+them before it hands them on, and Spark adds them up per pattern, so a pattern
+holding most rows costs a few rows per task).  The rounds run on ``(p+1)×(p+1)``
+matrices; the state Gram of a pattern is updated in ``O(p²)`` per regression.
+The convergence test is one more pass over rows that have a gap (every round's
+change is measured at once), and ``transform`` is one matrix product per batch
+and pattern; columns that are not imputed pass through as Arrow arrays.
+
+Where the rounds run is the caller's choice, never the data's: ``grams="driver"``
+keeps the pattern Grams on the driver (``8 (p+1)²`` bytes each, three times over),
+``grams="cluster"`` keeps them in a checkpointed Spark table and sends one summed
+matrix per regression.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,7 @@ from ..session import ship_package
 
 _EPS = float(np.finfo(np.float64).eps)
 _CHUNK = 64
-_PATTERN_CHUNK = 256        # patterns replayed together in the convergence pass
-_CACHE_PATTERNS = 4096      # state maps cached per task in transform
-_SHIFT_SAMPLE = 1000        # rows used for the provisional centre of the Gram pass
-_DRIVER_GRAM_BYTES = 1 << 30   # pattern Grams kept on the driver, at most (else Spark-side rounds)
+_HELD_BYTES = 32 << 20      # Grams or state maps that a task holds at a time
 
 
 # ---------------------------------------------------------------- regression
@@ -192,15 +191,6 @@ def regression_weights(s: np.ndarray, j: int, max_iter: int, tol: float) -> np.n
     return w
 
 
-def reshift_grams(grams: np.ndarray, miss: np.ndarray, delta: np.ndarray) -> np.ndarray:
-    """Grams of ``[1, x - c]`` → Grams of ``[1, x - μ]`` for every pattern
-    (``delta = c - μ``, applied on observed entries only): ``M G Mᵀ``."""
-    p1 = grams.shape[1]
-    m = np.broadcast_to(np.eye(p1), grams.shape).copy()
-    m[:, 1:, 0] = np.where(miss, 0.0, delta)
-    return m @ grams @ np.transpose(m, (0, 2, 1))
-
-
 def _unpack(flat: np.ndarray, p1: int) -> np.ndarray:
     iu = _tri(p1)
     g = np.zeros((len(flat), p1, p1))
@@ -209,6 +199,27 @@ def _unpack(flat: np.ndarray, p1: int) -> np.ndarray:
     return g
 
 
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as an Arrow list array, a list per row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def unlist(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def matrix_of(batch: pa.RecordBatch, columns) -> np.ndarray:
+    """Columns of a batch as a float matrix, NaN where missing."""
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64)
+
+
+def segments(miss: np.ndarray):
+    """(pattern keys, [row numbers of each key])."""
+    uniq, inv = unique_codes(pattern_codes(miss))
+    order = np.argsort(inv, kind="stable")
+    return uniq, np.split(order, np.flatnonzero(np.diff(inv[order])) + 1)
+
+
 # ---------------------------------------------------------------- the estimator
 
 
@@ -224,7 +235,7 @@ class ChainedImputer:
     tol: float = 1e-3
     ridge_max_iter: int = 300
     ridge_tol: float = 1e-3
-    max_patterns: int = 50_000
+    grams: str = "driver"         # or "cluster": see the module docstring
     # fitted state
     means_: list[float] = field(default_factory=list)
     order_: list[int] = field(default_factory=list)
@@ -244,55 +255,32 @@ class ChainedImputer:
             out.append(F.when(F.isnan(x), F.lit(None)).otherwise(x).alias(f"x{i}"))
         return df.select(*out)
 
-    def _rounds_np(self):
-        return [[(j, np.asarray(w, dtype=np.float64)) for j, w in steps] for steps in self.rounds_]
-
     # ------------------------------------------------------------ fit
     def fit(self, df: DataFrame) -> "ChainedImputer":
+        if self.grams not in ("driver", "cluster"):
+            raise ValueError(f"unknown place for the Grams: {self.grams!r}")
         p = len(self.columns)
         ship_package(df.sparkSession)          # the Python stages below run our code
         x = self._matrix(df)
-        shift = self._sample_shift(x)
-        summed, nchunk = self._gram_table(x, shift)
-        fit_driver = max(1, _DRIVER_GRAM_BYTES // (3 * 8 * (p + 1) ** 2))
-        cap = min(self.max_patterns, fit_driver) * nchunk
-        mrows = (p + _CHUNK - 1) // _CHUNK            # max-abs rows
-        rows = summed.limit(cap + mrows + 1).collect()   # one job; the limit bounds the driver
-        local = len(rows) <= cap + mrows
-        if local:
-            codes, grams_c, max_abs_cols = self._assemble(rows, nchunk)
-            n = float(grams_c[:, 0, 0].sum())
-            miss = code_bits(codes, p)
-            counts = np.array([grams_c[~miss[:, j], 0, 0].sum() for j in range(p)])
-            sums = grams_c[:, 0, 1:].sum(axis=0)
-        else:
-            from ..session import checkpoint
-            summed = checkpoint(summed)
-            n, counts, sums, max_abs_cols = self._table_stats(summed)
-        empty = [c for i, c in enumerate(self.columns) if counts[i] == 0]
-        if empty:
-            raise ValueError(f"columns entirely missing at fit: {empty}")
-        means = shift + sums / counts
-        self.means_ = [float(v) for v in means]
-        max_abs = float(np.max(max_abs_cols))
-        frac = (n - counts) / n
-        self.order_ = [int(j) for j in np.argsort(frac, kind="mergesort")]
+        row = x.agg(F.count(F.lit(1)), *[f(f"x{i}") for i in range(p) for f in (F.count, F.avg, lambda c: F.max(F.abs(c)))]).first()
+        n, counts = row[0], np.array(row[1::3], dtype=np.float64)
+        for what, bad in (("columns entirely missing at fit", counts == 0),
+                          ("columns with an infinite value", [v is not None and np.isinf(v) for v in row[3::3]])):
+            if names := [c for c, b in zip(self.columns, bad) if b]:
+                raise ValueError(f"{what}: {names}")
+        self.means_ = [float(v) for v in row[2::3]]
+        self.order_ = [int(j) for j in np.argsort((n - counts) / n, kind="mergesort")]
         if p == 1:
             self.rounds_, self.n_iter_ = [], 0
             return self
-        delta = shift - means
-        if local:
-            grams = reshift_grams(grams_c, miss, delta)
-            self.n_patterns_ = len(codes)
-            rounds = self._rounds_local(codes, grams)
-        else:
-            rounds = self._rounds_distributed(summed, delta)
+        table, width = self._gram_table(x)
+        rounds = self._rounds_local(*self._collected(table, width)) if self.grams == "driver" else self._rounds_distributed(table, width)
         self.rounds_ = [[(int(j), [float(v) for v in w]) for j, w in steps] for steps in rounds]
 
         # one pass measures every round's largest row-wise L1 change
         changes = self._round_changes(x, rounds)
         self.round_changes_ = [float(c) for c in changes]
-        thr = self.tol * max_abs
+        thr = self.tol * float(max(row[3::3]))
         stop = next((t + 1 for t, c in enumerate(changes) if c < thr), None)
         if stop is None:
             warnings.warn("chained imputation: early stopping criterion not reached")
@@ -302,8 +290,9 @@ class ChainedImputer:
         return self
 
     def _rounds_local(self, codes: np.ndarray, grams: np.ndarray) -> list:
-        """All rounds on the driver: pattern Grams fit in memory."""
+        """All rounds on the driver."""
         p = len(self.columns)
+        self.n_patterns_ = len(codes)
         miss = code_bits(codes, p)
         w_state = grams.copy()          # W_P = A_P G_P A_Pᵀ; A = I initially
         rounds = []
@@ -317,222 +306,141 @@ class ChainedImputer:
             rounds.append(steps)
         return rounds
 
-    def _rounds_distributed(self, summed: DataFrame, delta: np.ndarray) -> list:
-        """Exact fallback when there are more than ``max_patterns``
-        patterns: the pattern Grams stay in a checkpointed Spark table.  Each
-        regression is one job that replays the round's earlier steps per
-        pattern and returns one partial Gram sum per partition; after every
-        round the advanced state Grams are checkpointed again."""
+    def _rounds_distributed(self, table: DataFrame, width: int) -> list:
+        """All rounds over a checkpointed table of pattern Grams.  Each regression is
+        one job that replays the round's earlier steps per pattern and adds the
+        Grams up in Spark; after every round the advanced state Grams are
+        checkpointed again."""
         from ..session import checkpoint
         p = len(self.columns)
-        p1 = p + 1
+        p1, words = p + 1, n_words(p)
         iu = _tri(p1)
         ntri = len(iu[0])
-        packed = (summed.where(F.col("pattern")[0] >= 0)
-                  .select("pattern", "chunk", F.array(*[F.col(f"s{i}") for i in range(_CHUNK)]).alias("v"))
-                  .groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("chunk", "v"))).alias("cs")))
-        raw = packed.select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri).alias("g"))
-
-        def reshift(batches):
-            for b in batches:
-                if len(b):
-                    codes = np.stack(b["pattern"].to_numpy()).astype(np.int64)
-                    g = reshift_grams(_unpack(np.stack(b["g"].to_numpy()), p1), code_bits(codes, p), delta)
-                    yield pd.DataFrame({"pattern": b["pattern"], "g": list(g[:, iu[0], iu[1]])})
-
-        table = checkpoint(raw.mapInPandas(reshift, "pattern array<long>, g array<double>"))
+        table = checkpoint(
+            table.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("chunk", F.array(*[F.col(f"s{i}") for i in range(width)]).alias("v")))).alias("cs"))
+            .select("pattern", F.slice(F.flatten(F.transform("cs", lambda c: c["v"])), 1, ntri).alias("g")))
         self.n_patterns_ = table.count()
 
         def load(b):
-            codes = np.stack(b["pattern"].to_numpy()).astype(np.int64)
-            return code_bits(codes, p), _unpack(np.stack(b["g"].to_numpy()), p1)
+            return code_bits(unlist(b.column("pattern"), words), p), _unpack(unlist(b.column("g"), ntri), p1)
 
         def sums(steps, j):
             def fn(batches):
                 acc = np.zeros((p1, p1))
                 for b in batches:
-                    if len(b):
+                    if b.num_rows:
                         miss, w_state = load(b)
                         for jj, w in steps:
                             update_state_grams(w_state, miss, jj, w)
                         acc += w_state[~miss[:, j]].sum(axis=0)
-                yield pd.DataFrame({"acc": [acc[iu].tolist()]})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ntri)), pa.array(acc[iu])], names=["at", "v"])
             return fn
 
         def advance(steps):
             def fn(batches):
                 for b in batches:
-                    if len(b):
+                    if b.num_rows:
                         miss, w_state = load(b)
                         for jj, w in steps:
                             update_state_grams(w_state, miss, jj, w)
-                        yield pd.DataFrame({"pattern": b["pattern"], "g": list(w_state[:, iu[0], iu[1]])})
+                        yield pa.RecordBatch.from_arrays([b.column("pattern"), lists(w_state[:, iu[0], iu[1]])], names=["pattern", "g"])
             return fn
 
         rounds = []
         for _t in range(self.max_iter):
             steps = []
             for j in self.order_:
-                parts = table.mapInPandas(sums(list(steps), j), "acc array<double>").collect()
-                s = _unpack(np.sum([np.asarray(r["acc"]) for r in parts], axis=0)[None, :], p1)[0]
+                flat = table.mapInArrow(sums(list(steps), j), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+                s = _unpack(np.array([[r["v"] for r in flat]]), p1)[0]
                 steps.append((j, regression_weights(s, j, self.ridge_max_iter, self.ridge_tol)))
             rounds.append(steps)
-            table = checkpoint(table.mapInPandas(advance(list(steps)), "pattern array<long>, g array<double>"))
+            table = checkpoint(table.mapInArrow(advance(list(steps)), "pattern array<long>, g array<double>"))
         return rounds
 
-    def _sample_shift(self, x: DataFrame) -> np.ndarray:
-        """A provisional centre per column from the first rows (a ``limit``
-        job reads one split): keeps the Gram sums well conditioned, and the
-        exact means are recovered from the Grams afterwards, so no separate
-        moments pass is needed."""
-        p = len(self.columns)
-        rows = x.limit(_SHIFT_SAMPLE).collect()
-        if not rows:
-            return np.zeros(p)
-        m = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=np.float64)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", RuntimeWarning)
-            c = np.nanmean(m, axis=0)
-        return np.where(np.isnan(c), 0.0, c)
-
-    def _gram_table(self, x: DataFrame, shift: np.ndarray):
-        """Per (pattern, chunk) sums of the upper-triangle Gram entries of
-        ``h = [1, x - shift (0 where missing)]``, plus one row (pattern -1)
-        carrying the per-column max |x|.  Lazy; one pass when evaluated."""
+    def _gram_table(self, x: DataFrame) -> tuple[DataFrame, int]:
+        """Per (pattern, chunk) sums ``s0..`` of the upper-triangle Gram entries of
+        ``h = [1, x - mean (0 where missing)]``, and how many entries a chunk has.
+        Lazy; one pass when evaluated."""
         p = len(self.columns)
-        p1 = p + 1
-        iu = _tri(p1)
-        ntri = len(iu[0])
-        nchunk = (ntri + _CHUNK - 1) // _CHUNK
-        cols = [f"x{i}" for i in range(p)]
+        iu = _tri(p + 1)
+        ntri, mean = len(iu[0]), np.asarray(self.means_)
+        width = min(_CHUNK, ntri)
+        nchunk = -(-ntri // width)
+        most = max(1, _HELD_BYTES // (8 * ntri))
 
-        def partial_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc: dict[tuple, np.ndarray] = {}
-            top = np.zeros(p)
+
+            def flush():
+                flat = np.zeros((len(acc), nchunk * width))
+                flat[:, :ntri] = list(acc.values())
+                keys = np.repeat(np.array(list(acc), dtype=np.int64), nchunk, axis=0)
+                chunks = np.tile(np.arange(nchunk, dtype=np.int32), len(acc))
+                acc.clear()
+                return pa.RecordBatch.from_arrays([lists(keys), pa.array(chunks), lists(flat.reshape(-1, width))], names=["pattern", "chunk", "vals"])
+
             for b in batches:
-                if len(b) == 0:
+                if b.num_rows == 0:
                     continue
-                m = b[cols].to_numpy(dtype=np.float64, na_value=np.nan)
+                m = matrix_of(b, range(p))
                 miss = np.isnan(m)
-                top = np.maximum(top, np.where(miss, 0.0, np.abs(m)).max(axis=0))
-                z = np.where(miss, 0.0, m - shift)
-                h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                uniq, inv = unique_codes(pattern_codes(miss))
-                order = np.argsort(inv, kind="stable")
-                hs, iv = h[order], inv[order]
-                starts = np.flatnonzero(np.r_[True, iv[1:] != iv[:-1]])
-                ends = np.r_[starts[1:], len(iv)]
-                for a, e in zip(starts, ends):
-                    seg = hs[a:e]
+                h = np.concatenate([np.ones((len(m), 1)), np.where(miss, 0.0, m - mean)], axis=1)
+                uniq, rows = segments(miss)
+                for key, at in zip(map(tuple, uniq.tolist()), rows):
+                    seg = h[at]
                     v = (seg.T @ seg)[iu]           # one BLAS product per pattern segment
-                    key = tuple(int(c) for c in uniq[iv[a]])
                     if key in acc:
                         acc[key] += v
                     else:
+                        if len(acc) >= most:
+                            yield flush()
                         acc[key] = v
             if acc:
-                rows_code, rows_chunk, rows_vals = [], [], []
-                for ci in range((p + _CHUNK - 1) // _CHUNK):     # max |x| rows, key [-1]
-                    seg = top[ci * _CHUNK:(ci + 1) * _CHUNK]
-                    rows_code.append([-1])
-                    rows_chunk.append(ci)
-                    rows_vals.append(np.pad(seg, (0, _CHUNK - len(seg))).tolist())
-                for key, v in acc.items():
-                    for ci in range(nchunk):
-                        rows_code.append(list(key))
-                        rows_chunk.append(ci)
-                        seg = v[ci * _CHUNK:(ci + 1) * _CHUNK]
-                        rows_vals.append(np.pad(seg, (0, _CHUNK - len(seg))).tolist())
-                yield pd.DataFrame({"pattern": rows_code, "chunk": rows_chunk, "vals": rows_vals})
-
-        schema = "pattern array<long>, chunk int, vals array<double>"
-        parts = x.mapInPandas(partial_grams, schema)
-        summed = parts.groupBy("pattern", "chunk").agg(
-            *[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(_CHUNK)],
-            *[F.max(F.col("vals")[i]).alias(f"m{i}") for i in range(_CHUNK)])
-        return summed, nchunk
-
-    def _assemble(self, rows, nchunk: int):
-        p = len(self.columns)
-        p1 = p + 1
-        ntri = p1 * (p1 + 1) // 2
-        top = np.zeros(p)
-        index: dict[tuple, int] = {}
-        for r in rows:
-            if r["pattern"][0] >= 0:
-                index.setdefault(tuple(r["pattern"]), len(index))
-        flat = np.zeros((len(index), nchunk * _CHUNK))
-        for r in rows:
-            ci = r["chunk"]
-            if r["pattern"][0] < 0:
-                for k in range(_CHUNK):
-                    if ci * _CHUNK + k < p:
-                        top[ci * _CHUNK + k] = r[f"m{k}"]
-                continue
-            i = index[tuple(r["pattern"])]
-            flat[i, ci * _CHUNK:(ci + 1) * _CHUNK] = [r[f"s{k}"] for k in range(_CHUNK)]
-        codes = np.array(list(index.keys()), dtype=np.int64).reshape(len(index), n_words(p))
-        return codes, _unpack(flat[:, :ntri], p1), top
-
-    def _table_stats(self, summed: DataFrame):
-        """Counts, shifted sums and max |x| from the pattern table (Spark
-        side).  Row 0 of a Gram is upper-triangle entries 0..p."""
+                yield flush()
+
+        parts = x.mapInArrow(partial_grams, "pattern array<long>, chunk int, vals array<double>")
+        return parts.groupBy("pattern", "chunk").agg(*[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(width)]), width
+
+    def _collected(self, table: DataFrame, width: int):
+        """The pattern keys and Grams on the driver, as Arrow columns."""
         p = len(self.columns)
-        pat, chunk = F.col("pattern"), F.col("chunk")
-        real = pat[0] >= 0
-
-        def entry(t):                      # upper-triangle entry t of row 0
-            return F.when(real & (chunk == t // _CHUNK), F.col(f"s{t % _CHUNK}"))
-
-        aggs = [F.sum(entry(0)).alias("n")]
-        for j in range(p):
-            word = F.get(pat, F.lit(j // _BITS))     # NULL on the one-word max-abs rows
-            clear = (F.shiftright(word, j % _BITS).bitwiseAND(F.lit(1)) == 0)
-            aggs.append(F.sum(F.when(clear, entry(0))).alias(f"c{j}"))
-            aggs.append(F.sum(entry(j + 1)).alias(f"t{j}"))
-            aggs.append(F.max(F.when((pat[0] < 0) & (chunk == j // _CHUNK), F.col(f"m{j % _CHUNK}")))
-                        .alias(f"a{j}"))
-        r = summed.agg(*aggs).first()
-        counts = np.array([r[f"c{j}"] or 0.0 for j in range(p)])
-        sums = np.array([r[f"t{j}"] or 0.0 for j in range(p)])
-        top = np.array([r[f"a{j}"] or 0.0 for j in range(p)])
-        return float(r["n"]), counts, sums, top
+        ntri = (p + 1) * (p + 2) // 2
+        nchunk = -(-ntri // width)
+        got = table.orderBy("pattern", "chunk").toArrow().combine_chunks()
+        n = got.num_rows // nchunk
+        codes = unlist(got.column("pattern").combine_chunks(), n_words(p))[::nchunk]
+        flat = np.column_stack([got.column(f"s{i}").to_numpy() for i in range(width)]).reshape(n, nchunk * width)
+        return codes, _unpack(flat[:, :ntri], p + 1)
 
     def _round_changes(self, x: DataFrame, rounds) -> np.ndarray:
         p = len(self.columns)
-        mu = np.asarray(self.means_)
-        cols = [f"x{i}" for i in range(p)]
+        mean = np.asarray(self.means_)
         r_np = [[(j, np.asarray(w)) for j, w in steps] for steps in rounds]
         nr = len(rounds)
+        together = max(1, _HELD_BYTES // (8 * (p + 1) ** 2 * (nr + 1)))     # patterns replayed at a time
 
-        def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.zeros(nr)
             for b in batches:
-                if len(b) == 0:
+                if b.num_rows == 0:
                     continue
-                m = b[cols].to_numpy(dtype=np.float64, na_value=np.nan)
+                m = matrix_of(b, range(p))
                 miss = np.isnan(m)
-                z = np.where(miss, 0.0, m - mu)
-                h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                uniq, inv = unique_codes(pattern_codes(miss))
-                # distinct patterns in fixed-size chunks: memory per task is
-                # bounded by _PATTERN_CHUNK × rounds × (p+1)², whatever the data
-                for lo in range(0, len(uniq), _PATTERN_CHUNK):
-                    chunk = uniq[lo:lo + _PATTERN_CHUNK]
-                    rows = np.flatnonzero((inv >= lo) & (inv < lo + len(chunk)))
-                    hist = replay(chunk, p, r_np, keep_rounds=True)
-                    local = inv[rows] - lo
-                    for t in range(nr):
-                        d = (hist[t + 1] - hist[t])[local]
-                        delta = np.einsum("nij,nj->ni", d, h[rows])
-                        best[t] = max(best[t], float(np.abs(delta).sum(axis=1).max()))
-            yield pd.DataFrame({"changes": [best.tolist()]})
-
-        has_gap = None
-        for c in cols:
-            cond = F.col(c).isNull()
-            has_gap = cond if has_gap is None else (has_gap | cond)
-        part = x.where(has_gap).mapInPandas(changes, "changes array<double>")
+                h = np.concatenate([np.ones((len(m), 1)), np.where(miss, 0.0, m - mean)], axis=1)
+                uniq, rows = segments(miss)
+                for lo in range(0, len(uniq), together):
+                    hist = replay(uniq[lo:lo + together], p, r_np, keep_rounds=True)
+                    for k, at in enumerate(rows[lo:lo + together]):
+                        gap = np.flatnonzero(miss[at[0]]) + 1      # only these states ever change
+                        for t in range(nr):
+                            moved = h[at] @ (hist[t + 1][k, gap] - hist[t][k, gap]).T
+                            best[t] = max(best[t], float(np.abs(moved).sum(axis=1).max(initial=0.0)))
+            yield pa.RecordBatch.from_arrays([lists(best[None, :])], names=["changes"])
+
+        has_gap = F.lit(False)
+        for i in range(p):
+            has_gap = has_gap | F.col(f"x{i}").isNull()
+        part = x.where(has_gap).mapInArrow(changes, "changes array<double>")
         row = part.agg(*[F.max(F.col("changes")[t]).alias(f"c{t}") for t in range(nr)]).first()
         return np.array([row[f"c{t}"] if row[f"c{t}"] is not None else 0.0 for t in range(nr)])
 
@@ -543,7 +451,7 @@ class ChainedImputer:
         p = len(self.columns)
         ship_package(df.sparkSession)
         mu = np.asarray(self.means_)
-        rounds = self._rounds_np()
+        rounds = [[(j, np.asarray(w, dtype=np.float64)) for j, w in steps] for steps in self.rounds_]
         names = list(df.columns)
         pos = {c: i for i, c in enumerate(self.columns)}
         missing_cols = [c for c in self.columns if c not in names]
@@ -552,40 +460,37 @@ class ChainedImputer:
         # positional aliases: v<k> for every input column, imputed ones DOUBLE
         src = df.select(*[(col(c).cast("double") if c in pos else col(c)).alias(f"v{k}")
                           for k, c in enumerate(names)])
-        out_schema = src.schema
-        cols = [f"v{names.index(c)}" for c in self.columns]
+        places = [names.index(c) for c in self.columns]
+        held = max(1, _HELD_BYTES // (8 * (p + 1) ** 2))
 
-        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict[tuple, np.ndarray] = {}
             for b in batches:
-                if len(b) == 0:
-                    yield b
-                    continue
-                m = b[cols].to_numpy(dtype=np.float64, na_value=np.nan)
+                m = matrix_of(b, places)
                 miss = np.isnan(m)
                 if not miss.any():
                     yield b
                     continue
-                z = np.where(miss, 0.0, m - mu)
-                h = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                uniq, inv = unique_codes(pattern_codes(miss))
-                keys = [tuple(int(v) for v in row) for row in uniq]
-                new = [i for i, k in enumerate(keys) if k not in cache]
-                if len(cache) + len(new) > _CACHE_PATTERNS:
-                    cache.clear()               # bounded per-task memory
-                    new = list(range(len(keys)))
-                if new:
-                    a_new = replay(uniq[new], p, rounds)
-                    for i, a_i in zip(new, a_new):
-                        cache[keys[i]] = a_i
-                a = np.stack([cache[k] for k in keys])[inv]
-                state = np.einsum("nij,nj->ni", a, h)[:, 1:] + mu
-                filled = np.where(miss, state, m)
-                for i, c in enumerate(cols):
-                    b[c] = filled[:, i]
-                yield b
-
-        filled = src.mapInPandas(fill, out_schema)
+                h = np.concatenate([np.ones((len(m), 1)), np.where(miss, 0.0, m - mu)], axis=1)
+                uniq, rows = segments(miss)
+                for lo in range(0, len(uniq), held):
+                    keys = [tuple(k) for k in uniq[lo:lo + held].tolist()]
+                    new = [i for i, k in enumerate(keys) if k not in cache]
+                    if len(cache) + len(new) > held:
+                        cache.clear()               # bounded per-task memory
+                        new = list(range(len(keys)))
+                    if new:
+                        cache.update(zip((keys[i] for i in new), replay(uniq[lo:lo + held][new], p, rounds)))
+                    for key, at in zip(keys, rows[lo:lo + held]):
+                        gap = np.flatnonzero(miss[at[0]])
+                        m[np.ix_(at, gap)] = h[at] @ cache[key][gap + 1].T + mu[gap]
+                columns = list(b.columns)
+                for i, k in enumerate(places):
+                    if miss[:, i].any():
+                        columns[k] = pa.array(m[:, i])
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+        filled = src.mapInArrow(fill, src.schema)
         return filled.select(*[F.col(f"v{k}").alias(c) for k, c in enumerate(names)])
 
     def fit_transform(self, df: DataFrame) -> DataFrame:

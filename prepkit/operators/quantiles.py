@@ -1,22 +1,16 @@
 """Exact, linearly interpolated quantiles that scale.
 
-Default strategy — distributed histogram refinement, exact for any
-cardinality and any skew.  Spark's built-in ``percentile`` keeps one buffer
-entry per distinct value and merges a global aggregate in ONE task, so it is
-only offered as ``method="percentile"`` for columns known to have few
-distinct values.
-
-* **refinement**: one wide grouped pass gives count/min/max per (group,
-  column).  Each further round
-  narrows, for every wanted order statistic, the value interval that holds
-  it: rows inside the interval are bucketed into ``buckets`` equal-width
-  buckets and counted with one ``groupBy(target, bucket)`` (partial
-  aggregation per task; only ``targets × buckets`` rows reach the driver).
-  A bucket whose min equals its max resolves the target at once (a hot value
-  holding a third of the rows costs nothing extra).  When an interval holds
-  at most ``final_bound`` values they are fetched and the order statistic is
-  read off directly.  Memory per task and on the driver is bounded by
-  ``buckets`` and ``final_bound``, not by the data.
+Every wanted order statistic is kept between two values of its column.  The
+first pass takes them from Spark's bounded-memory ``percentile_approx`` a little
+below and above the wanted share, with count, minimum, maximum and sum.  Each
+further pass counts, in one grouped aggregate, the values below the bracket
+and the distinct values inside it; if those are more than ``INSIDE`` a pass of
+``percentile_approx`` over the values inside narrows the bracket first, about a
+thousandfold, whatever the range of the values.  Everything stays in Spark,
+grouped or not: what reaches the driver is one number a pass.
+
+A value that a third of all rows share is one counted row per task.  NaN counts
+as missing, and ±Infinity sorts at the ends like any other value.
 
 Interpolation follows Spark's ``percentile``: position ``h = (n - 1) p``,
 ``(ceil(h) - h) * x[floor(h)] + (h - floor(h)) * x[ceil(h)]``.
@@ -24,286 +18,135 @@ Interpolation follows Spark's ``percentile``: position ``h = (n - 1) p``,
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
-
-BUCKETS = 1024               # minimum buckets per histogram round
-MAX_BUCKETS = 65_536
-FINAL_BOUND = 100_000
-MAX_ROUNDS = 10_000   # safety net; every histogram round strictly narrows its intervals
-MAX_TARGETS = 200_000
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] = (), method: str = "refine",
-                    buckets: int = BUCKETS, final_bound: int = FINAL_BOUND) -> DataFrame:
-    """Tidy ``(by..., column_name, p, value)``; NULLs skipped; a column with
-    no values gives NULL."""
-    cols, probs, by = list(cols), [float(p) for p in probs], list(by)
-    for p in probs:
-        if not 0.0 <= p <= 1.0:
-            raise ValueError(f"probability out of range: {p}")
-    if method == "percentile":
-        return _percentile_path(df, cols, probs, by)
-    if method != "refine":
-        raise ValueError(f"unknown method {method!r}")
-    return _refine_path(df, cols, probs, by, buckets, final_bound)
-
-
-def _percentile_path(df, cols, probs, by):
-    aggs = [F.percentile(col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(f"__q{i}")
-            for i, c in enumerate(cols)]
-    wide = df.groupBy(*[col(k) for k in by]).agg(*aggs) if by else df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("p"),
-                 F.col(f"__q{i}")[j].alias("value"))
-        for i, c in enumerate(cols) for j, p in enumerate(probs)])
-    return wide.select(*[col(k) for k in by], F.inline(rows))
-
-
-@dataclass
-class _Target:
-    tid: int
-    gkey: tuple
-    cid: int
-    k: int          # 0-based rank wanted
-    lo: float
-    hi: float
-    below: int      # values < lo
-    inside: int     # values in [lo, hi]
-    value: float | None = None
-    done: bool = False
-
-
-EXPR_PROBES = 64
-FETCH_BUDGET = 4_000_000     # values fetched to the driver per round, at most
-HIST_BUDGET = 4_000_000      # histogram rows (probes × buckets) per round, at most
-
-
-def _eq(c, v):
-    return c.eqNullSafe(F.lit(v))
-
-
-def quantiles_with_moments(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                           by: Sequence[str] = (), buckets: int = BUCKETS,
-                           final_bound: int = FINAL_BOUND):
-    """Exact quantiles plus ``{(group, column): (n, min, max, sum)}`` from the
-    same first pass (callers that also need moments save a scan)."""
-    return _refine_path(df, list(cols), [float(p) for p in probs], list(by), buckets, final_bound,
-                        with_moments=True)
+from ..functions.columns import col, nan_to_null
+from ..sinks.files import write_stage
 
+#: Distinct values of a bracket that one row may gather.
+INSIDE = 100_000
+#: ``percentile_approx`` is off by one in so many ranks at most.
+ACCURACY = 10_000
+#: Shares at which a bracket that is still too wide is cut.
+_GRID = [i / 1000 for i in range(1001)]
 
-def _within_budget(targets, budget, cost):
-    """Targets (grouped by shared interval) whose summed cost fits the
-    budget; at least one interval is always admitted."""
-    seen, out, used = {}, [], 0
-    for t in sorted(targets, key=lambda t: (t.gkey.__repr__(), t.cid, t.lo)):
-        key = (t.gkey, t.cid, t.lo, t.hi)
-        if key not in seen:
-            c = cost(t)
-            if out and used + c > budget:
-                continue
-            seen[key] = True
-            used += c
-        out.append(t)
-    return out
 
-
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int],
-                     buckets: int = BUCKETS, final_bound: int = FINAL_BOUND) -> dict[int, float]:
-    """Exact k-th smallest non-NULL values (0-based ranks) of one column,
-    by the same distributed refinement."""
-    return _refine_path(df, [column], [], [], buckets, final_bound, ranks=list(ranks))
-
-
-def _refine_path(df, cols, probs, by, buckets, final_bound, with_moments=False, ranks=None):
-    spark = df.sparkSession
-    x = [col(c).cast("double") for c in cols]
-    keys = [col(k) for k in by]
-    # pass 1: count / min / max of every column per group, one wide aggregate
-    aggs = []
-    for i in range(len(cols)):
-        aggs += [F.count(x[i]).alias(f"__n{i}"), F.min(x[i]).alias(f"__mn{i}"), F.max(x[i]).alias(f"__mx{i}"),
-                 F.sum(x[i]).alias(f"__s{i}")]
-    wide = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
-    limit = MAX_TARGETS // (2 * max(1, len(probs), len(ranks or ())) * len(cols)) + 1
-    grows = wide.limit(limit).collect()
-    if len(grows) >= limit:
-        raise ValueError("too many groups for exact quantiles; group by fewer keys or use approx_quantiles")
-    srows = []
-    for r in grows:
-        g = tuple(r[k] for k in by)
-        for cid in range(len(cols)):
-            if r[f"__n{cid}"]:
-                srows.append({"g": g, "cid": cid, "n": r[f"__n{cid}"],
-                              "mn": r[f"__mn{cid}"], "mx": r[f"__mx{cid}"]})
-    targets: list[_Target] = []
-    wanted: dict[tuple, list[tuple[float, int, int, float]]] = {}
-    rank_of: dict[tuple, dict[int, _Target]] = {}
-    for r in srows:
-        g, cid, n = r["g"], r["cid"], r["n"]
-        by_rank: dict[int, _Target] = {}
-
-        def want(k):
-            if k not in by_rank:
-                if not 0 <= k < n:
-                    raise ValueError(f"rank {k} outside 0..{n - 1}")
-                t = _Target(len(targets), g, cid, k, r["mn"], r["mx"], 0, n)
-                if r["mn"] == r["mx"]:
-                    t.value, t.done = r["mn"], True
-                targets.append(t)
-                by_rank[k] = t
-
-        for k in ranks or ():
-            want(int(k))
-        for p in probs:
-            h = (n - 1) * p
-            lo_r, hi_r = math.floor(h), math.ceil(h)
-            want(lo_r)
-            want(hi_r)
-            wanted.setdefault((g, cid), []).append((p, lo_r, hi_r, h))
-        rank_of[(g, cid)] = by_rank
-
-    key_fields = [f for f in df.schema.fields if f.name in by]
-    tschema = T.StructType([T.StructField("__tid", T.LongType()),
-                            *[T.StructField(f.name, f.dataType) for f in key_fields],
-                            T.StructField("__cid", T.IntegerType()),
-                            T.StructField("__lo", T.DoubleType()),
-                            T.StructField("__hi", T.DoubleType())])
-    tall = None
-
-    def probes(active):
-        """Targets sharing (group, column, interval) share one probe, so a
-        row is read once per interval, not once per wanted rank."""
-        ids: dict[tuple, int] = {}
-        of: dict[int, int] = {}
-        for t in active:
-            key = (t.gkey, t.cid, t.lo, t.hi)
-            of[t.tid] = ids.setdefault(key, len(ids))
-        return ids, of
-
-    def probe_rows(ids):
-        """(__tid, __v, __lo, __hi) for every value inside a probe interval."""
-        nonlocal tall
-        if len(ids) <= EXPR_PROBES:
-            # few probes: codegen'd predicates, no join; the OR of interval
-            # predicates also lets Parquet skip row groups in later rounds
-            entries, conds = [], []
-            for (g, cid, lo, hi), pid in ids.items():
-                cond = (x[cid] >= F.lit(lo)) & (x[cid] <= F.lit(hi))
-                for kc, gv in zip(keys, g):
-                    cond = cond & _eq(kc, gv)
-                conds.append(cond)
-                entries.append(F.when(cond, F.struct(F.lit(pid).cast("long").alias("__tid"),
-                                                      x[cid].alias("__v"), F.lit(lo).alias("__lo"),
-                                                      F.lit(hi).alias("__hi"))))
-            anyc = conds[0]
-            for c in conds[1:]:
-                anyc = anyc | c
-            # explode + filter (a higher-order filter would leave codegen)
-            return (df.where(anyc).select(F.explode(F.array(*entries)).alias("__e"))
-                    .where(F.col("__e").isNotNull()).select("__e.*"))
-        if tall is None:
-            tall = df.select(*keys, F.inline(F.array(*[
-                F.struct(F.lit(i).alias("__cid"), x[i].alias("__v")) for i in range(len(cols))])))
-        rows = [(pid, *g, cid, lo, hi) for (g, cid, lo, hi), pid in ids.items()]
-        # at most MAX_TARGETS probe rows: the broadcast side has a proven bound
-        j = tall.join(F.broadcast(spark.createDataFrame(rows, tschema)), on=[*by, "__cid"], how="inner")
-        return (j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-                .select("__tid", "__v", "__lo", "__hi"))
-
-    for _ in range(MAX_ROUNDS):
-        active = [t for t in targets if not t.done]
-        if not active:
-            break
-        final = [t for t in active if t.inside <= final_bound]
-        hist = [t for t in active if t.inside > final_bound]
-        # budgets: what reaches the driver per round is bounded whatever the
-        # number of groups; probes beyond a budget wait for the next round
-        final = _within_budget(final, FETCH_BUDGET, lambda t: t.inside)
-        hist = _within_budget(hist, HIST_BUDGET, lambda t: buckets)   # ≥ buckets rows per probe
-        if final:
-            ids, of = probes(final)
-            got: dict[int, list[float]] = {}
-            for r in probe_rows(ids).select("__tid", "__v").collect():
-                got.setdefault(r["__tid"], []).append(r["__v"])
-            for vals in got.values():
-                vals.sort()
-            for t in final:
-                t.value, t.done = got[of[t.tid]][t.k - t.below], True
-        if hist:
-            ids, of = probes(hist)
-            # enough buckets that one round brings the largest interval under
-            # the fetch bound (fewer passes at scale), within the row budget
-            nb = max(buckets, min(MAX_BUCKETS, HIST_BUDGET // max(1, len(ids)),
-                                  math.ceil(4 * max(t.inside for t in hist) / final_bound)))
-            width = (F.col("__hi") - F.col("__lo"))
-            b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * nb),
-                        F.lit(nb - 1)).cast("int")
-            h = (probe_rows(ids).groupBy("__tid", b.alias("__b"))
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
-                 .collect())
-            per: dict[int, list] = {}
-            for r in h:
-                per.setdefault(r["__tid"], []).append((r["__b"], r["n"], r["mn"], r["mx"]))
-            for lst in per.values():
-                lst.sort()
-            for t in hist:
-                acc = t.below
-                for _b, n, mn, mx in per[of[t.tid]]:
-                    if t.k < acc + n:
-                        t.lo, t.hi, t.below, t.inside = mn, mx, acc, n
-                        if mn == mx:
-                            t.value, t.done = mn, True
-                        break
-                    acc += n
+def _tall(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, cid, v): the values of all columns below each other, without missing
+    ones; BIGINT if all columns are integral, so that large ones stay exact, else DOUBLE."""
+    if all(isinstance(df.schema[c].dataType, T.IntegralType) for c in cols):
+        x = [col(c).cast("bigint") for c in cols]
     else:
-        raise RuntimeError("exact quantile refinement did not converge")
-
-    if ranks is not None:
-        found = rank_of.get(((), 0), {})
-        return {int(k): found[int(k)].value for k in ranks} if found else {int(k): None for k in ranks}
-    out = []
-    for r in srows:
-        g, cid = r["g"], r["cid"]
-        by_rank = rank_of[(g, cid)]
-        for p, lo_r, hi_r, h in wanted.get((g, cid), []):
-            a, b = by_rank[lo_r].value, by_rank[hi_r].value
-            v = a if (lo_r == hi_r or a == b) else (hi_r - h) * a + (h - lo_r) * b
-            out.append((*g, cols[cid], p, v))
-    # a column with no values in a group: NULL, as the built-in path
-    seen = {(r["g"], r["cid"]) for r in srows}
-    groups = [tuple(r[k] for k in by) for r in grows]
-    for g in groups:
-        for cid, c in enumerate(cols):
-            if (g, cid) not in seen:
-                out.extend((*g, c, p, None) for p in probs)
-    oschema = T.StructType([*[T.StructField(f.name, f.dataType) for f in key_fields],
-                            T.StructField("column_name", T.StringType()),
-                            T.StructField("p", T.DoubleType()),
-                            T.StructField("value", T.DoubleType())])
-    result = spark.createDataFrame(out, oschema)
-    if not with_moments:
-        return result
-    moments = {(tuple(r[k] for k in by), c): (r[f"__n{i}"], r[f"__mn{i}"], r[f"__mx{i}"], r[f"__s{i}"])
-               for r in grows for i, c in enumerate(cols)}
-    return result, moments
-
-
-def approx_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                     accuracy: int = 10_000) -> DataFrame:
-    """Opt-in approximation (rank error ≤ n / accuracy); never the default."""
-    aggs = [F.percentile_approx(col(c).cast("double"), list(probs), accuracy).alias(f"__q{i}")
-            for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("p"),
-                              F.col(f"__q{i}")[j].alias("value"))
-                     for i, c in enumerate(cols) for j, p in enumerate(probs)])
-    return wide.select(F.inline(rows))
+        x = [nan_to_null(col(c).cast("double")) for c in cols]
+    cells = F.array(*[F.struct(F.lit(i).alias("cid"), x[i].alias("v")) for i in range(len(cols))])
+    return df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.inline(cells)).where("v is not null")
+
+
+def _join(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be NULL."""
+    on = None
+    right = right.select(*[F.col(n).alias(f"__{n}") for n in names], *[F.col(n) for n in right.columns if n not in names])
+    for n in names:
+        same = F.col(n).eqNullSafe(F.col(f"__{n}"))
+        on = same if on is None else on & same
+    return left.join(right, on).drop(*[f"__{n}" for n in names])
+
+
+def _ranked(tall: DataFrame, stats: DataFrame, keys: list[str], wanted: Sequence[tuple[float, Column]]) -> DataFrame:
+    """(keys, cid, t, x_lo, x_hi): for each (share, position) of ``wanted`` the
+    values at the floor and at the ceiling of its position, a column over ``n``.
+    ``stats`` has n, mn, mx and ``q``, two approximate values per wanted share."""
+    group = [*keys, "cid"]
+    last = len(_GRID) - 1
+    few = F.col("n") <= ACCURACY       # of few values one rank is a larger share than the margin
+    brackets = stats.select(*group, F.inline(F.array(*[
+        F.struct(F.lit(t).alias("t"), at.alias("h"),
+                 F.when(few | F.lit(share - 4 / ACCURACY <= 0), F.col("mn")).otherwise(F.get("q", F.lit(2 * t))).alias("lo"),
+                 F.when(few | F.lit(share + 4 / ACCURACY >= 1), F.col("mx")).otherwise(F.get("q", F.lit(2 * t + 1))).alias("hi"))
+        for t, (share, at) in enumerate(wanted)])))
+    one = [*group, "t"]
+    while True:
+        inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+        hits = _join(tall, brackets, group)
+        counts = write_stage(
+            hits.where("v <= hi").groupBy(*one, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+            .agg(F.count(F.lit(1)).alias("c")), "quantile-counts")
+        most = counts.where("v is not null").groupBy(*one).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+        if most <= INSIDE:
+            break
+        # the shares of the wanted positions inside the bracket, cut at the grid's approximate values around them
+        size = counts.groupBy(*one).agg(F.sum(F.when(F.col("v").isNull(), F.col("c"))).alias("below"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("n_in"))
+        grid = hits.where(inside).groupBy(*one).agg(F.percentile_approx("v", _GRID, ACCURACY).alias("grid"))
+        share = (F.col("h") - F.coalesce("below", F.lit(0))) / F.col("n_in") * last
+        brackets = write_stage(_join(_join(brackets, size, one), grid, one).select(
+            *one, "h",
+            F.when(share < 2, F.col("lo")).otherwise(F.get("grid", F.greatest(F.lit(0), F.floor(share).cast("int") - 2))).alias("lo"),
+            F.when(share > last - 2, F.col("hi")).otherwise(F.get("grid", F.least(F.lit(last), F.ceil(share).cast("int") + 2))).alias("hi")), "quantile-brackets")
+    counts = _join(counts, brackets, one)
+    to = F.sum("c").over(Window.partitionBy(*one).orderBy(F.asc_nulls_first("v")))
+    counts = counts.withColumn("to", to)
+    # a position outside its bracket would be Spark's sketch breaking its promise: fail, never guess
+    held = (F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("to"))), F.lit(0)) <= F.floor(F.first("h"))) & (F.max("to") > F.ceil(F.first("h")))
+    return counts.groupBy(*one).agg(
+        F.min(F.when(F.col("to") > F.floor("h"), F.col("v"))).alias("x_lo"),
+        F.min(F.when(F.col("to") > F.ceil("h"), F.col("v"))).alias("x_hi"),
+        F.assert_true(held, "an order statistic lies outside its bracket").alias("checked")).where("checked is null").drop("checked")
+
+
+def _start(tall: DataFrame, keys: list[str], shares: Sequence[float]) -> DataFrame:
+    near = [min(1.0, max(0.0, s + d)) for s in shares for d in (-4 / ACCURACY, 4 / ACCURACY)]
+    return tall.groupBy(*keys, "cid").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"), F.sum(F.col("v").cast("double")).alias("sum"),
+        F.percentile_approx("v", near, ACCURACY).alias("q"))
+
+
+def quantiles_with_moments(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., cid, n, mn, mx, sum, value)``: a row for every group and column
+    (``cid`` its place in ``cols``), ``value`` the array of quantiles; a column
+    without values in a group has n = 0 and NULLs."""
+    cols, by, probs = list(cols), list(by), [float(p) for p in probs]
+    if any(not 0.0 <= p <= 1.0 for p in probs):
+        raise ValueError(f"probabilities out of range: {probs}")
+    keys = [f"k{i}" for i in range(len(by))]
+    tall = _tall(df, cols, by)
+    stats = write_stage(_start(tall, keys, probs), "quantile-start")
+    found = _ranked(tall, stats, keys, [(p, (F.col("n") - 1) * F.lit(p)) for p in probs])
+    h = (F.col("n") - 1) * F.get(F.array(*[F.lit(p) for p in probs]), F.col("t"))
+    a, b = F.col("x_lo"), F.col("x_hi")
+    value = F.when(a == b, a).otherwise((F.ceil(h) - h) * a + (h - F.floor(h)) * b)
+    values = (_join(found, stats.select(*keys, "cid", "n"), [*keys, "cid"]).groupBy(*keys, "cid")
+              .agg(F.sort_array(F.collect_list(F.struct("t", value.alias("value")))).alias("value")))
+    full = _join(stats.drop("q"), values.withColumn("value", F.col("value.value")), [*keys, "cid"])
+    groups = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(by)]).distinct() if by else df.sparkSession.range(1).select()
+    every = groups.withColumn("cid", F.explode(F.array(*[F.lit(i) for i in range(len(cols))])))
+    on = None
+    right = full.select(*[F.col(n).alias(f"__{n}") for n in (*keys, "cid")], "n", "mn", "mx", "sum", "value")
+    for n in (*keys, "cid"):
+        same = F.col(n).eqNullSafe(F.col(f"__{n}"))
+        on = same if on is None else on & same
+    return every.join(right, on, "left").select(
+        *[F.col(f"k{i}").alias(k) for i, k in enumerate(by)], "cid", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mn", "mx", "sum", "value")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Tidy ``(by..., column_name, p, value)``; missing values (NULL, NaN) are
+    skipped; a column with no values gives NULL."""
+    wide = quantiles_with_moments(df, cols, probs, by)
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.get("value", F.lit(j)).alias("value")) for j, p in enumerate(probs)])
+    return wide.select(*[col(k) for k in by], F.get(F.array(*[F.lit(c) for c in cols]), F.col("cid")).alias("column_name"), F.inline(rows))
+
+
+def order_statistic(df: DataFrame, column: str, share: float) -> tuple[int, float | None]:
+    """How many values a column has, n, and the one of rank ``ceil(share * n)``
+    (from 1; NULL if that is 0 or there are none)."""
+    tall = _tall(df, [column], [])
+    stats = write_stage(_start(tall, [], [share]), "quantile-start")
+    first = stats.first()
+    if first is None or share <= 0:
+        return (first["n"] if first else 0), None
+    found = _ranked(tall, stats, [], [(share, (F.ceil(F.col("n") * F.lit(share)) - 1).cast("double"))]).first()
+    return first["n"], found["x_lo"]

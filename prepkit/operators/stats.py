@@ -12,14 +12,17 @@ Design rules:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col, numeric_columns
-from .quantiles import exact_quantiles, quantiles_with_moments
+from ..functions.columns import col, nan_to_null, numeric_columns
+from ..session import ship_package
+from .quantiles import quantiles_with_moments
 from .setops import union_by_name
 
 
@@ -32,21 +35,16 @@ def central_measures(df: DataFrame, cols: Sequence[str] | None = None,
 
     Count, sum, min and max come from the first pass of the exact-median
     computation, so the whole table of measures costs the median's passes
-    only (the mean is ``sum / count``, as Spark's ``avg``)."""
+    only (the mean is ``sum / count``, as Spark's ``avg``).  ``max`` and ``min``
+    are BIGINT if all columns are integral, else DOUBLE."""
     by = list(by)
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=by)
-    med, mom = quantiles_with_moments(df, cols, [0.5], by=by)
-    medians = {(tuple(r[k] for k in by), r["column_name"]): r["value"] for r in med.collect()}
-    rows = []
-    for (g, c), (n, mn, mx, sm) in sorted(mom.items(), key=lambda kv: (repr(kv[0][0]), cols.index(kv[0][1]))):
-        mean = sm / n if n else None
-        half = (mx - mn) / 2 if n else None
-        rows.append((*g, cols.index(c), c, mean, medians.get((g, c)), mx, mn, half))
-    key_fields = [f for f in df.schema.fields if f.name in by]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in key_fields],
-                           T.StructField("ordinal", T.LongType()), T.StructField("column_name", T.StringType()),
-                           *[T.StructField(n, T.DoubleType()) for n in ("mean", "median", "max", "min", "half_range")]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    found = quantiles_with_moments(df, cols, [0.5], by=by)
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select(
+        *[col(k) for k in by], F.col("cid").cast("bigint").alias("ordinal"), F.get(names, F.col("cid")).alias("column_name"),
+        F.try_divide("sum", "n").alias("mean"), F.get("value", F.lit(0)).alias("median"), F.col("mx").alias("max"), F.col("mn").alias("min"),
+        ((F.col("mx") - F.col("mn")) / 2).alias("half_range"))
 
 
 def compare_stages(stages: Mapping[str, DataFrame], cols: Sequence[str] | None = None,
@@ -59,68 +57,76 @@ def compare_stages(stages: Mapping[str, DataFrame], cols: Sequence[str] | None =
     return central_measures(u, cols, by=[stage_column])
 
 
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles, tidy
-    ``(column_name, p, value)``."""
-    return exact_quantiles(df, cols, probs)
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Moments of every two columns ``i <= j`` over the rows that have both:
+    ``i, j, rows, n, sx, sy, sxx, syy, sxy, scale`` (sums about the columns' means;
+    ``scale`` is the larger squared mean).
 
+    One JVM aggregate finds the means, one Arrow pass multiplies matrices (a
+    task sends one row per pair), and Spark adds them up.  The work per row does
+    not depend on how many columns whole-stage code generation can hold."""
+    cols = list(cols)
+    ship_package(df.sparkSession)
+    x = df.select(*[nan_to_null(col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    row = x.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(cols))]).first()
+    centre = np.array([0.0 if m is None else m for m in row], dtype=np.float64)
+    at_i, at_j = np.triu_indices(len(cols))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = 0, np.zeros((6, len(cols), len(cols)))
+        for b in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(np.float64) - centre
+            have = ~np.isnan(z)
+            z, have = np.where(have, z, 0.0), have.astype(np.float64)
+            rows += len(z)
+            total += (have.T @ have, z.T @ have, have.T @ z, (z * z).T @ have, have.T @ (z * z), z.T @ z)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at_i, pa.int32()), pa.array(at_j, pa.int32()), pa.array([rows] * len(at_i), pa.int64()), *[pa.array(t[at_i, at_j]) for t in total]],
+            names=["i", "j", "rows", *_SUMS])
+
+    parts = x.mapInArrow(sums, "i int, j int, rows long, " + ", ".join(f"{c} double" for c in _SUMS))
+    squares = F.array(*[F.lit(float(c * c)) for c in centre])
+    return (parts.groupBy("i", "j").agg(F.sum("rows").alias("rows"), *[F.sum(c).alias(c) for c in _SUMS])
+            .withColumn("scale", F.greatest(F.get(squares, F.col("i")), F.get(squares, F.col("j")))))
+
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
-def _complete_flags(df: DataFrame, cols: Sequence[str]) -> list[Column]:
-    return [F.count_if(col(c).isNull()).alias(f"__nn{i}") for i, c in enumerate(cols)]
 
+def _cells(moments: DataFrame, cols: Sequence[str], value: Column) -> DataFrame:
+    """Both orders of each pair, tidy, in matrix order."""
+    names = F.array(*[F.lit(c) for c in cols])
+    upper = moments.select("i", "j", value.alias("value"))
+    both = upper.union(upper.where("i <> j").select(F.col("j"), F.col("i"), "value"))
+    return (both.orderBy("i", "j").select(F.get(names, F.col("i")).alias("col_i"), F.get(names, F.col("j")).alias("col_j"), "value"))
 
-def cov_matrix(df: DataFrame, cols: Sequence[str], propagate_nulls: bool = True) -> DataFrame:
+
+def _centred(a: str, x: str, y: str) -> Column:
+    return F.try_divide(F.col(a) - F.try_divide(F.col(x) * F.col(y), F.col("n")), F.col("n"))
+
+
+def cov_matrix(df: DataFrame, cols: Sequence[str], propagate_nulls: bool = True, moments: DataFrame | None = None) -> DataFrame:
     """Population covariance matrix (ddof 0), tidy ``(col_i, col_j,
-    value)`` over all ordered pairs.  Computed for i ≤ j in one pass and
-    mirrored.  With ``propagate_nulls`` (reference parity: the centred
-    matrix product turns a single missing value into a missing row/column)
-    a pair touching a column with any NULL is NULL."""
+    value)`` over all ordered pairs.  With ``propagate_nulls`` (reference
+    parity: the centred matrix product turns a single missing value into a
+    missing row/column) a pair touching a column with any NULL is NULL."""
     cols = list(cols)
-    x = [col(c).cast("double") for c in cols]
-    aggs = _complete_flags(df, cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs += [F.covar_pop(x[i], x[j]).alias(f"__cv{i}_{j}") for i, j in pairs]
-    wide = df.agg(*aggs)
-    cells = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            a, b = min(i, j), max(i, j)
-            v = F.col(f"__cv{a}_{b}")
-            if propagate_nulls:
-                v = F.when((F.col(f"__nn{a}") == 0) & (F.col(f"__nn{b}") == 0), v)
-            cells.append(F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"),
-                                  v.alias("value")))
-    return wide.select(F.inline(F.array(*cells)))
-
-
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    value = _centred("sxy", "sx", "sy")
+    if propagate_nulls:
+        value = F.when(F.col("n") == F.col("rows"), value)
+    return _cells(moments if moments is not None else pair_moments(df, cols), cols, value)
+
+
+def corr_matrix(df: DataFrame, cols: Sequence[str], moments: DataFrame | None = None) -> DataFrame:
     """Pearson correlation on pairwise-complete rows, tidy
-    ``(col_i, col_j, value)``.  A zero-variance column gives NULL for all its
-    pairs and its diagonal (the built-in ``corr`` raises DIVIDE_BY_ZERO under
-    ANSI; ``try_divide`` yields NULL).  One pass over i ≤ j."""
+    ``(col_i, col_j, value)``.  A column without variance gives NULL for all its
+    pairs and its diagonal."""
     cols = list(cols)
-    x = [col(c).cast("double") for c in cols]
-    aggs = []
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    for i, j in pairs:
-        if i == j:
-            aggs.append(F.var_pop(x[i]).alias(f"__r{i}_{j}"))
-            continue
-        both_i = F.when(x[j].isNotNull(), x[i])
-        both_j = F.when(x[i].isNotNull(), x[j])
-        aggs.append(F.try_divide(F.covar_pop(x[i], x[j]),
-                                 F.stddev_pop(both_i) * F.stddev_pop(both_j)).alias(f"__r{i}_{j}"))
-    wide = df.agg(*aggs)
-    cells = []
-    for i in range(len(cols)):
-        for j in range(len(cols)):
-            a, b = min(i, j), max(i, j)
-            v = F.col(f"__r{a}_{b}")
-            if a == b:
-                v = F.when(v > 0, F.lit(1.0))
-            cells.append(F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"),
-                                  v.alias("value")))
-    return wide.select(F.inline(F.array(*cells)))
+    vx, vy = _centred("sxx", "sx", "sx"), _centred("syy", "sy", "sy")
+    least = F.col("scale") * 1e-26        # what rounding leaves of a constant column's variance
+    value = F.when((vx > least) & (vy > least), F.when(F.col("i") == F.col("j"), F.lit(1.0))
+                   .otherwise(_centred("sxy", "sx", "sy") / F.sqrt(vx * vy)))
+    return _cells(moments if moments is not None else pair_moments(df, cols), cols, value)
 
 
 def corr_labels(corr: DataFrame, digits: int = 2) -> DataFrame:

@@ -356,10 +356,31 @@ def q_cov_matrix(spark, d):
     return _round_stats(stats.cov_matrix(li, MEASURES), ["value"])
 
 
-def _pairs_sql(source, cell):
+# The reference correlates 13 columns; so many are derived from the readings here.
+WIDE = {"q": "l_quantity", "p": "l_extendedprice", "d": "l_discount", "t": "l_tax", "qp": "l_quantity * l_extendedprice",
+        "qd": "l_quantity * l_discount", "qt": "l_quantity * l_tax", "pd": "l_extendedprice * l_discount",
+        "pt": "l_extendedprice * l_tax", "dt": "l_discount * l_tax", "qq": "l_quantity * l_quantity",
+        "dd": "l_discount * l_discount", "tt": "l_tax * l_tax"}
+
+
+def q_cov_matrix_13(spark, d):
+    li = table(spark, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in WIDE.items()])
+    return stats.cov_matrix(li, list(WIDE)).select("col_i", "col_j", sig_round(F.col("value"), 6).alias("value"))
+
+
+def q_corr_matrix_13(spark, d):
+    r = readings(spark, d).selectExpr(*[f"{e} AS {c}" for c, e in WIDE.items()])
+    return stats.corr_matrix(r, list(WIDE)).select("col_i", "col_j", round_half_up(F.col("value"), 9).alias("value"))
+
+
+def _wide_sql(source):
+    return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in WIDE.items()) + f" FROM {source}"
+
+
+def _pairs_sql(source, cell, cols=MEASURES):
     sel = []
-    for a in MEASURES:
-        for b in MEASURES:
+    for a in cols:
+        for b in cols:
             sel.append(f"SELECT '{a}' AS col_i, '{b}' AS col_j, {cell(a, b)} AS value FROM {source}")
     return "\nUNION ALL ".join(sel)
 
@@ -375,6 +396,10 @@ def _corr_cell(a, b):
             f"stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END), 0)")
 
 
+SQL_COV_13 = f"WITH w AS ({_wide_sql('lineitem')})\n" + _pairs_sql("w", lambda a, b: sig_round_sql(
+    f"CASE WHEN count(*) = count({a}) AND count(*) = count({b}) THEN covar_pop({a}, {b}) END", 6), list(WIDE))
+
+
 def q_corr_matrix(spark, d):
     c = stats.corr_matrix(readings(spark, d), MEASURES)
     return c.select("col_i", "col_j", round_half_up(F.col("value"), 9).alias("value"))
@@ -383,6 +408,10 @@ def q_corr_matrix(spark, d):
 SQL_CORR = f"{WITH_READINGS}\n" + _pairs_sql("readings", lambda a, b: _round_sql(_corr_cell(a, b), 9))
 
 
+SQL_CORR_13 = (f"{WITH_READINGS}, w AS ({_wide_sql('readings')})\n"
+               + _pairs_sql("w", lambda a, b: _round_sql(_corr_cell(a, b), 9), list(WIDE)))
+
+
 def q_corr_labels(spark, d):
     c = stats.corr_labels(stats.corr_matrix(readings(spark, d), MEASURES))
     return c.select("col_i", "col_j", round_half_up(F.col("value"), 9).alias("value"), "label")
@@ -553,6 +582,8 @@ QUERIES: dict[str, Query] = {
     "cov_matrix": q_cov_matrix,
     "corr_matrix": q_corr_matrix,
     "corr_labels": q_corr_labels,
+    "cov_matrix_13": q_cov_matrix_13,
+    "corr_matrix_13": q_corr_matrix_13,
     "center": q_center,
     "round_even": q_round_even,
     "csv_roundtrip": q_csv_roundtrip,
@@ -592,6 +623,8 @@ ORACLE: dict[str, str] = {
     "cov_matrix": SQL_COV,
     "corr_matrix": SQL_CORR,
     "corr_labels": SQL_CORR_LABELS,
+    "cov_matrix_13": SQL_COV_13,
+    "corr_matrix_13": SQL_CORR_13,
     "center": SQL_CENTER,
     "round_even": SQL_ROUND_EVEN,
     "csv_roundtrip": SQL_CSV,

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import normalize_nan
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -34,7 +36,8 @@ SENTINELS = {"l_quantity": 50.0, "l_discount": 0.0, "l_tax": 0.0}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, with NaN read as missing like every scan of the library."""
+    return normalize_nan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,8 +145,9 @@ def clean_and_transform(df: DataFrame, outlier_cols: Sequence[str] = OUTLIER_COL
 
 def correlate(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
     """Covariance (population), correlation and its labelled cells."""
-    corr = stats.corr_matrix(df, cols)
-    return {"cov": stats.cov_matrix(df, cols), "corr": corr, "labels": stats.corr_labels(corr)}
+    moments = write_stage(stats.pair_moments(df, cols), "pair-moments")     # one pass for both
+    corr = stats.corr_matrix(df, cols, moments=moments)
+    return {"cov": stats.cov_matrix(df, cols, moments=moments), "corr": corr, "labels": stats.corr_labels(corr)}
 
 
 def post_imputation_stats(df: DataFrame) -> dict[str, DataFrame]:

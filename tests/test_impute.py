@@ -74,7 +74,7 @@ def test_pass_through_and_persistence(sensor):
 def test_distributed_rounds_equal_driver_rounds(sensor):
     df = _prepared(sensor)
     local = ChainedImputer(COLS).fit(df)
-    dist = ChainedImputer(COLS, max_patterns=2).fit(df)    # forces the Spark-side rounds
+    dist = ChainedImputer(COLS, grams="cluster").fit(df)
     assert dist.n_patterns_ == local.n_patterns_ and dist.n_iter_ == local.n_iter_
     a = _matrix(local.transform(df), COLS)
     b = _matrix(dist.transform(df), COLS)
@@ -91,9 +91,50 @@ def test_more_than_62_columns(spark):
     df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x],
                                ", ".join(f"{c} double" for c in cols))
     # driver rounds (3 rounds), then Spark-side rounds (1 round: one job per column)
-    for cap, rounds in ((50_000, 3), (2, 1)):
+    for grams, rounds in (("driver", 3), ("cluster", 1)):
         ref = RowwiseImputer(max_iter=rounds).fit(x)
-        imp = ChainedImputer(cols, max_iter=rounds, max_patterns=cap).fit(df)
+        imp = ChainedImputer(cols, max_iter=rounds, grams=grams).fit(df)
         got = _matrix(imp.transform(df), cols)
         assert imp.n_iter_ == ref.n_iter
         np.testing.assert_allclose(got, ref.fitted, rtol=1e-8, atol=1e-8)
+
+
+def test_many_patterns_give_the_row_wise_result(spark):
+    """More than 50,000 distinct patterns, on the driver's path; nothing is switched or refused."""
+    rng = np.random.default_rng(5)
+    n, p = 60_000, 18
+    x = rng.normal(size=(n, 3)) @ rng.normal(size=(3, p)) + 0.2 * rng.normal(size=(n, p))
+    x[rng.random((n, p)) < 0.5] = np.nan
+    df = spark.createDataFrame(__import__("pandas").DataFrame(x, columns=[f"c{j}" for j in range(p)]))
+    imp = ChainedImputer(df.columns, max_iter=2).fit(df)
+    assert imp.n_patterns_ > 50_000
+    got = _matrix(imp.transform(df), df.columns)
+    ref = RowwiseImputer(max_iter=2).fit(x)
+    order = lambda m: m[np.lexsort(m.T)]
+    np.testing.assert_allclose(order(got), order(ref.fitted), rtol=1e-7, atol=1e-7)
+
+
+def test_infinite_value_names_its_column(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (float("-inf"), 3.0), (2.0, None)], "a double, b double")
+    with pytest.raises(ValueError, match="infinite.*a"):
+        ChainedImputer(["a", "b"]).fit(df)
+
+
+def test_pass_through_columns_are_not_touched(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, None), (4.0, 8.2)], "a double, b double").selectExpr(
+        "*", "timestamp_ntz'9999-12-31 23:59:59' as t", "array(named_struct('k', 1, 'z', 'y')) as nested", "cast(null as bigint) as nothing")
+    out = ChainedImputer(["a", "b"]).fit_transform(df)
+    assert out.schema == df.schema and out.where("b is null").count() == 0
+    assert out.where("t = timestamp_ntz'9999-12-31 23:59:59' and nested[0].z = 'y' and nothing is null").count() == 4
+
+
+def test_wide_rows_stay_within_the_task_bound(spark):
+    import prepkit.operators.impute as im
+    rng = np.random.default_rng(2)
+    p = 200
+    x = rng.normal(size=(400, 4)) @ rng.normal(size=(4, p)) + rng.normal(size=(400, p))
+    x[rng.random((400, p)) < 0.02] = np.nan
+    df = spark.createDataFrame(__import__("pandas").DataFrame(x, columns=[f"c{j}" for j in range(p)]))
+    out = ChainedImputer(df.columns, max_iter=1).fit_transform(df)
+    assert out.where(" or ".join(f"{c} is null" for c in df.columns)).count() == 0
+    assert im._HELD_BYTES // (8 * (p + 1) ** 2) >= 1
