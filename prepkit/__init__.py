@@ -7,7 +7,6 @@ Sub-packages:
 * ``functions`` — column expressions: quoting, NA tokens, time, rounding (P-family)
 * ``operators`` — set ops, profiling, statistics, features, imputation (U, A, O, F)
 * ``plans``     — the reference's workflows (W1–W8) and the registered queries
-* ``streaming`` — the per-source quality summary over arriving files
 """
 
 __version__ = "0.1.0"

@@ -58,21 +58,25 @@ def best_source(quality: DataFrame, key: str = "anio", by: str = "null_cells") -
     return quality.agg(F.min_by(col(key), rank).alias(key), F.min(col(by)).alias(by))
 
 
-def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """A3 + A4: per column ``null_count`` and ``null_pct`` (of all rows),
-    plus the column's ``ordinal``.  One pass."""
+def column_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``ordinal, column_name, dtype, n_rows, non_null_count`` of each column: the
+    one pass that A3, A4, A7 and A8 share."""
+    types = dict(df.dtypes)
     cols = list(cols or df.columns)
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count_if(col(c).isNull()).alias(f"__c{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*aggs)
+    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"__c{i}") for i, c in enumerate(cols)])
     rows = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("ordinal"),
-                 F.lit(c).alias("column_name"),
-                 F.col(f"__c{i}").alias("null_count"))
+        F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
+                 F.col("__n").alias("n_rows"), F.col(f"__c{i}").alias("non_null_count"))
         for i, c in enumerate(cols)])
-    return (wide.select(F.col("__n"), F.inline(rows))
-            .select("ordinal", "column_name", "null_count",
-                    (F.col("null_count") * 100.0 / F.col("__n")).alias("null_pct")))
+    return wide.select(F.inline(rows))
+
+
+def null_profile(df: DataFrame, cols: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """A3 + A4: per column ``null_count`` and ``null_pct`` (of all rows; NULL
+    without rows), plus the column's ``ordinal``.  One pass."""
+    counts = counts if counts is not None else column_counts(df, cols)
+    nulls = F.col("n_rows") - F.col("non_null_count")
+    return counts.select("ordinal", "column_name", nulls.alias("null_count"), F.try_divide(nulls * 100.0, F.col("n_rows")).alias("null_pct"))
 
 
 def null_pct_labels(profile: DataFrame) -> DataFrame:
@@ -81,23 +85,18 @@ def null_pct_labels(profile: DataFrame) -> DataFrame:
                           percent_label(F.col("null_pct")).alias("null_pct_label"))
 
 
-def shape(df: DataFrame) -> DataFrame:
+def shape(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``(n_rows, n_cols)`` as a one-row DataFrame."""
+    if counts is not None:
+        return counts.agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.lit(len(df.columns)).cast("bigint").alias("n_cols"))
 
 
-def schema_profile(df: DataFrame) -> DataFrame:
+def schema_profile(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Column, non-null count, Spark type name.  One pass."""
-    fields = df.schema.fields
-    wide = df.agg(*[F.count(col(f.name)).alias(f"__c{i}") for i, f in enumerate(fields)])
-    rows = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("ordinal"),
-                 F.lit(f.name).alias("column_name"),
-                 F.col(f"__c{i}").alias("non_null_count"),
-                 F.lit(f.dataType.simpleString()).alias("dtype"))
-        for i, f in enumerate(fields)])
-    return wide.select(F.inline(rows))
+    counts = counts if counts is not None else column_counts(df)
+    return counts.select("ordinal", "column_name", "non_null_count", "dtype")
 
 
 def head(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
@@ -121,14 +120,14 @@ def glimpse(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
         return F.array_join(F.transform(entries, lambda s: s.getField("__v")), ", ")
 
     firsts = top.agg(*[first_values(i).alias(f"__f{i}") for i in range(len(fields))])
-    n_rows = df.count()                      # one number (a partial + final count)
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
     rows = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("ordinal"),
                  F.lit(f.name).alias("column_name"),
                  F.lit(f.dataType.simpleString()).alias("dtype"),
                  F.col(f"__f{i}").alias("first_values"))
         for i, f in enumerate(fields)])
-    return firsts.select(F.lit(n_rows).cast("bigint").alias("n_rows"), F.inline(rows))
+    return firsts.select(n_rows.alias("n_rows"), F.inline(rows))
 
 
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

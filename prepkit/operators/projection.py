@@ -13,8 +13,8 @@ from ..functions.columns import col, hour_of, month_of, parse_timestamp
 
 
 def tag(df: DataFrame, name: str, value) -> DataFrame:
-    """Constant source tag (e.g. the station / sheet name)."""
-    return df.withColumn(name, F.lit(value))
+    """Constant source tag (e.g. the station / sheet name; None: NULL)."""
+    return df.withColumn(name, F.lit(value) if value is not None else F.lit(None).cast("string"))
 
 
 def drop_checked(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -49,12 +49,12 @@ def move_to_front(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def add_time_features(df: DataFrame, ts: str, month: str = "Mes", hour: str = "Hora",
-                      parse: bool = True, strict: bool = True) -> DataFrame:
-    """Parse ``ts`` to TIMESTAMP_NTZ (when it is text) and append
-    month and hour columns."""
+                      fmt: str | None = None, strict: bool = True) -> DataFrame:
+    """Parse ``ts`` to TIMESTAMP_NTZ (when it is text; ``fmt`` is its
+    pattern, ISO by default) and append month and hour columns."""
     c = col(ts)
     dtype = dict(df.dtypes)[ts]
-    if parse and dtype == "string":
-        df = df.withColumn(ts, parse_timestamp(c, strict=strict))
+    if dtype == "string":
+        df = df.withColumn(ts, parse_timestamp(c, fmt, strict))
         c = col(ts)
     return df.withColumn(month, month_of(c)).withColumn(hour, hour_of(c))

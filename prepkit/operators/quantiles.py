@@ -81,11 +81,14 @@ def _ranked(tall: DataFrame, stats: DataFrame, keys: list[str], wanted: Sequence
         # the shares of the wanted positions inside the bracket, cut at the grid's approximate values around them
         size = counts.groupBy(*one).agg(F.sum(F.when(F.col("v").isNull(), F.col("c"))).alias("below"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("n_in"))
         grid = hits.where(inside).groupBy(*one).agg(F.percentile_approx("v", _GRID, ACCURACY).alias("grid"))
-        share = (F.col("h") - F.coalesce("below", F.lit(0))) / F.col("n_in") * last
+        # (grid places of the wanted ranks, from the rank before the floor to the one after the ceiling)
+        below = F.coalesce("below", F.lit(0))
+        first = F.floor((F.floor("h") - below) / F.col("n_in") * last).cast("int") - 2
+        final = F.ceil((F.ceil("h") - below + 1) / F.col("n_in") * last).cast("int") + 2
         brackets = write_stage(_join(_join(brackets, size, one), grid, one).select(
             *one, "h",
-            F.when(share < 2, F.col("lo")).otherwise(F.get("grid", F.greatest(F.lit(0), F.floor(share).cast("int") - 2))).alias("lo"),
-            F.when(share > last - 2, F.col("hi")).otherwise(F.get("grid", F.least(F.lit(last), F.ceil(share).cast("int") + 2))).alias("hi")), "quantile-brackets")
+            F.when(first < 0, F.col("lo")).otherwise(F.get("grid", F.greatest(F.lit(0), first))).alias("lo"),
+            F.when(final > last, F.col("hi")).otherwise(F.get("grid", F.least(F.lit(last), final))).alias("hi")), "quantile-brackets")
     counts = _join(counts, brackets, one)
     to = F.sum("c").over(Window.partitionBy(*one).orderBy(F.asc_nulls_first("v")))
     counts = counts.withColumn("to", to)

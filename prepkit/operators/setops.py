@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .projection import tag
 
 
 def _widest(types: list[T.DataType]) -> T.DataType:
-    """int + float → double; any string → string (the scan should have
-    normalised text cells to numbers before the union)."""
+    """int + bigint → bigint (exact); int + float → double; any string → string
+    (the scan should have normalised text cells to numbers before the union)."""
     if all(t == types[0] for t in types):
         return types[0]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return T.LongType()
     if all(isinstance(t, T.NumericType) for t in types):
         return T.DoubleType()
     if all(isinstance(t, (T.TimestampNTZType, T.TimestampType, T.DateType)) for t in types):
@@ -27,7 +30,7 @@ def _widest(types: list[T.DataType]) -> T.DataType:
 def union_by_name(parts: Sequence[DataFrame] | Mapping[str, DataFrame],
                   tag_column: str | None = None) -> DataFrame:
     """Bag union over the outer set of columns, NULL where a part lacks a
-    column, mixed numeric types widened to DOUBLE.
+    column, mixed numeric types widened (integral ones to BIGINT, else to DOUBLE).
 
     ``parts`` may be a mapping ``tag -> DataFrame``; the tag is then written
     to ``tag_column`` (P1).  The union is a narrow operation: no shuffle.
@@ -35,7 +38,7 @@ def union_by_name(parts: Sequence[DataFrame] | Mapping[str, DataFrame],
     if isinstance(parts, Mapping):
         if tag_column is None:
             raise ValueError("tag_column is required when parts is a mapping")
-        parts = [df.withColumn(tag_column, F.lit(k)) for k, df in parts.items()]
+        parts = [tag(df, tag_column, k) for k, df in parts.items()]
     parts = list(parts)
     if not parts:
         raise ValueError("nothing to union")

@@ -12,20 +12,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, round_half_even, round_half_up, sig_round, sig_round_sql
+from ..functions.columns import col, normalize_nan, round_half_even, round_half_up, sig_round, sig_round_sql
 from ..operators import features as feat
 from ..operators import profile as prof
 from ..operators import projection as proj
 from ..operators import setops, stats
 from ..operators.impute import ChainedImputer
+from ..operators.quantiles import quantiles_with_moments
 from . import workflows
 from ..session import scratch_path
-from ..sinks.files import write_csv, write_csv_indexed
-from ..sources.batch import read_keyed_sources
-from ..sources.csv import read_csv
+from ..sinks.files import write_csv, write_csv_indexed, write_stage
+from ..sources.batch import read_keyed_sources, skipped_frame
+from ..sources.csv import malformed_counts, read_csv
 from .standins import MEASURES, READING_KEYS, readings, readings_sql, table, with_year
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,9 +36,7 @@ DUP_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
 EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint",
                "event_type": "string", "value": "double", "props": "string"}
-# PM10 air-quality bins of the reference (right-closed) and labels.
-AIR_EDGES = [0.0, 50.0, 100.0, float("inf")]
-AIR_LABELS = ["Buena", "Regular", "Mala"]
+AIR_EDGES, AIR_LABELS = workflows.BIN_EDGES, workflows.BIN_LABELS
 
 WITH_READINGS = f"WITH readings AS ({readings_sql()})"
 
@@ -76,16 +75,18 @@ SQL_BEST = f"""SELECT anio, null_cells FROM ({SQL_QUALITY}) q ORDER BY null_cell
 
 
 def _tagged_union(spark, d):
+    """A part per station that the data has (station N lacks l_tax)."""
     r = readings(spark, d)
-    parts = {"A": r.where(F.col("l_returnflag") == "A"),
-             "N": r.where(F.col("l_returnflag") == "N").drop("l_tax"),
-             "R": r.where(F.col("l_returnflag") == "R")}
-    return setops.union_by_name(parts, tag_column="station")
+    parts = {}
+    for (flag,) in r.select("l_returnflag").distinct().orderBy(F.asc_nulls_last("l_returnflag")).collect():
+        part = r.where(F.col("l_returnflag").eqNullSafe(F.lit(flag)))
+        parts[flag] = part.drop("l_tax") if flag == "N" else part
+    # the part that lacks a column does not come first, so that the column order is the table's
+    return setops.union_by_name(dict(sorted(parts.items(), key=lambda p: p[0] == "N")), tag_column="station")
 
 
-SQL_UNION_BODY = """SELECT *, 'A' AS station FROM readings WHERE l_returnflag = 'A'
-UNION ALL BY NAME SELECT * EXCLUDE (l_tax), 'N' AS station FROM readings WHERE l_returnflag = 'N'
-UNION ALL BY NAME SELECT *, 'R' AS station FROM readings WHERE l_returnflag = 'R'"""
+SQL_UNION_BODY = """SELECT *, l_returnflag AS station FROM readings WHERE l_returnflag IS DISTINCT FROM 'N'
+UNION ALL BY NAME SELECT * EXCLUDE (l_tax), l_returnflag AS station FROM readings WHERE l_returnflag = 'N'"""
 SQL_UNION = f"{WITH_READINGS}\n{SQL_UNION_BODY}"
 UNION_COLS = READ_COLS + ["station"]
 
@@ -152,6 +153,31 @@ SQL_GLIMPSE = ("WITH t AS (SELECT * FROM events ORDER BY event_id LIMIT 5), n AS
                    for i, c in enumerate(EVENT_COLS)))
 
 
+def _repeated(spark, d):
+    """Whole readings, with every row of station R there twice (a logger's repeated export)."""
+    r = readings(spark, d)
+    return r.union(r.where("l_returnflag = 'R'"))
+
+
+WITH_REPEATED = f"{WITH_READINGS}, repeated AS (SELECT * FROM readings UNION ALL SELECT * FROM readings WHERE l_returnflag = 'R')"
+
+
+def q_dup_count_rows(spark, d):
+    return prof.duplicate_count(_repeated(spark, d))
+
+
+SQL_DUP_ROWS = (f"{WITH_REPEATED}\nSELECT CAST(SUM(k) AS BIGINT) AS n_rows, COUNT(*) AS n_distinct, "
+                f"CAST(SUM(k - 1) AS BIGINT) AS n_duplicates FROM (SELECT COUNT(*) AS k FROM repeated "
+                f"GROUP BY {', '.join(READ_COLS)}) g")
+
+
+def q_dedupe_rows(spark, d):
+    return setops.distinct_rows(_repeated(spark, d))
+
+
+SQL_DEDUPE_ROWS = f"{WITH_REPEATED}\nSELECT DISTINCT * FROM repeated"
+
+
 def q_dup_count(spark, d):
     return prof.duplicate_count(readings(spark, d).select(*DUP_COLS))
 
@@ -466,17 +492,72 @@ def q_csv_roundtrip(spark, d):
 SQL_CSV = "SELECT * FROM orders"
 
 
+def _yearly(spark, d):
+    """K1 per year → S2/S3: one directory per year, read back over the data's
+    years and two more on either side; absent years are skipped and reported, the
+    year comes from the path."""
+    _, years, ddl, root = _consolidation(spark, d)
+    return read_keyed_sources(spark, root + "/anio={year}", years, lambda paths: read_csv(spark, paths, ddl), key="anio")
+
+
 def q_yearly_sources(spark, d):
-    """K1 per year → S2/S3: one directory per year, read back over a wider
-    year range; absent years are skipped (and reported), the year comes
-    from the path."""
+    return _yearly(spark, d)[0]
+
+
+def q_skipped_sources(spark, d):
+    return skipped_frame(spark, _yearly(spark, d)[1])
+
+
+SQL_SKIPPED = """WITH y AS (SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS anio FROM lineitem)
+SELECT g AS anio FROM (SELECT unnest(generate_series((SELECT min(anio) - 2 FROM y), (SELECT max(anio) + 2 FROM y))) AS g)
+WHERE g NOT IN (SELECT anio FROM y)"""
+
+
+def q_consolidated(spark, d):
+    """W1 as composed: the quality summary with each year's written folder (below the root)."""
+    _, years, ddl, root = _consolidation(spark, d)
+    out = scratch_path(spark, "unified")
+    done = workflows.consolidate_sources(spark, root + "/anio={year}", years, lambda paths: read_csv(spark, paths, ddl), output_root=out)
+    return done.quality.withColumn("output_path", F.replace("output_path", F.lit(out), F.lit("")))
+
+
+def _consolidation(spark, d):
     r = with_year(readings(spark, d))
-    root = scratch_path(spark, "yearly")
+    root = scratch_path(spark, "yearly") + "/BD por anio"       # a name with spaces, as the reference has
     write_csv(r, root, partition_by=["anio"])
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in r.drop("anio").schema.fields)
-    df, _skipped = read_keyed_sources(spark, root + "/anio={year}", range(1990, 2006),
-                                      lambda paths: read_csv(spark, paths, ddl), key="anio")
-    return df
+    first, last = r.agg(F.min("anio"), F.max("anio")).first()
+    return r, range(first - 2, last + 3), ddl, root
+
+
+SQL_CONSOLIDATED = f"SELECT anio, total_rows, null_cells, '/anio=' || anio AS output_path FROM ({SQL_QUALITY}) q"
+
+
+def q_csv_text_roundtrip(spark, d):
+    """K1 → S4 with cells that need care: outer white space, quotes, separators,
+    newlines, and a type for each column inferred from all rows."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", *[F.expr(e).alias(c) for c, e in CSV_TEXTS.items()])
+    path = scratch_path(spark, "texts-csv")
+    write_csv(o, path)
+    return read_csv(spark, path, multi_line=True)
+
+
+CSV_TEXTS = {"padded": "concat(' ', o_orderpriority, '  ')", "quoted": "concat('say ', chr(34), o_orderstatus, chr(34))",
+             "split": "concat(o_orderstatus, ',', chr(10), o_orderpriority)"}
+SQL_CSV_TEXTS = "SELECT o_orderkey, o_totalprice, " + ", ".join(f"{e} AS {c}" for c, e in CSV_TEXTS.items()) + " FROM orders"
+
+
+def q_malformed(spark, d):
+    """Cells that are no number of their column's type, counted per column."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("whole"), F.col("o_orderstatus").alias("status"))
+    path = scratch_path(spark, "malformed-csv")
+    write_csv(o, path)
+    return malformed_counts(spark, path, "o_orderkey bigint, whole bigint, status double")
+
+
+SQL_MALFORMED = """SELECT 'o_orderkey' AS column_name, CAST(0 AS BIGINT) AS malformed FROM orders HAVING count(*) >= 0
+UNION ALL SELECT 'whole', count(o_totalprice) FROM orders
+UNION ALL SELECT 'status', count(o_orderstatus) FROM orders"""
 
 
 SQL_YEARLY = f"{WITH_READINGS}\nSELECT *, CAST(year(l_shipdate) AS BIGINT) AS anio FROM readings"
@@ -497,10 +578,111 @@ def q_impute_fit_transform(spark, d):
     return out
 
 
-def _holdout_input(spark, d):
-    r = readings(spark, d)
-    key = F.concat_ws(":", *[F.col(k).cast("string") for k in READING_KEYS])
-    return r.select(key.alias("row_id"), *MEASURES)
+def _holdout_input(spark, d, measures=MEASURES):
+    """Readings under a key that identifies each row: READING_KEYS and, of rows
+    that share them, a number."""
+    same = Window.partitionBy(*READING_KEYS).orderBy(*[F.asc_nulls_last(m) for m in MEASURES])
+    r = readings(spark, d).withColumn("copy", F.row_number().over(same))
+    key = F.concat_ws(":", *[F.col(k).cast("string") for k in READING_KEYS], F.col("copy").cast("string"))
+    return r.select(key.alias("row_id"), *measures)
+
+
+SQL_KEYED = (f"SELECT *, concat_ws(':', {', '.join(READING_KEYS)}, row_number() OVER (PARTITION BY {', '.join(READING_KEYS)} "
+             f"ORDER BY {', '.join(f'{m} NULLS LAST' for m in MEASURES)})) AS row_id FROM readings")
+
+# One gapped column and a complete one: the Bayesian ridge is scalar, so its evidence
+# iteration is a recursion over six sums, and later rounds change nothing.
+ONE_GAP = ["l_extendedprice", "l_quantity"]
+
+
+def _one_gap_sql(fit: str, apply: str, rows: str) -> str:
+    """CTEs ending in ``fitted``: ``rows`` of ``apply`` with l_quantity filled from the fit on ``fit``."""
+    return f"""obs AS (SELECT l_extendedprice AS x, l_quantity AS y FROM {fit} WHERE l_quantity IS NOT NULL),
+mean AS (SELECT avg(x) AS mx, avg(y) AS my, CAST(count(*) AS DOUBLE) AS n FROM obs),
+mom AS (SELECT n, mx, my, sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy
+        FROM obs, mean GROUP BY n, mx, my),
+ridge(it, a, l, w, done) AS (
+  SELECT 0, 1 / (syy / n + 2.220446049250313e-16), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), false FROM mom
+  UNION ALL
+  SELECT it + 1, (n - g + 2e-6) / (greatest(syy - 2 * c * sxy + c * c * sxx, 0) + 2e-6), (g + 2e-6) / (c * c + 2e-6), c,
+         it <> 0 AND abs(w - c) < 1e-3
+  FROM (SELECT it, w, n, sxx, sxy, syy, sxy / (sxx + l / a) AS c, a * sxx / (l + a * sxx) AS g FROM ridge, mom
+        WHERE NOT done AND it < 300) s),
+coef AS (SELECT sxy / (sxx + l / a) AS b FROM ridge, mom ORDER BY it DESC LIMIT 1),
+fitted AS (SELECT {rows}, l_extendedprice, coalesce(l_quantity, my + b * (l_extendedprice - mx)) AS l_quantity FROM {apply}, mom, coef)"""
+
+
+def q_impute_one_gap(spark, d):
+    """F2, one gapped column: fitted and applied on the same rows."""
+    r = readings(spark, d).select(*READING_KEYS, *ONE_GAP)
+    out = ChainedImputer(ONE_GAP).fit_transform(r)
+    return out.select(*READING_KEYS, "l_extendedprice", round_half_up(F.col("l_quantity"), 6).alias("l_quantity"))
+
+
+SQL_ONE_GAP = (f"WITH RECURSIVE readings AS ({readings_sql()}), " + _one_gap_sql("readings", "readings", ", ".join(READING_KEYS))
+               + f"\nSELECT {', '.join(READING_KEYS)}, l_extendedprice, {_round_sql('l_quantity', 6)} AS l_quantity FROM fitted")
+
+
+def q_impute_one_gap_holdout(spark, d):
+    """W6 with F3 and F4: fitted on the hash split's train part, applied on its test part, rounded."""
+    return workflows.impute_holdout(_holdout_input(spark, d, ONE_GAP), keys=["row_id"], drop=[])[0]
+
+
+_SPLIT = "CAST(('0x' || substr(md5('42:' || row_id), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) < CAST(0.2 AS DOUBLE)"
+_HOLDOUT_SQL = (f"WITH RECURSIVE readings AS ({readings_sql()}), keyed AS ({SQL_KEYED}), train AS (SELECT * FROM keyed WHERE NOT {_SPLIT}), "
+                f"test AS (SELECT * FROM keyed WHERE {_SPLIT}), " + _one_gap_sql("train", "test", "row_id")
+                + ", held AS (SELECT row_id, round_even(l_extendedprice, 0) AS l_extendedprice, round_even(l_quantity, 0) AS l_quantity FROM fitted)")
+SQL_ONE_GAP_HOLDOUT = f"{_HOLDOUT_SQL}\nSELECT * FROM held"
+
+
+def q_post_one_gap_cov(spark, d):
+    """W7 on W6's output: the leading key dropped by position, then the covariance table."""
+    out = workflows.post_imputation_stats(q_impute_one_gap_holdout(spark, d))["cov"]
+    return _round_stats(out, ["value"])
+
+
+def q_imputation_nulls(spark, d):
+    """Missing cells left per column after imputation, and how many observed cells changed."""
+    src = readings(spark, d).select(*MEASURES, *[F.col(m).alias(f"was_{m}") for m in MEASURES])
+    out = write_stage(ChainedImputer(MEASURES).fit_transform(src), "imputed")
+    changed = out.agg(*[F.count_if(F.col(f"was_{m}") != F.col(m)).alias(m) for m in MEASURES])
+    changed = changed.select(F.inline(F.array(*[F.struct(F.lit(m).alias("column_name"), F.col(m).alias("changed")) for m in MEASURES])))
+    left = workflows.imputation_check(out.select(*[F.col(f"was_{m}").alias(m) for m in MEASURES]), out.select(*MEASURES), stage=False)["nulls"]
+    return left.join(changed, "column_name")
+
+
+SQL_IMPUTATION_NULLS = "\nUNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS ordinal, '{m}' AS column_name, CAST(0 AS BIGINT) AS null_count, CAST(0 AS DOUBLE) AS null_pct, "
+    f"CAST(0 AS BIGINT) AS changed" for i, m in enumerate(MEASURES))
+
+
+def q_central_measures_bigint(spark, d):
+    """A12–A13 above 2^53 stay exact, for all numeric columns of the table."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey + 9007199254740993 AS big", "o_custkey", "o_orderstatus")
+    return stats.central_measures(o).select("column_name", "max", "min")
+
+
+SQL_CENTRAL_BIGINT = """SELECT 'big' AS column_name, max(o_orderkey + 9007199254740993) AS max, min(o_orderkey + 9007199254740993) AS min FROM orders
+UNION ALL SELECT 'o_custkey', max(o_custkey), min(o_custkey) FROM orders"""
+
+
+def q_missing_kinds(spark, d):
+    """A3, A11, A16 and F7 over a column that has NaN and both infinities beside numbers."""
+    ev = normalize_nan(table(spark, d, "events").select(F.expr(ODD_VALUE).alias("value")))
+    low, mid, high = (F.col("value")[i] for i in range(3))
+    q = quantiles_with_moments(ev, ["value"], [0.25, 0.5, 0.75]).select(sig_round(low).alias("q1"), sig_round(mid).alias("median"), sig_round(high).alias("q3"), "mn", "mx")
+    nulls = prof.null_profile(ev).select("null_count")
+    bins = ev.agg(F.count_if(feat.bin_right_closed(F.col("value"), AIR_EDGES, AIR_LABELS) == "Mala").alias("worst"))
+    both = q.select("*", nulls.scalar().alias("null_count"), bins.scalar().alias("worst"))
+    return both
+
+
+ODD_VALUE = ("CASE WHEN event_id % 10 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 10 = 1 THEN CAST('Infinity' AS DOUBLE) "
+             "WHEN event_id % 10 = 2 THEN CAST('-Infinity' AS DOUBLE) ELSE value END")
+SQL_MISSING_KINDS = f"""WITH e AS (SELECT CASE WHEN isnan(v) THEN NULL ELSE v END AS value FROM (SELECT {ODD_VALUE} AS v FROM events) o)
+SELECT {sig_round_sql('quantile_cont(value, 0.25)')} AS q1, {sig_round_sql('quantile_cont(value, 0.5)')} AS median,
+       {sig_round_sql('quantile_cont(value, 0.75)')} AS q3, min(value) AS mn, max(value) AS mx,
+       count(*) - count(value) AS null_count, count(*) FILTER (value > 100) AS worst FROM e"""
 
 
 def q_impute_train_test(spark, d):
@@ -588,6 +770,18 @@ QUERIES: dict[str, Query] = {
     "round_even": q_round_even,
     "csv_roundtrip": q_csv_roundtrip,
     "yearly_sources": q_yearly_sources,
+    "skipped_sources": q_skipped_sources,
+    "consolidated": q_consolidated,
+    "csv_text_roundtrip": q_csv_text_roundtrip,
+    "malformed": q_malformed,
+    "dup_count_rows": q_dup_count_rows,
+    "dedupe_rows": q_dedupe_rows,
+    "impute_one_gap": q_impute_one_gap,
+    "impute_one_gap_holdout": q_impute_one_gap_holdout,
+    "post_one_gap_cov": q_post_one_gap_cov,
+    "imputation_nulls": q_imputation_nulls,
+    "central_measures_bigint": q_central_measures_bigint,
+    "missing_kinds": q_missing_kinds,
     "clean_transform": q_clean_transform,
     "impute_fit_transform": q_impute_fit_transform,
     "impute_train_test": q_impute_train_test,
@@ -629,5 +823,17 @@ ORACLE: dict[str, str] = {
     "round_even": SQL_ROUND_EVEN,
     "csv_roundtrip": SQL_CSV,
     "yearly_sources": SQL_YEARLY,
+    "skipped_sources": SQL_SKIPPED,
+    "consolidated": SQL_CONSOLIDATED,
+    "csv_text_roundtrip": SQL_CSV_TEXTS,
+    "malformed": SQL_MALFORMED,
+    "dup_count_rows": SQL_DUP_ROWS,
+    "dedupe_rows": SQL_DEDUPE_ROWS,
+    "impute_one_gap": SQL_ONE_GAP,
+    "impute_one_gap_holdout": SQL_ONE_GAP_HOLDOUT,
+    "post_one_gap_cov": f"{_HOLDOUT_SQL}\n" + _pairs_sql("held", lambda a, b: sig_round_sql(f"covar_pop({a}, {b})"), ONE_GAP),
+    "imputation_nulls": SQL_IMPUTATION_NULLS,
+    "central_measures_bigint": SQL_CENTRAL_BIGINT,
+    "missing_kinds": SQL_MISSING_KINDS,
     "clean_transform": SQL_CLEAN,
 }

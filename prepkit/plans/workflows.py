@@ -20,7 +20,7 @@ from ..operators.features import (IQRClipper, OneHot, Standardizer, bin_right_cl
                                   unbinned_count)
 from ..operators.impute import ChainedImputer
 from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
-from ..sinks.files import write_csv, write_stage
+from ..sinks.files import write_csv, write_csv_indexed, write_stage
 from ..sources.batch import read_keyed_sources
 
 # Column roles of the reference's air-quality tables.
@@ -71,9 +71,10 @@ def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callab
 
 def understand(df: DataFrame) -> dict[str, DataFrame]:
     """Shape, schema profile, null percentages (labelled) and
-    duplicate count."""
-    return {"shape": prof.shape(df), "schema": prof.schema_profile(df),
-            "null_pct": prof.null_pct_labels(prof.null_profile(df)),
+    duplicate count: one aggregate for the first three, one shuffle for the last."""
+    counts = write_stage(prof.column_counts(df), "column-counts")
+    return {"shape": prof.shape(df, counts), "schema": prof.schema_profile(df, counts),
+            "null_pct": prof.null_pct_labels(prof.null_profile(df, counts=counts)),
             "duplicates": prof.duplicate_count(df)}
 
 
@@ -89,7 +90,7 @@ class Prepared:
 
 def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_COL,
             drop: Sequence[str] = NO_VARIANCE_COLS, month: str = "Mes", hour: str = "Hora",
-            keep: Sequence[str] = (), stage: bool = True) -> Prepared:
+            keep: Sequence[str] = (), stage: bool = True, time_format: str | None = None) -> Prepared:
     """W3 up to the imputer: de-duplicate, drop the no-variance columns,
     parse time and derive month/hour, one-hot the station (first level
     dropped).  The timestamp stays as a pass-through column (never detached
@@ -101,7 +102,7 @@ def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_
     imputer's passes re-read the stage instead of re-running the shuffle."""
     d = setops.distinct_rows(df)
     d = drop_checked(d, list(drop)) if drop else d
-    d = add_time_features(d, time_col, month, hour)
+    d = add_time_features(d, time_col, month, hour, time_format)
     if stage:
         d = write_stage(d, "prepared")
     enc = OneHot(station_col).fit(d)
@@ -127,16 +128,20 @@ def prepare_and_impute(df: DataFrame, **kw) -> tuple[DataFrame, ChainedImputer]:
 def clean_and_transform(df: DataFrame, outlier_cols: Sequence[str] = OUTLIER_COLS,
                         bin_col: str = BIN_COL, edges: Sequence[float] = BIN_EDGES,
                         labels: Sequence[str] = BIN_LABELS, bin_out: str = BIN_OUT,
-                        scaled_cols: Sequence[str] = SCALED_COLS) -> tuple[DataFrame, dict]:
+                        scaled_cols: Sequence[str] = SCALED_COLS, output_path: str | None = None) -> tuple[DataFrame, dict]:
     """IQR fences on the input, clip, bin the clipped (unscaled) value,
     then standardise with moments of the clipped data.  Two aggregations
     (quartiles; moments) and one projection.  ``params["unbinned"]`` (lazy)
-    counts values that no bin takes (e.g. an imputed PM10 ≤ 0)."""
+    counts values that no bin takes (e.g. an imputed PM10 ≤ 0).  With
+    ``output_path`` the result is written there as CSV (K1)."""
     clip = IQRClipper(list(outlier_cols)).fit(df)
     c = clip.transform(df)
     c = c.withColumn(bin_out, bin_right_closed(col(bin_col), edges, labels))
     scaler = Standardizer([s for s in scaled_cols if s in c.columns]).fit(c)
-    return scaler.transform(c), {"fences": clip.fences, "scaler": scaler.params,
+    out = scaler.transform(c)
+    if output_path:
+        write_csv(out, output_path)
+    return out, {"fences": clip.fences, "scaler": scaler.params,
                                  "unbinned": unbinned_count(c, bin_col, bin_out)}
 
 
@@ -161,10 +166,11 @@ def post_imputation_stats(df: DataFrame) -> dict[str, DataFrame]:
 
 def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TIME_COL, STATION_COL),
                    test_size: float = 0.2, seed: int = 42, round_output: bool = True,
-                   index: str = "row_id") -> tuple[DataFrame, ChainedImputer]:
+                   index: str = "row_id", output_path: str | None = None) -> tuple[DataFrame, ChainedImputer]:
     """Drop the non-numeric columns, split train/test deterministically,
     fit on train, impute test, optionally round half-even (the reference
-    rounds every cell), with the row key first."""
+    rounds every cell), with the row key first.  ``keys`` should identify a row.
+    With ``output_path`` the result is written there as CSV, key first (K2)."""
     key = (col(keys[0]).cast("string") if len(keys) == 1
            else F.concat_ws(":", *[col(k).cast("string") for k in keys]))
     d = df.withColumn(index, key)
@@ -176,7 +182,10 @@ def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TI
     out = imp.transform(test)
     if round_output:
         out = out.select(col(index), *[round_half_even(col(c)).alias(c) for c in features])
-    return move_to_front(out, [index]), imp
+    out = move_to_front(out, [index])
+    if output_path:
+        write_csv_indexed(out, output_path, index=index)
+    return out, imp
 
 
 # ------------------------------------------------------------------ W8

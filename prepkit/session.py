@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 _CKPT_KEY = "spark.checkpoint.dir"
 _LOCAL_SHARED: str | None = None
 _SHIPPED: set[str] = set()
+_MADE: list[str] = []
 
 
 def get_session(master: str | None = None, app: str = "prepkit",
@@ -57,8 +58,9 @@ def get_session(master: str | None = None, app: str = "prepkit",
 def shared_dir(spark: SparkSession) -> str:
     """Root of the shared scratch area: ``spark.checkpoint.dir``.
 
-    Read from the session; set our own only where it is unset (local runs
-    and tests).  The same folder is registered as the RDD checkpoint dir so
+    Read from the session (the setting, or ``setCheckpointDir``); set our own
+    only where it is unset and the master is local (tests).  Anywhere else a
+    folder of the driver's would be one that executors cannot see: an error.  The same folder is registered as the RDD checkpoint dir so
     ``DataFrame.checkpoint()`` works."""
     global _LOCAL_SHARED
     try:
@@ -72,7 +74,11 @@ def shared_dir(spark: SparkSession) -> str:
         d = None
     if not d and sc is not None:
         d = sc.getConf().get(_CKPT_KEY, None)
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that all executors share")
         if _LOCAL_SHARED is None:
             _LOCAL_SHARED = tempfile.mkdtemp(prefix="prepkit-shared-")
         d = _LOCAL_SHARED
@@ -83,7 +89,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared scratch area."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _MADE.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every stage and file set this driver has put below the shared folder
+    so far (results that still read them must be written first); how many."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        at = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(at.getFileSystem(conf).delete(at, True))
+    return gone
 
 
 def checkpoint(df, eager: bool = True):

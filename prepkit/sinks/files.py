@@ -18,26 +18,18 @@ from ..session import scratch_path
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
               partition_by: Sequence[str] = ()) -> str:
-    """K1: header, missing → empty field, no index column."""
+    """K1: header, missing → empty field, no index column.  Text is written as it
+    is: white space stays, quotes are doubled, and a cell with a newline is quoted
+    (read it with ``multi_line``)."""
     w = (df.write.mode(mode).option("header", True).option("sep", sep)
-         .option("nullValue", "").option("emptyValue", '""'))
+         .option("nullValue", "").option("emptyValue", '""').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
     return path
 
 
-def with_row_index(df: DataFrame, index: str = "row_id", keys: Sequence[str] | None = None) -> DataFrame:
-    """K2 helper: put an explicit row key first.  With ``keys`` the key is
-    taken from those columns (stable across re-runs); otherwise a
-    partition-local id is generated (unique, not dense)."""
-    if keys:
-        key = col(keys[0]) if len(keys) == 1 else F.concat_ws(":", *[col(k).cast("string") for k in keys])
-    else:
-        key = F.monotonically_increasing_id()
-    return df.select(key.alias(index), *[col(c) for c in df.columns if c != index])
-
-
 def write_csv_indexed(df: DataFrame, path: str, index: str = "row_id", sep: str = ",",
                       mode: str = "overwrite") -> str:
     """K2: CSV whose first column is the row key (``index`` must exist)."""

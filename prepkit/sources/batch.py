@@ -49,10 +49,11 @@ def key_from_path(template: str, placeholder: str = "year", path_column: str | N
     """Column expression extracting the key from the row's source path
     (``_metadata.file_path`` for file sources, or ``path_column`` for sources
     that emit it themselves), using the template's last path component as
-    the pattern."""
+    the pattern; ``*`` and ``?`` in it match as in a glob.  Spark's file paths are
+    percent-encoded (a space is ``%20``) and decoded first."""
     last = template.rstrip("/").split("/")[-1]
-    pat = re.escape(last).replace(re.escape("{" + placeholder + "}"), r"(\d+)")
-    src = F.col(path_column) if path_column else F.col("_metadata.file_path")
+    pat = re.escape(last).replace(re.escape("{" + placeholder + "}"), r"(\d+)").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    src = F.col(path_column) if path_column else F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return F.regexp_extract(src, pat, 1)
 
 

@@ -42,25 +42,54 @@ def _convert(c, dt: T.DataType, tokens: Sequence[str], strict_time: bool):
 
 
 def read_text_table(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str],
-                    sep: str = ",", header: bool = True, check_header: bool = True) -> DataFrame:
-    """The raw all-text scan (declared names, no conversion)."""
+                    sep: str = ",", header: bool = True, check_header: bool = True, multi_line: bool = False) -> DataFrame:
+    """The raw all-text scan (declared names, no conversion).  ``multi_line`` takes
+    quoted cells with newlines; each file is then read by one task."""
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     r = (spark.read.schema(raw_schema).option("header", header).option("sep", sep)
          .option("enforceSchema", not (check_header and header))
-         .option("nullValue", None).option("emptyValue", "")
+         .option("nullValue", None).option("emptyValue", "").option("escape", '"').option("multiLine", multi_line)
          .option("mode", "FAILFAST"))
     return r.csv(list(paths) if not isinstance(paths, str) else paths)
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str,
+def infer_schema(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", na_tokens: Iterable[str] = NA_TOKENS,
+                 multi_line: bool = False) -> T.StructType:
+    """A type for each column of files with a header: BIGINT, DOUBLE, TIMESTAMP_NTZ
+    or BOOLEAN if every cell that is not missing is one, else STRING; a column
+    without cells is DOUBLE.  One aggregate over all rows."""
+    names = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(paths).columns
+    raw = read_text_table(spark, paths, names, sep, multi_line=multi_line)
+    kinds = ("bigint", "double", "timestamp_ntz", "boolean")
+    aggs = []
+    for i, n in enumerate(names):
+        cell = F.trim(col(n))
+        there = col(n).isNotNull() & ~cell.isin(list(na_tokens))
+        flag = F.lower(cell).isin("true", "false")
+        aggs += [F.count_if(there & (flag if k == "boolean" else cell.try_cast(k).isNull())).alias(f"{k}{i}") for k in kinds]
+        aggs.append(F.count_if(there).alias(f"n{i}"))
+    row = raw.agg(*aggs).first()
+
+    def kind(i: int) -> str:
+        if not row[f"n{i}"]:
+            return "double"
+        if row[f"boolean{i}"] == row[f"n{i}"]:
+            return "boolean"
+        return next((k for k in kinds[:3] if not row[f"{k}{i}"]), "string")
+
+    return T.StructType([T.StructField(n, T._parse_datatype_string(kind(i))) for i, n in enumerate(names)])
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None,
              sep: str = ",", header: bool = True, na_tokens: Iterable[str] = NA_TOKENS,
              strict_time: bool = True, check_header: bool = True,
-             with_path: str | None = None) -> DataFrame:
+             with_path: str | None = None, multi_line: bool = False) -> DataFrame:
     """S4 (comma) / S5 (any delimiter) + S6 (NA normalisation).
 
-    ``with_path`` adds the source file path as a column (for P1 tagging)."""
-    schema = as_schema(schema)
-    raw = read_text_table(spark, paths, schema.names, sep, header, check_header)
+    Without a ``schema`` the types are inferred from all rows.  ``with_path`` adds
+    the source file path as a column (for P1 tagging)."""
+    schema = infer_schema(spark, paths, sep, na_tokens, multi_line) if schema is None else as_schema(schema)
+    raw = read_text_table(spark, paths, schema.names, sep, header, check_header, multi_line)
     out = [_convert(col(f.name), f.dataType, list(na_tokens), strict_time).alias(f.name)
            for f in schema.fields]
     if with_path:
@@ -71,13 +100,13 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
 def malformed_counts(spark: SparkSession, paths, schema: T.StructType | str, sep: str = ",",
                      header: bool = True, na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
     """Per numeric column, how many cells were neither NA tokens nor numbers
-    (they become NULL in :func:`read_csv`).  One pass."""
+    (of the column's type; they become NULL in :func:`read_csv`).  One pass."""
     schema = as_schema(schema)
     raw = read_text_table(spark, paths, schema.names, sep, header)
     num = [f for f in schema.fields if isinstance(f.dataType, T.NumericType)]
     if not num:
         return spark.createDataFrame([], "column_name string, malformed bigint")
-    wide = raw.agg(*[F.count_if(malformed_number(col(f.name), list(na_tokens))).alias(f"__m{i}")
+    wide = raw.agg(*[F.count_if(malformed_number(col(f.name), list(na_tokens), f.dataType.simpleString())).alias(f"__m{i}")
                      for i, f in enumerate(num)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(f.name).alias("column_name"), F.col(f"__m{i}").alias("malformed"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prepkit.operators.features import IQRClipper, OneHot, Standardizer, assign_split, train_test_split
+from prepkit.operators.features import IQRClipper, OneHot, Standardizer, assign_split, bin_right_closed, train_test_split
 
 
 def test_one_hot_sorted_drop_first_F1(spark):
@@ -71,3 +71,19 @@ def test_unbinned_count_F7(spark):
     df = df.withColumn("lab", bin_right_closed(F.col("pm"), [0, 50, 100, float("inf")], ["Buena", "Regular", "Mala"]))
     r = unbinned_count(df, "pm", "lab").first()
     assert (r["unbinned"], r["with_value"]) == (2, 4)
+
+
+def test_many_categories_are_no_error(spark):
+    df = spark.range(1500).selectExpr("concat('c', id) as k")
+    assert len(OneHot("k").fit(df).categories) == 1500
+    with pytest.raises(ValueError):
+        OneHot("k", max_categories=10).fit(df)
+
+
+def test_nan_is_missing_in_clip_and_bins(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (500.0,), (None,)], "v double")
+    out = df.select(bin_right_closed(F.col("v"), [0.0, 50.0, float("inf")], ["low", "high"]).alias("b")).collect()
+    assert [r["b"] for r in out] == ["low", None, "high", None]
+    clip = IQRClipper(["v"])
+    clip.fences = {"v": (1.0, 2.0, 1.0, 0.0, 10.0)}
+    assert [r["v"] for r in clip.transform(df).collect()] == [1.0, None, 10.0, None]

@@ -74,3 +74,14 @@ def test_projection_helpers_P2_P4_P5(spark):
         drop_checked(df, ["nope"])
     assert select_by_position(df, 1).columns == ["PM2.5", "s"]
     assert move_to_front(df, ["s"]).columns == ["s", "idx", "PM2.5"]
+
+
+def test_empty_table_has_no_null_share_A4(spark):
+    empty = spark.createDataFrame([], "a double, b string")
+    assert [(r["null_count"], r["null_pct"]) for r in prof.null_profile(empty).collect()] == [(0, None), (0, None)]
+
+
+def test_union_of_integers_stays_exact_U1(spark):
+    big = spark.createDataFrame([(2**53 + 1,)], "k bigint")
+    out = setops.union_by_name([big, spark.createDataFrame([(1,)], "k int")])
+    assert dict(out.dtypes) == {"k": "bigint"} and out.agg(F.max("k")).first()[0] == 2**53 + 1

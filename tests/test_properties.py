@@ -44,7 +44,7 @@ def test_null_pct_in_range_and_exact(spark, rows):
 @given(rows=rows_strategy, probs=st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]), min_size=1, max_size=3, unique=True))
 def test_refined_quantiles_equal_numpy(spark, rows, probs):
     df = spark.createDataFrame(rows, "x double, y double, s string")
-    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs, buckets=4, final_bound=3).collect()}
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs).collect()}
     vals = np.array([r[0] for r in rows if r[0] is not None])
     for p in probs:
         if len(vals) == 0:

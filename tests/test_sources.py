@@ -134,3 +134,36 @@ def test_workbook_file_uri_and_glob(spark, workbooks):
                         schema="`Fecha y hora` timestamp_ntz, PM10 double, sheet string, file string")
     assert df.count() == 240
     assert {r["file"].rsplit("/", 1)[-1] for r in df.select("file").distinct().collect()} == {"BD 2021.xlsx", "BD 2023.xlsx"}
+
+
+def test_names_with_spaces_and_globs_S2(spark):
+    d = tempfile.mkdtemp(prefix="years-")
+    for y in (2021, 2023):
+        write_csv(spark.createDataFrame([(y * 1.0,)], "v double"), os.path.join(d, f"BD {y} a+b.csv"))
+    for name in ("BD {year} a+b.csv", "B* {year} a?b.csv"):
+        back, skipped = read_keyed_sources(spark, d + "/" + name, range(2020, 2025), lambda paths: read_csv(spark, paths, "v double"))
+        # Spark puts part files below the named folder: the key is in the folder's name
+        assert skipped == [2020, 2022, 2024]
+        assert sorted((r["anio"], r["v"]) for r in back.collect()) == [(2021, 2021.0), (2023, 2023.0)]
+
+
+def test_csv_text_fidelity_K1_S4(spark):
+    rows = [(1, " padded "), (2, 'q"uote'), (3, "two\nlines"), (4, "a,b"), (5, 'say ""hi""'), (6, "plain")]
+    path = os.path.join(tempfile.mkdtemp(prefix="csv-"), "t")
+    df = spark.createDataFrame(rows, "k bigint, s string")
+    write_csv(df.coalesce(1), path)
+    assert sorted(map(tuple, read_csv(spark, path, "k bigint, s string", multi_line=True).collect())) == rows
+    import pandas as pd
+    part = next(f for f in os.listdir(path) if f.startswith("part"))
+    assert [tuple(r) for r in pd.read_csv(os.path.join(path, part)).itertuples(index=False)] == rows
+
+
+def test_infer_schema_S4(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="csv-"), "x.csv")
+    with open(p, "w") as fh:
+        fh.write("a,b,c,d,e,f\n1,1.5,x,2020-01-01 10:00:00,true,\n2,NA,3,,False,\n9007199254740993,2,y,2021-05-06 00:00:00,true,\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "string", "d": "timestamp_ntz", "e": "boolean", "f": "double"}
+    assert df.agg(F.max("a")).first()[0] == 9007199254740993
+    got = {r["column_name"]: r["malformed"] for r in malformed_counts(spark, p, "a bigint, b bigint, c double, d string, e string, f double").collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "f": 0}

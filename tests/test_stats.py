@@ -5,9 +5,11 @@ import math
 import numpy as np
 import pytest
 
+import prepkit.operators.quantiles as qm
 from prepkit.operators import stats
 from prepkit.operators.features import Standardizer
 from prepkit.operators.quantiles import exact_quantiles
+from prepkit.sinks.files import write_stage
 
 
 def test_central_measures_A11_A14_A16(spark):
@@ -20,23 +22,46 @@ def test_central_measures_A11_A14_A16(spark):
     assert stats.central_measures(df2, ["x"]).first()["half_range"] == 4.0
 
 
-def test_refinement_path_equals_builtin(spark):
+def test_quantiles_equal_numpy_whatever_the_shape(spark, monkeypatch):
     rng = np.random.default_rng(7)
-    vals = np.concatenate([rng.normal(100, 30, 20000), np.full(9000, 42.0), rng.exponential(5, 3000)])
+    vals = np.concatenate([rng.normal(100, 30, 20000), np.full(9000, 42.0), rng.exponential(5, 3000) * 1e300])
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(vals)], "x double, g int")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    exact = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs, method="percentile").collect()}
-    refined = {r["p"]: r["value"] for r in
-               exact_quantiles(df, ["x"], probs, buckets=16, final_bound=500).collect()}
+    monkeypatch.setattr(qm, "INSIDE", 20)       # brackets are narrowed first, as at scale
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], probs).collect()}
     for p in probs:
-        assert refined[p] == pytest.approx(exact[p], rel=1e-12)
-        assert exact[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12)
-    grouped = exact_quantiles(df, ["x"], [0.5], by=["g"], buckets=8, final_bound=300)
-    for r in grouped.collect():
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12)
+    for r in exact_quantiles(df, ["x"], [0.5], by=["g"]).collect():
         sub = vals[np.arange(len(vals)) % 3 == r["g"]]
         assert r["value"] == pytest.approx(float(np.median(sub)), rel=1e-12)
 
 
+def test_quantiles_of_missing_kinds_end_in_few_passes(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    vals = [nan, inf, -inf, None, *[float(v) for v in range(12_000)], 1e308, -1e308]
+    df = spark.createDataFrame([(v, v is None) for v in vals], "x double, g boolean")
+    monkeypatch.setattr(qm, "INSIDE", 10)
+    stages = []
+    monkeypatch.setattr(qm, "write_stage", lambda d, name: stages.append(name) or write_stage(d, name))
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 1.0]).collect()}
+    here = sorted(v for v in vals if v is not None and v == v)
+    assert got[0.0] == -inf and got[1.0] == inf and got[0.5] == np.median(here)
+    assert stages.count("quantile-counts") <= 4
+    assert {r["value"] for r in exact_quantiles(df, ["x"], [0.5], by=["g"]).where("g").collect()} == {None}
+
+
+def test_many_groups_stay_in_spark(spark):
+    df = spark.range(300_000).selectExpr("id div 3 as g", "cast(id as double) as x")
+    got = exact_quantiles(df, ["x"], [0.5], by=["g"])
+    assert got.where("value = g * 3 + 1").count() == 100_000
+
+
+def test_integral_measures_stay_exact(spark):
+    df = spark.createDataFrame([(2**53 + 1, 1), (2**53 + 3, None)], "a bigint, b int")
+    got = {r["column_name"]: r for r in stats.central_measures(df).collect()}
+    assert (got["a"]["max"], got["a"]["min"], got["b"]["max"]) == (2**53 + 3, 2**53 + 1, 1)
+
+
 def test_corr_pairwise_and_zero_variance_A18(spark):
     df = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, None, 5.0), (3.0, 4.0, 5.0), (4.0, 3.0, 5.0)],
                                "a double, b double, k double")
@@ -77,16 +102,3 @@ def test_compare_stages_A20(spark):
     got = {r["stage"]: r for r in stats.compare_stages({"before": a, "after": b}).collect()}
     assert got["before"]["mean"] == 2.0 and got["after"]["mean"] == 1.0
     assert not math.isnan(got["after"]["median"])
-
-
-def test_refinement_respects_round_budgets(spark, monkeypatch):
-    import prepkit.operators.quantiles as qm
-    monkeypatch.setattr(qm, "FETCH_BUDGET", 50)
-    monkeypatch.setattr(qm, "HIST_BUDGET", 8)
-    rng = np.random.default_rng(3)
-    vals = rng.normal(0, 1, 3000)
-    df = spark.createDataFrame([(float(v), int(i % 5)) for i, v in enumerate(vals)], "x double, g int")
-    got = exact_quantiles(df, ["x"], [0.25, 0.5], by=["g"], buckets=8, final_bound=40).collect()
-    for r in got:
-        sub = vals[np.arange(len(vals)) % 5 == r["g"]]
-        assert r["value"] == pytest.approx(float(np.quantile(sub, r["p"])), rel=1e-12)
