@@ -49,9 +49,12 @@ def _rarity(lines: DataFrame) -> Column:
 
 def codes_of(line: Column, levels: Column) -> Column:
     """The codes of a line's word set, the rarest first."""
-    digests = F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(digests, lambda h: F.call_function(
-        "shiftleft", F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    def code(w: Column) -> Column:
+        h = F.xxhash64(w)
+        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return F.sort_array(F.array_distinct(F.transform(words_of(line), code)))
 
 
 def _keys() -> list[Column]:
@@ -86,38 +89,42 @@ class LineDedup:
             F.when(long, F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("prefix")), "line-codes")
 
     def candidates(self) -> DataFrame:
-        """Pairs of classes that pass the prefix, length, position and parity filters."""
+        """Pairs of classes, each by one of its lines (row, line), that pass the
+        prefix, length, position and parity filters."""
         classes = (self.lines.where("k1 is not null").groupBy("k1", "k2")
-                   .agg(F.min(F.struct("n", "parity", "prefix")).alias("c")).select("k1", "k2", "c.*"))
-        codes = classes.select("k1", "k2", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
-        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("k1", "k2", "n", "parity", "pos")])
-        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("k1", "k2", "n", "parity", "pos")])
+                   .agg(F.min(F.struct("row", "line", "n", "parity", "prefix")).alias("c")).select("c.*"))
+        codes = classes.select("row", "line", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
+        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("row", "line", "n", "parity", "pos")])
+        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("row", "line", "n", "parity", "pos")])
         both = F.col("a_n") + F.col("b_n")
         need = F.ceil(both * F.lit(self.t / (1 + self.t)) - 1e-9)
+        before = (F.col("a_row") < F.col("b_row")) | ((F.col("a_row") == F.col("b_row")) & (F.col("a_line") < F.col("b_line")))
         return (a.join(b, "code")
-                .where((F.struct("a_k1", "a_k2") < F.struct("b_k1", "b_k2"))
+                .where(before
                        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(self.t) - 1e-9)
                        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
                        & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= both - 2 * need))
-                .select("a_k1", "a_k2", "b_k1", "b_k2").distinct())
+                .select("a_row", "a_line", "b_row", "b_line").distinct())
 
     def links(self) -> DataFrame:
-        """The pairs of classes whose whole word sets have a Jaccard similarity of ``t`` or more."""
+        """The pairs of classes whose whole word sets have a Jaccard similarity of
+        ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
         pairs = stage(self.candidates(), "line-candidates")
-        classes = pairs.select(F.col("a_k1").alias("k1"), F.col("a_k2").alias("k2")).union(pairs.select("b_k1", "b_k2")).distinct()
-        # one line of each class, by its document
-        at = (self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("at"))
-              .join(classes, ["k1", "k2"], "left_semi").groupBy(F.col("at.id").alias("of")).agg(F.collect_set("at.line").alias("wanted")))
+        wanted = pairs.select(F.col("a_row").alias("row"), F.col("a_line").alias("line")).union(pairs.select("b_row", "b_line")).distinct()
+        named = stage(self.lines.select("id", "row", "line", "k1", "k2").join(wanted, ["row", "line"]), "line-wanted")
+        for side in "ab":
+            keys = named.select(*[F.col(c).alias(f"{side}_{c}") for c in ("row", "line", "k1", "k2")])
+            pairs = pairs.join(keys, [f"{side}_row", f"{side}_line"]).drop(f"{side}_row", f"{side}_line")
+        at = named.groupBy(F.col("id").alias("of")).agg(F.collect_set("line").alias("wanted"))
         rows = _rows(self.df, self.id_col, self.text_col).select("id", F.col("text").alias("whole"))
-        words = (rows.join(at, F.col("id").eqNullSafe(F.col("of")))
+        found = (rows.join(at, F.col("id").eqNullSafe(F.col("of")))
                  .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
-                 .select("body", codes_of(F.col("body"), self.levels).alias("codes"))
-                 .select(*_keys(), F.array_distinct(words_of(F.col("body"))).alias("words")).dropDuplicates(["k1", "k2"]))
-        a = words.select(F.col("k1").alias("a_k1"), F.col("k2").alias("a_k2"), F.col("words").alias("a_words"))
-        b = words.select(F.col("k1").alias("b_k1"), F.col("k2").alias("b_k2"), F.col("words").alias("b_words"))
-        common = F.size(F.array_intersect("a_words", "b_words"))
-        return (pairs.join(a, ["a_k1", "a_k2"]).join(b, ["b_k1", "b_k2"])
-                .where(common >= F.lit(self.t) * (F.size("a_words") + F.size("b_words") - common) - 1e-9)
+                 .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]))
+        for side in "ab":
+            keys = found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "k2", "codes")])
+            pairs = pairs.join(keys, [f"{side}_k1", f"{side}_k2"])
+        common = F.size(F.array_intersect("a_codes", "b_codes"))
+        return (pairs.where(common >= F.lit(self.t) * (F.size("a_codes") + F.size("b_codes") - common) - 1e-9)
                 .select("a_k1", "a_k2", "b_k1", "b_k2"))
 
     def judged(self) -> DataFrame:
