@@ -138,8 +138,8 @@ def viterbi(noisy: str, costs: np.ndarray) -> str:
 
 
 def features(word: str) -> list[str]:
-    """The word, and its beginnings of four and five letters."""
-    return ["=" + word, *["^" + word[:k] for k in (4, 5) if len(word) >= k]]
+    """The word, and its beginnings of four to seven letters."""
+    return ["=" + word, *["^" + word[:k] for k in range(4, min(7, len(word)) + 1)]]
 
 
 @dataclass
@@ -236,7 +236,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample_rows: int = 20_000, max_features: int = 512, least_z: float = 2.5) -> Scorer:
+          sample_rows: int = 20_000, max_features: int = 512, least_odds: float = 1.5) -> Scorer:
     """Learn from the rows of ``labels`` (id, label 0 or 1; others are ignored).
     Without both labels in the sample every text scores the share of label 1, or 0.5."""
     spark = df.sparkSession
@@ -269,15 +269,25 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     yield flush()
         yield flush()
 
-    pos, neg = F.col("pos"), F.col("neg")
-    usual = neg * (seen[1] / seen[0])
-    table = (sample.mapInPandas(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-             .withColumn("z", (pos - usual) / F.sqrt(pos + usual + 1))
+    # a feature counts if its split over the labels is no chance, even as the luckiest of all features
+    pos, neg, base = F.col("pos"), F.col("neg"), seen[1] / (seen[0] + seen[1])
+
+    def gain(n: Column, share: float) -> Column:
+        return F.when(n > 0, n * F.log(n / (pos + neg) / F.lit(share))).otherwise(0.0)
+
+    table = stage(sample.mapInPandas(count, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "toxic-features")
+    table = (table.withColumn("g", gain(pos, base) + gain(neg, 1 - base))
              .withColumn("odds", F.log((pos + 0.5) / (seen[1] + 1)) - F.log((neg + 0.5) / (seen[0] + 1)))
-             .where((F.col("z") >= least_z) & (F.col("odds") >= 2)).orderBy(F.desc("z"), "feature").limit(8 * max_features).collect())
-    whole = {r["feature"][1:]: r["pos"] for r in table if r["feature"][0] == "="}
-    # a beginning counts where no one word explains it
-    chosen = [r for r in table if r["feature"][0] == "=" or r["pos"] > 1.2 * max([0, *(n for w, n in whole.items() if w.startswith(r["feature"][1:]))])]
+             .where((F.col("g") >= float(np.log(max(1, table.count())))) & (F.col("odds") >= least_odds))
+             .orderBy(F.desc("g"), "feature").limit(8 * max_features).collect())
+    # a beginning counts where no one word or longer beginning explains it
+    known = [(r["feature"], r["pos"], r["odds"]) for r in table]
+
+    def explained(f: str, n: int, odds: float) -> bool:
+        return any(g != f and g[1:].startswith(f[1:]) and (1.2 * m >= n if g[0] == "=" else m >= 0.9 * n and o >= odds and len(g) > len(f))
+                   for g, m, o in known)
+
+    chosen = [r for r in table if r["feature"][0] == "=" or not explained(r["feature"], r["pos"], r["odds"])]
     weights = {r["feature"]: float(r["odds"]) for r in chosen[:max_features]}
     scorer = Scorer(weights, trigram_costs(counts, [f[1:] for f in weights]))
 
