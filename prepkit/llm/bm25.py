@@ -7,11 +7,14 @@ and their mean length are summed over all shards, so every shard scores with
 global statistics and the merge of the shards' top k is exact.
 
 Queries go to every shard, as rows that stream past the shard's index in
-batches.  In a shard the WAND test is: a document is scored only if its upper
-bound beats the k-th best score so far.  The bound is what the query's rare
-terms give (their postings are visited) plus, for the frequent terms, the
-maxima of the document's block of ``BLOCK`` documents.  Documents with the
-largest bounds are scored first, to raise the threshold.
+batches.  The WAND test is made for blocks of ``BLOCK`` neighbouring documents: a block
+is looked at only if its upper bound beats the k-th best score that the query has
+so far.  The bound is the most that the query's rare terms give one of its
+documents (their postings are visited) plus the block's maxima of the frequent
+terms.  The blocks with the largest bounds are scored first, to raise the
+threshold; blocks that pass are looked at in short floats, for ``TOGETHER``
+queries at a time, and documents that may still be among the k best are scored
+exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from prepkit.llm.common import stage, text_of
 from prepkit.session import ship_package
 
 #: Documents of a block; a term is frequent in a shard if one in so many documents has it.
-BLOCK, FREQUENT = 64, 32
+BLOCK, FREQUENT = 16, 16
+#: Queries that look at a shard together.
+TOGETHER = 64
 #: Scores are rounded to so many digits before they are ranked; ties go to the smaller id.
 DIGITS = 6
 SLICE_BYTES, WORDS_KEPT = 4 << 20, 400_000
@@ -70,9 +75,11 @@ def _slices(texts: pa.Array):
 
 
 def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tuple:
-    """ids, lengths, terms, ends, documents and frequencies of one shard."""
+    """ids, lengths, terms, ends, documents and frequencies of one shard.  Documents
+    are ordered by their most frequent word, then by length: neighbours are of one
+    language and size, which keeps a block's maxima close to its documents."""
     length = np.concatenate(lengths)
-    all_terms, doc = np.concatenate(digests), np.repeat(np.arange(len(length), dtype=np.uint32), length)
+    all_terms, doc = np.concatenate(digests), np.repeat(np.arange(len(length)), length)
     order = np.argsort(all_terms, kind="stable")       # documents stay in order within a term
     term, doc = all_terms[order], doc[order]
     new = np.ones(len(term), dtype=bool)
@@ -80,9 +87,16 @@ def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tu
     first = np.flatnonzero(new)
     tf = np.diff(np.append(first, len(term)))
     term, doc = term[first], doc[first]
+    top = np.zeros(len(length), dtype=np.uint64)
+    by_tf = np.argsort(tf, kind="stable")
+    top[doc[by_tf]] = term[by_tf]                      # the last assignment is the most frequent
+    rank = np.empty(len(length), dtype=np.int64)
+    placed = np.lexsort((length, top))
+    rank[placed] = np.arange(len(length))
     heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.array([], dtype=np.int64)
-    return (ids, length.astype(np.int64).tobytes(), term[heads].tobytes(), np.append(heads[1:], len(term)).astype(np.uint32).tobytes() if len(heads) else b"",
-            doc.astype(np.uint32).tobytes(), tf.astype(np.uint32).tobytes())
+    return ([ids[i] for i in placed], length[placed].astype(np.int64).tobytes(), term[heads].tobytes(),
+            np.append(heads[1:], len(term)).astype(np.uint32).tobytes() if len(heads) else b"",
+            rank[doc].astype(np.uint32).tobytes(), tf.astype(np.uint32).tobytes())
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
@@ -155,47 +169,71 @@ class Shard:
         self.docs = np.frombuffer(docs, dtype=np.uint32).astype(np.int64)
         tf = np.frombuffer(tfs, dtype=np.uint32).astype(np.float64)
         self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.docs] / max(mean, 1e-9)))
-        # frequent terms: impacts by document, and their maxima by block
+        # frequent terms: impacts by document (exactly, and short ones for the first look), and their maxima by block
         self.column = np.full(len(self.terms), -1)
         often = np.flatnonzero(self.size * FREQUENT >= max(self.n, BLOCK))
         self.column[often] = np.arange(len(often))
-        blocks = -(-self.n // BLOCK)
-        self.dense = np.zeros((blocks * BLOCK, len(often)))
+        self.blocks = -(-self.n // BLOCK)
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)))
         for c, t in enumerate(often):
             p = slice(self.first[t], self.first[t] + self.size[t])
             self.dense[self.docs[p], c] = self.impact[p]
-        self.maxima = self.dense.reshape(blocks, BLOCK, len(often)).max(axis=1)
+        self.short = self.dense.astype(np.float32)
+        self.maxima = self.short.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (by place) with the k best scores above 0, and those that tie with the last; their rounded scores."""
+    def _weigh(self, terms: np.ndarray, idf: np.ndarray, weight: np.ndarray, base: np.ndarray) -> None:
+        """One query: its weights of frequent terms, and what its rare terms give each document."""
         place = np.searchsorted(self.terms, terms)
         place[place == len(self.terms)] = 0
         here = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
         place, idf = place[here], idf[here]
-        column = self.column[place]
-        often = column >= 0
-        rare, weight, size = place[~often], idf[~often], self.size[place[~often]]
+        often = self.column[place] >= 0
+        weight[self.column[place[often]]] = idf[often]
+        rare, idf, size = place[~often], idf[~often], self.size[place[~often]]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rare] - (ends - size), size)
-        base = np.bincount(self.docs[at], weights=self.impact[at] * np.repeat(weight, size), minlength=self.n)
-        column, weight = column[often], idf[often]
-        bound = base + np.repeat(self.maxima[:, column] @ weight, BLOCK)[:self.n]
-        able = np.flatnonzero(bound > 0)
-        if not len(able):
-            return able, bound[able]
-
-        def full(docs: np.ndarray) -> np.ndarray:
-            return base[docs] + self.dense[np.ix_(docs, column)] @ weight
-
-        head = able[np.argpartition(-bound[able], k - 1)[:k]] if len(able) > k else able
-        least = np.partition(full(head), -k)[-k] if len(head) >= k else 0.0
-        docs = able[bound[able] >= least - 10.0 ** -DIGITS]
-        score = np.round(full(docs), DIGITS)
-        docs, score = docs[score > 0], score[score > 0]
-        if len(docs) > k:
-            last = np.partition(score, -k)[-k]
-            docs, score = docs[score >= last], score[score >= last]
-        return docs, score
+        base[:self.n] = np.bincount(self.docs[at], weights=self.impact[at] * np.repeat(idf, size), minlength=self.n)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (digests, idfs): the documents (by place) with the k best
+        scores above 0, and those that tie with the last; their rounded scores."""
+        weight = np.zeros((len(queries), self.dense.shape[1]))
+        base = np.zeros((len(queries), self.blocks * BLOCK))
+        for i, (terms, idf) in enumerate(queries):
+            self._weigh(terms, idf, weight[i], base[i])
+        near = weight.astype(np.float32)
+        bound = near @ self.maxima.T + base.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
+
+        def full(i: int, docs: np.ndarray) -> np.ndarray:
+            return base[i, docs] + self.dense[docs] @ weight[i]
+
+        # thresholds from the documents of each query's best blocks, then the WAND test of all blocks
+        least = np.zeros(len(queries))
+        some = min(self.blocks, -(-k // BLOCK) + 1)
+        for i in range(len(queries)):
+            docs = (np.argpartition(-bound[i], some - 1)[:some, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if len(docs) >= k:
+                least[i] = np.partition(full(i, docs), -k)[-k]
+        slack = 1e-3 + 1e-5 * bound.max(axis=1, initial=0.0)       # what short floats may lose
+        able = (bound >= (least - slack)[:, None]) & (bound > 0)
+        rows = np.flatnonzero(able.any(axis=0))
+        first = (self.short.reshape(self.blocks, BLOCK, -1)[rows].reshape(len(rows) * BLOCK, -1) if len(rows) < 0.8 * self.blocks else self.short)
+        spots = (rows[:, None] * BLOCK + np.arange(BLOCK)).ravel() if first is not self.short else np.arange(self.blocks * BLOCK)
+        look = near @ first.T + base[:, spots]
+        out = []
+        for i in range(len(queries)):
+            line = look[i]
+            if len(line) > k:
+                least[i] = max(least[i], np.partition(line, -k)[-k] - slack[i])
+            docs = spots[(line >= least[i] - slack[i]) & (line > 0)]
+            docs = docs[docs < self.n]
+            score = np.round(full(i, docs), DIGITS)
+            docs, score = docs[score > 0], score[score > 0]
+            if len(docs) > k:
+                last = np.partition(score, -k)[-k]
+                docs, score = docs[score >= last], score[score >= last]
+            out.append((docs, score))
+        return out
 
 
 def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str = "text", k: int = 10,
@@ -237,24 +275,33 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
         *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.col("q.term").alias("q_terms"), F.col("q.idf").alias("q_idf")))
 
     def run(batches):
-        shard, number = None, None
+        shard, number, waiting = None, None, []
+
+        def answer():
+            got = shard.search([q for _, q in waiting], k)
+            rows = [(name, d, s) for (name, _), (docs, score) in zip(waiting, got) for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+                                               pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
+
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in ("shard", "kind")}
-                if row["kind"].as_py() == 0:
-                    number = row["shard"].as_py()
-                    shard = Shard(*[batch.column(c)[i].as_py() for c in empty], mean, k1, b)
-                elif row["shard"].as_py() == number:
-                    docs, score = shard.search(np.array(batch.column("q_terms")[i].values, dtype=np.int64).view(np.uint64),
-                                               np.array(batch.column("q_idf")[i].values), k)
-                    name = batch.column("id")[i].as_py()
-                    out += [(name, d, s) for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out])],
-                                                 names=["query_id", "doc_id", "score"])
-
-    found = (rows.repartition(F.col("shard")).sortWithinPartitions("shard", "kind")
+            kinds, numbers = batch.column("kind").to_pylist(), batch.column("shard").to_pylist()
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    if waiting:
+                        yield answer()
+                    shard = None        # before the next one takes its place
+                    shard, number = Shard(*[batch.column(c)[i].as_py() for c in empty], mean, k1, b), numbers[i]
+                elif numbers[i] == number:
+                    terms, idf = (np.array(batch.column(c)[i].values) for c in ("q_terms", "q_idf"))
+                    waiting.append((batch.column("id")[i].as_py(), (terms.view(np.uint64), idf)))
+                    if len(waiting) == TOGETHER:
+                        yield answer()
+        if waiting:
+            yield answer()
+
+    # a number of partitions of its own: Spark would merge small ones, and so gather many shards in a task
+    found = (rows.repartition(2 * parts * turns, F.col("shard")).sortWithinPartitions("shard", "kind")
              .mapInArrow(run, "query_id string, doc_id string, score double")
              .withColumns({"query_id": F.col("query_id").cast(kind), "doc_id": F.col("doc_id").cast(kind)}))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
