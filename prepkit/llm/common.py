@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from prepkit.session import scratch_path
 
@@ -21,9 +23,36 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the cluster's shared folder and read it back: later
-    steps reuse the rows, and a lost executor does not lose them."""
+    steps reuse the rows, and a lost executor does not lose them.
+
+    ``release`` lets go of the shuffle files behind it at once: Spark deletes them
+    when the driver has collected its garbage, which may otherwise be long after."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        del df
+        gc.collect()
+        back.sparkSession.sparkContext._jvm.System.gc()
+    return back
+
+
+def row_key(name: str) -> Column:
+    """An id as a string that is never NULL."""
+    c = F.col(f"`{name}`")
+    return F.when(c.isNull(), "n").otherwise(F.concat(F.lit("i"), c.cast("string")))
+
+
+def join_rows(df: DataFrame, found: DataFrame, id_col: str, text: Column, *order: str) -> DataFrame:
+    """Each row of ``df`` with each row of ``found`` about it.  ``found`` has
+    ``__llm_key`` (``row_key`` of the id), ``__llm_copy`` (``xxhash64`` of the text) and
+    ``order``; rows of one id and text are alike, so the first of them in ``df`` takes
+    the first in ``found``.  Texts are shuffled once: the numbers and the join share
+    their partitioning."""
+    alike = Window.partitionBy("__llm_key", "__llm_copy")
+    rows = df.withColumns({"__llm_key": row_key(id_col), "__llm_copy": F.xxhash64(text)}).withColumn(
+        "__llm_n", F.row_number().over(alike.orderBy(F.lit(1))))
+    found = found.withColumn("__llm_m", F.dense_rank().over(alike.orderBy(*[F.col(c) for c in order])))
+    return rows.join(found, ["__llm_key", "__llm_copy"]).where("__llm_n - __llm_m = 0")

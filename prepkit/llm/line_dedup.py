@@ -17,9 +17,9 @@ whole word sets of the pairs that are left.  A line goes if an earlier one is si
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from prepkit.llm.common import SPACES, WORD, stage
+from prepkit.llm.common import SPACES, WORD, join_rows, row_key, stage
 
 #: Buckets of the rarity count (a fixed size, whatever the corpus).
 BUCKETS = 1 << 17
@@ -39,7 +39,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _rarity(lines: DataFrame) -> Column:
     """A level for each bucket, by the number of its words in all lines: a constant array."""
     counts = (lines.select(F.explode(words_of(F.col("body"))).alias("w"))
-              .groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+              .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
               .select("bucket", F.least(F.lit(124), F.floor(F.log2("n") * 3)).cast("int").alias("level")).collect())
     levels = [0] * BUCKETS
     for bucket, level in counts:
@@ -51,7 +51,7 @@ def codes_of(line: Column, levels: Column) -> Column:
     """The codes of a line's word set, the rarest first."""
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
-        level = F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long")
+        level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     return F.sort_array(F.array_distinct(F.transform(words_of(line), code)))
@@ -109,17 +109,18 @@ class LineDedup:
     def links(self) -> DataFrame:
         """The pairs of classes whose whole word sets have a Jaccard similarity of
         ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
-        pairs = stage(self.candidates(), "line-candidates")
+        pairs = stage(self.candidates(), "line-candidates", release=True)
         wanted = pairs.select(F.col("a_row").alias("row"), F.col("a_line").alias("line")).union(pairs.select("b_row", "b_line")).distinct()
-        named = stage(self.lines.select("id", "row", "line", "k1", "k2").join(wanted, ["row", "line"]), "line-wanted")
+        named = stage(self.lines.select("id", "row", "line", "k1", "k2").join(wanted, ["row", "line"]), "line-wanted", release=True)
         for side in "ab":
             keys = named.select(*[F.col(c).alias(f"{side}_{c}") for c in ("row", "line", "k1", "k2")])
             pairs = pairs.join(keys, [f"{side}_row", f"{side}_line"]).drop(f"{side}_row", f"{side}_line")
         at = named.groupBy(F.col("id").alias("of")).agg(F.collect_set("line").alias("wanted"))
         rows = _rows(self.df, self.id_col, self.text_col).select("id", F.col("text").alias("whole"))
-        found = (rows.join(at, F.col("id").eqNullSafe(F.col("of")))
+        found = stage(
+            rows.join(at, F.col("id").eqNullSafe(F.col("of")))
                  .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
-                 .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]))
+                 .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]), "line-words", release=True)
         for side in "ab":
             keys = found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "k2", "codes")])
             pairs = pairs.join(keys, [f"{side}_k1", f"{side}_k2"])
@@ -131,7 +132,7 @@ class LineDedup:
         """Each line (id, row, copy, line): whether it is ``removed``, and its ``links`` to other classes."""
         at = F.struct("id", "row", "line")
         first = self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(at).alias("first"))
-        links = stage(self.links(), "line-links")
+        links = stage(self.links(), "line-links", release=True)
         both = links.union(links.select("b_k1", "b_k2", "a_k1", "a_k2")).toDF("k1", "k2", "o_k1", "o_k2")
         other = first.select(F.col("k1").alias("o_k1"), F.col("k2").alias("o_k2"), F.col("first").alias("o_first"))
         near = both.join(other, ["o_k1", "o_k2"]).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("links"), F.min("o_first").alias("o_first"))
@@ -152,19 +153,17 @@ class LineDedup:
         """The rows of ``df`` without the removed lines, with all their columns;
         ``chars_col`` follows the text.  Rows that had words and lose all go."""
         names = self.df.columns
-        same = Window.partitionBy("__id", "__copy")
-        cut = (self.documents().select(F.col(self.id_col).alias("__id"), F.col("copy").alias("__copy"), "row", F.col("removed").alias("__removed"))
-               .withColumn("__n", F.row_number().over(same.orderBy("row"))).drop("row"))
+        cut = self.documents().select(row_key(self.id_col).alias("__llm_key"), F.col("copy").alias("__llm_copy"), F.col("row").alias("__llm_row"),
+                                      F.col("removed").alias("__llm_removed"))
+        cut = stage(cut, "line-removals", release=True)
         text = F.coalesce(F.col(f"`{self.text_col}`"), F.lit(""))
-        rows = (self.df.withColumn("__id", F.col(f"`{self.id_col}`")).withColumn("__copy", F.xxhash64(text))
-                .withColumn("__n", F.row_number().over(same.orderBy(F.lit(1)))))
-        r, c = rows.alias("r"), cut.alias("c")
-        joined = r.join(c, F.col("r.__id").eqNullSafe(F.col("c.__id")) & (F.col("r.__copy") == F.col("c.__copy")) & (F.col("r.__n") == F.col("c.__n")))
-        kept = F.array_join(F.filter(F.split(F.col(f"r.`{self.text_col}`"), "\n"), lambda x, i: ~F.array_contains(F.col("__removed"), i)), "\n")
-        new = F.when(F.size("__removed") > 0, kept).otherwise(F.col(f"r.`{self.text_col}`"))
-        out = joined.select(*[F.col(f"r.`{n}`") for n in names if n != self.text_col], new.alias(self.text_col), (F.size("__removed") > 0).alias("__cut"))
-        out = out.where(~F.col("__cut") | F.col(f"`{self.text_col}`").rlike(WORD))
+        rows = join_rows(self.df, cut, self.id_col, text, "__llm_row")
+        kept = F.array_join(F.filter(F.split(f"`{self.text_col}`", "\n"), lambda x, i: ~F.array_contains(F.col("__llm_removed"), i)), "\n")
+        some = F.size("__llm_removed") > 0
+        new = {self.text_col: F.when(some, kept).otherwise(F.col(f"`{self.text_col}`"))}
+        out = rows.select(*[new.get(n, F.col(f"`{n}`")).alias(n) for n in names], some.alias("__llm_cut"))
+        out = out.where(~F.col("__llm_cut") | F.col(f"`{self.text_col}`").rlike(WORD))
         if chars_col in names:
             kind = self.df.schema[chars_col].dataType
-            out = out.withColumn(chars_col, F.when(F.col("__cut"), F.char_length(f"`{self.text_col}`").cast(kind)).otherwise(F.col(f"`{chars_col}`")))
+            out = out.withColumn(chars_col, F.when(F.col("__llm_cut"), F.char_length(f"`{self.text_col}`").cast(kind)).otherwise(F.col(f"`{chars_col}`")))
         return out.select(*[f"`{n}`" for n in names])

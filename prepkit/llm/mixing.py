@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from prepkit.llm.common import SPACES, WORD, stage
+from prepkit.llm.common import SPACES, WORD, join_rows, row_key, stage, text_of
 from prepkit.session import ship_package
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -149,7 +149,8 @@ class Mix:
         sized = stage(docs.select(
             F.col(f"`{id_col}`").alias("id"),
             F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src)).alias("src"),
-            F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size")),
+            F.xxhash64(text_of(text_col)).alias("copy"),
+            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size")),
             "mix-sizes")
         rows = sized.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
         rows.sort(key=lambda r: (r["src"] == "n", r["src"]))
@@ -165,11 +166,11 @@ class Mix:
             "src string, number int, source_size long, target double")
         parts = (parts.withColumn("base", F.sum("words").over(Window.partitionBy("src").orderBy("chunk")) - F.col("words"))
                  .join(info, "src"))
-        inside = Window.partitionBy("src", "chunk").orderBy(F.asc_nulls_last("id"), "size").rowsBetween(
+        inside = Window.partitionBy("src", "chunk").orderBy(F.asc_nulls_last("id"), "size", "copy").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         self.placed = stage(
             sized.withColumn("end", F.sum("size").over(inside)).join(parts, ["src", "chunk"])
-            .select("id", "size", "number", "source_size", "target", (F.col("base") + F.col("end") - F.col("size")).alias("start")),
+            .select("id", "copy", "size", "number", "source_size", "target", (F.col("base") + F.col("end") - F.col("size")).alias("start")),
             "mix-placed")
         self.slots = self._slots(spark, block_words, max(1, shard_words // block_words), seed)
         self.block = block_words
@@ -218,27 +219,22 @@ class Mix:
         """The mixed documents: a row of ``docs`` once for each pass that takes any of
         it, with all its columns; the text of a document taken in part is cut to the
         words taken (with the white space between them) and ``chars_col`` follows.
-        ``docs`` are the rows the mix was planned on; rows that share an id and a
-        size are told apart by their text."""
+        ``docs`` are the rows the mix was planned on."""
         names = docs.columns
-        taken = (self.pieces().groupBy("number", "start", "turn")
-                 .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__spans")))
-        copy = Window.partitionBy("__id")
-        taken = (self.placed.withColumnRenamed("id", "__id")
-                 .withColumn("__copy", F.row_number().over(copy.orderBy("size", "start")))
-                 .where("size > 0")       # empty documents start where the next one does
-                 .join(taken, ["number", "start"])
-                 .select(F.col("__id").alias("__taken_id"), F.col("__copy").alias("__taken_copy"), "__spans",
-                         (F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]) == F.col("size")).alias("__whole")))
-        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-        rows = (docs.withColumn("__id", F.col(f"`{self.id_col}`"))
-                .withColumn("__copy", F.row_number().over(copy.orderBy(F.regexp_count(text, F.lit(WORD)), F.xxhash64(text)))))
-        rows = rows.join(taken, rows["__id"].eqNullSafe(taken["__taken_id"]) & (F.col("__copy") == F.col("__taken_copy")))
-        whole, part = rows.where("__whole").select(*[f"`{c}`" for c in names]), rows.where("not __whole")
-        part = part.select(*[f"`{c}`" for c in names if c != text_col], _cut(F.col(f"`{text_col}`"), F.col("__spans")).alias(text_col))
+        spans = (self.pieces().groupBy("number", "start", "turn")
+                 .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
+        # empty documents start where the next one does, and are never taken
+        taken = (self.placed.where("size > 0").join(spans, ["number", "start"])
+                 .select(row_key("id").alias("__llm_key"), F.col("copy").alias("__llm_copy"), F.col("number").alias("__llm_number"),
+                         F.col("start").alias("__llm_start"), F.col("spans").alias("__llm_spans"),
+                         (F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"]) == F.col("size")).alias("__llm_whole")))
+        rows = join_rows(docs, stage(taken, "mix-taken", release=True), self.id_col, text_of(text_col), "__llm_number", "__llm_start")
+        whole, part = rows.where("__llm_whole"), rows.where("not __llm_whole")
+        new = {text_col: _cut(F.col(f"`{text_col}`"), F.col("__llm_spans"))}
+        part = part.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in names])
         if chars_col in names:
             part = part.withColumn(chars_col, F.char_length(f"`{text_col}`").cast(docs.schema[chars_col].dataType))
-        return whole.unionByName(part)
+        return whole.select(*[f"`{c}`" for c in names]).unionByName(part)
 
 
 @F.pandas_udf(T.StringType())
