@@ -75,7 +75,7 @@ def _slices(texts: pa.Array):
 
 
 def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tuple:
-    """ids, lengths, terms, ends, documents and frequencies of one shard.  Documents
+    """ids, lengths, terms, how many documents have each, documents and frequencies of one shard.  Documents
     are ordered by their most frequent word, then by length: neighbours are of one
     language and size, which keeps a block's maxima close to its documents."""
     length = np.concatenate(lengths)
@@ -95,13 +95,15 @@ def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tu
     rank[placed] = np.arange(len(length))
     heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.array([], dtype=np.int64)
     return ([ids[i] for i in placed], length[placed].astype(np.int64).tobytes(), term[heads].tobytes(),
-            np.append(heads[1:], len(term)).astype(np.uint32).tobytes() if len(heads) else b"",
-            rank[doc].astype(np.uint32).tobytes(), tf.astype(np.uint32).tobytes())
+            np.diff(np.append(heads, len(term))).astype(np.uint32).tobytes() if len(heads) else b"",
+            rank[doc].astype(np.uint16).tobytes(), tf.astype(np.uint32).tobytes())
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
     """One row per shard, written to the shared folder: ``part`` and ``turn`` name
-    it; ids, lengths, terms, ends of their postings, documents, frequencies."""
+    it; ids, lengths, terms, how many postings each has, documents, frequencies."""
+    if shard_docs > 1 << 16:
+        raise ValueError("places of a shard's documents are 16-bit numbers")
     ship_package(df.sparkSession)
     src = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), text_of(text_col).alias("text"))
 
@@ -117,7 +119,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             row = _pack(list(ids), digests, lengths)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int64()), pa.array([turn], pa.int64()), pa.array([row[0]], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in row[1:]]],
-                names=["part", "turn", "ids", "lengths", "terms", "ends", "docs", "tfs"])
+                names=["part", "turn", "ids", "lengths", "terms", "sizes", "docs", "tfs"])
             ids.clear(), digests.clear(), lengths.clear()
             turn, words = turn + 1, 0
             return out
@@ -134,16 +136,16 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if ids:
             yield close()
 
-    return stage(src.mapInArrow(run, "part long, turn long, ids array<string>, lengths binary, terms binary, ends binary, docs binary, tfs binary"), "bm25-index")
+    return stage(src.mapInArrow(run, "part long, turn long, ids array<string>, lengths binary, terms binary, sizes binary, docs binary, tfs binary"), "bm25-index")
 
 
 def _statistics(index: DataFrame) -> tuple[DataFrame, int, float]:
     """Document frequency of each term; number of documents; their mean length."""
     def spread(batches):
         for b in batches:
-            for terms, ends in zip(b.column(0), b.column(1)):
-                t, e = np.frombuffer(terms.as_py(), dtype=np.int64), np.frombuffer(ends.as_py(), dtype=np.uint32).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.diff(e, prepend=0))], names=["term", "df"])
+            for terms, sizes in zip(b.column(0), b.column(1)):
+                t, n = np.frombuffer(terms.as_py(), dtype=np.int64), np.frombuffer(sizes.as_py(), dtype=np.uint32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], names=["term", "df"])
 
     def lengths(batches):
         for b in batches:
@@ -152,35 +154,38 @@ def _statistics(index: DataFrame) -> tuple[DataFrame, int, float]:
 
     whole = index.select("lengths").mapInArrow(lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     n = whole["n"] or 0
-    frequency = index.select("terms", "ends").mapInArrow(spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    frequency = index.select("terms", "sizes").mapInArrow(spread, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return frequency, n, (whole["words"] or 0) / max(n, 1)
 
 
 class Shard:
-    """One shard's index, with BM25 impacts (the part of a score beside the idf)."""
+    """One shard's index; a posting's BM25 impact is its score beside the idf."""
 
-    def __init__(self, ids, lengths, terms, ends, docs, tfs, mean: float, k1: float, b: float):
-        self.ids = np.array(ids, dtype=object)
-        self.n = len(ids)
-        length = np.frombuffer(lengths, dtype=np.int64)
+    def __init__(self, ids, lengths, terms, sizes, docs, tfs, mean: float, k1: float, b: float):
+        self.ids, self.n, self.k1 = np.array(ids, dtype=object), len(ids), k1
+        self.blocks = -(-self.n // BLOCK)
+        self.norm = np.ones(self.blocks * BLOCK)
+        self.norm[:self.n] = k1 * (1 - b + b * np.frombuffer(lengths, dtype=np.int64) / max(mean, 1e-9))
         self.terms = np.frombuffer(terms, dtype=np.uint64)
-        ends = np.frombuffer(ends, dtype=np.uint32).astype(np.int64)
-        self.first, self.size = np.concatenate(([0], ends[:-1])) if len(ends) else ends, np.diff(ends, prepend=0)
-        self.docs = np.frombuffer(docs, dtype=np.uint32).astype(np.int64)
-        tf = np.frombuffer(tfs, dtype=np.uint32).astype(np.float64)
-        self.impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[self.docs] / max(mean, 1e-9)))
-        # frequent terms: impacts by document (exactly, and short ones for the first look), and their maxima by block
+        self.size = np.frombuffer(sizes, dtype=np.uint32).astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.docs, self.tf = np.frombuffer(docs, dtype=np.uint16), np.frombuffer(tfs, dtype=np.uint32)
+        # frequent terms: frequencies by document, short impacts for the first look, and their maxima by block
         self.column = np.full(len(self.terms), -1)
         often = np.flatnonzero(self.size * FREQUENT >= max(self.n, BLOCK))
         self.column[often] = np.arange(len(often))
-        self.blocks = -(-self.n // BLOCK)
-        self.dense = np.zeros((self.blocks * BLOCK, len(often)))
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), dtype=np.uint32)
         for c, t in enumerate(often):
             p = slice(self.first[t], self.first[t] + self.size[t])
-            self.dense[self.docs[p], c] = self.impact[p]
-        self.short = self.dense.astype(np.float32)
+            self.dense[self.docs[p], c] = self.tf[p]
+        self.short = np.empty(self.dense.shape, dtype=np.float32)
+        for at in range(0, len(self.short), 1024):
+            self.short[at:at + 1024] = self.impact(self.dense[at:at + 1024], self.norm[at:at + 1024, None])
         self.maxima = self.short.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
 
+    def impact(self, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        return tf * (self.k1 + 1) / (tf + norm)
+
     def _weigh(self, terms: np.ndarray, idf: np.ndarray, weight: np.ndarray, base: np.ndarray) -> None:
         """One query: its weights of frequent terms, and what its rare terms give each document."""
         place = np.searchsorted(self.terms, terms)
@@ -192,7 +197,8 @@ class Shard:
         rare, idf, size = place[~often], idf[~often], self.size[place[~often]]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rare] - (ends - size), size)
-        base[:self.n] = np.bincount(self.docs[at], weights=self.impact[at] * np.repeat(idf, size), minlength=self.n)
+        docs = self.docs[at]
+        base[:self.n] = np.bincount(docs, weights=self.impact(self.tf[at], self.norm[docs]) * np.repeat(idf, size), minlength=self.n)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (digests, idfs): the documents (by place) with the k best
@@ -205,7 +211,7 @@ class Shard:
         bound = near @ self.maxima.T + base.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
 
         def full(i: int, docs: np.ndarray) -> np.ndarray:
-            return base[i, docs] + self.dense[docs] @ weight[i]
+            return base[i, docs] + self.impact(self.dense[docs], self.norm[docs, None]) @ weight[i]
 
         # thresholds from the documents of each query's best blocks, then the WAND test of all blocks
         least = np.zeros(len(queries))
@@ -237,7 +243,7 @@ class Shard:
 
 
 def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str = "text", k: int = 10,
-           k1: float = 1.2, b: float = 0.75) -> DataFrame:
+           k1: float = 1.2, b: float = 0.75, bundle: int = 2) -> DataFrame:
     """The k best documents of all rows of ``df`` for each row that ``queries``
     holds for: ``query_id, rank, doc_id, score`` (ids of the type of ``id_col``).
 
@@ -246,6 +252,7 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
     smaller id, and equal (id, score) rows of repeated ids each count.  Only scores
     above 0 are listed, so a query without words (or with a NULL text) has no rows;
     queries with NULL ids are left out.  Words are told apart by 64-bit digests.
+    A task holds ``bundle`` shards, and queries are sent once to each bundle.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -265,43 +272,45 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
 
     asked = (df.where(queries).select(F.col(f"`{id_col}`").cast("string").alias("id"), text_of(text_col).alias("text")).where("id is not null")
              .mapInArrow(words, "id string, term long").distinct())
-    asked = (asked.join(frequency, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-             .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("q")))
-    empty = {"ids": "array<string>", "lengths": "binary", "terms": "binary", "ends": "binary", "docs": "binary", "tfs": "binary"}
-    rows = index.select((F.col("turn") * parts + F.col("part")).alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), *empty,
-                        F.lit(None).cast("array<long>").alias("q_terms"), F.lit(None).cast("array<double>").alias("q_idf"))
+    asked = (asked.join(frequency, "term").groupBy("id")
+             .agg(F.sort_array(F.collect_list(F.struct("term", F.col("df")))).alias("q")))
+    bundles = -(-parts * turns // bundle)
+    empty = {"ids": "array<string>", "lengths": "binary", "terms": "binary", "sizes": "binary", "docs": "binary", "tfs": "binary"}
+    rows = index.select(F.floor((F.col("turn") * parts + F.col("part")) / bundle).alias("bundle"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("id"), *empty,
+                        F.lit(None).cast("array<long>").alias("q_terms"), F.lit(None).cast("array<int>").alias("q_df"))
     rows = rows.unionByName(asked.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts * turns - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id",
-        *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.col("q.term").alias("q_terms"), F.col("q.idf").alias("q_idf")))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bundles - 1).cast("long"))).alias("bundle"), F.lit(1).alias("kind"), "id",
+        *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.col("q.term").alias("q_terms"), F.transform("q", lambda x: x["df"].cast("int")).alias("q_df")))
 
     def run(batches):
-        shard, number, waiting = None, None, []
+        shards, number, waiting = [], None, []
 
         def answer():
-            got = shard.search([q for _, q in waiting], k)
-            rows = [(name, d, s) for (name, _), (docs, score) in zip(waiting, got) for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
+            rows = [(name, d, s) for shard in shards for (name, _), (docs, score) in zip(waiting, shard.search([q for _, q in waiting], k))
+                    for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                                pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
 
         for batch in batches:
-            kinds, numbers = batch.column("kind").to_pylist(), batch.column("shard").to_pylist()
+            kinds, numbers = batch.column("kind").to_pylist(), batch.column("bundle").to_pylist()
             for i, kind in enumerate(kinds):
-                if kind == 0:
+                if numbers[i] != number:
                     if waiting:
                         yield answer()
-                    shard = None        # before the next one takes its place
-                    shard, number = Shard(*[batch.column(c)[i].as_py() for c in empty], mean, k1, b), numbers[i]
-                elif numbers[i] == number:
-                    terms, idf = (np.array(batch.column(c)[i].values) for c in ("q_terms", "q_idf"))
-                    waiting.append((batch.column("id")[i].as_py(), (terms.view(np.uint64), idf)))
+                    shards, number = [], numbers[i]
+                if kind == 0:
+                    shards.append(Shard(*[batch.column(c)[i].as_py() for c in empty], mean, k1, b))
+                else:
+                    terms, df = (np.array(batch.column(c)[i].values) for c in ("q_terms", "q_df"))
+                    waiting.append((batch.column("id")[i].as_py(), (terms.view(np.uint64), np.log(1 + (n - df + 0.5) / (df + 0.5)))))
                     if len(waiting) == TOGETHER:
                         yield answer()
         if waiting:
             yield answer()
 
-    # a number of partitions of its own: Spark would merge small ones, and so gather many shards in a task
-    found = (rows.repartition(2 * parts * turns, F.col("shard")).sortWithinPartitions("shard", "kind")
+    # a number of partitions of its own: Spark would merge small ones, and so gather many bundles in a task
+    found = (rows.repartition(2 * bundles, F.col("bundle")).sortWithinPartitions("bundle", "kind")
              .mapInArrow(run, "query_id string, doc_id string, score double")
              .withColumns({"query_id": F.col("query_id").cast(kind), "doc_id": F.col("doc_id").cast(kind)}))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
