@@ -17,6 +17,8 @@ whole word sets of the pairs that are left.  A line goes if an earlier one is si
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prepkit.llm.common import SPACES, WORD, join_rows, row_key, stage
@@ -70,12 +72,14 @@ class LineDedup:
     ones too) are left alone.  NULL texts are one blank line.  Rows come in the
     order of their ids (NULL first); of rows that share an id the one read first
     comes first.  Other columns do not matter, and an empty table gives nothing.
+    Similarity is verified in ``rounds`` parts, one after another.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, min_words: int = 5):
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, min_words: int = 5,
+                 rounds: int = 6):
         if not 0.5 < t <= 1:
             raise ValueError("t must be above 0.5 and at most 1")
-        self.df, self.id_col, self.text_col, self.t = df, id_col, text_col, t
+        self.df, self.id_col, self.text_col, self.t, self.rounds = df, id_col, text_col, t, rounds
         rows = _rows(df, id_col, text_col)
         self.levels = _rarity(rows.select(F.posexplode(F.split("text", "\n")).alias("line", "body")))
         n, long = F.size("codes"), F.size("codes") >= min_words
@@ -121,6 +125,13 @@ class LineDedup:
             rows.join(at, F.col("id").eqNullSafe(F.col("of")))
                  .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
                  .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]), "line-words", release=True)
+        pairs = stage(pairs, "line-pairs", release=True)
+        # a pair's two word sets meet by shuffling them with the pair: in rounds, to bound what is on disk at a time
+        rounds = [stage(self._verified(pairs.where(F.pmod(F.xxhash64("a_k1"), F.lit(self.rounds)) == i), found), "line-links", release=True)
+                  for i in range(self.rounds)]
+        return reduce(DataFrame.union, rounds)
+
+    def _verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         for side in "ab":
             keys = found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "k2", "codes")])
             pairs = pairs.join(keys, [f"{side}_k1", f"{side}_k2"])
@@ -132,7 +143,7 @@ class LineDedup:
         """Each line (id, row, copy, line): whether it is ``removed``, and its ``links`` to other classes."""
         at = F.struct("id", "row", "line")
         first = self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(at).alias("first"))
-        links = stage(self.links(), "line-links", release=True)
+        links = self.links()
         both = links.union(links.select("b_k1", "b_k2", "a_k1", "a_k2")).toDF("k1", "k2", "o_k1", "o_k2")
         other = first.select(F.col("k1").alias("o_k1"), F.col("k2").alias("o_k2"), F.col("first").alias("o_first"))
         near = both.join(other, ["o_k1", "o_k2"]).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("links"), F.min("o_first").alias("o_first"))
