@@ -22,8 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go, and documents that lose all their words."""
-    return LineDedup(docs).texts()
+    """Lines similar to an earlier line go, short ones too (blank ones stay), and documents that lose all their words."""
+    return LineDedup(docs, min_words=1).texts()
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
