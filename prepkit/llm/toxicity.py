@@ -1,9 +1,11 @@
 """Operator 2: toxicity after noisy-channel deobfuscation.
 
-A token that looks disguised (leetspeak, letters set apart, letters repeated)
-becomes a lattice: each character may stand for letters, for a boundary or for
-nothing, at a channel cost.  The Viterbi path under a character trigram model
-restores the words, which are scored like plain ones.
+A token, and short neighbouring tokens together, become a lattice: each character
+may stand for letters, for a boundary or for nothing, at a channel cost.  The
+Viterbi path under a character trigram model restores the words, which are scored
+like plain ones; the larger of the plain and the restored weight counts.  Only what
+could spell a learned word or beginning is decoded: a regular expression of all that
+the lattice can turn into one, so nothing that could count is passed over.
 
 * The trigram model counts all texts of the corpus (one pass) and gives half
   its weight to the learned words, so that disguised ones are recognised.
@@ -37,11 +39,12 @@ APART = ".-_~ '`*"
 #: Channel costs, in nats: a stand-in letter, a character that means nothing, a repeated letter that means nothing, a boundary.
 COST_LEET, COST_NOTHING, COST_REPEAT, COST_EDGE = 1.0, 0.5, 0.5, 1.0
 
+#: Neighbouring tokens of so many letters, digits and stand-ins at most are also read as one.
+SHORT = 3
+
 SLICE_BYTES = 4 << 20
 WORDS_KEPT = 400_000
 _LETTERS = 28       # boundary, a to z, any other letter
-_DISGUISE = re.compile(r"(.)\1\1")
-_DOUBLE = re.compile(r"(.)\1")
 
 
 def _symbol(c: str) -> int:
@@ -137,6 +140,26 @@ def viterbi(noisy: str, costs: np.ndarray) -> str:
     return min((cost + (costs[0 if b == 0 else a, b, 0] if b else 0.0), text) for (a, b), (cost, text) in best.items())[1].strip()
 
 
+def spelled(names: list[str]) -> str:
+    """A regular expression (of Python and of RE2) of all that ``lattice`` can turn
+    into one of ``names``: stand-ins of each letter, then what may mean nothing."""
+    def letter(x: str) -> tuple[str, str]:
+        own = x + "".join(c for c, ways in LEET.items() if x in ways)
+        one, more = (f"[{''.join(dict.fromkeys(s)).replace('-', chr(92) + '-')}]" for s in (own, own + APART))
+        return one, more + "*"
+
+    return "|".join("".join(one + more for one, more in map(letter, name[:-1])) + letter(name[-1])[0] for name in sorted(names, key=len, reverse=True))
+
+
+def _short(token: str) -> bool:
+    return len(token) <= SHORT + 1 and sum(c.isalnum() or c in LEET for c in token) <= SHORT
+
+
+def _trims(edge: str) -> list[int]:
+    """Where an edge of stand-ins may be cut: its ends and where the character changes."""
+    return sorted({0, len(edge), *(i for i in range(1, len(edge)) if edge[i] != edge[i - 1])})
+
+
 def features(word: str) -> list[str]:
     """The word, and its beginnings of four to seven letters."""
     return ["=" + word, *["^" + word[:k] for k in range(4, min(7, len(word)) + 1)]]
@@ -152,6 +175,13 @@ class Scorer:
 
     def __post_init__(self):
         self.known: dict[str, tuple[float, str]] = {}
+        self.pattern = spelled([f[1:] for f in self.weights])
+
+    def hidden(self, texts: pa.Array) -> np.ndarray:
+        """Whether a restored form of each may hold a learned word or beginning."""
+        if not self.weights:
+            return np.zeros(len(texts), dtype=bool)
+        return pc.match_substring_regex(texts, self.pattern).to_numpy(zero_copy_only=False)
 
     def plain(self, word: str) -> tuple[float, str]:
         return max(((self.weights.get(f, 0.0), word) for f in features(word)), default=(0.0, word))
@@ -159,8 +189,10 @@ class Scorer:
     def restored(self, noisy: str) -> tuple[float, str]:
         return max((self.plain(w) for w in viterbi(noisy, self.costs).split()), default=(0.0, ""))
 
-    def word(self, token: str) -> tuple[float, str]:
-        """The weight of a lower-case token and the word that has it."""
+    def word(self, token: str, hidden: bool) -> tuple[float, str]:
+        """The weight of a lower-case token and the word that has it; what is not ``hidden`` has none."""
+        if not hidden:
+            return 0.0, ""
         if (got := self.known.get(token)) is None:
             if len(self.known) > WORDS_KEPT:
                 self.known.clear()
@@ -168,19 +200,17 @@ class Scorer:
         return got
 
     def _word(self, token: str) -> tuple[float, str]:
-        if not any(map(str.isalpha, token)):
-            return 0.0, ""
-        end = len(token)
-        while not token[end - 1].isalnum():
-            end -= 1
-        start = 0
-        while not (token[start].isalnum() or token[start] in "$@" and token[start + 1].isalpha()):
-            start += 1
-        tail = re.match(r"[$@]{0,2}", token[end:])[0]
-        core = token[start:end] + (tail if len(token[end:]) == len(tail) else "")
-        if core.isalpha() and not _DISGUISE.search(core) and len(_DOUBLE.findall(core)) < 3:
-            return self.plain(core)
-        return max(self.restored(core), *(self.plain(w) for w in re.findall(r"[^\W\d_]+", core)))
+        best = max((self.plain(w) for w in re.findall(r"[^\W\d_]+", token)), default=(0.0, ""))
+        on = [i for i, c in enumerate(token) if c.isalnum() or c in LEET]
+        if not on:
+            return best
+        whole = token[on[0]:on[-1] + 1]
+        # stand-ins at the edges may be letters or punctuation: each reading is decoded
+        inner = [i for i, c in enumerate(whole) if c.isalnum()] or [0, len(whole) - 1]
+        for i in _trims(whole[:inner[0]]):
+            for j in _trims(whole[inner[-1] + 1:][::-1]):
+                best = max(best, self.restored(whole[i:len(whole) - j]))
+        return best
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Of each text: the largest weight of its words, how many have one, and which they are."""
@@ -190,20 +220,23 @@ class Scorer:
             coded = split.flatten().dictionary_encode()
             vocabulary = coded.dictionary.to_pylist()
             index = coded.indices.to_numpy(zero_copy_only=False)
-            weight = np.array([self.word(w)[0] for w in vocabulary])
-            alone = np.array([sum(map(str.isalnum, w)) <= 1 and len(w) <= 2 for w in vocabulary], dtype=bool)
+            judged = [self.word(w, h) for w, h in zip(vocabulary, self.hidden(coded.dictionary))]
+            weight = np.array([w for w, _ in judged])
+            short = np.array([_short(w) for w in vocabulary], dtype=bool)
             ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
             doc = np.searchsorted(ends, np.arange(len(index)), side="right")
             hits = np.flatnonzero(weight[index] > 0) if len(index) else np.array([], dtype=np.int64)
-            scored = [(int(doc[i]), *self.word(vocabulary[index[i]])) for i in hits]
-            # runs of three or more lone characters in one text
-            lone = np.flatnonzero(alone[index]) if len(index) else np.array([], dtype=np.int64)
-            cuts = np.flatnonzero((np.diff(lone) != 1) | (np.diff(doc[lone]) != 0)) + 1
-            for run in np.split(lone, cuts):
-                if len(run) >= 3:
-                    w, word = self.word_run(" ".join(vocabulary[i] for i in index[run]))
-                    if w > 0:
-                        scored.append((int(doc[run[0]]), w, word))
+            scored = [(int(doc[i]), *judged[index[i]]) for i in hits]
+            # runs of two or more short tokens in one text
+            near = np.flatnonzero(short[index]) if len(index) else np.array([], dtype=np.int64)
+            cuts = np.flatnonzero((np.diff(near) != 1) | (np.diff(doc[near]) != 0)) + 1
+            runs = [run for run in np.split(near, cuts) if len(run) > 1]
+            joined = [" ".join([vocabulary[i] for i in index[run]]) for run in runs]
+            for n in np.flatnonzero(self.hidden(pa.array(joined, pa.string()))):
+                for first, last in self.spans(joined[n]):
+                    w, word = self.word_run(" ".join(joined[n].split(" ")[first:last + 1]))
+                    if w > weight[index[runs[n][first:last + 1]]].max():
+                        scored.append((int(doc[runs[n][0]]), w, word))
             words: dict[int, set] = {}
             for d, w, word in scored:
                 most[at + d], many[at + d] = max(most[at + d], w), many[at + d] + 1
@@ -212,10 +245,21 @@ class Scorer:
                 found[d] = ",".join(sorted(w))
         return most, many, found
 
+    def spans(self, run: str) -> list[tuple[int, int]]:
+        """The first and last of the tokens of ``run`` that could together spell a learned word or beginning."""
+        out, m, pattern = set(), None, re.compile(self.pattern)
+        while m := pattern.search(run, m.start() + 1 if m else 0):
+            first, last = (run.count(" ", 0, i) for i in (m.start(), m.end() - 1))
+            if first < last:
+                out.add((first, last))
+        return sorted(out)
+
     def word_run(self, run: str) -> tuple[float, str]:
-        if run not in self.known:
-            self.known[run] = self.restored(run)
-        return self.known[run]
+        if (got := self.known.get(run)) is None:
+            if len(self.known) > WORDS_KEPT:
+                self.known.clear()
+            got = self.known[run] = self.restored(run)
+        return got
 
     def score(self, most: np.ndarray, many: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
