@@ -2,8 +2,8 @@
 
 Each text is scanned where it lies, for three base kinds and for other
 random-looking tokens.  The digests of all candidate values are counted over
-the corpus by distinct repositories and owners.  A value with many owners is
-a copied example; one that a single owner has looks live.  Base spans always
+the corpus by distinct repositories and owners.  A value with many owners, or
+in many repositories of one owner, is a copied example; any other looks live.  Base spans always
 stay; another token becomes a span only if it looks live.  Only digests,
 owners and counts are shuffled, never texts; the join back is salted because
 one example may occur in a third of all rows.
@@ -65,14 +65,16 @@ def other_tokens(text: str, taken: list[tuple[int, int, int, str]], bits: float)
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repo_col: str | None = None, example_owners: int = 2, bits: float = 3.0) -> DataFrame:
+                 repo_col: str | None = None, example_owners: int = 2, bits: float = 3.0, example_repos: int = 10) -> DataFrame:
     """One row per input row: the id, ``n_assign, n_access, n_hex``,
     ``base_sha256``, ``spans`` (kind:start:end of all spans, by start, then kind,
-    comma-joined), ``n_live`` and ``n_example``.
+    comma-joined), ``owners`` and ``repos`` (of the value of each span, in the same
+    order, comma-joined), ``n_live`` and ``n_example``.
 
     ``owner_col`` names the owner, ``repo_col`` the repository (by default each
-    row is its own).  A value with ``example_owners`` owners or more is an
-    example; with fewer, and a NULL owner counts as one more owner, it looks live.
+    row is its own).  A value with ``example_owners`` owners or more, or in
+    ``example_repos`` repositories or more, is an example; with fewer of both it looks
+    live.  A NULL owner counts as one more owner, a NULL repository as one more repository.
     NULL texts are empty; repeated rows are separate rows; an empty table gives
     no rows; columns that are not named are ignored.
     """
@@ -101,14 +103,15 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = (each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
                .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-               .withColumn("live", F.col("owners") < example_owners))
+               .withColumn("live", (F.col("owners") < example_owners) & (F.col("repos") < example_repos)))
     salted = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     judged = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int")).join(salted, ["hash", "salt"])
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     spans = (judged.where((F.col("kind") < 3) | F.col("live")).groupBy("row")
-             .agg(F.sort_array(F.collect_list(F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("span")))).alias("s"),
+             .agg(F.sort_array(F.collect_list(F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("span"), "owners", "repos"))).alias("s"),
                   F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example")))
     return scanned.join(spans, "row", "left").select(
         F.col("id").cast(kind).alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.array_join(F.col("s.span"), ","), F.lit("")).alias("spans"),
+        *[F.coalesce(F.array_join(F.col(f"s.{c}").cast("array<string>"), ","), F.lit("")).alias(c) for c in ("owners", "repos")],
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
