@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prepkit.llm.common import stage, text_of
+from prepkit.llm.common import join_rows, row_key, stage, text_of
 from prepkit.llm.components import components
 from prepkit.session import ship_package
 
@@ -93,16 +93,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``id`` and ``print`` (signed 64 bits) of each row; NULL texts are empty."""
+    """``id``, ``copy`` (a digest of the text) and ``print`` (signed 64 bits) of each row; NULL texts are empty."""
     ship_package(df.sparkSession)
-    src = df.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(text_col)).alias("copy"), text_of(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
-            prints = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], names=["id", "print"])
+            prints = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64))], names=["id", "copy", "print"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, print long")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, copy long, print long")
 
 
 def _keys(prints: DataFrame, left: bool) -> DataFrame:
@@ -140,18 +140,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest (a component of NULL ids alone has NULL).  An empty table gives no
     rows; other columns are ignored.
     """
-    docs = stage(fingerprints(df, id_col, text_col, shingle, seed), "simhash-prints")
-    nodes = stage(docs.groupBy("print").agg(F.min("id").alias("first")), "simhash-nodes")
-    group = components(links(nodes, bits), "a", "b")
-    nodes = nodes.join(group, F.col("print") == F.col("node"), "left").select(
-        "print", "first", F.coalesce("component", "print").alias("component"))
+    docs, nodes = _grouped(df, id_col, text_col, shingle, seed, bits)
     least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = nodes.join(least, "component").select("print", "component_id")
     return docs.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, copy, print, row), staged, and the distinct fingerprints: the
+    smallest id of each (``first``), its first row (``head``) and its component."""
+    docs = stage(fingerprints(df, id_col, text_col, shingle, seed).withColumn("row", F.monotonically_increasing_id()), "simhash-prints")
+    head = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "copy")
+    nodes = stage(docs.groupBy("print").agg(F.min("id").alias("first"), F.min(head).alias("head")), "simhash-nodes")
+    group = components(links(nodes, bits), "a", "b")
+    return docs, nodes.join(group, F.col("print") == F.col("node"), "left").select(
+        "print", "first", "head", F.coalesce("component", "print").alias("component"))
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the smallest id.  Needs unique ids."""
-    found = near_duplicates(df, id_col, text_col, shingle, bits=bits).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = found.select(F.col(id_col).alias("__keep_id"))
-    return df.join(keep, df[f"`{id_col}`"].eqNullSafe(F.col("__keep_id")), "left_semi")
+    """The rows of ``df`` that stay, with all their columns: one of each component, that
+    with the smallest id (NULL last), of rows that share it the one read first.  Rows
+    alike in id and text are one another's copies, of which any may be the one."""
+    _, nodes = _grouped(df, id_col, text_col, shingle, 42, bits)
+    keep = nodes.groupBy("component").agg(F.min("head").alias("head")).select(
+        F.col("head.id").alias("__id"), F.col("head.copy").alias("__llm_copy"), F.col("head.row").alias("__llm_row"))
+    keep = stage(keep.select(row_key("__id").alias("__llm_key"), "__llm_copy", "__llm_row"), "simhash-kept")
+    return join_rows(df, keep, id_col, text_of(text_col), "__llm_row").select(*[f"`{n}`" for n in df.columns])
