@@ -4,8 +4,8 @@ A token, and short neighbouring tokens together, become a lattice: each characte
 may stand for letters, for a boundary or for nothing, at a channel cost.  The
 Viterbi path under a character trigram model restores the words, which are scored
 like plain ones; the larger of the plain and the restored weight counts.  Only what
-could spell a learned word or beginning is decoded: a regular expression of all that
-the lattice can turn into one, so nothing that could count is passed over.
+could spell a learned word or beginning is decoded: an automaton accepts all that the
+lattice can turn into one, so nothing that could count is passed over.
 
 * The trigram model counts all texts of the corpus (one pass) and gives half
   its weight to the learned words, so that disguised ones are recognised.
@@ -140,15 +140,53 @@ def viterbi(noisy: str, costs: np.ndarray) -> str:
     return min((cost + (costs[0 if b == 0 else a, b, 0] if b else 0.0), text) for (a, b), (cost, text) in best.items())[1].strip()
 
 
-def spelled(names: list[str]) -> str:
-    """A regular expression (of Python and of RE2) of all that ``lattice`` can turn
-    into one of ``names``: stand-ins of each letter, then what may mean nothing."""
-    def letter(x: str) -> tuple[str, str]:
-        own = x + "".join(c for c, ways in LEET.items() if x in ways)
-        one, more = (f"[{''.join(dict.fromkeys(s)).replace('-', chr(92) + '-')}]" for s in (own, own + APART))
-        return one, more + "*"
-
-    return "|".join("".join(one + more for one, more in map(letter, name[:-1])) + letter(name[-1])[0] for name in sorted(names, key=len, reverse=True))
+class Spelling:
+    """Finds all that ``lattice`` can turn into one of ``names``: stand-ins of each
+    letter, and between them what may mean nothing.  A bit stands for each letter of
+    each name (shift-and), so the time is linear in the text whatever it holds."""
+
+    def __init__(self, names: list[str], back: bool = False):
+        self.start = self.end = at = 0
+        self.step: dict[str, int] = {}
+        self.stay: dict[str, int] = {}
+        every = 0
+        for name in names:
+            name = name[::-1] if back else name
+            self.start |= 1 << at
+            for k, x in enumerate(name):
+                for c in (x, *(c for c, ways in LEET.items() if x in ways)):
+                    self.step[c] = self.step.get(c, 0) | 1 << at
+                    # between two letters the earlier one in the text may be repeated
+                    if not back:
+                        self.stay[c] = self.stay.get(c, 0) | 1 << at
+                    elif k:
+                        self.stay[c] = self.stay.get(c, 0) | 1 << at - 1
+                every |= 1 << at
+                at += 1
+            self.end |= 1 << at - 1
+        for c in APART:
+            self.stay[c] = every
+
+    def ends(self, text: str, once: bool = False) -> list[int]:
+        """Where matches end (the first such place only, if ``once``)."""
+        out, state, step, stay = [], 0, self.step.get, self.stay.get
+        for i, c in enumerate(text):
+            kept = state & stay(c, 0) if state else 0
+            new = (state << 1 | self.start) & step(c, 0)
+            if new & self.end & ~kept:
+                out.append(i)
+                if once:
+                    break
+            state = kept | new
+        return out
+
+    def first(self, text: str, at: int) -> int | None:
+        """Reading back from ``at``, where the shortest match that begins there ends."""
+        state = self.start & self.step.get(text[at], 0)
+        while state and not state & self.end and at:
+            at -= 1
+            state = state & self.stay.get(text[at], 0) | state << 1 & ~self.start & self.step.get(text[at], 0)
+        return at if state & self.end else None
 
 
 def _short(token: str) -> bool:
@@ -175,13 +213,12 @@ class Scorer:
 
     def __post_init__(self):
         self.known: dict[str, tuple[float, str]] = {}
-        self.pattern = spelled([f[1:] for f in self.weights])
+        names = [f[1:] for f in self.weights]
+        self.ahead, self.back = Spelling(names), Spelling(names, back=True)
 
-    def hidden(self, texts: pa.Array) -> np.ndarray:
-        """Whether a restored form of each may hold a learned word or beginning."""
-        if not self.weights:
-            return np.zeros(len(texts), dtype=bool)
-        return pc.match_substring_regex(texts, self.pattern).to_numpy(zero_copy_only=False)
+    def hidden(self, text: str) -> bool:
+        """Whether a restored form may hold a learned word or beginning."""
+        return bool(self.ahead.ends(text, once=True))
 
     def plain(self, word: str) -> tuple[float, str]:
         return max(((self.weights.get(f, 0.0), word) for f in features(word)), default=(0.0, word))
@@ -189,10 +226,8 @@ class Scorer:
     def restored(self, noisy: str) -> tuple[float, str]:
         return max((self.plain(w) for w in viterbi(noisy, self.costs).split()), default=(0.0, ""))
 
-    def word(self, token: str, hidden: bool) -> tuple[float, str]:
-        """The weight of a lower-case token and the word that has it; what is not ``hidden`` has none."""
-        if not hidden:
-            return 0.0, ""
+    def word(self, token: str) -> tuple[float, str]:
+        """The weight of a lower-case token and the word that has it."""
         if (got := self.known.get(token)) is None:
             if len(self.known) > WORDS_KEPT:
                 self.known.clear()
@@ -200,6 +235,8 @@ class Scorer:
         return got
 
     def _word(self, token: str) -> tuple[float, str]:
+        if not self.hidden(token):
+            return 0.0, ""
         best = max((self.plain(w) for w in re.findall(r"[^\W\d_]+", token)), default=(0.0, ""))
         on = [i for i, c in enumerate(token) if c.isalnum() or c in LEET]
         if not on:
@@ -220,7 +257,7 @@ class Scorer:
             coded = split.flatten().dictionary_encode()
             vocabulary = coded.dictionary.to_pylist()
             index = coded.indices.to_numpy(zero_copy_only=False)
-            judged = [self.word(w, h) for w, h in zip(vocabulary, self.hidden(coded.dictionary))]
+            judged = [self.word(w) for w in vocabulary]
             weight = np.array([w for w, _ in judged])
             short = np.array([_short(w) for w in vocabulary], dtype=bool)
             ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
@@ -231,12 +268,10 @@ class Scorer:
             near = np.flatnonzero(short[index]) if len(index) else np.array([], dtype=np.int64)
             cuts = np.flatnonzero((np.diff(near) != 1) | (np.diff(doc[near]) != 0)) + 1
             runs = [run for run in np.split(near, cuts) if len(run) > 1]
-            joined = [" ".join([vocabulary[i] for i in index[run]]) for run in runs]
-            for n in np.flatnonzero(self.hidden(pa.array(joined, pa.string()))):
-                for first, last in self.spans(joined[n]):
-                    w, word = self.word_run(" ".join(joined[n].split(" ")[first:last + 1]))
-                    if w > weight[index[runs[n][first:last + 1]]].max():
-                        scored.append((int(doc[runs[n][0]]), w, word))
+            for run in runs:
+                for first, last, w, word in self.run([vocabulary[i] for i in index[run]]):
+                    if w > weight[index[run[first:last + 1]]].max():
+                        scored.append((int(doc[run[0]]), w, word))
             words: dict[int, set] = {}
             for d, w, word in scored:
                 most[at + d], many[at + d] = max(most[at + d], w), many[at + d] + 1
@@ -245,21 +280,21 @@ class Scorer:
                 found[d] = ",".join(sorted(w))
         return most, many, found
 
-    def spans(self, run: str) -> list[tuple[int, int]]:
-        """The first and last of the tokens of ``run`` that could together spell a learned word or beginning."""
-        out, m, pattern = set(), None, re.compile(self.pattern)
-        while m := pattern.search(run, m.start() + 1 if m else 0):
-            first, last = (run.count(" ", 0, i) for i in (m.start(), m.end() - 1))
-            if first < last:
-                out.add((first, last))
-        return sorted(out)
-
-    def word_run(self, run: str) -> tuple[float, str]:
-        if (got := self.known.get(run)) is None:
-            if len(self.known) > WORDS_KEPT:
-                self.known.clear()
-            got = self.known[run] = self.restored(run)
-        return got
+    def run(self, tokens: list[str]) -> list[tuple[int, int, float, str]]:
+        """The first and last of neighbouring ``tokens`` that together spell a learned
+        word or beginning, its weight and the word: the best for each first token."""
+        text, best = " ".join(tokens), {}
+        ends = self.ahead.ends(text)
+        if ends:
+            of = np.repeat(np.arange(len(tokens)), [len(t) + 1 for t in tokens])
+            for e in ends:
+                start = self.back.first(text, e)
+                if start is not None and of[start] < of[e]:
+                    first, last = int(of[start]), int(of[e])
+                    w, word = self.restored(" ".join(tokens[first:last + 1]))
+                    if w > best.get(first, (0, 0.0, ""))[1]:
+                        best[first] = (last, w, word)
+        return [(first, *found) for first, found in sorted(best.items())]
 
     def score(self, most: np.ndarray, many: np.ndarray) -> np.ndarray:
         a, b, c = self.curve

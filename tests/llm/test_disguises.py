@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prepkit.llm.toxicity import Scorer, spelled, trigram_costs, trigram_counts, viterbi
+from prepkit.llm.toxicity import Scorer, trigram_costs, trigram_counts, viterbi
 
 BAD = ["idiot", "stupid", "moron", "trash", "clown", "loser"]
 
@@ -40,7 +40,7 @@ def test_the_expression_passes_over_nothing(scorer):
     chars = list("idiotsmurnlcwahpe10$!|+(3.-* ")
     texts = ["".join(rng.choice(chars, size=rng.integers(4, 9))) for _ in range(3000)]
     texts += [w[:k] + w[k] * int(rng.integers(1, 3)) + rng.choice(["", ".", "*"]) + w[k:] for w in BAD for k in range(len(w))]
-    hidden = scorer.hidden(pa.array(texts))
+    hidden = [scorer.hidden(t) for t in texts]
     hits = [scorer.restored(t)[0] > 0 for t in texts]
     assert sum(hits) >= 20 and all(h for h, hit in zip(hidden, hits) if hit)
-    assert spelled(["at"]) and viterbi("idiiot", scorer.costs) == "idiot"
+    assert viterbi("idiiot", scorer.costs) == "idiot"
