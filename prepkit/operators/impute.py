@@ -488,7 +488,7 @@ class ChainedImputer:
                 for i, k in enumerate(places):
                     if miss[:, i].any():
                         columns[k] = pa.array(m[:, i])
-                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)      # as batches without a gap go out
 
         filled = src.mapInArrow(fill, src.schema)
         return filled.select(*[F.col(f"v{k}").alias(c) for k, c in enumerate(names)])

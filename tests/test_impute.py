@@ -138,3 +138,19 @@ def test_wide_rows_stay_within_the_task_bound(spark):
     out = ChainedImputer(df.columns, max_iter=1).fit_transform(df)
     assert out.where(" or ".join(f"{c} is null" for c in df.columns)).count() == 0
     assert im._HELD_BYTES // (8 * (p + 1) ** 2) >= 1
+
+
+def test_batches_with_and_without_gaps_have_one_schema(spark):
+    """A non-nullable key and boolean beside the imputed columns; batches of three
+    rows, so that some have no gap at all."""
+    df = spark.range(0, 60, 1, 2).select("id", (F.col("id") % 2 == 0).alias("even"), (F.col("id") % 7).cast("double").alias("a"),
+                                         F.when(F.col("id") < 40, (F.col("id") % 5).cast("double")).alias("b"))
+    assert not df.schema["id"].nullable and not df.schema["even"].nullable
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = ChainedImputer(["even", "a", "b"]).fit_transform(df).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.id for r in got] == list(range(60)) and all(r.b is not None for r in got)
+    assert [r.b for r in got[:40]] == [float(i % 5) for i in range(40)]
