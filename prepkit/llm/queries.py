@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prepkit.llm import bm25
+from prepkit.llm.align import Alignment
 from prepkit.llm.bpe import BytePairs
 from prepkit.llm.chat import format_turns, read_back
 from prepkit.llm.common import table
@@ -70,9 +71,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BytePairs(table(spark, sf_dir, "documents")).digests()
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Alignment(table(spark, sf_dir, "documents")).documents()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bm25_search, op2_toxicity, op3_chat_formatting, op4_packing, op5_language_id, op6_simhash_dedup,
-                            op7_line_dedup, op8_secret_scans, op9_exact_dedup, op10_mixing, op11_byte_bpe)}
+                            op7_line_dedup, op8_secret_scans, op9_exact_dedup, op10_mixing, op11_byte_bpe,
+                            op13_tokenizer_alignment)}
 
 ORACLE: dict[str, str] = {
     "op1_bm25_search": r"""
