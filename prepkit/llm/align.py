@@ -38,7 +38,7 @@ from prepkit.session import ship_package
 #: Segments begin at a space (or spaces) between other characters.
 SEGMENT = regex.compile(r"(?<=\S)(?= +[^ ])")
 #: Segments whose alignment a task remembers, and the longest of them, in characters.
-KEPT, LONGEST_KEPT = 500_000, 64
+KEPT, LONGEST_KEPT = 200_000, 64
 #: Characters of new segments that are tokenised together.
 POOL = 1 << 15
 
@@ -236,7 +236,7 @@ class Alignment:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-            for batch in batches:
+            for batch in slices(batches):
                 links = np.frombuffer(b"".join(batch.column("links").to_pylist()), dtype=kind).astype(np.int64)
                 both, at = np.unique(np.concatenate((code, links)), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate((n, np.ones(len(links), dtype=np.int64))), minlength=len(both)).astype(np.int64)
@@ -245,7 +245,7 @@ class Alignment:
                 yield pa.RecordBatch.from_arrays([pa.array(code[lo:lo + 100_000]), pa.array(n[lo:lo + 100_000])], names=["code", "n"])
 
         entries = own.n_b
-        pairs = aligned.select("links").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        pairs = aligned.select(F.col(f"`{self.id_col}`").alias("id"), "links").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         pairs = pairs.select("code", F.expr(f"code div {entries}").alias("a_id"), (F.col("code") % entries).alias("b_id"), "n")
         return pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b_id")))
 
@@ -258,11 +258,9 @@ class Alignment:
         kind = vocabularies(self.a, self.b).code
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                links = [np.frombuffer(x or b"", dtype=kind) for x in batch.column("links").to_pylist()]
+            for batch in slices(batches):
+                links = [np.frombuffer(x, dtype=kind) for x in batch.column("links").to_pylist()]
                 size = np.fromiter(map(len, links), dtype=np.int64, count=len(links))
-                if not len(links):
-                    continue
                 at = np.searchsorted(code, np.concatenate(links))
                 row = np.repeat(np.arange(len(links)), size)
                 sums = [np.zeros(len(links), dtype=np.int64) for _ in range(2)]
@@ -271,7 +269,7 @@ class Alignment:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, sums)], names=[*kept, "n_best", "count_sum"])
 
         kept = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-        rows = aligned.withColumnRenamed(self.id_col, "id").select(*kept, "links")
+        rows = aligned.withColumnRenamed(self.id_col, "id").select("id", "links", *kept[1:])
         schema = f"id {self.kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
         out = rows.mapInArrow(mark, schema).select("id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
         return out.withColumnRenamed("id", self.id_col)
