@@ -19,6 +19,7 @@ from prepkit.llm.packing import pack_documents
 from prepkit.llm.secrets import scan_secrets
 from prepkit.llm.simhash import near_duplicates
 from prepkit.llm.toxicity import toxicity
+from prepkit.llm.trie import PrefixTrie, conversations, share_heads
 
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BytePairs(table(spark, sf_dir, "documents")).digests()
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PrefixTrie(share_heads(conversations(table(spark, sf_dir, "conversations")))).nodes()
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Alignment(table(spark, sf_dir, "documents")).documents()
 
@@ -78,7 +83,7 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bm25_search, op2_toxicity, op3_chat_formatting, op4_packing, op5_language_id, op6_simhash_dedup,
                             op7_line_dedup, op8_secret_scans, op9_exact_dedup, op10_mixing, op11_byte_bpe,
-                            op13_tokenizer_alignment)}
+                            op12_prefix_trie, op13_tokenizer_alignment)}
 
 ORACLE: dict[str, str] = {
     "op1_bm25_search": r"""
@@ -146,4 +151,32 @@ WITH base AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size,
        row_number() OVER w = 1 AS kept, sha AS text_sha256
 FROM base WINDOW w AS (PARTITION BY sha ORDER BY points DESC, doc_id NULLS LAST)""",
+    "op12_prefix_trie": r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (SELECT *, md5(length(role) || ':' || role || text) AS digest FROM given),
+turns AS (
+  SELECT conv_id, digest, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS at FROM coded),
+ids AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, k: xor(t >> 1, (t & 1) * 3988292384)))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM given)),
+rebuilt AS (
+  SELECT i.conv_id, at, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND at <= h
+  UNION ALL SELECT i.conv_id, at, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND at > h),
+steps AS (SELECT *, row_number() OVER w AS depth, md5(string_agg(digest, '') OVER w) AS node FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY at)),
+prefix AS (
+  SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM steps
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM ids),
+node AS (SELECT node, parent, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs FROM prefix GROUP BY node, parent, depth),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT over.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.size) AS saved_tokens
+  FROM node x JOIN prefix over ON over.conv_id = x.conv_id AND over.depth <= x.depth LEFT JOIN kids k ON k.node = x.node GROUP BY over.node),
+last AS (SELECT conv_id, max_by(node, depth) AS node FROM prefix GROUP BY conv_id),
+ends AS (SELECT node, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM last GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node n LEFT JOIN node p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node LEFT JOIN ends e ON e.node = n.node""",
 }
