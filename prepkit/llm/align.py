@@ -38,7 +38,7 @@ from prepkit.session import ship_package
 #: Segments begin at a space (or spaces) between other characters.
 SEGMENT = regex.compile(r"(?<=\S)(?= +[^ ])")
 #: Segments whose alignment a task remembers, and the longest of them, in characters.
-KEPT, LONGEST_KEPT = 200_000, 64
+KEPT, LONGEST_KEPT = 600_000, 64
 #: Characters of new segments that are tokenised together.
 POOL = 1 << 15
 
@@ -198,10 +198,11 @@ class Alignment:
             own = vocabularies(a, b)
             for batch in slices(batches):
                 known = own.known
-                if len(known) > KEPT:
-                    known.clear()
                 cut = [own.segments(t) if t else [] for t in batch.column("text").to_pylist()]
-                new = list(set().union(*cut).difference(known))
+                now = set().union(*cut)
+                new = list(now.difference(known))
+                if len(known) + len(new) > KEPT:            # frequent ones are in this slice too
+                    own.known = known = {s: known[s] for s in now.difference(new)}
                 known.update(zip(new, own.align(new)))
                 rows = []
                 for c in cut:

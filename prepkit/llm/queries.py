@@ -156,16 +156,16 @@ WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 coded AS (SELECT *, md5(length(role) || ':' || role || text) AS digest FROM given),
 turns AS (
-  SELECT conv_id, digest, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS at FROM coded),
+  SELECT conv_id, digest, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS pos FROM coded),
 ids AS (
   SELECT conv_id, xor(4294967295, list_reduce(
            list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, k: xor(t >> 1, (t & 1) * 3988292384)))) % 6 AS h
   FROM (SELECT DISTINCT conv_id FROM given)),
 rebuilt AS (
-  SELECT i.conv_id, at, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND at <= h
-  UNION ALL SELECT i.conv_id, at, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND at > h),
-steps AS (SELECT *, row_number() OVER w AS depth, md5(string_agg(digest, '') OVER w) AS node FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY at)),
+  SELECT i.conv_id, pos, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 100 AND pos <= h
+  UNION ALL SELECT i.conv_id, pos, digest, size FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND pos > h),
+steps AS (SELECT *, row_number() OVER w AS depth, md5(string_agg(digest, '') OVER w) AS node FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
 prefix AS (
   SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), 'root') AS parent FROM steps
   UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM ids),
