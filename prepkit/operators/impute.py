@@ -31,14 +31,20 @@ The convergence test is one more pass over rows that have a gap (every round's
 change is measured at once), and ``transform`` is one matrix product per batch
 and pattern; columns that are not imputed pass through as Arrow arrays.
 
-Where the rounds run is the caller's choice, never the data's: ``grams="driver"``
-keeps the pattern Grams on the driver (``8 (p+1)²`` bytes each, three times over),
-``grams="cluster"`` keeps them in a checkpointed Spark table and sends one summed
-matrix per regression.
+Where the rounds run (``grams``) does not change the result.  ``"driver"``: the pattern Grams
+come to the driver (``8 (p+1)²`` bytes each, three times over).  ``"barrier"``: one barrier stage,
+whose tasks keep their patterns' Grams and exchange one summed matrix per
+gapped column and round (``BarrierTaskContext.allGather``, for which Spark waits a second
+each time); a fit is three actions and the driver sees weights only, whatever the number of
+patterns.  ``"cluster"``: a checkpointed Spark table and a job per regression, for clusters with
+dynamic allocation, where Spark runs no barrier stage.  ``"auto"`` takes the driver while the
+Grams of all patterns, which the first pass counts, fit ``driver_bytes``, and else the barrier
+stage (the cluster with dynamic allocation).
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import warnings
 from collections.abc import Iterator
@@ -46,6 +52,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,7 +242,9 @@ class ChainedImputer:
     tol: float = 1e-3
     ridge_max_iter: int = 300
     ridge_tol: float = 1e-3
-    grams: str = "driver"         # or "cluster": see the module docstring
+    grams: str = "auto"           # "barrier", "driver" or "cluster": see the module docstring
+    driver_bytes: int = 64 << 20  # of pattern Grams that "auto" lets the driver hold
+    barrier_tasks: int | None = None      # tasks of the barrier stage (None: as many as cores, 16 at most)
     # fitted state
     means_: list[float] = field(default_factory=list)
     order_: list[int] = field(default_factory=list)
@@ -257,12 +266,13 @@ class ChainedImputer:
 
     # ------------------------------------------------------------ fit
     def fit(self, df: DataFrame) -> "ChainedImputer":
-        if self.grams not in ("driver", "cluster"):
+        if self.grams not in ("auto", "barrier", "driver", "cluster"):
             raise ValueError(f"unknown place for the Grams: {self.grams!r}")
         p = len(self.columns)
         ship_package(df.sparkSession)          # the Python stages below run our code
         x = self._matrix(df)
-        row = x.agg(F.count(F.lit(1)), *[f(f"x{i}") for i in range(p) for f in (F.count, F.avg, lambda c: F.max(F.abs(c)))]).first()
+        found = F.approx_count_distinct(F.xxhash64(*[F.col(f"x{i}").isNull() for i in range(p)]), 0.03)
+        *row, patterns = x.agg(F.count(F.lit(1)), *[f(f"x{i}") for i in range(p) for f in (F.count, F.avg, lambda c: F.max(F.abs(c)))], found).first()
         n, counts = row[0], np.array(row[1::3], dtype=np.float64)
         for what, bad in (("columns entirely missing at fit", counts == 0),
                           ("columns with an infinite value", [v is not None and np.isinf(v) for v in row[3::3]])):
@@ -273,8 +283,17 @@ class ChainedImputer:
         if p == 1:
             self.rounds_, self.n_iter_ = [], 0
             return self
-        table, width = self._gram_table(x)
-        rounds = self._rounds_local(*self._collected(table, width)) if self.grams == "driver" else self._rounds_distributed(table, width)
+        place = self.grams
+        if place == "auto":     # the estimate is within some 3 percent; a tenth is left for that
+            moving = df.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true"
+            fits = 1.1 * patterns * 8 * (p + 1) ** 2 <= self.driver_bytes
+            place = "driver" if fits else "cluster" if moving else "barrier"
+        if place == "barrier":
+            rounds = self._rounds_barrier(*self._partial_grams(x), gapped=[bool(c < n) for c in counts])
+        elif place == "driver":
+            rounds = self._rounds_local(*self._collected(*self._gram_table(x)))
+        else:
+            rounds = self._rounds_distributed(*self._gram_table(x))
         self.rounds_ = [[(int(j), [float(v) for v in w]) for j, w in steps] for steps in rounds]
 
         # one pass measures every round's largest row-wise L1 change
@@ -306,6 +325,64 @@ class ChainedImputer:
             rounds.append(steps)
         return rounds
 
+    def _rounds_barrier(self, parts: DataFrame, width: int, gapped: list[bool]) -> list:
+        """All rounds in one barrier stage.  Each task keeps the state Grams of its
+        share of the patterns; a regression of a gapped column takes one ``allGather`` of the tasks'
+        sums, of ``(p+1)(p+2)/2`` numbers each, after which every task finds the same weights and
+        advances its own states.  Complete columns come first and change no state: they share a round's first exchange.
+        The driver gets the weights only; a lost task starts the stage anew."""
+        p = len(self.columns)
+        p1, words, order = p + 1, n_words(p), list(self.order_)
+        iu = _tri(p1)
+        ntri = len(iu[0])
+        full = -(-ntri // width) * width
+        max_iter, ridge = self.max_iter, (self.ridge_max_iter, self.ridge_tol)
+        tasks = self.barrier_tasks or min(parts.sparkSession.sparkContext.defaultParallelism, 16)
+
+        def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                vals = unlist(b.column("vals"), width)
+                for key, chunk, v in zip(map(tuple, unlist(b.column("pattern"), words).tolist()), b.column("chunk").to_pylist(), vals):
+                    if key not in held:
+                        held[key] = np.zeros(full)
+                    held[key][chunk * width:(chunk + 1) * width] += v
+            context = BarrierTaskContext.get()
+
+            def everywhere(mine: np.ndarray) -> np.ndarray:
+                """The sum of what all tasks have, in their order."""
+                got = context.allGather(base64.b64encode(np.ascontiguousarray(mine, dtype="<f8").tobytes()).decode())
+                return np.sum([np.frombuffer(base64.b64decode(g), dtype="<f8") for g in got], axis=0)
+
+            miss = code_bits(np.array(list(held), dtype=np.int64).reshape(-1, words), p) if held else np.zeros((0, p), dtype=bool)
+            w_state = _unpack(np.array(list(held.values()))[:, :ntri], p1) if held else np.zeros((0, p1, p1))
+            patterns, out = len(held), []
+            held.clear()
+            complete, partly = [j for j in order if not gapped[j]], [j for j in order if gapped[j]]
+            for t in range(max_iter):
+                for k, j in enumerate(partly or order[:1]):
+                    sums = [w_state[~miss[:, j]].sum(axis=0)[iu]]
+                    if k == 0:          # all rows' sum serves every complete column
+                        sums += [w_state.sum(axis=0)[iu], np.array([patterns], dtype=np.float64)]
+                    got = everywhere(np.concatenate(sums))
+                    if k == 0:
+                        whole, total = _unpack(got[None, ntri:2 * ntri], p1)[0], int(got[-1])
+                        out += [(t, i, regression_weights(whole, i, *ridge)) for i in complete]
+                    if gapped[j]:
+                        w = regression_weights(_unpack(got[None, :ntri], p1)[0], j, *ridge)
+                        out.append((t, j, w))
+                        update_state_grams(w_state, miss, j, w)
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()),
+                                                  lists(np.array([x[2] for x in out])), pa.array([total] * len(out), pa.int64())],
+                                                 names=["round", "col", "w", "patterns"])
+
+        dealt = parts.repartition(tasks, "pattern")
+        got = dealt.mapInArrow(rounds, "round int, col int, w array<double>, patterns long", barrier=True).collect()
+        by = {(r["round"], r["col"]): np.array(r["w"]) for r in got}
+        self.n_patterns_ = got[0]["patterns"]
+        return [[(j, by[t, j]) for j in order] for t in range(max_iter)]
+
     def _rounds_distributed(self, table: DataFrame, width: int) -> list:
         """All rounds over a checkpointed table of pattern Grams.  Each regression is
         one job that replays the round's earlier steps per pattern and adds the
@@ -358,7 +435,12 @@ class ChainedImputer:
         return rounds
 
     def _gram_table(self, x: DataFrame) -> tuple[DataFrame, int]:
-        """Per (pattern, chunk) sums ``s0..`` of the upper-triangle Gram entries of
+        """``_partial_grams`` added up per (pattern, chunk), as columns ``s0..``."""
+        parts, width = self._partial_grams(x)
+        return parts.groupBy("pattern", "chunk").agg(*[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(width)]), width
+
+    def _partial_grams(self, x: DataFrame) -> tuple[DataFrame, int]:
+        """Each task's sums (``vals`` per pattern and chunk) of the upper-triangle Gram entries of
         ``h = [1, x - mean (0 where missing)]``, and how many entries a chunk has.
         Lazy; one pass when evaluated."""
         p = len(self.columns)
@@ -398,8 +480,7 @@ class ChainedImputer:
             if acc:
                 yield flush()
 
-        parts = x.mapInArrow(partial_grams, "pattern array<long>, chunk int, vals array<double>")
-        return parts.groupBy("pattern", "chunk").agg(*[F.sum(F.col("vals")[i]).alias(f"s{i}") for i in range(width)]), width
+        return x.mapInArrow(partial_grams, "pattern array<long>, chunk int, vals array<double>"), width
 
     def _collected(self, table: DataFrame, width: int):
         """The pattern keys and Grams on the driver, as Arrow columns."""

@@ -154,3 +154,46 @@ def test_batches_with_and_without_gaps_have_one_schema(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [r.id for r in got] == list(range(60)) and all(r.b is not None for r in got)
     assert [r.b for r in got[:40]] == [float(i % 5) for i in range(40)]
+
+
+def test_the_rounds_are_alike_wherever_they_run(sensor):
+    """A task more than there are patterns in some places, so that tasks without rows take part too."""
+    df = _prepared(sensor).repartition(4).cache()
+    one = ChainedImputer(COLS, grams="driver", max_iter=2).fit(df)
+    assert ChainedImputer(COLS, max_iter=2).fit(df).rounds_ == one.rounds_          # few patterns: "auto" is the driver
+    for other in (ChainedImputer(COLS, grams="barrier", barrier_tasks=3, max_iter=2), ChainedImputer(COLS, driver_bytes=1, barrier_tasks=1, max_iter=2),
+                  ChainedImputer(COLS, grams="cluster", max_iter=2)):
+        other.fit(df)
+        assert (other.n_iter_, other.n_patterns_, other.order_) == (one.n_iter_, one.n_patterns_, one.order_)
+        for ours, theirs in zip(other.rounds_, one.rounds_):
+            for (j, w), (k, v) in zip(ours, theirs):
+                assert j == k
+                np.testing.assert_allclose(w, v, rtol=1e-9, atol=1e-9)
+
+
+def test_barrier_fit_takes_three_actions_and_few_patterns_more_tasks(spark):
+    df = spark.range(0, 400, 1, 3).select((F.col("id") % 11).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, (F.col("id") % 7).cast("double")).alias("b"),
+                                          F.when(F.col("id") % 5 > 0, (F.col("id") % 13).cast("double")).alias("c"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # else each shuffle of an action is a job
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        imp = ChainedImputer(["a", "b", "c"], grams="barrier", barrier_tasks=6, max_iter=3).fit(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert imp.n_patterns_ == 4 and len(tracker.getJobIdsForGroup("fit")) <= 3
+    ref = RowwiseImputer(max_iter=3).fit(_matrix(df, ["a", "b", "c"]))
+    np.testing.assert_allclose(_matrix(imp.transform(df), ["a", "b", "c"]), ref.fitted, rtol=1e-8, atol=1e-8)
+
+
+def test_the_driver_gets_weights_only(spark, monkeypatch):
+    """Thousands of patterns: what the barrier stage returns has a row per regression."""
+    p = 12
+    df = spark.range(0, 12_000, 1, 4).select(*[F.when(F.xxhash64("id", F.lit(i)) % 3 != 0, (F.pmod(F.xxhash64("id", F.lit(100 + i)), F.lit(1000)) / 10.0 + F.col("id") % 5)).alias(f"c{i}") for i in range(p)])
+    seen = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    imp = ChainedImputer([f"c{i}" for i in range(p)], max_iter=1, driver_bytes=1 << 20).fit(df)
+    monkeypatch.undo()
+    assert imp.n_patterns_ > 2000 and max(map(len, seen)) == p
