@@ -641,6 +641,143 @@ def q_post_one_gap_cov(spark, d):
     return _round_stats(out, ["value"])
 
 
+# Two gapped columns beside a complete one, in units of like size.  Rows of one pattern
+# have one affine state, so a round needs the sums of three patterns only (both there; either missing); its two
+# Bayesian ridges run as one recursion, a step per evidence iteration, with the 2x2 eigenvalues written out.
+TWO_GAPS = ["price", "quantity", "tax"]
+
+
+def _two_gap_rows(df: DataFrame) -> DataFrame:
+    """The readings in thousands (price) and percent (tax)."""
+    new = {"price": F.col("l_extendedprice") / 1000, "quantity": F.col("l_quantity"), "tax": F.col("l_tax") * 100}
+    return df.select(*[c for c in df.columns if c not in MEASURES], *[v.alias(k) for k, v in new.items()])
+
+
+def _two_gap_sql(fit: str, apply: str, rows: str) -> str:
+    """CTEs ending in ``fitted``: ``rows`` of ``apply`` and price x, quantity y, tax z, with y and z
+    filled from the fit on ``fit``.  ``y = d0 + dx x + dz z`` and ``z = c0 + cx x + cy y``, all about the means."""
+    sums = {"n": "1", "x": "x", "y": "y", "z": "z", "xx": "x * x", "xy": "x * y", "xz": "x * z", "yy": "y * y", "yz": "y * z", "zz": "z * z"}
+    where = {"a": "y IS NOT NULL AND z IS NOT NULL", "b": "y IS NOT NULL AND z IS NULL", "c": "y IS NULL AND z IS NOT NULL"}
+    moments = ", ".join(f"coalesce(CAST(sum({e}) FILTER ({w}) AS DOUBLE), 0) AS {g}_{k}" for g, w in where.items() for k, e in sums.items())
+
+    def regress(s: int) -> str:
+        """The next regression's raw sums: predictors x and q (the other gapped column, filled by w where missing), target r."""
+        q, r, g, w = ("z", "y", "b", ("c0", "cx", "cy")) if s == 1 else ("y", "z", "c", ("d0", "dx", "dz"))
+        w0, w1, w2 = w
+        return (f"SELECT t, {s} AS s, c0, cx, cy, d0, dx, dz, a_n + {g}_n AS n, a_x + {g}_x AS s1, a_{q} + {w0} * {g}_n + {w1} * {g}_x + {w2} * {g}_{r} AS s2, "
+                f"a_{r} + {g}_{r} AS sr, a_xx + {g}_xx AS s11, a_x{q} + {w0} * {g}_x + {w1} * {g}_xx + {w2} * {g}_x{r} AS s12, "
+                f"a_{q}{q} + {w0} * {w0} * {g}_n + {w1} * {w1} * {g}_xx + {w2} * {w2} * {g}_{r}{r} + 2 * {w0} * {w1} * {g}_x + 2 * {w0} * {w2} * {g}_{r} "
+                f"+ 2 * {w1} * {w2} * {g}_x{r} AS s22, a_x{r} + {g}_x{r} AS s1r, a_yz + {w0} * {g}_{r} + {w1} * {g}_x{r} + {w2} * {g}_{r}{r} AS s2r, "
+                f"a_{r}{r} + {g}_{r}{r} AS srr")
+
+    def start(source: str) -> str:
+        """Centre the sums and begin the evidence iteration."""
+        centred = ("n, s1 / n AS m1, s2 / n AS m2, sr / n AS mr, s11 - s1 * s1 / n AS v11, s12 - s1 * s2 / n AS v12, s22 - s2 * s2 / n AS v22, "
+                   "s1r - s1 * sr / n AS u1, s2r - s2 * sr / n AS u2, srr - sr * sr / n AS vr")
+        return (f"SELECT t, s, 0 AS it, 1 / (vr / n + 2.220446049250313e-16) AS a, CAST(1 AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS o1, CAST(0 AS DOUBLE) AS o2, "
+                f"false AS done, c0, cx, cy, d0, dx, dz, n, m1, m2, mr, v11, v12, v22, u1, u2, vr "
+                f"FROM (SELECT t, s, c0, cx, cy, d0, dx, dz, {centred} FROM ({source}) raw) about")
+
+    # the weights at the precisions a and l; the eigenvalues of the predictors' moments, the smaller one without cancellation
+    solve = ("SELECT *, ((v22 + k) * u1 - v12 * u2) / det AS b1, ((v11 + k) * u2 - v12 * u1) / det AS b2, big, "
+             "greatest(CASE WHEN big > 0 THEN (v11 * v22 - v12 * v12) / big ELSE 0 END, 0) AS small "
+             "FROM (SELECT *, (v11 + k) * (v22 + k) - v12 * v12 AS det, (v11 + v22 + sqrt((v11 - v22) * (v11 - v22) + 4 * v12 * v12)) / 2 AS big "
+             "FROM (SELECT *, l / a AS k FROM step) ratio) roots")
+    iterate = ("SELECT t, s, it + 1, (n - g + 2e-6) / (greatest(vr - 2 * (b1 * u1 + b2 * u2) + b1 * b1 * v11 + 2 * b1 * b2 * v12 + b2 * b2 * v22, 0) + 2e-6), "
+               "(g + 2e-6) / (b1 * b1 + b2 * b2 + 2e-6), b1, b2, it >= 299 OR (it <> 0 AND abs(o1 - b1) + abs(o2 - b2) < 1e-3), c0, cx, cy, d0, dx, dz, "
+               "n, m1, m2, mr, v11, v12, v22, u1, u2, vr "
+               "FROM (SELECT *, a * big / (l + a * big) + a * small / (l + a * small) AS g FROM solved WHERE NOT done) gains")
+    finish = ("SELECT CASE WHEN s = 2 THEN t + 1 ELSE t END AS t, 3 - s AS s, "
+              + ", ".join(f"CASE WHEN s = {s} THEN {new} ELSE {old} END AS {old}" for s, names in ((2, ("c0", "cx", "cy")), (1, ("d0", "dx", "dz")))
+                          for old, new in zip(names, ("mr - m1 * b1 - m2 * b2", "b1", "b2"))) + " FROM solved WHERE done")
+    following = " UNION ALL ".join(start(f"{regress(s)} FROM done_{s}, mom") for s in (1, 2))
+    return f"""mean AS (SELECT avg(price) AS mx, avg(quantity) AS my, avg(tax) AS mz, 1e-3 * greatest(max(abs(price)), max(abs(quantity)), max(abs(tax))) AS thr FROM {fit}),
+about AS (SELECT price - mx AS x, quantity - my AS y, tax - mz AS z FROM {fit}, mean),
+mom AS (SELECT {moments} FROM about),
+step AS (
+  {start(f"{regress(1)} FROM (SELECT 1 AS t, " + ", ".join(f"CAST(0 AS DOUBLE) AS {w}" for w in ("c0", "cx", "cy", "d0", "dx", "dz")) + ") zero, mom")}
+  UNION ALL
+  (WITH solved AS ({solve}), done_any AS ({finish}), done_1 AS (SELECT * FROM done_any WHERE s = 1 AND t <= 10), done_2 AS (SELECT * FROM done_any WHERE s = 2),
+   last AS (SELECT * FROM done_any WHERE s = 1 AND t > 10)
+  {iterate}
+  UNION ALL {following}
+  UNION ALL SELECT t, s, 0, 1, 1, 0, 0, NULL, c0, cx, cy, d0, dx, dz, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM last)),
+weights AS (SELECT t - 1 AS t, c0, cx, cy, d0, dx, dz FROM step WHERE it = 0 AND s = 1 AND t > 1
+            UNION ALL SELECT 0, 0, 0, 0, 0, 0, 0),
+twice AS (
+  SELECT 0 AS t, CAST(0 AS DOUBLE) AS y0, CAST(0 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS z0, CAST(0 AS DOUBLE) AS z1
+  UNION ALL
+  SELECT t, y0, y1, c0 + cy * y0, cx + cy * y1 FROM (
+    SELECT w.t, c0, cx, cy, d0 + dz * z0 AS y0, dx + dz * z1 AS y1 FROM twice b JOIN weights w ON w.t = b.t + 1) n),
+plan AS (SELECT w.*, y0, y1, z0, z1 FROM weights w JOIN twice USING (t)),
+moved AS (
+  SELECT n.t, max(CASE WHEN y IS NULL AND z IS NULL THEN abs(n.y0 - o.y0 + (n.y1 - o.y1) * x) + abs(n.z0 - o.z0 + (n.z1 - o.z1) * x)
+                       WHEN y IS NULL THEN abs(n.d0 - o.d0 + (n.dx - o.dx) * x + (n.dz - o.dz) * z)
+                       ELSE abs(n.c0 - o.c0 + (n.cx - o.cx) * x + (n.cy - o.cy) * y) END) AS most
+  FROM about, plan n JOIN plan o ON o.t = n.t - 1 WHERE y IS NULL OR z IS NULL GROUP BY n.t),
+stop AS (SELECT coalesce(min(t) FILTER (coalesce(most, 0) < thr), 10) AS t FROM (SELECT p.t, most FROM plan p LEFT JOIN moved USING (t) WHERE p.t > 0) r, mean),
+fitted AS (
+  SELECT {rows}, price, coalesce(quantity, my + CASE WHEN tax IS NULL THEN y0 + y1 * (price - mx) ELSE d0 + dx * (price - mx) + dz * (tax - mz) END) AS quantity,
+         coalesce(tax, mz + CASE WHEN quantity IS NULL THEN z0 + z1 * (price - mx) ELSE c0 + cx * (price - mx) + cy * (quantity - my) END) AS tax
+  FROM {apply}, mean, plan JOIN stop USING (t))"""
+
+
+def q_impute_two_gaps(spark, d):
+    """F2, two gapped columns: several rounds, fitted and applied on the same rows."""
+    r = _two_gap_rows(readings(spark, d))
+    out = ChainedImputer(TWO_GAPS).fit_transform(r)
+    return out.select(*READING_KEYS, *[round_half_up(F.col(c), 6).alias(c) for c in TWO_GAPS])
+
+
+_SCALED = "l_extendedprice / 1000 AS price, l_quantity AS quantity, l_tax * 100 AS tax"
+SQL_TWO_GAPS = (f"WITH RECURSIVE readings AS ({readings_sql()}), scaled AS (SELECT {', '.join(READING_KEYS)}, {_SCALED} FROM readings), "
+                + _two_gap_sql("scaled", "scaled", ", ".join(READING_KEYS))
+                + f"\nSELECT {', '.join(READING_KEYS)}, {', '.join(f'{_round_sql(c, 6)} AS {c}' for c in TWO_GAPS)} FROM fitted")
+
+
+def _two_gap_holdout(spark, d):
+    """W6 unrounded: fitted on the split's train part, applied on its test part."""
+    return workflows.impute_holdout(_two_gap_rows(_holdout_input(spark, d)), keys=["row_id"], drop=[], round_output=False)[0]
+
+
+def q_impute_two_gaps_holdout(spark, d):
+    """W6 with F3 and F4, two gapped columns; all replayed rounds act on the test rows."""
+    out = _two_gap_holdout(spark, d)
+    return out.select("row_id", *[round_half_up(F.col(c), 6).alias(c) for c in TWO_GAPS])
+
+
+_TWO_GAPS_HELD = (f"WITH RECURSIVE readings AS ({readings_sql()}), keyed AS ({SQL_KEYED}), scaled AS (SELECT row_id, {_SCALED} FROM keyed), "
+                  f"train AS (SELECT * FROM scaled WHERE NOT {_SPLIT}), test AS (SELECT * FROM scaled WHERE {_SPLIT}), "
+                  + _two_gap_sql("train", "test", "row_id"))
+SQL_TWO_GAPS_HOLDOUT = f"{_TWO_GAPS_HELD}\nSELECT row_id, {', '.join(f'{_round_sql(c, 6)} AS {c}' for c in TWO_GAPS)} FROM fitted"
+
+
+def q_post_two_gaps_corr(spark, d):
+    """W7 on an imputed hold-out with several gaps: the correlation table."""
+    out = workflows.post_imputation_stats(_two_gap_holdout(spark, d))["corr"]
+    return out.select(*[round_half_up(F.col(c), 9).alias(c) if c == "value" else col(c) for c in out.columns])
+
+
+def q_two_gaps_check(spark, d):
+    """W8 after a several-gap imputation: the measures of the gapped rows and of the imputed ones."""
+    src = _two_gap_rows(readings(spark, d).select(*MEASURES))
+    measures = workflows.imputation_check(src, ChainedImputer(TWO_GAPS).fit_transform(src))["measures"]
+    numbers = ["mean", "median", "max", "min", "half_range"]
+    return measures.select(*[round_half_up(col(c), 6).alias(c) if c in numbers else col(c) for c in measures.columns])
+
+
+def _two_gaps_measures(source: str, stage: str) -> str:
+    numbers = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "max": "max({0})", "min": "min({0})", "half_range": "(max({0}) - min({0})) / 2"}
+    return "\nUNION ALL ".join(
+        f"SELECT '{stage}' AS stage, CAST({i} AS BIGINT) AS ordinal, '{c}' AS column_name, "
+        + ", ".join(f"{_round_sql(e.format(c), 6)} AS {n}" for n, e in numbers.items()) + f" FROM {source}" for i, c in enumerate(TWO_GAPS))
+
+
+SQL_TWO_GAPS_CHECK = (f"WITH RECURSIVE readings AS ({readings_sql()}), scaled AS (SELECT {_SCALED} FROM readings), "
+                      + _two_gap_sql("scaled", "scaled", "0 AS k") + f"\n{_two_gaps_measures('scaled', 'original')}\nUNION ALL "
+                      + _two_gaps_measures("fitted", "imputed"))
+
+
 def q_imputation_nulls(spark, d):
     """Missing cells left per column after imputation, and how many observed cells changed."""
     src = readings(spark, d).select(*MEASURES, *[F.col(m).alias(f"was_{m}") for m in MEASURES])
@@ -779,6 +916,10 @@ QUERIES: dict[str, Query] = {
     "impute_one_gap": q_impute_one_gap,
     "impute_one_gap_holdout": q_impute_one_gap_holdout,
     "post_one_gap_cov": q_post_one_gap_cov,
+    "impute_two_gaps": q_impute_two_gaps,
+    "impute_two_gaps_holdout": q_impute_two_gaps_holdout,
+    "post_two_gaps_corr": q_post_two_gaps_corr,
+    "two_gaps_check": q_two_gaps_check,
     "imputation_nulls": q_imputation_nulls,
     "central_measures_bigint": q_central_measures_bigint,
     "missing_kinds": q_missing_kinds,
@@ -832,6 +973,10 @@ ORACLE: dict[str, str] = {
     "impute_one_gap": SQL_ONE_GAP,
     "impute_one_gap_holdout": SQL_ONE_GAP_HOLDOUT,
     "post_one_gap_cov": f"{_HOLDOUT_SQL}\n" + _pairs_sql("held", lambda a, b: sig_round_sql(f"covar_pop({a}, {b})"), ONE_GAP),
+    "impute_two_gaps": SQL_TWO_GAPS,
+    "impute_two_gaps_holdout": SQL_TWO_GAPS_HOLDOUT,
+    "post_two_gaps_corr": f"{_TWO_GAPS_HELD}\n" + _pairs_sql("fitted", lambda a, b: _round_sql(_corr_cell(a, b), 9), TWO_GAPS),
+    "two_gaps_check": SQL_TWO_GAPS_CHECK,
     "imputation_nulls": SQL_IMPUTATION_NULLS,
     "central_measures_bigint": SQL_CENTRAL_BIGINT,
     "missing_kinds": SQL_MISSING_KINDS,
