@@ -7,6 +7,7 @@ spaces and dots (``Fecha y hora``, ``PM2.5``): always go through :func:`col`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,45 @@ def parse_timestamp(c: Column, fmt: str | None = None, strict: bool = True) -> C
     return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
 
 
+#: Layouts that :func:`infer_time_format` tries, in this order; where a day and a month could be
+#: either, all rows decide, and month first where they leave it open.
+TIME_FORMATS = tuple(f"{date}{time}" for date in ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "MMM d, yyyy")
+                     for time in ("", " H:mm", " H:mm:ss", " H:mm:ss.SSSSSS", "'T'H:mm:ss", " h:mm a", " h:mm:ss a"))
+
+
+#: What a letter run of a format can stand for in a cell; a cell of another shape need not be parsed.
+_SHAPES = {"yyyy": r"\d{4}", "MMM": r"\p{L}+\.?", "MM": r"\d{2}", "dd": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "SSSSSS": r"\d{6}",
+           "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "h": r"\d{1,2}", "a": "[AaPp][Mm]", "'T'": "T"}
+
+
+def _shape(fmt: str) -> str:
+    """A pattern that every cell of this format matches."""
+    parts = re.split("('T'|yyyy|MMM|MM|dd|mm|ss|SSSSSS|[MdHha])", fmt)
+    return "^" + "".join(_SHAPES.get(p) or re.escape(p) for p in parts) + "$"
+
+
+def infer_time_format(df: DataFrame, name: str, formats: Iterable[str] = TIME_FORMATS, tokens: Iterable[str] = NA_TOKENS) -> str:
+    """The first of ``formats`` that every cell of a text column has, NA tokens
+    apart.  One aggregate counts, for each format, the cells that do not parse.  An error names the
+    column and the format that comes closest if none fits; a column without cells has the first."""
+    formats, cell = list(formats), F.trim(col(name))
+    there = col(name).isNotNull() & ~cell.isin(list(tokens))
+    fits = [F.when(cell.rlike(_shape(f)), F.try_to_timestamp(cell, F.lit(f)).isNotNull()).otherwise(False) for f in formats]
+    *wrong, n = df.agg(*[F.count_if(there & ~f) for f in fits], F.count_if(there)).first()
+    least = min(wrong)
+    best = formats[wrong.index(least)]
+    if least:
+        raise ValueError(f"no time format fits column {name!r}: {best!r} comes closest, with {least} of {n} cells left")
+    return best
+
+
+def parse_inferred(df: DataFrame, names: Iterable[str], tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
+    """Text columns as TIMESTAMP_NTZ, each by the format that all its cells have; NA tokens are NULL."""
+    tokens = list(tokens)
+    found = {n: infer_time_format(df, n, tokens=tokens) for n in names}
+    return df.withColumns({n: parse_timestamp(F.when(~F.trim(col(n)).isin(tokens), F.trim(col(n))), f) for n, f in found.items()})
+
+
 def month_of(c: Column) -> Column:
     """Month 1–12."""
     return F.month(c)

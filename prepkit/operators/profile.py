@@ -58,12 +58,15 @@ def best_source(quality: DataFrame, key: str = "anio", by: str = "null_cells") -
     return quality.agg(F.min_by(col(key), rank).alias(key), F.min(col(by)).alias(by))
 
 
-def column_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def column_counts(df: DataFrame, cols: Sequence[str] | None = None, copies: str | None = None) -> DataFrame:
     """``ordinal, column_name, dtype, n_rows, non_null_count`` of each column: the
-    one pass that A3, A4, A7 and A8 share."""
+    one pass that A3, A4, A7 and A8 share.  ``copies`` names the column that says how often a row
+    stands in the table that is described (see :func:`row_groups`); it is not described itself."""
     types = dict(df.dtypes)
-    cols = list(cols or df.columns)
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(col(c)).alias(f"__c{i}") for i, c in enumerate(cols)])
+    cols = [c for c in (cols or df.columns) if c != copies]
+    n = F.lit(1) if copies is None else col(copies)
+    wide = df.agg(F.coalesce(F.sum(n), F.lit(0)).alias("__n"),
+                  *[F.coalesce(F.sum(F.when(col(c).isNotNull(), n)), F.lit(0)).alias(f"__c{i}") for i, c in enumerate(cols)])
     rows = F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
                  F.col("__n").alias("n_rows"), F.col(f"__c{i}").alias("non_null_count"))
@@ -136,11 +139,22 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
     One shuffle of the *distinct* row groups: rows are counted per group with
     map-side partial aggregation, so many copies of one row (a hot group)
     collapse before the shuffle."""
-    keys = [col(c) for c in (subset or df.columns)]
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"))
-    return groups.agg(F.sum("__k").cast("bigint").alias("n_rows"),
-                      F.count(F.lit(1)).alias("n_distinct"),
-                      F.sum(F.col("__k") - 1).cast("bigint").alias("n_duplicates"))
+    return duplicates_of(row_groups(df, subset))
+
+
+#: The column of :func:`row_groups` that counts a row's copies.
+COPIES = "__copies"
+
+
+def row_groups(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    """Each distinct row once, with how often it is there (``COPIES``): A5 and U2 in one shuffle."""
+    return df.groupBy(*[col(c) for c in (subset or df.columns)]).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def duplicates_of(groups: DataFrame) -> DataFrame:
+    """A5 from :func:`row_groups`."""
+    return groups.agg(F.sum(COPIES).cast("bigint").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
+                      F.sum(F.col(COPIES) - 1).cast("bigint").alias("n_duplicates"))
 
 
 def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, hour_of, month_of, parse_timestamp
+from ..functions.columns import col, hour_of, month_of, parse_inferred, parse_timestamp
 
 
 def tag(df: DataFrame, name: str, value) -> DataFrame:
@@ -51,10 +51,13 @@ def move_to_front(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def add_time_features(df: DataFrame, ts: str, month: str = "Mes", hour: str = "Hora",
                       fmt: str | None = None, strict: bool = True) -> DataFrame:
     """Parse ``ts`` to TIMESTAMP_NTZ (when it is text; ``fmt`` is its
-    pattern, ISO by default) and append month and hour columns."""
+    pattern, ISO by default, ``"infer"`` finds it from all rows) and append month and hour columns."""
     c = col(ts)
     dtype = dict(df.dtypes)[ts]
-    if dtype == "string":
+    if dtype == "string" and fmt == "infer":
+        df = parse_inferred(df, [ts])
+        c = col(ts)
+    elif dtype == "string":
         df = df.withColumn(ts, parse_timestamp(c, fmt, strict))
         c = col(ts)
     return df.withColumn(month, month_of(c)).withColumn(hour, hour_of(c))

@@ -54,7 +54,7 @@ def run_study(spark: SparkSession, template: str, years: Iterable[int] = range(2
     best = w1.best.first()["anio"]
     year = normalize_readings(w1.data.where(col("anio") == best).drop("anio", "file"), time_format=time_format)
     described = understand(year)
-    imputed, imputer = prepare_and_impute(year)
+    imputed, imputer = prepare_and_impute(described["distinct"], distinct=True)     # W2 has the distinct rows
     # W4 makes several passes (quartiles, moments): impute once, then re-read
     imputed = write_stage(imputed, "imputed")
     clean, params = clean_and_transform(imputed, output_path=output_root and f"{output_root.rstrip('/')}/clean")

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, normalize_nan, round_half_even, round_half_up, sig_round, sig_round_sql
+from ..functions.columns import col, normalize_nan, parse_inferred, round_half_even, round_half_up, sig_round, sig_round_sql
 from ..operators import features as feat
 from ..operators import profile as prof
 from ..operators import projection as proj
@@ -24,8 +24,8 @@ from ..operators.impute import ChainedImputer
 from ..operators.quantiles import quantiles_with_moments
 from . import workflows
 from ..session import scratch_path
-from ..sinks.files import write_csv, write_csv_indexed, write_stage
-from ..sources.batch import read_keyed_sources, skipped_frame
+from ..sinks.files import write_csv, write_csv_indexed, write_sources, write_stage, written_sources
+from ..sources.batch import read_keyed_csv, read_keyed_sources, skipped_frame
 from ..sources.csv import malformed_counts, read_csv
 from .standins import MEASURES, READING_KEYS, readings, readings_sql, table, with_year
 
@@ -178,6 +178,23 @@ def q_dedupe_rows(spark, d):
 SQL_DEDUPE_ROWS = f"{WITH_REPEATED}\nSELECT DISTINCT * FROM repeated"
 
 
+def q_understand(spark, d):
+    """W2 as composed, over a table with repeated rows: shape, types, null labels and duplicates in one tidy table."""
+    u = workflows.understand(_repeated(spark, d))
+    dup = u["duplicates"].select("n_distinct", "n_duplicates")
+    return (u["schema"].join(u["null_pct"], ["ordinal", "column_name"])
+            .select("*", *[u["shape"].select(c).scalar().alias(c) for c in ("n_rows", "n_cols")], *[dup.select(c).scalar().alias(c) for c in dup.columns]))
+
+
+def _understand_sql():
+    types = {"l_orderkey": "bigint", "l_linenumber": "bigint", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+    sel = "\nUNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS ordinal, '{c}' AS column_name, count({c}) AS non_null_count, '{types.get(c, 'double')}' AS dtype, "
+        f"CAST(round_even((count(*) - count({c})) * CAST(100.0 AS DOUBLE) / count(*) * CAST(100.0 AS DOUBLE), 0) / CAST(100.0 AS DOUBLE) AS VARCHAR) || ' %' "
+        f"AS null_pct_label, count(*) AS n_rows, CAST({len(READ_COLS)} AS BIGINT) AS n_cols FROM repeated" for i, c in enumerate(READ_COLS))
+    return f"{WITH_REPEATED}, d AS (SELECT count(*) AS n_distinct FROM (SELECT DISTINCT * FROM repeated) r)\nSELECT p.*, n_distinct, n_rows - n_distinct AS n_duplicates FROM ({sel}) p, d"
+
+
 def q_dup_count(spark, d):
     return prof.duplicate_count(readings(spark, d).select(*DUP_COLS))
 
@@ -533,6 +550,67 @@ def _consolidation(spark, d):
 SQL_CONSOLIDATED = f"SELECT anio, total_rows, null_cells, '/anio=' || anio AS output_path FROM ({SQL_QUALITY}) q"
 
 
+def q_yearly_headers(spark, d):
+    """S2 + U1: yearly CSVs whose columns differ — a year that lacks a column, and years with the columns
+    in another order — read as one table, the types inferred over all of them."""
+    r = with_year(readings(spark, d))
+    root = scratch_path(spark, "headers")
+    years = [y for (y,) in r.select("anio").distinct().orderBy("anio").collect()]
+    for kind, part in {0: r.drop("l_tax"), 1: r.select(*reversed(r.columns)), 2: r}.items():
+        write_sources(part.where(F.pmod("anio", F.lit(3)) == kind), root, keys=[y for y in years if y % 3 == kind])
+    out, _ = read_keyed_csv(spark, root + "/anio={year}", years)
+    return out.select("anio", *READ_COLS)
+
+
+SQL_YEARLY_HEADERS = (f"{WITH_READINGS}\nSELECT CAST(year(l_shipdate) AS BIGINT) AS anio, {', '.join(c for c in READ_COLS if c != 'l_tax')}, "
+                      "CASE WHEN year(l_shipdate) % 3 <> 0 THEN l_tax END AS l_tax FROM readings")
+
+
+def _rewritten(spark, d) -> tuple[str, list]:
+    """All years written, then one of them again, with other values."""
+    r = with_year(readings(spark, d))
+    root = scratch_path(spark, "sources")
+    write_sources(r, root)
+    years = [y for (y,) in written_sources(spark, root).select("anio").orderBy("anio").collect()]
+    again = r.where(F.col("anio") == years[0]).where("l_returnflag <> 'A'").withColumn("l_quantity", F.col("l_quantity") + 1)
+    write_sources(again, root, keys=years[:1])
+    return root, years
+
+
+def q_replaced_source(spark, d):
+    """K1: a re-run replaces its own year alone; the others' output stays."""
+    root, years = _rewritten(spark, d)
+    return read_keyed_csv(spark, root + "/anio={year}", years)[0].select("anio", *READ_COLS)
+
+
+def q_written_sources(spark, d):
+    """The manifest after that re-run."""
+    root, _ = _rewritten(spark, d)
+    return written_sources(spark, root).select(F.col("anio").cast("bigint").alias("anio"), "n_rows")
+
+
+_REWRITTEN = f"""{WITH_READINGS}, tagged AS (SELECT *, CAST(year(l_shipdate) AS BIGINT) AS anio FROM readings),
+kept AS (SELECT * REPLACE (CASE WHEN anio = first THEN l_quantity + 1 ELSE l_quantity END AS l_quantity)
+         FROM tagged, (SELECT min(anio) AS first FROM tagged) f WHERE anio <> first OR l_returnflag <> 'A')"""
+SQL_REPLACED = f"{_REWRITTEN}\nSELECT anio, {', '.join(READ_COLS)} FROM kept"
+SQL_WRITTEN = f"{_REWRITTEN}\nSELECT anio, count(*) AS n_rows FROM kept GROUP BY anio"
+
+# layouts of one timestamp: Spark's pattern and the strptime one
+TIME_LAYOUTS = {"iso": ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), "day_first": ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"),
+                "month_first": ("M/d/yyyy h:mm a", "%-m/%-d/%Y %-I:%M %p")}
+
+
+def q_time_layouts(spark, d):
+    """Text timestamps in three layouts, each found from all rows of its column; NA tokens are missing."""
+    ev = table(spark, d, "events").select("event_id", *[
+        F.when(F.col("event_id") % 97 == 5, F.lit("N/A")).otherwise(F.date_format("ts", spark_format)).alias(c) for c, (spark_format, _) in TIME_LAYOUTS.items()])
+    return parse_inferred(ev, list(TIME_LAYOUTS))
+
+
+SQL_TIME_LAYOUTS = ("SELECT event_id, " + ", ".join(f"CASE WHEN event_id % 97 <> 5 THEN strptime(strftime(ts, '{f}'), '{f}') END AS {c}"
+                                                    for c, (_, f) in TIME_LAYOUTS.items()) + " FROM events")
+
+
 def q_csv_text_roundtrip(spark, d):
     """K1 → S4 with cells that need care: outer white space, quotes, separators,
     newlines, and a type for each column inferred from all rows."""
@@ -883,6 +961,7 @@ QUERIES: dict[str, Query] = {
     "schema_profile": q_schema_profile,
     "head5": q_head5,
     "glimpse": q_glimpse,
+    "understand": q_understand,
     "dup_count": q_dup_count,
     "dedupe": q_dedupe,
     "time_features": q_time_features,
@@ -909,6 +988,10 @@ QUERIES: dict[str, Query] = {
     "yearly_sources": q_yearly_sources,
     "skipped_sources": q_skipped_sources,
     "consolidated": q_consolidated,
+    "yearly_headers": q_yearly_headers,
+    "replaced_source": q_replaced_source,
+    "written_sources": q_written_sources,
+    "time_layouts": q_time_layouts,
     "csv_text_roundtrip": q_csv_text_roundtrip,
     "malformed": q_malformed,
     "dup_count_rows": q_dup_count_rows,
@@ -940,6 +1023,7 @@ ORACLE: dict[str, str] = {
     "schema_profile": SQL_SCHEMA,
     "head5": SQL_HEAD5,
     "glimpse": SQL_GLIMPSE,
+    "understand": _understand_sql(),
     "dup_count": SQL_DUP,
     "dedupe": SQL_DEDUPE,
     "time_features": SQL_TIME,
@@ -966,6 +1050,10 @@ ORACLE: dict[str, str] = {
     "yearly_sources": SQL_YEARLY,
     "skipped_sources": SQL_SKIPPED,
     "consolidated": SQL_CONSOLIDATED,
+    "yearly_headers": SQL_YEARLY_HEADERS,
+    "replaced_source": SQL_REPLACED,
+    "written_sources": SQL_WRITTEN,
+    "time_layouts": SQL_TIME_LAYOUTS,
     "csv_text_roundtrip": SQL_CSV_TEXTS,
     "malformed": SQL_MALFORMED,
     "dup_count_rows": SQL_DUP_ROWS,

@@ -20,7 +20,7 @@ from ..operators.features import (IQRClipper, OneHot, Standardizer, bin_right_cl
                                   unbinned_count)
 from ..operators.impute import ChainedImputer
 from ..operators.projection import add_time_features, drop_checked, move_to_front, select_by_position
-from ..sinks.files import write_csv, write_csv_indexed, write_stage
+from ..sinks.files import write_csv, write_csv_indexed, write_sources, write_stage
 from ..sources.batch import read_keyed_sources
 
 # Column roles of the reference's air-quality tables.
@@ -55,12 +55,14 @@ def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callab
 
     With ``output_root`` the unified rows are written as CSV, one directory
     per key (K1, written in parallel by every task), and the summary gains
-    the ``output_path`` of each source's directory."""
+    the ``output_path`` of each source's directory.  Each source replaces its own
+    directory alone, so a run over some keys leaves the others' output."""
+    keys = list(keys)
     df, skipped = read_keyed_sources(spark, template, keys, reader, key=key, path_column=path_column)
     cols = [c for c in df.columns if c != key and c not in set(exclude)]
     quality = prof.quality_by_source(df, key, cols=cols)
     if output_root:
-        write_csv(df.drop(*[c for c in exclude if c in df.columns]), output_root, partition_by=[key])
+        write_sources(df.drop(*[c for c in exclude if c in df.columns]), output_root, key, keys=[k for k in keys if k not in skipped])
         quality = quality.withColumn(
             "output_path", F.concat(F.lit(output_root.rstrip("/") + f"/{key}="), col(key).cast("string")))
     return Consolidated(df, prof.rank_sources(quality, key), prof.best_source(quality, key), skipped)
@@ -70,12 +72,17 @@ def consolidate_sources(spark: SparkSession, template: str, keys, reader: Callab
 
 
 def understand(df: DataFrame) -> dict[str, DataFrame]:
-    """Shape, schema profile, null percentages (labelled) and
-    duplicate count: one aggregate for the first three, one shuffle for the last."""
-    counts = write_stage(prof.column_counts(df), "column-counts")
+    """Shape, schema profile, null percentages (labelled), duplicate count, and
+    the ``distinct`` rows for W3, all from one scan of ``df``.
+
+    The rows are grouped once and each distinct one is written with its number of copies.
+    The profile is an aggregate of that stage, weighted by the copies: unlike counters that
+    run along with a scan (``observe``), it counts nothing twice when a lost executor's tasks run again."""
+    groups = write_stage(prof.row_groups(df), "distinct-rows")
+    counts = write_stage(prof.column_counts(groups, copies=prof.COPIES), "column-counts")
     return {"shape": prof.shape(df, counts), "schema": prof.schema_profile(df, counts),
             "null_pct": prof.null_pct_labels(prof.null_profile(df, counts=counts)),
-            "duplicates": prof.duplicate_count(df)}
+            "duplicates": prof.duplicates_of(groups), "distinct": groups.drop(prof.COPIES)}
 
 
 # ------------------------------------------------------------------ W3
@@ -90,7 +97,7 @@ class Prepared:
 
 def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_COL,
             drop: Sequence[str] = NO_VARIANCE_COLS, month: str = "Mes", hour: str = "Hora",
-            keep: Sequence[str] = (), stage: bool = True, time_format: str | None = None) -> Prepared:
+            keep: Sequence[str] = (), stage: bool = True, time_format: str | None = None, distinct: bool = False) -> Prepared:
     """W3 up to the imputer: de-duplicate, drop the no-variance columns,
     parse time and derive month/hour, one-hot the station (first level
     dropped).  The timestamp stays as a pass-through column (never detached
@@ -99,8 +106,9 @@ def prepare(df: DataFrame, time_col: str = TIME_COL, station_col: str = STATION_
     With ``stage`` the de-duplicated table is written once to the shared
     folder (one shuffle in total, durable against lost executors); the
     encoder is fitted on the stage and applied lazily on top of it, so the
-    imputer's passes re-read the stage instead of re-running the shuffle."""
-    d = setops.distinct_rows(df)
+    imputer's passes re-read the stage instead of re-running the shuffle.
+    ``distinct`` says that ``df`` is so already (W2's ``distinct`` rows)."""
+    d = df if distinct else setops.distinct_rows(df)
     d = drop_checked(d, list(drop)) if drop else d
     d = add_time_features(d, time_col, month, hour, time_format)
     if stage:
@@ -156,8 +164,9 @@ def correlate(df: DataFrame, cols: Sequence[str]) -> dict[str, DataFrame]:
 
 
 def post_imputation_stats(df: DataFrame) -> dict[str, DataFrame]:
-    """Drop the leading index column by position, then W5 on the rest."""
-    data = select_by_position(df, 1)
+    """Drop the leading index column by position, then W5 on the rest.  The rows
+    are written once: their moments take two passes, and an imputed table would be imputed in each."""
+    data = write_stage(select_by_position(df, 1), "post-imputation")
     return correlate(data, data.columns)
 
 
@@ -175,8 +184,7 @@ def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TI
            else F.concat_ws(":", *[col(k).cast("string") for k in keys]))
     d = df.withColumn(index, key)
     train, test = train_test_split(d, [index], test_size, seed)
-    train = drop_checked(train, [c for c in drop if c in train.columns])
-    test = drop_checked(test, [c for c in drop if c in test.columns])
+    train, test = (drop_checked(part, list(drop)) if drop else part for part in (train, test))
     features = [c for c in test.columns if c != index]
     imp = ChainedImputer(features).fit(train)
     out = imp.transform(test)

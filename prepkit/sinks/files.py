@@ -7,29 +7,70 @@ scratch area (``spark.checkpoint.dir``), never to a machine-local folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..session import scratch_path
 
 
+#: Where a folder of keyed sources keeps the list of what it holds (scans pass over such names).
+MANIFEST = "_sources"
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
-              partition_by: Sequence[str] = ()) -> str:
+              partition_by: Sequence[str] = (), replace_partitions: bool = False) -> str:
     """K1: header, missing → empty field, no index column.  Text is written as it
     is: white space stays, quotes are doubled, and a cell with a newline is quoted
-    (read it with ``multi_line``)."""
+    (read it with ``multi_line``).  With ``replace_partitions`` only the partitions that
+    ``df`` has rows for are overwritten."""
     w = (df.write.mode(mode).option("header", True).option("sep", sep)
          .option("nullValue", "").option("emptyValue", '""').option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if replace_partitions:
+        w = w.option("partitionOverwriteMode", "dynamic")
     w.csv(path)
     return path
 
 
+def write_sources(df: DataFrame, root: str, key: str = "anio", sep: str = ",", keys: Iterable | None = None) -> str:
+    """K1 by source: a folder of CSV files per key below ``root``, each replaced as a
+    whole and alone; what other runs wrote for other keys stays.
+
+    ``keys`` names the sources of this run (default: those with rows); one without rows is emptied.  The
+    manifest, a small Parquet table beside the folders, has the rows of each source
+    (:func:`written_sources`); it is written last, so a run that breaks off is not listed as done.
+    ``df`` is read twice (the counts, then the rows): hand in a written stage where it is dear.  A NULL key is an error."""
+    spark = df.sparkSession
+    counts = write_stage(df.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n_rows")), "source-counts")
+    if counts.where(col(key).isNull()).limit(1).count():
+        raise ValueError(f"rows without {key!r}")
+    if keys is not None:
+        given = spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], df.select(col(key)).schema)
+        if (other := counts.join(given, key, "left_anti").limit(1).collect()):
+            raise ValueError(f"rows of a source that is not of this run: {other[0][key]!r}")
+        for (k,) in given.join(counts, key, "left_anti").collect():
+            _delete(spark, f"{root}/{key}={k}")
+            _delete(spark, f"{root}/{MANIFEST}/{key}={k}")
+    write_csv(df, root, sep=sep, partition_by=[key], replace_partitions=True)
+    counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{root}/{MANIFEST}")
+    return root
+
+
+def written_sources(spark: SparkSession, root: str) -> DataFrame:
+    """The sources below ``root`` that are written whole: ``n_rows`` and the key."""
+    return spark.read.parquet(f"{root.rstrip('/')}/{MANIFEST}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_csv_indexed(df: DataFrame, path: str, index: str = "row_id", sep: str = ",",
                       mode: str = "overwrite") -> str:
     """K2: CSV whose first column is the row key (``index`` must exist)."""

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv import read_csv_union, source_path
+
 
 @dataclass
 class ResolvedSources:
@@ -53,7 +55,7 @@ def key_from_path(template: str, placeholder: str = "year", path_column: str | N
     percent-encoded (a space is ``%20``) and decoded first."""
     last = template.rstrip("/").split("/")[-1]
     pat = re.escape(last).replace(re.escape("{" + placeholder + "}"), r"(\d+)").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    src = F.col(path_column) if path_column else F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    src = F.col(path_column) if path_column else source_path()
     return F.regexp_extract(src, pat, 1)
 
 
@@ -77,6 +79,15 @@ def read_keyed_sources(spark: SparkSession, template: str, keys: Iterable,
     return df, res.skipped
 
 
+def read_keyed_csv(spark: SparkSession, template: str, keys: Iterable, key: str = "anio", **options) -> tuple[DataFrame, list]:
+    """S2–S4 + U1: the present yearly CSV sources, whose columns may differ from year
+    to year, as one table with the key; and the skipped keys.  ``options`` are those of
+    :func:`prepkit.sources.csv.read_csv_union`."""
+    df, skipped = read_keyed_sources(spark, template, keys, lambda paths: read_csv_union(spark, paths, with_path="__path", **options),
+                                     key=key, path_column="__path")
+    return df.drop("__path"), skipped
+
+
 def skipped_frame(spark: SparkSession, skipped: Sequence, key: str = "anio") -> DataFrame:
     """The skipped-source report as a DataFrame."""
     return spark.createDataFrame([(int(k),) for k in skipped], f"{key} bigint")

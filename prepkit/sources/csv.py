@@ -58,8 +58,18 @@ def infer_schema(spark: SparkSession, paths: str | Sequence[str], sep: str = ","
     """A type for each column of files with a header: BIGINT, DOUBLE, TIMESTAMP_NTZ
     or BOOLEAN if every cell that is not missing is one, else STRING; a column
     without cells is DOUBLE.  One aggregate over all rows."""
-    names = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(paths).columns
-    raw = read_text_table(spark, paths, names, sep, multi_line=multi_line)
+    names = header_of(spark, paths, sep, multi_line)
+    return infer_types(read_text_table(spark, paths, names, sep, multi_line=multi_line), na_tokens)
+
+
+def header_of(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = False) -> list[str]:
+    """The column names in a source's first line (a small job that reads one record)."""
+    return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line).csv(path).columns
+
+
+def infer_types(raw: DataFrame, na_tokens: Iterable[str] = NA_TOKENS) -> T.StructType:
+    """The types of an all-text table's columns, see :func:`infer_schema`."""
+    names = raw.columns
     kinds = ("bigint", "double", "timestamp_ntz", "boolean")
     aggs = []
     for i, n in enumerate(names):
@@ -111,3 +121,39 @@ def malformed_counts(spark: SparkSession, paths, schema: T.StructType | str, sep
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(f.name).alias("column_name"), F.col(f"__m{i}").alias("malformed"))
         for i, f in enumerate(num)])))
+
+
+def read_csv_union(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None, sep: str = ",",
+                   na_tokens: Iterable[str] = NA_TOKENS, strict_time: bool = True, multi_line: bool = False, with_path: str | None = None) -> DataFrame:
+    """S4 + U1: sources whose columns differ or come in another order, as one table.
+
+    A source is a path (file, folder or glob) whose files share a header.  Sources are
+    grouped by their list of columns; each group is one scan, and the groups' union
+    has every column, in the order in which the sources first show them, NULL where a
+    source lacks it.  Types are declared by ``schema`` (of all columns that any
+    source has; one that none has is NULL) or inferred from the rows of all groups together, so that a column
+    is one type everywhere.  ``with_path`` adds the decoded source path."""
+    groups: dict[tuple, list[str]] = {}
+    for path in paths:
+        groups.setdefault(tuple(header_of(spark, path, sep, multi_line)), []).append(path)
+    names = list(dict.fromkeys(n for g in groups for n in g))
+    if schema is not None:
+        schema = as_schema(schema)
+        if unknown := [n for n in names if n not in schema.names]:
+            raise ValueError(f"columns that the schema does not declare: {unknown}")
+        names = schema.names
+    raw = None
+    for own, members in groups.items():
+        part = read_text_table(spark, members, own, sep, multi_line=multi_line)
+        found = [col(n) if n in own else F.lit(None).cast("string").alias(n) for n in names]
+        part = part.select(*found, *([source_path().alias(with_path)] if with_path else []))
+        raw = part if raw is None else raw.union(part)
+    cells = raw.select(*[col(n) for n in names])
+    schema = infer_types(cells, na_tokens) if schema is None else schema
+    out = [_convert(col(f.name), f.dataType, list(na_tokens), strict_time).alias(f.name) for f in schema.fields]
+    return raw.select(*out, *([col(with_path)] if with_path else []))
+
+
+def source_path():
+    """The path of a row's file, decoded (Spark's are percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

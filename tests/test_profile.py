@@ -85,3 +85,20 @@ def test_union_of_integers_stays_exact_U1(spark):
     big = spark.createDataFrame([(2**53 + 1,)], "k bigint")
     out = setops.union_by_name([big, spark.createDataFrame([(1,)], "k int")])
     assert dict(out.dtypes) == {"k": "bigint"} and out.agg(F.max("k")).first()[0] == 2**53 + 1
+
+
+def test_understand_scans_its_table_once_W2(spark, tmp_path, monkeypatch):
+    from prepkit.operators import profile as prof
+    from prepkit.plans import workflows
+    spark.createDataFrame([(1, "x", None), (1, "x", None), (2, None, 0.5)], "a long, b string, `c d` double").write.parquet(str(tmp_path / "t"))
+    df, plans, write = spark.read.parquet(str(tmp_path / "t")), [], workflows.write_stage
+    monkeypatch.setattr(workflows, "write_stage", lambda d, *a, **k: plans.append(d._jdf.queryExecution().toString()) or write(d, *a, **k))
+    u = workflows.understand(df)
+    assert sum(str(tmp_path) in p for p in plans) == 1
+    assert all(str(tmp_path) not in u[k]._jdf.queryExecution().toString() for k in u)
+    assert tuple(u["shape"].first()) == (3, 3) and tuple(u["duplicates"].first()) == (3, 2, 1)
+    assert {r.column_name: (r.non_null_count, r.dtype) for r in u["schema"].collect()} == {"a": (3, "bigint"), "b": (2, "string"), "c d": (1, "double")}
+    assert {r.column_name: r.null_pct_label for r in u["null_pct"].collect()} == {"a": "0.0 %", "b": "33.33 %", "c d": "66.67 %"}
+    assert u["distinct"].columns == df.columns and u["distinct"].count() == 2
+    empty = workflows.understand(df.limit(0))
+    assert tuple(empty["shape"].first()) == (0, 3) and prof.COPIES not in empty["distinct"].columns
