@@ -187,7 +187,7 @@ def q_understand(spark, d):
 
 
 def _understand_sql():
-    types = {"l_orderkey": "bigint", "l_linenumber": "bigint", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
+    types = {"l_orderkey": "bigint", "l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
     sel = "\nUNION ALL ".join(
         f"SELECT CAST({i} AS BIGINT) AS ordinal, '{c}' AS column_name, count({c}) AS non_null_count, '{types.get(c, 'double')}' AS dtype, "
         f"CAST(round_even((count(*) - count({c})) * CAST(100.0 AS DOUBLE) / count(*) * CAST(100.0 AS DOUBLE), 0) / CAST(100.0 AS DOUBLE) AS VARCHAR) || ' %' "
