@@ -28,18 +28,20 @@ class OneHot:
     the source column is removed.  NULL → all false.
 
     Not ML's ``StringIndexer + OneHotEncoder`` (frequency order, drops the
-    *last* level, vector output).  The category list is a fitted parameter;
-    ``max_categories``, if given, makes ``fit`` fail beyond that many."""
+    *last* level, vector output).  The category list is a fitted parameter and a
+    column each: beyond ``max_categories`` distinct values ``fit`` fails, having
+    collected one more than that."""
 
     column: str
     drop_first: bool = True
     sep: str = "_"
-    max_categories: int | None = None
+    max_categories: int = 1000
     categories: list = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> "OneHot":
-        vals = df.select(col(self.column).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").collect()
-        if self.max_categories is not None and len(vals) > self.max_categories:
+        least = df.select(col(self.column).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(self.max_categories + 1)
+        vals = least.collect()          # a top-n of each task, then of all: never a sort of all values
+        if len(vals) > self.max_categories:
             raise ValueError(f"{self.column}: more than {self.max_categories} categories")
         self.categories = [r["v"] for r in vals]
         return self

@@ -87,3 +87,12 @@ def test_nan_is_missing_in_clip_and_bins(spark):
     clip = IQRClipper(["v"])
     clip.fences = {"v": (1.0, 2.0, 1.0, 0.0, 10.0)}
     assert [r["v"] for r in clip.transform(df).collect()] == [1.0, None, 10.0, None]
+
+
+def test_one_hot_collects_no_more_than_its_bound_F1(spark, monkeypatch):
+    df = spark.range(0, 1_000_000, 1, 4).select(F.col("id").cast("string").alias("v"))
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    with pytest.raises(ValueError, match="more than 50 categories"):
+        OneHot("v", max_categories=50).fit(df)
+    assert [len(x) for x in seen] == [51]
