@@ -75,7 +75,7 @@ class LineDedup:
     Similarity is verified in ``rounds`` parts, one after another.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, min_words: int = 5,
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, min_words: int = 1,
                  rounds: int = 6):
         if not 0.5 < t <= 1:
             raise ValueError("t must be above 0.5 and at most 1")

@@ -124,7 +124,7 @@ sets AS (
   FROM line),
 class AS (
   SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c
-  FROM sets WHERE len(words) >= 5 GROUP BY words),
+  FROM sets WHERE len(words) >= 1 GROUP BY words),
 word AS (SELECT c, n, unnest(words) AS w FROM class),
 seen AS (SELECT w, count(*) AS times FROM word GROUP BY w),
 ranked AS (SELECT c, n, w, row_number() OVER (PARTITION BY c ORDER BY times, w) AS pos FROM word JOIN seen USING (w)),
