@@ -13,13 +13,17 @@ parity map of all codes.  Two classes meet in an equal join on a code when lengt
 and position leave room for similarity ``t`` and their parity maps do not differ in
 more bits than the sets may differ in words.  Jaccard is then verified on the
 whole word sets of the pairs that are left.  A line goes if an earlier one is similar.
+
+``documents`` counts every link.  ``texts`` needs no links, only whether a class has an
+earlier similar one: classes meet their codes' earliest classes in rounds, and one that
+has found a match takes no part in the next.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prepkit.llm.common import SPACES, WORD, join_rows, row_key, stage
 
@@ -100,15 +104,20 @@ class LineDedup:
         codes = classes.select("row", "line", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
         a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("row", "line", "n", "parity", "pos")])
         b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("row", "line", "n", "parity", "pos")])
+        before = (F.col("a_row") < F.col("b_row")) | ((F.col("a_row") == F.col("b_row")) & (F.col("a_line") < F.col("b_line")))
+        return a.join(b, "code").where(before & self._able()).select("a_row", "a_line", "b_row", "b_line").distinct()
+
+    def _able(self) -> Column:
+        """The length, position and parity filters of a pair that shares a prefix code."""
         both = F.col("a_n") + F.col("b_n")
         need = F.ceil(both * F.lit(self.t / (1 + self.t)) - 1e-9)
-        before = (F.col("a_row") < F.col("b_row")) | ((F.col("a_row") == F.col("b_row")) & (F.col("a_line") < F.col("b_line")))
-        return (a.join(b, "code")
-                .where(before
-                       & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(self.t) - 1e-9)
-                       & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
-                       & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= both - 2 * need))
-                .select("a_row", "a_line", "b_row", "b_line").distinct())
+        return ((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(self.t) - 1e-9)
+                & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
+                & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= both - 2 * need))
+
+    def _similar(self) -> Column:
+        common = F.size(F.array_intersect("a_codes", "b_codes"))
+        return common >= F.lit(self.t) * (F.size("a_codes") + F.size("b_codes") - common) - 1e-9
 
     def links(self) -> DataFrame:
         """The pairs of classes whose whole word sets have a Jaccard similarity of
@@ -119,25 +128,76 @@ class LineDedup:
         for side in "ab":
             keys = named.select(*[F.col(c).alias(f"{side}_{c}") for c in ("row", "line", "k1", "k2")])
             pairs = pairs.join(keys, [f"{side}_row", f"{side}_line"]).drop(f"{side}_row", f"{side}_line")
-        at = named.groupBy(F.col("id").alias("of")).agg(F.collect_set("line").alias("wanted"))
-        rows = _rows(self.df, self.id_col, self.text_col).select("id", F.col("text").alias("whole"))
-        found = stage(
-            rows.join(at, F.col("id").eqNullSafe(F.col("of")))
-                 .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
-                 .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]), "line-words", release=True)
+        found = stage(self._word_sets(named), "line-words", release=True)
         pairs = stage(pairs, "line-pairs", release=True)
         # a pair's two word sets meet by shuffling them with the pair: in rounds, to bound what is on disk at a time
         rounds = [stage(self._verified(pairs.where(F.pmod(F.xxhash64("a_k1"), F.lit(self.rounds)) == i), found), "line-links", release=True)
                   for i in range(self.rounds)]
         return reduce(DataFrame.union, rounds)
 
+    def _word_sets(self, named: DataFrame) -> DataFrame:
+        """The whole word sets (k1, k2, codes) of the lines in ``named`` (id, line), coded once more."""
+        at = named.groupBy(F.col("id").alias("of")).agg(F.collect_set("line").alias("wanted"))
+        rows = _rows(self.df, self.id_col, self.text_col).select("id", F.col("text").alias("whole"))
+        return (rows.join(at, F.col("id").eqNullSafe(F.col("of")))
+                .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
+                .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]))
+
+    def _postings(self, classes: DataFrame) -> DataFrame:
+        """The prefix codes of the classes with their ``rank`` among a code's classes,
+        the earliest 0; codes of one class are left out.  Ranks are prefix sums over
+        chunks of neighbouring classes, so a frequent code is never one task's list."""
+        one = classes.select(F.shiftright("at", 33).alias("chunk"), "at", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
+        code = Window.partitionBy("code")
+        sums = (one.groupBy("code", "chunk").agg(F.count(F.lit(1)).alias("here"))
+                .select("code", "chunk", F.sum("here").over(code).alias("all"),
+                        (F.sum("here").over(code.orderBy("chunk")) - F.col("here")).alias("before")).where("all > 1"))
+        local = F.row_number().over(Window.partitionBy("code", "chunk").orderBy("at")) - 1
+        return one.withColumn("local", local).join(sums, ["code", "chunk"]).select(
+            "code", "at", "n", "parity", "pos", (F.col("before") + F.col("local")).alias("rank"))
+
+    def later_classes(self, first: int = 4, factor: int = 8) -> DataFrame:
+        """The classes (k1, k2) that have a similar class with an earlier first line.
+
+        One earlier class is enough, so no list of all links is made: live classes meet
+        the ``first`` earliest of each of their codes, those without a match the next
+        ``factor`` times as many, until no code has more.  The variants of one line go in
+        the first round, however many they are."""
+        classes = stage(
+            self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "line", "n", "parity", "prefix")).alias("c"))
+            .select("k1", "k2", "c.*").repartitionByRange("id", "row", "line").sortWithinPartitions("id", "row", "line")
+            .withColumn("at", F.monotonically_increasing_id()), "line-classes", release=True)
+        postings = stage(self._postings(classes), "line-postings", release=True)
+        live, low, high = postings, 0, first
+        words: list[DataFrame] = []
+        gone: list[DataFrame] = []
+        while live.where(F.col("rank") > low).limit(1).count():
+            heads = postings.where(F.col("rank").between(low, high - 1))
+            a = heads.select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+            b = live.select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+            pairs = stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
+                          .select("a_at", "b_at").distinct(), "line-round", release=True)
+            wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
+            for known in words:
+                wanted = wanted.join(known, "at", "left_anti")
+            named = stage(classes.select("at", "id", "line", "k1", "k2").join(wanted, "at"), "line-named", release=True)
+            words.append(stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"),
+                               "line-words", release=True))
+            sets = reduce(DataFrame.union, words)
+            for side in "ab":
+                pairs = pairs.join(sets.select(F.col("at").alias(f"{side}_at"), F.col("codes").alias(f"{side}_codes")), f"{side}_at")
+            gone.append(stage(pairs.where(self._similar()).select(F.col("b_at").alias("at")).distinct(), "line-later", release=True))
+            live = stage(live.where(F.col("rank") >= high).join(gone[-1], "at", "left_anti"), "line-live", release=True)
+            low, high = high, high * factor
+        if not gone:
+            return classes.select("k1", "k2").limit(0)
+        return classes.select("at", "k1", "k2").join(reduce(DataFrame.union, gone), "at").select("k1", "k2").distinct()
+
     def _verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         for side in "ab":
             keys = found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "k2", "codes")])
             pairs = pairs.join(keys, [f"{side}_k1", f"{side}_k2"])
-        common = F.size(F.array_intersect("a_codes", "b_codes"))
-        return (pairs.where(common >= F.lit(self.t) * (F.size("a_codes") + F.size("b_codes") - common) - 1e-9)
-                .select("a_k1", "a_k2", "b_k1", "b_k2"))
+        return pairs.where(self._similar()).select("a_k1", "a_k2", "b_k1", "b_k2")
 
     def judged(self) -> DataFrame:
         """Each line (id, row, copy, line): whether it is ``removed``, and its ``links`` to other classes."""
@@ -160,12 +220,25 @@ class LineDedup:
                      F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("line")))).alias("removed"), F.sum("links").alias("n_links"))
                 .withColumnRenamed("id", self.id_col))
 
+    def removals(self) -> DataFrame:
+        """The rows that lose lines: ``id, row, copy, removed`` (line numbers), without
+        the links that ``judged`` counts."""
+        known = self.lines.where("k1 is not null")
+        at = F.struct("id", "row", "line")
+        info = (known.groupBy("k1", "k2").agg(F.min(at).alias("first"))
+                .join(self.later_classes().withColumn("later", F.lit(True)), ["k1", "k2"], "left"))
+        return (known.join(info, ["k1", "k2"]).where(F.coalesce("later", F.lit(False)) | (F.col("first") < at))
+                .groupBy("id", "row", "copy").agg(F.sort_array(F.collect_list("line")).alias("removed")))
+
     def texts(self, chars_col: str | None = "n_chars") -> DataFrame:
         """The rows of ``df`` without the removed lines, with all their columns;
         ``chars_col`` follows the text.  Rows that had words and lose all go."""
         names = self.df.columns
-        cut = self.documents().select(row_key(self.id_col).alias("__llm_key"), F.col("copy").alias("__llm_copy"), F.col("row").alias("__llm_row"),
-                                      F.col("removed").alias("__llm_removed"))
+        gone = stage(self.removals().withColumnRenamed("id", "of"), "line-gone", release=True)
+        rows = self.lines.where("line = 0").select("id", "row", "copy")
+        cut = rows.join(gone.select("of", "row", "removed"), "row", "left").select(
+            row_key("id").alias("__llm_key"), F.col("copy").alias("__llm_copy"), F.col("row").alias("__llm_row"),
+            F.coalesce("removed", F.array().cast("array<int>")).alias("__llm_removed"))
         cut = stage(cut, "line-removals", release=True)
         text = F.coalesce(F.col(f"`{self.text_col}`"), F.lit(""))
         rows = join_rows(self.df, cut, self.id_col, text, "__llm_row")
