@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -45,14 +46,19 @@ def row_key(name: str) -> Column:
     return F.when(c.isNull(), "n").otherwise(F.concat(F.lit("i"), c.cast("string")))
 
 
-def join_rows(df: DataFrame, found: DataFrame, id_col: str, text: Column, *order: str) -> DataFrame:
+def row_digest(df: DataFrame) -> Column:
+    """A digest of a whole row (maps, which Spark does not hash, left out)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
+def join_rows(df: DataFrame, found: DataFrame, id_col: str, text: Column, *order: str, first: Sequence[Column] = ()) -> DataFrame:
     """Each row of ``df`` with each row of ``found`` about it.  ``found`` has
-    ``__llm_key`` (``row_key`` of the id), ``__llm_copy`` (``xxhash64`` of the text) and
-    ``order``; rows of one id and text are alike, so the first of them in ``df`` takes
-    the first in ``found``.  Texts are shuffled once: the numbers and the join share
-    their partitioning."""
+    ``__llm_key`` (``row_key`` of the id), ``__llm_copy`` (``xxhash64`` of ``text``) and
+    ``order``; the first row of ``df`` with one id and text takes the first in ``found``.
+    Rows of ``df`` come by ``first``, then by a digest of all their columns, so reruns
+    agree.  Texts are shuffled once: the numbers and the join share their partitioning."""
     alike = Window.partitionBy("__llm_key", "__llm_copy")
     rows = df.withColumns({"__llm_key": row_key(id_col), "__llm_copy": F.xxhash64(text)}).withColumn(
-        "__llm_n", F.row_number().over(alike.orderBy(F.lit(1))))
+        "__llm_n", F.row_number().over(alike.orderBy(*first, row_digest(df))))
     found = found.withColumn("__llm_m", F.dense_rank().over(alike.orderBy(*[F.col(c) for c in order])))
     return rows.join(found, ["__llm_key", "__llm_copy"]).where("__llm_n - __llm_m = 0")

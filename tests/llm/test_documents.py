@@ -59,7 +59,7 @@ def test_exact_groups(docs, none):
         groups[SPACE.sub("", r[1] or "")].append((-len(r[1] or ""), r[0] is None, r[0]))
     want = Counter((i, min(g)[2], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for _, _, i in g)
     assert got == want
-    kept = exact_groups(docs, salts=1).where("kept")
+    kept = exact_groups(docs, ranges=1).where("kept")
     assert kept.count() == len(groups) == exact_groups(docs).where("kept").count()
     assert exact_groups(none).count() == 0
     unique = docs.where("doc_id is null or doc_id not in (4, 7)")
