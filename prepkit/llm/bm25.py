@@ -7,14 +7,15 @@ and their mean length are summed over all shards, so every shard scores with
 global statistics and the merge of the shards' top k is exact.
 
 Queries go to every shard, as rows that stream past the shard's index in
-batches.  The WAND test is made for blocks of ``BLOCK`` neighbouring documents: a block
-is looked at only if its upper bound beats the k-th best score that the query has
-so far.  The bound is the most that the query's rare terms give one of its
-documents (their postings are visited) plus the block's maxima of the frequent
-terms.  The blocks with the largest bounds are scored first, to raise the
-threshold; blocks that pass are looked at in short floats, for ``TOGETHER``
-queries at a time, and documents that may still be among the k best are scored
-exactly.
+batches.  The WAND test is made for blocks of ``BLOCK`` neighbouring documents: a query
+looks at a block only if the summed maxima of its terms there reach the k-th best score
+that it has so far, in this shard or an earlier one of the task.  Each term has its
+largest impact in each block, so bounds need no posting.  A query takes its blocks by
+falling bounds in growing steps, which raise the score to beat; it stops at the first
+block below it, and the postings of the blocks behind are never read.  Blocks are looked
+at in short floats; documents that may still be among the k best are scored exactly.
+Only bounds are computed for ``TOGETHER`` queries at once: what one query looks at
+does not depend on the others.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from prepkit.session import ship_package
 
 #: Documents of a block; a term is frequent in a shard if one in so many documents has it.
 BLOCK, FREQUENT = 16, 16
-#: Queries that look at a shard together.
+#: Queries whose bounds in a shard are computed together.
 TOGETHER = 64
 #: Scores are rounded to so many digits before they are ranked; ties go to the smaller id.
 DIGITS = 6
@@ -93,6 +94,8 @@ def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tu
     rank = np.empty(len(length), dtype=np.int64)
     placed = np.lexsort((length, top))
     rank[placed] = np.arange(len(length))
+    order = np.lexsort((rank[doc], term))              # postings by term, then by place
+    doc, tf = doc[order], tf[order]
     heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.array([], dtype=np.int64)
     return ([ids[i] for i in placed], length[placed].astype(np.int64).tobytes(), term[heads].tobytes(),
             np.diff(np.append(heads, len(term))).astype(np.uint32).tobytes() if len(heads) else b"",
@@ -159,87 +162,116 @@ def _statistics(index: DataFrame) -> tuple[DataFrame, int, float]:
 
 
 class Shard:
-    """One shard's index; a posting's BM25 impact is its score beside the idf."""
+    """One shard's index; a posting's BM25 impact is its score beside the idf.
+
+    Postings lie by term, then by place, and each (term, block) run of them has its largest impact.  Frequent
+    terms also have a cell for each document, so a block's scores are one product.  ``blocks`` and ``postings``
+    (those of rare terms) count what searches read, ``all_blocks`` and ``all_postings`` what they would have without pruning."""
 
     def __init__(self, ids, lengths, terms, sizes, docs, tfs, mean: float, k1: float, b: float):
         self.ids, self.n, self.k1 = np.array(ids, dtype=object), len(ids), k1
-        self.blocks = -(-self.n // BLOCK)
-        self.norm = np.ones(self.blocks * BLOCK)
+        self.n_blocks = -(-self.n // BLOCK)
+        self.norm = np.ones(self.n_blocks * BLOCK)
         self.norm[:self.n] = k1 * (1 - b + b * np.frombuffer(lengths, dtype=np.int64) / max(mean, 1e-9))
+        self.norm = self.norm.reshape(self.n_blocks, BLOCK)
         self.terms = np.frombuffer(terms, dtype=np.uint64)
-        self.size = np.frombuffer(sizes, dtype=np.uint32).astype(np.int64)
-        self.first = np.cumsum(self.size) - self.size
-        self.docs, self.tf = np.frombuffer(docs, dtype=np.uint16), np.frombuffer(tfs, dtype=np.uint32)
-        # frequent terms: frequencies by document, short impacts for the first look, and their maxima by block
+        size = np.frombuffer(sizes, dtype=np.uint32).astype(np.int64)
+        first = np.cumsum(size) - size
+        docs, self.tf = np.frombuffer(docs, dtype=np.uint16), np.frombuffer(tfs, dtype=np.uint32)
+        self.block, self.lane = docs // BLOCK, (docs % BLOCK).astype(np.uint8)
+        change = np.ones(len(docs), dtype=bool)
+        change[1:] = self.block[1:] != self.block[:-1]
+        change[first] = True
+        self.run = np.append(np.flatnonzero(change), len(docs))        # where each run of a term in a block starts
+        self.run_max = np.maximum.reduceat(self.impact(self.tf, self.norm[self.block, self.lane]), self.run[:-1]) if len(docs) else np.zeros(0)
+        self.runs = np.searchsorted(self.run, np.append(first, len(docs)))      # and where each term's runs do
         self.column = np.full(len(self.terms), -1)
-        often = np.flatnonzero(self.size * FREQUENT >= max(self.n, BLOCK))
+        often = np.flatnonzero(size * FREQUENT >= max(self.n, BLOCK))
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((self.blocks * BLOCK, len(often)), dtype=np.uint32)
+        self.dense = np.zeros((self.n_blocks, len(often), BLOCK), dtype=np.uint32)
         for c, t in enumerate(often):
-            p = slice(self.first[t], self.first[t] + self.size[t])
-            self.dense[self.docs[p], c] = self.tf[p]
+            p = slice(first[t], first[t] + size[t])
+            self.dense[self.block[p], c, self.lane[p]] = self.tf[p]
         self.short = np.empty(self.dense.shape, dtype=np.float32)
-        for at in range(0, len(self.short), 1024):
-            self.short[at:at + 1024] = self.impact(self.dense[at:at + 1024], self.norm[at:at + 1024, None])
-        self.maxima = self.short.reshape(self.blocks, BLOCK, len(often)).max(axis=1)
+        for at in range(0, self.n_blocks, 64):
+            self.short[at:at + 64] = self.impact(self.dense[at:at + 64], self.norm[at:at + 64, None])
+        self.maxima = self.short.max(axis=2, initial=0)
+        self.blocks = self.all_blocks = self.postings = self.all_postings = 0
 
     def impact(self, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
         return tf * (self.k1 + 1) / (tf + norm)
 
-    def _weigh(self, terms: np.ndarray, idf: np.ndarray, weight: np.ndarray, base: np.ndarray) -> None:
-        """One query: its weights of frequent terms, and what its rare terms give each document."""
+    def _find(self, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One query: columns and idfs of its frequent terms, runs and idfs of its rare ones."""
         place = np.searchsorted(self.terms, terms)
         place[place == len(self.terms)] = 0
         here = self.terms[place] == terms if len(self.terms) else np.zeros(len(terms), dtype=bool)
         place, idf = place[here], idf[here]
         often = self.column[place] >= 0
-        weight[self.column[place[often]]] = idf[often]
-        rare, idf, size = place[~often], idf[~often], self.size[place[~often]]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rare] - (ends - size), size)
-        docs = self.docs[at]
-        base[:self.n] = np.bincount(docs, weights=self.impact(self.tf[at], self.norm[docs]) * np.repeat(idf, size), minlength=self.n)
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        rare, of_run = place[~often], idf[~often]
+        count = self.runs[rare + 1] - self.runs[rare]
+        return self.column[place[often]], idf[often], _ranges(self.runs[rare], count), np.repeat(of_run, count)
+
+    def _rare(self, rows: np.ndarray, runs: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What rare terms give the documents of the blocks ``rows``; other blocks' postings are passed over."""
+        where = np.full(self.n_blocks, -1)
+        where[rows] = np.arange(len(rows))
+        row = where[self.block[self.run[runs]]]
+        runs, idf, row = runs[row >= 0], idf[row >= 0], row[row >= 0]
+        count = self.run[runs + 1] - self.run[runs]
+        at = _ranges(self.run[runs], count)
+        self.postings += len(at)
+        value = self.impact(self.tf[at], self.norm[self.block[at], self.lane[at]]) * np.repeat(idf, count)
+        return np.bincount(np.repeat(row, count) * BLOCK + self.lane[at], weights=value, minlength=len(rows) * BLOCK).reshape(len(rows), BLOCK)
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (digests, idfs): the documents (by place) with the k best
-        scores above 0, and those that tie with the last; their rounded scores."""
-        weight = np.zeros((len(queries), self.dense.shape[1]))
-        base = np.zeros((len(queries), self.blocks * BLOCK))
-        for i, (terms, idf) in enumerate(queries):
-            self._weigh(terms, idf, weight[i], base[i])
-        near = weight.astype(np.float32)
-        bound = near @ self.maxima.T + base.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
-
-        def full(i: int, docs: np.ndarray) -> np.ndarray:
-            return base[i, docs] + self.impact(self.dense[docs], self.norm[docs, None]) @ weight[i]
-
-        # thresholds from the documents of each query's best blocks, then the WAND test of all blocks
-        least = np.zeros(len(queries))
-        some = min(self.blocks, -(-k // BLOCK) + 1)
-        for i in range(len(queries)):
-            docs = (np.argpartition(-bound[i], some - 1)[:some, None] * BLOCK + np.arange(BLOCK)).ravel()
+        scores above 0, and those that tie with the last; their rounded scores.  ``floor``
+        has scores that k documents elsewhere have already: documents below may be left out."""
+        found = [self._find(*q) for q in queries]
+        weight = np.zeros((len(queries), self.dense.shape[1]), dtype=np.float32)
+        for i, (columns, idf, _, _) in enumerate(found):
+            weight[i, columns] = idf
+        bounds = (weight @ self.maxima.T).astype(np.float64)
+        return [self._best(bounds[i], *found[i], k, 0.0 if floor is None else floor[i]) for i in range(len(queries))]
+
+    def _best(self, bound: np.ndarray, columns: np.ndarray, often: np.ndarray, runs: np.ndarray, rare: np.ndarray, k: int, least: float):
+        """One query by blocks of falling bounds: the pivot is the first block whose summed maxima do
+        not reach the k-th best score so far; it moves forward as that score rises, and what lies behind it is not read."""
+        bound = bound + np.bincount(self.block[self.run[runs]], weights=self.run_max[runs] * rare, minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        falling = -bound[order]
+        slack = 1e-3 - 1e-5 * falling[0] if len(order) else 0.0        # what short floats may lose
+        short = often.astype(np.float32)
+        docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        at, step = 0, -(-k // BLOCK) + 1
+        self.all_blocks += len(order)
+        self.all_postings += int((self.run[runs + 1] - self.run[runs]).sum())
+        while True:
+            pivot = min(int(np.searchsorted(falling, slack - least, side="right")), int(np.searchsorted(falling, 0.0)))
+            rows = np.sort(order[at:min(pivot, at + step)])
+            if not len(rows):
+                break
+            self.blocks += len(rows)
+            base = self._rare(rows, runs, rare)
+            cells = self.short[rows[:, None], columns]
+            look = np.matmul(short, cells) + base if len(columns) else base
+            row, lane = np.nonzero((look >= least - slack) & (look > 0))
+            tf = self.dense[rows[row][:, None], columns, lane[:, None]]
+            score = np.round(base[row, lane] + self.impact(tf, self.norm[rows[row], lane][:, None]) @ often, DIGITS)
+            docs, scores = np.append(docs, rows[row] * BLOCK + lane), np.append(scores, score)
+            docs, scores = docs[scores > 0], scores[scores > 0]
             if len(docs) >= k:
-                least[i] = np.partition(full(i, docs), -k)[-k]
-        slack = 1e-3 + 1e-5 * bound.max(axis=1, initial=0.0)       # what short floats may lose
-        able = (bound >= (least - slack)[:, None]) & (bound > 0)
-        rows = np.flatnonzero(able.any(axis=0))
-        first = (self.short.reshape(self.blocks, BLOCK, -1)[rows].reshape(len(rows) * BLOCK, -1) if len(rows) < 0.8 * self.blocks else self.short)
-        spots = (rows[:, None] * BLOCK + np.arange(BLOCK)).ravel() if first is not self.short else np.arange(self.blocks * BLOCK)
-        look = near @ first.T + base[:, spots]
-        out = []
-        for i in range(len(queries)):
-            line = look[i]
-            if len(line) > k:
-                least[i] = max(least[i], np.partition(line, -k)[-k] - slack[i])
-            docs = spots[(line >= least[i] - slack[i]) & (line > 0)]
-            docs = docs[docs < self.n]
-            score = np.round(full(i, docs), DIGITS)
-            docs, score = docs[score > 0], score[score > 0]
-            if len(docs) > k:
-                last = np.partition(score, -k)[-k]
-                docs, score = docs[score >= last], score[score >= last]
-            out.append((docs, score))
-        return out
+                least = max(least, np.partition(scores, -k)[-k])
+                docs, scores = docs[scores >= least], scores[scores >= least]
+            at, step = at + len(rows), step * 4
+        return docs, scores
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first, first + 1 ...``, ``count`` of each."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
 def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str = "text", k: int = 10,
@@ -286,8 +318,12 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
         shards, number, waiting = [], None, []
 
         def answer():
-            rows = [(name, d, s) for shard in shards for (name, _), (docs, score) in zip(waiting, shard.search([q for _, q in waiting], k))
-                    for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
+            rows, floor, best = [], np.zeros(len(waiting)), [np.zeros(0)] * len(waiting)
+            for shard in shards:
+                for i, (docs, score) in enumerate(shard.search([q for _, q in waiting], k, floor)):
+                    rows += [(waiting[i][0], d, s) for d, s in zip(shard.ids[docs].tolist(), score.tolist())]
+                    best[i] = np.sort(np.append(best[i], score))[-k:]
+                    floor[i] = best[i][0] if len(best[i]) == k else 0.0
             waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                                pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "doc_id", "score"])
@@ -309,8 +345,8 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
         if waiting:
             yield answer()
 
-    # a number of partitions of its own: Spark would merge small ones, and so gather many bundles in a task
-    found = (rows.repartition(2 * bundles, F.col("bundle")).sortWithinPartitions("bundle", "kind")
+    # a partition for each bundle, by number: hashed numbers would put several into one task
+    found = (rows.repartitionById(bundles, F.col("bundle").cast("int")).sortWithinPartitions("kind")
              .mapInArrow(run, "query_id string, doc_id string, score double")
              .withColumns({"query_id": F.col("query_id").cast(kind), "doc_id": F.col("doc_id").cast(kind)}))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
