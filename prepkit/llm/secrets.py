@@ -5,8 +5,9 @@ random-looking tokens.  The digests of all candidate values are counted over
 the corpus by distinct repositories and owners.  A value with many owners, or
 in many repositories of one owner, is a copied example; any other looks live.  Base spans always
 stay; another token becomes a span only if it looks live.  Only digests,
-owners and counts are shuffled, never texts; the join back is salted because
-one example may occur in a third of all rows.
+owners and counts are shuffled, never texts.  One example may occur in a third of
+all rows: digests with a ten-thousandth of all occurrences or more, of which there
+are ten thousand at most, are broadcast to theirs; the others meet theirs by an equal join.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 #: A text without one of these, in lower case, has no assignment.
 WORDS = ("passw", "secret", "token", "api")
 
-_SALTS = 16
+#: A digest with one in so many of all occurrences is hot; there cannot be more hot digests than this.
+_HOT = 10_000
 
 
 def entropy(value: str) -> float:
@@ -101,11 +103,16 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repo = F.col("repo") if repo_col else F.col("row").cast("string")
     each = scanned.where(F.size("found") > 0).select("row", "owner", repo.alias("repo"), F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
     verdict = (each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-               .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-               .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
+               .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+               .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
                .withColumn("live", (F.col("owners") < example_owners) & (F.col("repos") < example_repos)))
-    salted = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    judged = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    verdict = stage(verdict, "secret-verdicts")
+    total = verdict.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * _HOT >= total
+    said = ["hash", "owners", "repos", "live"]
+    judged = each.drop("owner", "repo").join(F.broadcast(verdict.where(is_hot).select(said)), "hash", "left")
+    judged = judged.where("live is not null").unionByName(
+        judged.where("live is null").drop(*said[1:]).join(verdict.where(~is_hot).select(said), "hash"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     spans = (judged.where((F.col("kind") < 3) | F.col("live")).groupBy("row")
              .agg(F.sort_array(F.collect_list(F.struct("start", "kind", F.concat_ws(":", name, "start", "end").alias("span"), "owners", "repos"))).alias("s"),
