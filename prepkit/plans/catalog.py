@@ -24,7 +24,7 @@ from ..operators.impute import ChainedImputer
 from ..operators.quantiles import quantiles_with_moments
 from . import workflows
 from ..session import scratch_path
-from ..sinks.files import write_csv, write_csv_indexed, write_sources, write_stage, written_sources
+from ..sinks.files import write_bucketed, write_csv, write_csv_indexed, write_sources, write_stage, written_sources
 from ..sources.batch import read_keyed_csv, read_keyed_sources, skipped_frame
 from ..sources.csv import malformed_counts, read_csv
 from .standins import MEASURES, READING_KEYS, readings, readings_sql, table, with_year
@@ -830,6 +830,19 @@ _TWO_GAPS_HELD = (f"WITH RECURSIVE readings AS ({readings_sql()}), keyed AS ({SQ
 SQL_TWO_GAPS_HOLDOUT = f"{_TWO_GAPS_HELD}\nSELECT row_id, {', '.join(f'{_round_sql(c, 6)} AS {c}' for c in TWO_GAPS)} FROM fitted"
 
 
+def q_holdout_write_back(spark, d):
+    """W6 by its retained key: source value, imputed value and mask of every held-out cell; the source lies in buckets of the key."""
+    source = write_bucketed(_two_gap_rows(_holdout_input(spark, d)), "readings-by-key", ["row_id"])
+    imputed = workflows.impute_holdout(source, keys=["row_id"], drop=[], round_output=False)[0]
+    back = workflows.write_back(source, imputed, index="row_id")
+    return back.select(*[c if c == "row_id" or c.endswith("_filled") else round_half_up(F.col(c), 6).alias(c) for c in back.columns])
+
+
+SQL_HOLDOUT_WRITE_BACK = (f"{_TWO_GAPS_HELD}\nSELECT f.row_id, " + ", ".join(
+    f"{_round_sql(f't.{c}', 6)} AS {c}, {_round_sql(f'f.{c}', 6)} AS {c}_imputed, t.{c} IS NULL AS {c}_filled" for c in TWO_GAPS)
+    + " FROM fitted f JOIN test t ON t.row_id = f.row_id")
+
+
 def q_post_two_gaps_corr(spark, d):
     """W7 on an imputed hold-out with several gaps: the correlation table."""
     out = workflows.post_imputation_stats(_two_gap_holdout(spark, d))["corr"]
@@ -1001,6 +1014,7 @@ QUERIES: dict[str, Query] = {
     "post_one_gap_cov": q_post_one_gap_cov,
     "impute_two_gaps": q_impute_two_gaps,
     "impute_two_gaps_holdout": q_impute_two_gaps_holdout,
+    "holdout_write_back": q_holdout_write_back,
     "post_two_gaps_corr": q_post_two_gaps_corr,
     "two_gaps_check": q_two_gaps_check,
     "imputation_nulls": q_imputation_nulls,
@@ -1063,6 +1077,7 @@ ORACLE: dict[str, str] = {
     "post_one_gap_cov": f"{_HOLDOUT_SQL}\n" + _pairs_sql("held", lambda a, b: sig_round_sql(f"covar_pop({a}, {b})"), ONE_GAP),
     "impute_two_gaps": SQL_TWO_GAPS,
     "impute_two_gaps_holdout": SQL_TWO_GAPS_HOLDOUT,
+    "holdout_write_back": SQL_HOLDOUT_WRITE_BACK,
     "post_two_gaps_corr": f"{_TWO_GAPS_HELD}\n" + _pairs_sql("fitted", lambda a, b: _round_sql(_corr_cell(a, b), 9), TWO_GAPS),
     "two_gaps_check": SQL_TWO_GAPS_CHECK,
     "imputation_nulls": SQL_IMPUTATION_NULLS,

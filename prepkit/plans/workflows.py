@@ -196,6 +196,31 @@ def impute_holdout(df: DataFrame, keys: Sequence[str], drop: Sequence[str] = (TI
     return out, imp
 
 
+def write_back(source: DataFrame, imputed: DataFrame, index: str = "row_id", columns: Sequence[str] | None = None,
+               how: str = "inner") -> DataFrame:
+    """W6 brought back to its source by the retained key: for each of ``columns`` (default: all of ``imputed``)
+    the source's value, ``<c>_imputed`` and the mask ``<c>_filled`` (missing in the source, filled now).
+
+    ``how="inner"`` gives the rows of ``imputed``; ``"left"`` gives all of ``source``, with NULL as imputed value and false
+    as mask where a row was not imputed.  Hand in ``source`` as a bucketed stage
+    (:func:`~prepkit.sinks.files.write_bucketed`): then only the imputed rows are shuffled.  A key that is NULL or
+    not of one row, in either table, is an error; a source row of an unknown key cannot arise from :func:`impute_holdout`,
+    so imputed rows without a source row are left out."""
+    columns = [c for c in imputed.columns if c != index] if columns is None else list(columns)
+    for name, df in (("source", source), ("imputed", imputed)):
+        unknown = [c for c in [index, *columns] if c not in df.columns]
+        if unknown:
+            raise KeyError(f"columns not in {name}: {unknown}")
+    imputed = write_stage(imputed.select(col(index), *[col(c).alias(f"{c}_imputed") for c in columns]), "to-write-back")
+    for name, df in (("source", source), ("imputed", imputed)):
+        again = df.groupBy(col(index)).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | col(index).isNull()).limit(1).collect()
+        if again:
+            raise ValueError(f"key {again[0][0]!r} is not of one row of {name}")
+    both = source.join(imputed, index, how)
+    return both.select(col(index), *[e for c in columns for e in (
+        col(c), col(f"{c}_imputed"), (col(c).isNull() & col(f"{c}_imputed").isNotNull()).alias(f"{c}_filled"))])
+
+
 # ------------------------------------------------------------------ W8
 
 
