@@ -18,6 +18,7 @@ and over blocks for the join.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -113,7 +114,7 @@ class SourcePlan:
         return index, turn, np.where(turn < self.passes, words, np.clip(self.rest - before, 0, words))
 
 
-def shard_counts(slots: Sequence[int], per_shard: int, seed: int) -> Iterator[np.ndarray]:
+def shard_counts(slots: Sequence[int], per_shard: int, seed: int | tuple[int, ...]) -> Iterator[np.ndarray]:
     """Multinomial source counts per output shard, drawn by the slots that each
     source has left; what a draw takes beyond that goes to the others."""
     rng, left = np.random.default_rng(seed), np.array(slots, dtype=np.int64)
@@ -128,6 +129,17 @@ def shard_counts(slots: Sequence[int], per_shard: int, seed: int) -> Iterator[np
         yield draw
 
 
+def _starts(parts: DataFrame, together: int = 4096) -> DataFrame:
+    """``base``: the words of a source in the chunks before each chunk (src, chunk, words).  Sums of ranges of ``together``
+    chunks go first, then the chunks of each range by themselves, so no task holds all chunks of a hot source."""
+    parts = parts.withColumn("range", F.floor(F.col("chunk") / together))
+    ranges = parts.groupBy("src", "range").agg(F.sum("words").alias("all"))
+    ranges = ranges.select("src", "range", (F.sum("all").over(Window.partitionBy("src").orderBy("range")) - F.col("all")).alias("before"))
+    inside = Window.partitionBy("src", "range").orderBy("chunk")
+    parts = parts.withColumn("base", F.sum("words").over(inside) - F.col("words"))
+    return parts.join(ranges, ["src", "range"]).select("src", "chunk", "words", (F.col("base") + F.col("before")).alias("base"))
+
+
 class Mix:
     """The plan of a mix over ``docs``.  ``taken()`` has a row per document,
     ``texts()`` the mixed documents themselves.
@@ -164,8 +176,7 @@ class Mix:
         info = spark.createDataFrame(
             [(r["src"], p.number, p.size, g) for r, p, g in zip(rows, self.plans, goal)],
             "src string, number int, source_size long, target double")
-        parts = (parts.withColumn("base", F.sum("words").over(Window.partitionBy("src").orderBy("chunk")) - F.col("words"))
-                 .join(info, "src"))
+        parts = _starts(parts).join(info, "src")
         inside = Window.partitionBy("src", "chunk").orderBy(F.asc_nulls_last("id"), "size", "copy").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         self.placed = stage(
@@ -176,12 +187,26 @@ class Mix:
         self.block = block_words
 
     def _slots(self, spark, block: int, per_shard: int, seed: int) -> DataFrame:
-        """shard, number, block_index, turn, words: one row per slot of the mix."""
-        plans, done, ranges = self.plans, np.zeros(len(self.plans), dtype=np.int64), []
-        for shard, draw in enumerate(shard_counts([p.slots for p in plans], per_shard, seed)):
-            ranges += [(shard, i, int(done[i]), int(done[i] + draw[i])) for i in np.flatnonzero(draw).tolist()]
+        """shard, number, block_index, turn, words: one row per slot of the mix.
+
+        Shards are drawn in two steps: the driver draws groups of as many shards as there
+        are groups, tasks draw the shards of a group from what the group was given."""
+        plans, slots = self.plans, [p.slots for p in self.plans]
+        together = max(1, math.isqrt(sum(slots) // per_shard))       # shards of a group
+        done, groups = np.zeros(len(plans), dtype=np.int64), []
+        for g, draw in enumerate(shard_counts(slots, together * per_shard, seed)):
+            groups.append((g, done.tolist(), draw.tolist()))
             done += draw
 
+        def deal(batches):
+            for b in batches:
+                for g, at, draw in b.itertuples(index=False):
+                    at, rows = np.array(at, dtype=np.int64), []
+                    for shard, part in enumerate(shard_counts(draw, per_shard, (seed, g))):
+                        rows += [(g * together + shard, i, int(at[i]), int(at[i] + part[i])) for i in np.flatnonzero(part).tolist()]
+                        at += part
+                    yield pd.DataFrame(rows, columns=["shard", "number", "lo", "hi"])
+
         def fill(batches):
             for b in batches:
                 for shard, i, lo, hi in b.itertuples(index=False):
@@ -189,9 +214,9 @@ class Mix:
                         index, turn, words = plans[i].taken(a, min(hi, a + 65536))
                         yield pd.DataFrame({"shard": shard, "number": np.int32(i), "block_index": index, "turn": turn, "words": words})
 
-        deal = spark.createDataFrame(ranges, "shard long, number int, lo long, hi long")
-        tasks = max(1, min(len(ranges), max(8, int(done.sum()) // 200_000)))
-        return deal.repartition(tasks).mapInPandas(
+        tasks = max(1, min(len(groups) * together * len(plans), max(8, int(done.sum()) // 200_000)))
+        dealt = spark.createDataFrame(groups, "g long, done array<long>, draw array<long>").mapInPandas(deal, "shard long, number int, lo long, hi long")
+        return dealt.repartition(tasks, "shard", "number").mapInPandas(
             fill, "shard long, number int, block_index long, turn long, words long")
 
     def pieces(self) -> DataFrame:
