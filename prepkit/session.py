@@ -13,6 +13,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +23,8 @@ _CKPT_KEY = "spark.checkpoint.dir"
 _LOCAL_SHARED: str | None = None
 _SHIPPED: set[str] = set()
 _MADE: list[str] = []
+_TABLES: dict[str, str] = {}        # bucketed stages: folder -> name in the catalog
+_SCOPE: ContextVar[list[str] | None] = ContextVar("stages of the innermost scope", default=None)
 
 
 def get_session(master: str | None = None, app: str = "prepkit",
@@ -91,21 +96,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared scratch area."""
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     _MADE.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete every stage and file set this driver has put below the shared folder
-    so far (results that still read them must be written first); how many."""
+def name_stage(path: str, table: str) -> None:
+    """Remember that the catalog knows a stage by a name, which goes with its files."""
+    _TABLES[path] = table
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete stages and forget their names in the catalog; how many were there."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _MADE:
-        at = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for path in dict.fromkeys(paths):
+        if table := _TABLES.pop(path, None):
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        at = jvm.org.apache.hadoop.fs.Path(path)
         gone += bool(at.getFileSystem(conf).delete(at, True))
+        if path in _MADE:
+            _MADE.remove(path)
     return gone
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every stage and file set this driver has put below the shared folder
+    so far (results that still read them must be written first); how many."""
+    return drop_paths(spark, list(_MADE))
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """The stages that a block makes go when it ends, also by an error::
+
+        with stage_scope(spark):
+            prepare_and_impute(df)[0].write.parquet(out)
+
+    Results are lazy and read their stages, so they must be written (or collected) inside.
+    Scopes nest, an inner one ends its own stages only; each thread has its own, so jobs that run
+    side by side do not take each other's stages away."""
+    mine: list[str] = []
+    token = _SCOPE.set(mine)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        drop_paths(spark, mine)
+
+
 def checkpoint(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never ``localCheckpoint``:
     a lost executor would lose the data)."""

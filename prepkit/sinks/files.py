@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..session import scratch_path
+from ..session import name_stage, scratch_path
 
 
 #: Where a folder of keyed sources keeps the list of what it holds (scans pass over such names).
@@ -97,19 +97,12 @@ def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int |
     """K3 by key: a stage that lies hashed and sorted by ``keys``, one file a bucket (default: the session's
     shuffle partitions).  It is shuffled once, here; joins and groupings by ``keys`` do not move it again.
     Buckets are known to Spark's catalog only, so the stage is a table of its own name there, with its files in
-    the shared folder; :func:`drop_bucketed` forgets it."""
+    the shared folder; :func:`~prepkit.session.stage_scope` and ``drop_scratch`` end both."""
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, name)
     title = re.sub(r"\W", "_", path.rsplit("/", 1)[-1]).lower()
+    name_stage(path, title)
     (df.repartition(buckets, *[col(k) for k in keys]).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
      .option("path", path).saveAsTable(title))
     return spark.table(title)
-
-
-def drop_bucketed(df: DataFrame) -> None:
-    """Forget a bucketed stage and delete its files."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[-1].replace('-', '_').lower()}")
-        _delete(spark, path)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepkit.plans import workflows
-from prepkit.sinks.files import drop_bucketed, write_bucketed
+from prepkit.session import stage_scope
+from prepkit.sinks.files import write_bucketed
 
 
 def _source(spark, n=400):
@@ -62,10 +63,11 @@ def test_keys_must_be_of_one_row(spark):
     assert workflows.write_back(source.limit(0), ready).count() == 0
 
 
-def test_a_bucketed_stage_can_be_dropped(spark):
-    stage = write_bucketed(_source(spark, 30), "by-key", ["row_id"], buckets=3)
-    folder = os.path.dirname(stage.inputFiles()[0].removeprefix("file://"))
-    assert len(stage.inputFiles()) == 3 and os.path.isdir(folder)
+def test_a_bucketed_stage_ends_with_its_scope(spark):
     before = len(spark.catalog.listTables())
-    drop_bucketed(stage)
-    assert len(spark.catalog.listTables()) == before - 1 and not os.path.exists(folder)
+    with stage_scope(spark):
+        stage = write_bucketed(_source(spark, 30), "by-key", ["row_id"], buckets=3)
+        folder = os.path.dirname(stage.inputFiles()[0].removeprefix("file://"))
+        assert len(stage.inputFiles()) == 3 and os.path.isdir(folder)
+        assert len(spark.catalog.listTables()) == before + 1
+    assert len(spark.catalog.listTables()) == before and not os.path.exists(folder)
