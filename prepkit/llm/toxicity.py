@@ -418,8 +418,9 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score below 0.5, with all their columns, by a scorer
     learned from the labels outside the held-out fold.  The score is computed in the
-    row's own task, so rows with equal ids are judged by their own texts."""
+    row's own task, so rows with equal ids are judged by their own texts.  A row goes on
+    evidence only: one without any stays, also where the labels are empty or mostly toxic."""
     scorer = train(df, labels.where(~held_out(id_col)), id_col, text_col)
     names = {f"__{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
-    scored = score_texts(df, scorer, names, text_col).where("predicted = 0")
+    scored = score_texts(df, scorer, names, text_col).where("predicted = 0 or found = ''")
     return scored.select(*[F.col(k).alias(c) for k, c in zip(names, df.columns)])
