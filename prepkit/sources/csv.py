@@ -10,8 +10,9 @@ read with the wrong delimiter fails instead of silently giving all-NULL rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +68,23 @@ def header_of(spark: SparkSession, path: str | Sequence[str], sep: str = ",", mu
     return spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multi_line).csv(path).columns
 
 
-def infer_types(raw: DataFrame, na_tokens: Iterable[str] = NA_TOKENS) -> T.StructType:
-    """The types of an all-text table's columns, see :func:`infer_schema`."""
+#: What a cell must look like for a cast to succeed (white space and control characters around it aside).  A cast
+#: that fails costs an exception in the JVM, ten times and more what the look does; the cast still decides.
+_SHAPES = {"bigint": r"^[^\x21-\x7e]*[-+]?[0-9]+[^\x21-\x7e]*$",
+           "double": r"^[^\x21-\x7e]*[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[dDfF]?[^\x21-\x7e]*$|0[xX]|[iI][nN][fF]|[nN][aA][nN])"}
+#: Years of six digits beyond the last of a timestamp.
+_NO_YEAR = "^[-+]?(29[5-9]|[3-9][0-9]{2})[0-9]{3}"
+
+
+def _is_no(cell: Column, kind: str) -> Column:
+    """Whether a cell that is there cannot be read as a ``kind``."""
+    shape = ~cell.rlike(_NO_YEAR) if kind == "timestamp_ntz" else cell.rlike(_SHAPES[kind])
+    return F.when(shape, cell.try_cast(kind)).isNull()
+
+
+def infer_types(raw: DataFrame, na_tokens: Iterable[str] = NA_TOKENS, *more: DataFrame) -> T.StructType:
+    """The types of an all-text table's columns, see :func:`infer_schema`.  ``more`` tables with the
+    same columns count too, each by its own aggregate beside its scan."""
     names = raw.columns
     kinds = ("bigint", "double", "timestamp_ntz", "boolean")
     aggs = []
@@ -76,9 +92,9 @@ def infer_types(raw: DataFrame, na_tokens: Iterable[str] = NA_TOKENS) -> T.Struc
         cell = F.trim(col(n))
         there = col(n).isNotNull() & ~cell.isin(list(na_tokens))
         flag = F.lower(cell).isin("true", "false")
-        aggs += [F.count_if(there & (flag if k == "boolean" else cell.try_cast(k).isNull())).alias(f"{k}{i}") for k in kinds]
+        aggs += [F.count_if(there & (flag if k == "boolean" else _is_no(cell, k))).alias(f"{k}{i}") for k in kinds]
         aggs.append(F.count_if(there).alias(f"n{i}"))
-    row = raw.agg(*aggs).first()
+    row = reduce(DataFrame.union, [part.agg(*aggs) for part in (raw, *more)]).groupBy().sum().toDF(*raw.agg(*aggs).columns).first()
 
     def kind(i: int) -> str:
         if not row[f"n{i}"]:
@@ -142,14 +158,15 @@ def read_csv_union(spark: SparkSession, paths: Sequence[str], schema: T.StructTy
         if unknown := [n for n in names if n not in schema.names]:
             raise ValueError(f"columns that the schema does not declare: {unknown}")
         names = schema.names
-    raw = None
+    parts = []
     for own, members in groups.items():
         part = read_text_table(spark, members, own, sep, multi_line=multi_line)
         found = [col(n) if n in own else F.lit(None).cast("string").alias(n) for n in names]
-        part = part.select(*found, *([source_path().alias(with_path)] if with_path else []))
-        raw = part if raw is None else raw.union(part)
-    cells = raw.select(*[col(n) for n in names])
-    schema = infer_types(cells, na_tokens) if schema is None else schema
+        parts.append(part.select(*found, *([source_path().alias(with_path)] if with_path else [])))
+    raw = reduce(DataFrame.union, parts)
+    if schema is None:
+        cells, *more = [part.select(*[col(n) for n in names]) for part in parts]
+        schema = infer_types(cells, na_tokens, *more)
     out = [_convert(col(f.name), f.dataType, list(na_tokens), strict_time).alias(f.name) for f in schema.fields]
     return raw.select(*out, *([col(with_path)] if with_path else []))
 
