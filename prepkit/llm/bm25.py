@@ -80,26 +80,31 @@ def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tu
     are ordered by their most frequent word, then by length: neighbours are of one
     language and size, which keeps a block's maxima close to its documents."""
     length = np.concatenate(lengths)
-    all_terms, doc = np.concatenate(digests), np.repeat(np.arange(len(length)), length)
+    all_terms, doc = np.concatenate(digests), np.repeat(np.arange(len(length), dtype=np.uint32), length)
+    digests.clear()                                    # arrays as long as the shard's words go when they have served
     order = np.argsort(all_terms, kind="stable")       # documents stay in order within a term
     term, doc = all_terms[order], doc[order]
+    del all_terms, order
     new = np.ones(len(term), dtype=bool)
     new[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    tf = np.diff(np.append(first, len(term)))
+    tf = np.diff(np.append(first, len(term))).astype(np.uint32)
     term, doc = term[first], doc[first]
+    del new, first
     top = np.zeros(len(length), dtype=np.uint64)
     by_tf = np.argsort(tf, kind="stable")
     top[doc[by_tf]] = term[by_tf]                      # the last assignment is the most frequent
-    rank = np.empty(len(length), dtype=np.int64)
+    del by_tf
+    rank = np.empty(len(length), dtype=np.uint32)
     placed = np.lexsort((length, top))
     rank[placed] = np.arange(len(length))
     order = np.lexsort((rank[doc], term))              # postings by term, then by place
     doc, tf = doc[order], tf[order]
+    del order
     heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.array([], dtype=np.int64)
     return ([ids[i] for i in placed], length[placed].astype(np.int64).tobytes(), term[heads].tobytes(),
             np.diff(np.append(heads, len(term))).astype(np.uint32).tobytes() if len(heads) else b"",
-            rank[doc].astype(np.uint16).tobytes(), tf.astype(np.uint32).tobytes())
+            rank[doc].astype(np.uint16).tobytes(), tf.tobytes())
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
@@ -188,7 +193,8 @@ class Shard:
         self.column = np.full(len(self.terms), -1)
         often = np.flatnonzero(size * FREQUENT >= max(self.n, BLOCK))
         self.column[often] = np.arange(len(often))
-        self.dense = np.zeros((self.n_blocks, len(often), BLOCK), dtype=np.uint32)
+        most = int(self.tf.max(initial=0))
+        self.dense = np.zeros((self.n_blocks, len(often), BLOCK), dtype=np.min_scalar_type(most))      # bytes, if no document has a word 256 times
         for c, t in enumerate(often):
             p = slice(first[t], first[t] + size[t])
             self.dense[self.block[p], c, self.lane[p]] = self.tf[p]
