@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from prepkit.session import scratch_path
+from prepkit.session import drop_paths, scratch_path
 
 #: ASCII white space of the text contracts: tab to carriage return, and space.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +33,7 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
     if release:
         del df
         gc.collect()
@@ -40,6 +41,12 @@ def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return back
 
 
+def drop_stages(*stages: DataFrame) -> None:
+    """Delete what ``stage`` wrote; nothing may read these any more."""
+    for df in stages:
+        drop_paths(df.sparkSession, [df.staged_at])
+
+
 def row_key(name: str) -> Column:
     """An id as a string that is never NULL."""
     c = F.col(f"`{name}`")

@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from prepkit.llm.common import SPACES, WORD, join_rows, row_key, stage
+from prepkit.llm.common import SPACES, WORD, drop_stages, join_rows, row_key, stage
 
 #: Buckets of the rarity count (a fixed size, whatever the corpus).
 BUCKETS = 1 << 17
@@ -76,7 +76,7 @@ class LineDedup:
     ones too) are left alone.  NULL texts are one blank line.  Rows come in the
     order of their ids (NULL first); of rows that share an id the one read first
     comes first.  Other columns do not matter, and an empty table gives nothing.
-    Similarity is verified in ``rounds`` parts, one after another.
+    Pairs are found (by ``texts``) and verified in ``rounds`` parts, one after another.
     """
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = 0.8, min_words: int = 1,
@@ -84,6 +84,7 @@ class LineDedup:
         if not 0.5 < t <= 1:
             raise ValueError("t must be above 0.5 and at most 1")
         self.df, self.id_col, self.text_col, self.t, self.rounds = df, id_col, text_col, t, rounds
+        self.numbered: list[DataFrame] = []
         rows = _rows(df, id_col, text_col)
         self.levels = _rarity(rows.select(F.posexplode(F.split("text", "\n")).alias("line", "body")))
         n, long = F.size("codes"), F.size("codes") >= min_words
@@ -96,16 +97,21 @@ class LineDedup:
             "id", "row", "copy", "line", n.alias("n"), F.when(long, k1).alias("k1"), F.when(long, k2).alias("k2"), F.when(long, parity).alias("parity"),
             F.when(long, F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("prefix")), "line-codes")
 
-    def candidates(self) -> DataFrame:
-        """Pairs of classes, each by one of its lines (row, line), that pass the
-        prefix, length, position and parity filters."""
-        classes = (self.lines.where("k1 is not null").groupBy("k1", "k2")
-                   .agg(F.min(F.struct("row", "line", "n", "parity", "prefix")).alias("c")).select("c.*"))
-        codes = classes.select("row", "line", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
-        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("row", "line", "n", "parity", "pos")])
-        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("row", "line", "n", "parity", "pos")])
-        before = (F.col("a_row") < F.col("b_row")) | ((F.col("a_row") == F.col("b_row")) & (F.col("a_line") < F.col("b_line")))
-        return a.join(b, "code").where(before & self._able()).select("a_row", "a_line", "b_row", "b_line").distinct()
+    def _classes(self) -> DataFrame:
+        """The classes, each by its first line, numbered (``at``) in the order of those."""
+        classes = stage(
+            self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "line", "n", "parity", "prefix")).alias("c"))
+            .select("k1", "k2", "c.*").repartitionByRange("id", "row", "line").sortWithinPartitions("id", "row", "line")
+            .withColumn("at", F.monotonically_increasing_id()), "line-classes", release=True)
+        self.numbered.append(classes)
+        return classes
+
+    def candidates(self, classes: DataFrame) -> DataFrame:
+        """Pairs of classes, the earlier first, that pass the prefix, length, position and parity filters."""
+        codes = classes.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
+        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("at", "n", "parity", "pos")])
+        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("at", "n", "parity", "pos")])
+        return a.join(b, "code").where((F.col("a_at") < F.col("b_at")) & self._able()).select("a_at", "b_at").distinct()
 
     def _able(self) -> Column:
         """The length, position and parity filters of a pair that shares a prefix code."""
@@ -119,20 +125,16 @@ class LineDedup:
         common = F.size(F.array_intersect("a_codes", "b_codes"))
         return common >= F.lit(self.t) * (F.size("a_codes") + F.size("b_codes") - common) - 1e-9
 
-    def links(self) -> DataFrame:
-        """The pairs of classes whose whole word sets have a Jaccard similarity of
-        ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
-        pairs = stage(self.candidates(), "line-candidates", release=True)
-        wanted = pairs.select(F.col("a_row").alias("row"), F.col("a_line").alias("line")).union(pairs.select("b_row", "b_line")).distinct()
-        named = stage(self.lines.select("id", "row", "line", "k1", "k2").join(wanted, ["row", "line"]), "line-wanted", release=True)
-        for side in "ab":
-            keys = named.select(*[F.col(c).alias(f"{side}_{c}") for c in ("row", "line", "k1", "k2")])
-            pairs = pairs.join(keys, [f"{side}_row", f"{side}_line"]).drop(f"{side}_row", f"{side}_line")
-        found = stage(self._word_sets(named), "line-words", release=True)
-        pairs = stage(pairs, "line-pairs", release=True)
-        # a pair's two word sets meet by shuffling them with the pair: in rounds, to bound what is on disk at a time
-        rounds = [stage(self._verified(pairs.where(F.pmod(F.xxhash64("a_k1"), F.lit(self.rounds)) == i), found), "line-links", release=True)
-                  for i in range(self.rounds)]
+    def links(self, classes: DataFrame) -> DataFrame:
+        """The pairs of classes (a_at, b_at; the earlier first) whose whole word sets have a Jaccard
+        similarity of ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
+        pairs = stage(self.candidates(classes), "line-candidates", release=True)
+        wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
+        named = stage(classes.select("at", "id", "line", "k1", "k2").join(wanted, "at"), "line-wanted", release=True)
+        found = stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"), "line-words", release=True)
+        drop_stages(named)
+        rounds = self._in_rounds(pairs, found)
+        drop_stages(pairs, found)
         return reduce(DataFrame.union, rounds)
 
     def _word_sets(self, named: DataFrame) -> DataFrame:
@@ -163,54 +165,68 @@ class LineDedup:
         the ``first`` earliest of each of their codes, those without a match the next
         ``factor`` times as many, until no code has more.  The variants of one line go in
         the first round, however many they are."""
-        classes = stage(
-            self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "line", "n", "parity", "prefix")).alias("c"))
-            .select("k1", "k2", "c.*").repartitionByRange("id", "row", "line").sortWithinPartitions("id", "row", "line")
-            .withColumn("at", F.monotonically_increasing_id()), "line-classes", release=True)
+        classes = self._classes()
         postings = stage(self._postings(classes), "line-postings", release=True)
         live, low, high = postings, 0, first
         words: list[DataFrame] = []
         gone: list[DataFrame] = []
         while live.where(F.col("rank") > low).limit(1).count():
-            heads = postings.where(F.col("rank").between(low, high - 1))
-            a = heads.select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
-            b = live.select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
-            pairs = stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
-                          .select("a_at", "b_at").distinct(), "line-round", release=True)
+            parts = []
+            for i in range(self.rounds):        # codes in parts, which bounds the shuffles of their postings
+                some = F.pmod(F.xxhash64("code"), F.lit(self.rounds)) == i
+                heads = postings.where(F.col("rank").between(low, high - 1) & some)
+                a = heads.select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+                b = live.where(some).select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+                parts.append(stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
+                                   .select("a_at", "b_at").distinct(), "line-part", release=True))
+            pairs = stage(reduce(DataFrame.union, parts).distinct(), "line-round", release=True)
+            drop_stages(*parts)
+            rest = stage(postings.where(F.col("rank") >= high), "line-postings", release=True)      # all that later rounds read
+            behind = rest if live is postings else live.where(F.col("rank") >= high)
+            drop_stages(postings)
             wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
             for known in words:
                 wanted = wanted.join(known, "at", "left_anti")
             named = stage(classes.select("at", "id", "line", "k1", "k2").join(wanted, "at"), "line-named", release=True)
             words.append(stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"),
                                "line-words", release=True))
-            sets = reduce(DataFrame.union, words)
-            for side in "ab":
-                pairs = pairs.join(sets.select(F.col("at").alias(f"{side}_at"), F.col("codes").alias(f"{side}_codes")), f"{side}_at")
-            gone.append(stage(pairs.where(self._similar()).select(F.col("b_at").alias("at")).distinct(), "line-later", release=True))
-            live = stage(live.where(F.col("rank") >= high).join(gone[-1], "at", "left_anti"), "line-live", release=True)
+            drop_stages(named)
+            found = self._in_rounds(pairs, reduce(DataFrame.union, words), "b_at")
+            gone.append(stage(reduce(DataFrame.union, found).select(F.col("b_at").alias("at")).distinct(), "line-later", release=True))
+            drop_stages(pairs, *found)
+            still = stage(behind.join(gone[-1], "at", "left_anti"), "line-live", release=True)
+            drop_stages(live)
+            postings, live = rest, still
             low, high = high, high * factor
+        drop_stages(postings, live, *words)
         if not gone:
             return classes.select("k1", "k2").limit(0)
         return classes.select("at", "k1", "k2").join(reduce(DataFrame.union, gone), "at").select("k1", "k2").distinct()
 
-    def _verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        for side in "ab":
-            keys = found.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "k2", "codes")])
-            pairs = pairs.join(keys, [f"{side}_k1", f"{side}_k2"])
-        return pairs.where(self._similar()).select("a_k1", "a_k2", "b_k1", "b_k2")
+    def _in_rounds(self, pairs: DataFrame, sets: DataFrame, *kept: str) -> list[DataFrame]:
+        """The similar ones of ``pairs`` (a_at, b_at), or what is ``kept`` of them once each.  A pair's two
+        word sets (at, codes) meet by shuffling them with the pair: in rounds, to bound what is on disk at a time."""
+        out = []
+        for i in range(self.rounds):
+            part = pairs.where(F.pmod(F.xxhash64("a_at"), F.lit(self.rounds)) == i)
+            for side in "ab":
+                part = part.join(sets.select(F.col("at").alias(f"{side}_at"), F.col("codes").alias(f"{side}_codes")), f"{side}_at")
+            part = part.where(self._similar())
+            out.append(stage(part.select(*kept).distinct() if kept else part.select("a_at", "b_at"), "line-links", release=True))
+        return out
 
     def judged(self) -> DataFrame:
         """Each line (id, row, copy, line): whether it is ``removed``, and its ``links`` to other classes."""
+        classes = self._classes()
+        links = self.links(classes)
+        # counted as the links are read: they need meet nothing else, since a class knows if it is the later one
+        near = reduce(DataFrame.union, [links.groupBy(F.col(side).alias("at")).agg(F.count(F.lit(1)).alias("links"), F.lit(side == "b_at").alias("later"))
+                                        for side in ("a_at", "b_at")]).groupBy("at").agg(F.sum("links").alias("links"), F.max("later").alias("later"))
+        info = classes.select("at", "k1", "k2", F.struct("id", "row", "line").alias("first")).join(near, "at", "left").drop("at")
         at = F.struct("id", "row", "line")
-        first = self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(at).alias("first"))
-        links = self.links()
-        both = links.union(links.select("b_k1", "b_k2", "a_k1", "a_k2")).toDF("k1", "k2", "o_k1", "o_k2")
-        other = first.select(F.col("k1").alias("o_k1"), F.col("k2").alias("o_k2"), F.col("first").alias("o_first"))
-        near = both.join(other, ["o_k1", "o_k2"]).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("links"), F.min("o_first").alias("o_first"))
-        info = first.join(near, ["k1", "k2"], "left").select(
-            "k1", "k2", F.least("first", F.coalesce("o_first", "first")).alias("least"), F.coalesce("links", F.lit(0)).alias("links"))
         return (self.lines.join(info, ["k1", "k2"], "left")
-                .select("id", "row", "copy", "line", F.coalesce(F.col("least") < at, F.lit(False)).alias("removed"), F.coalesce("links", F.lit(0)).alias("links")))
+                .select("id", "row", "copy", "line", F.coalesce(F.col("later") | (F.col("first") < at), F.col("first") < at, F.lit(False)).alias("removed"),
+                        F.coalesce("links", F.lit(0)).alias("links")))
 
     def documents(self) -> DataFrame:
         """A row per input row: the id, ``copy`` (a digest of its text), ``row``,
@@ -235,6 +251,7 @@ class LineDedup:
         ``chars_col`` follows the text.  Rows that had words and lose all go."""
         names = self.df.columns
         gone = stage(self.removals().withColumnRenamed("id", "of"), "line-gone", release=True)
+        drop_stages(*self.numbered)
         rows = self.lines.where("line = 0").select("id", "row", "copy")
         cut = rows.join(gone.select("of", "row", "removed"), "row", "left").select(
             row_key("id").alias("__llm_key"), F.col("copy").alias("__llm_copy"), F.col("row").alias("__llm_row"),

@@ -66,3 +66,27 @@ def test_variants_of_a_line_need_pairs_in_proportion_to_their_number(spark, monk
 def test_no_rows(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert found(frame) == set() and LineDedup(frame).texts().count() == 0
+
+
+def test_links_meet_no_table_and_stages_go_when_they_have_served(spark, monkeypatch, tmp_path):
+    import os
+
+    from prepkit.llm import common
+    from prepkit.session import stage_scope
+    made = []
+    plain = common.scratch_path
+    monkeypatch.setattr(common, "scratch_path", lambda s, name: made.append(plain(s, name)) or made[-1])
+    rows = [(i, f"own{i} " + " ".join(f"w{j}" for j in range(20))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    with stage_scope(spark):
+        found = LineDedup(frame).documents()
+        assert {(r.doc_id, r.n_removed, r.n_links) for r in found.collect()} == {(i, int(i > 0), 59) for i in range(60)}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "line-links" not in plan and plan.count("Join") == 2      # the classes' links are counted beside their scan
+        left = {os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.exists(p)}
+        assert left == {"line-codes", "line-classes", "line-links"}
+    made.clear()
+    with stage_scope(spark):
+        assert LineDedup(frame).texts().count() == 1
+        left = {os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.exists(p)}
+        assert not left & {"line-postings", "line-live", "line-words", "line-named", "line-round", "line-part", "line-links", "line-classes"}
