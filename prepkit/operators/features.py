@@ -35,7 +35,7 @@ class OneHot:
     column: str
     drop_first: bool = True
     sep: str = "_"
-    max_categories: int = 1000
+    max_categories: int = 10_000
     categories: list = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> "OneHot":
