@@ -3,7 +3,7 @@
 Two tokenizers cut one text, a space and then the text.  A token's span in characters
 or bytes is a coarse cut: the byte-level one (A) reports character offsets, so the
 parts of a character that it splits share its span; the piece one (B) reports spans
-in its proto that give a character's bytes no place of their own where it falls back to
+in bytes that give a character's bytes no place of their own where it falls back to
 bytes.  A span that does not end its character, or does not hold the token's bytes, is refined by the bytes
 that the token stands for: a run of such tokens is laid out byte by byte.  Byte offsets where tokens of
 both end cut them into groups, and the two tokens that end there are linked.
@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,12 @@ from prepkit.session import ship_package
 
 #: Segments begin at a space (or spaces) between other characters.
 SEGMENT = regex.compile(r"(?<=\S)(?= +[^ ])")
+#: ASCII white space; a text that has none of it before a space is cut at all its spaces.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 #: Segments whose alignment a task remembers, and the longest of them, in characters.
 KEPT, LONGEST_KEPT = 600_000, 64
+#: Counts of pairs, slice by slice, that a task adds up together.
+SUMMED = 1 << 20
 #: Characters of new segments that are tokenised together.
 POOL = 1 << 15
 
@@ -70,6 +75,7 @@ class Vocabularies:
         self.a_size = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
         self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
         self.b_size = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
+        self.a_text, self.b_text = list(map(str, range(len(self.a_size)))), list(map(str, range(self.n_b)))
         #: A link's code: its A id times B's entries plus its B id.
         self.code = "<u4" if len(self.a_size) * self.n_b < 1 << 32 else "<i8"
         self.width = int(self.code[-1])
@@ -78,7 +84,11 @@ class Vocabularies:
         self.known: dict[str, tuple] = {}
 
     def segments(self, text: str) -> list[str]:
-        return SEGMENT.split(" " + text) if self.cuts else [" " + text]
+        if not self.cuts:
+            return [" " + text]
+        if not text.isascii() or text[:1].isspace() or text[-1:] == " " or any(c + " " in text for c in WHITE):
+            return SEGMENT.split(" " + text)
+        return [" " + part for part in text.split(" ")]         # every space stands between other characters
 
     def align(self, segments: list[str]) -> list[tuple | None]:
         """For each segment (n_a, n_b, n_links, groups as text, link codes as bytes), or None
@@ -102,19 +112,22 @@ class Vocabularies:
     def _align(self, segments: list[str]) -> list[tuple | None]:
         text = "".join(segments)
         raw = text.encode()
-        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
-        a_ids, b_ids = a.ids, [p.id for p in b]
+        a, b = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="offset_mapping", return_bytes=True)
+        a_ids, b_ids = a.ids, b["ids"]
         if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw or not raw:
             return [None] if len(segments) == 1 else [self._align([s])[0] for s in segments]
         a_array, b_array = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
         a_ends = self._a_ends(text, len(raw), a.offsets, self.a_size[a_array])
-        b_ends = self._b_ends(np.array([p.end for p in b], dtype=np.int64), self.b_size[b_array])
+        b_ends = self._b_ends(np.fromiter(map(itemgetter(1), b["offsets"]), dtype=np.int64, count=len(b_ids)), self.b_size[b_array])
         both, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
         codes = (a_array[at_a] * self.n_b + b_array[at_b]).astype(self.code).tobytes()
-        a_text, b_text, groups, i, j = list(map(str, a_ids)), list(map(str, b_ids)), [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(f"{a_text[i] if p - i == 1 else ','.join(a_text[i:p])}|{b_text[j] if q - j == 1 else ','.join(b_text[j:q])}")
-            i, j = p, q
+        a_text, b_text = list(map(self.a_text.__getitem__, a_ids)), list(map(self.b_text.__getitem__, b_ids))
+        # groups of one token each are most; the others' ids are joined in their place
+        groups = list(map("%s|%s".__mod__, zip(map(a_text.__getitem__, at_a.tolist()), map(b_text.__getitem__, at_b.tolist()))))
+        a_from, b_from = np.concatenate(([0], at_a[:-1] + 1)), np.concatenate(([0], at_b[:-1] + 1))
+        several = np.flatnonzero((at_a > a_from) | (at_b > b_from))
+        for k, i, p, j, q in zip(several.tolist(), a_from[several].tolist(), (at_a[several] + 1).tolist(), b_from[several].tolist(), (at_b[several] + 1).tolist()):
+            groups[k] = f"{','.join(a_text[i:p])}|{','.join(b_text[j:q])}"
         ends = np.cumsum(np.fromiter(map(len, segments), dtype=np.int64, count=len(segments)) if len(raw) == len(text)
                          else np.fromiter((len(s.encode()) for s in segments), dtype=np.int64, count=len(segments)))
         last = np.searchsorted(both, ends)
@@ -137,7 +150,7 @@ class Vocabularies:
 
     @staticmethod
     def _b_ends(ends: np.ndarray, bytes_of: np.ndarray) -> np.ndarray:
-        """Byte ends by the proto's spans (bytes of the text, which the added space precedes);
+        """Byte ends by the reported spans (bytes of the text, which the added space precedes);
         where a span does not hold the token's bytes (byte fallback), by those."""
         ends = ends + 1
         return _refined(ends, np.diff(ends, prepend=0) == bytes_of, bytes_of)
@@ -236,12 +249,19 @@ class Alignment:
         kind = own.code
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            code, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def summed() -> tuple[np.ndarray, np.ndarray]:
+                both, at = np.unique(np.concatenate([c for c, _ in seen]), return_inverse=True)
+                return both, np.bincount(at, weights=np.concatenate([n for _, n in seen]), minlength=len(both)).astype(np.int64)
+
             for batch in slices(batches):
-                links = np.frombuffer(b"".join(batch.column("links").to_pylist()), dtype=kind).astype(np.int64)
-                both, at = np.unique(np.concatenate((code, links)), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate((n, np.ones(len(links), dtype=np.int64))), minlength=len(both)).astype(np.int64)
-                code = both
+                links = np.frombuffer(b"".join(batch.column("links").to_pylist()), dtype=kind)
+                code, n = np.unique(links, return_counts=True)
+                seen.append((code.astype(np.int64), n))
+                if sum(len(c) for c, _ in seen[1:]) > SUMMED:
+                    seen = [summed()]
+            code, n = summed() if seen else (np.empty(0, dtype=np.int64),) * 2
             for lo in range(0, len(code), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(code[lo:lo + 100_000]), pa.array(n[lo:lo + 100_000])], names=["code", "n"])
 
@@ -263,10 +283,11 @@ class Alignment:
                 links = [np.frombuffer(x, dtype=kind) for x in batch.column("links").to_pylist()]
                 size = np.fromiter(map(len, links), dtype=np.int64, count=len(links))
                 at = np.searchsorted(code, np.concatenate(links))
-                row = np.repeat(np.arange(len(links)), size)
-                sums = [np.zeros(len(links), dtype=np.int64) for _ in range(2)]
-                for total, value in zip(sums, (best, n)):
-                    np.add.at(total, row, value[at].astype(np.int64))
+                ends = np.cumsum(size)
+                sums = []
+                for value in (best, n):         # differences of running sums, text by text
+                    running = np.concatenate(([0], np.cumsum(value[at].astype(np.int64))))
+                    sums.append(running[ends] - running[ends - size])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, sums)], names=[*kept, "n_best", "count_sum"])
 
         kept = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]

@@ -115,3 +115,23 @@ def test_the_query_over_the_table(spark, plain):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert Counter(map(tuple, op13_tokenizer_alignment(spark, sf).select(NAMES).collect())) == plain.documents(rows)
+
+
+def test_plain_spaces_need_no_pattern(monkeypatch):
+    import random
+
+    from prepkit.llm import align
+    own = align.vocabularies("byte_bpe_50k.json", "piece_bpe_32k.model")
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab  \n\t\x1c\xa0　é.") for _ in range(rng.randint(1, 25))) for _ in range(3000)] + [" ", "a", " a", "a ", "a  b", "\n a", "a\n b"]
+    assert all(own.segments(t) == align.SEGMENT.split(" " + t) for t in texts)
+    monkeypatch.setattr(align, "SEGMENT", None)         # not asked where every space stands between other characters
+    assert own.segments("one two\nthree, four.") == [" one", " two\nthree,", " four."]
+
+
+def test_counts_of_many_slices_are_added_up(spark, monkeypatch):
+    from prepkit.llm import align
+    df = spark.createDataFrame([(i, f"some words here {i % 7}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, align.Alignment(df).documents().collect()))
+    monkeypatch.setattr(align, "SUMMED", 0)
+    assert sorted(map(tuple, align.Alignment(df).documents().collect())) == want and all(r[5] <= r[4] < r[6] for r in want)
