@@ -189,6 +189,7 @@ class Shard:
         change[first] = True
         self.run = np.append(np.flatnonzero(change), len(docs))        # where each run of a term in a block starts
         self.run_max = np.maximum.reduceat(self.impact(self.tf, self.norm[self.block, self.lane]), self.run[:-1]) if len(docs) else np.zeros(0)
+        self.run_block = self.block[self.run[:-1]]
         self.runs = np.searchsorted(self.run, np.append(first, len(docs)))      # and where each term's runs do
         self.column = np.full(len(self.terms), -1)
         often = np.flatnonzero(size * FREQUENT >= max(self.n, BLOCK))
@@ -222,13 +223,17 @@ class Shard:
         """What rare terms give the documents of the blocks ``rows``; other blocks' postings are passed over."""
         where = np.full(self.n_blocks, -1)
         where[rows] = np.arange(len(rows))
-        row = where[self.block[self.run[runs]]]
-        runs, idf, row = runs[row >= 0], idf[row >= 0], row[row >= 0]
-        count = self.run[runs + 1] - self.run[runs]
-        at = _ranges(self.run[runs], count)
+        row = where.take(self.run_block.take(runs))
+        here = np.flatnonzero(row >= 0)
+        runs, idf, row = runs.take(here), idf.take(here), row.take(here)
+        first = self.run.take(runs)
+        count = self.run.take(runs + 1) - first
+        at = _ranges(first, count)
         self.postings += len(at)
-        value = self.impact(self.tf[at], self.norm[self.block[at], self.lane[at]]) * np.repeat(idf, count)
-        return np.bincount(np.repeat(row, count) * BLOCK + self.lane[at], weights=value, minlength=len(rows) * BLOCK).reshape(len(rows), BLOCK)
+        lane = self.lane.take(at)
+        norm = self.norm.ravel().take(np.repeat(rows.take(row) * BLOCK, count) + lane)
+        value = self.impact(self.tf.take(at), norm) * np.repeat(idf, count)
+        return np.bincount(np.repeat(row * BLOCK, count) + lane, weights=value, minlength=len(rows) * BLOCK).reshape(len(rows), BLOCK)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (digests, idfs): the documents (by place) with the k best
@@ -244,7 +249,7 @@ class Shard:
     def _best(self, bound: np.ndarray, columns: np.ndarray, often: np.ndarray, runs: np.ndarray, rare: np.ndarray, k: int, least: float):
         """One query by blocks of falling bounds: the pivot is the first block whose summed maxima do
         not reach the k-th best score so far; it moves forward as that score rises, and what lies behind it is not read."""
-        bound = bound + np.bincount(self.block[self.run[runs]], weights=self.run_max[runs] * rare, minlength=self.n_blocks)
+        bound = bound + np.bincount(self.run_block.take(runs), weights=self.run_max.take(runs) * rare, minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         falling = -bound[order]
         slack = 1e-3 - 1e-5 * falling[0] if len(order) else 0.0        # what short floats may lose
@@ -260,7 +265,7 @@ class Shard:
                 break
             self.blocks += len(rows)
             base = self._rare(rows, runs, rare)
-            cells = self.short[rows[:, None], columns]
+            cells = self.short.reshape(-1, BLOCK).take(rows[:, None] * self.dense.shape[1] + columns, axis=0)       # a view's rows: whole cells are copied
             look = np.matmul(short, cells) + base if len(columns) else base
             row, lane = np.nonzero((look >= least - slack) & (look > 0))
             tf = self.dense[rows[row][:, None], columns, lane[:, None]]

@@ -80,3 +80,14 @@ def test_shards_without_documents_words_or_matches():
     shard, docs, _ = shard_of(["only one"] * 3)
     (places, scores), = shard.search([(docs[0], np.ones(2))], K)
     assert sorted(places.tolist()) == [0, 1, 2] and len(set(scores.tolist())) == 1
+
+
+def test_runs_know_their_blocks_and_a_shard_may_lack_frequent_terms():
+    texts = [f"w{i} v{i // 2} u{i // 3}" for i in range(200)]           # no word in a sixteenth of the documents
+    digest, ends = Terms().of(pa.array(texts))
+    length = np.diff(ends, prepend=0)
+    shard = Shard(*_pack([str(i) for i in range(200)], [digest], [length]), 3.0, 1.2, 0.75)
+    assert shard.dense.shape[1] == 0 and (shard.run_block == shard.block[shard.run[:-1]]).all()
+    for i, q in enumerate(np.split(digest, ends[:-1])[:40]):
+        docs, scores = shard.search([(np.unique(q), np.ones(3))], 1)[0]
+        assert str(i) in shard.ids[docs].tolist() and (scores > 0).all()
