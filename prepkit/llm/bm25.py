@@ -37,6 +37,8 @@ TOGETHER = 64
 #: Scores are rounded to so many digits before they are ranked; ties go to the smaller id.
 DIGITS = 6
 SLICE_BYTES, WORDS_KEPT = 4 << 20, 400_000
+#: Runs of postings whose impacts are computed together.
+RUNS = 1 << 16
 
 
 class Terms:
@@ -78,7 +80,8 @@ def _slices(texts: pa.Array):
 def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tuple:
     """ids, lengths, terms, how many documents have each, documents and frequencies of one shard.  Documents
     are ordered by their most frequent word, then by length: neighbours are of one
-    language and size, which keeps a block's maxima close to its documents."""
+    language and size, which keeps a block's maxima close to its documents.  Frequencies
+    are as wide as the largest of them needs."""
     length = np.concatenate(lengths)
     all_terms, doc = np.concatenate(digests), np.repeat(np.arange(len(length), dtype=np.uint32), length)
     digests.clear()                                    # arrays as long as the shard's words go when they have served
@@ -104,7 +107,7 @@ def _pack(ids: list, digests: list[np.ndarray], lengths: list[np.ndarray]) -> tu
     heads = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.array([], dtype=np.int64)
     return ([ids[i] for i in placed], length[placed].astype(np.int64).tobytes(), term[heads].tobytes(),
             np.diff(np.append(heads, len(term))).astype(np.uint32).tobytes() if len(heads) else b"",
-            rank[doc].astype(np.uint16).tobytes(), tf.tobytes())
+            rank[doc].astype(np.uint16).tobytes(), tf.astype(np.min_scalar_type(int(tf.max(initial=0)))).tobytes())
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
@@ -129,6 +132,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 [pa.array([part], pa.int64()), pa.array([turn], pa.int64()), pa.array([row[0]], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in row[1:]]],
                 names=["part", "turn", "ids", "lengths", "terms", "sizes", "docs", "tfs"])
             ids.clear(), digests.clear(), lengths.clear()
+            pa.default_memory_pool().release_unused()      # the worker lives on, and searches next
             turn, words = turn + 1, 0
             return out
 
@@ -182,13 +186,19 @@ class Shard:
         self.terms = np.frombuffer(terms, dtype=np.uint64)
         size = np.frombuffer(sizes, dtype=np.uint32).astype(np.int64)
         first = np.cumsum(size) - size
-        docs, self.tf = np.frombuffer(docs, dtype=np.uint16), np.frombuffer(tfs, dtype=np.uint32)
+        docs = np.frombuffer(docs, dtype=np.uint16)
+        self.tf = np.frombuffer(tfs, dtype=f"u{len(tfs) // max(len(docs), 1) or 1}")
         self.block, self.lane = docs // BLOCK, (docs % BLOCK).astype(np.uint8)
         change = np.ones(len(docs), dtype=bool)
         change[1:] = self.block[1:] != self.block[:-1]
         change[first] = True
-        self.run = np.append(np.flatnonzero(change), len(docs))        # where each run of a term in a block starts
-        self.run_max = np.maximum.reduceat(self.impact(self.tf, self.norm[self.block, self.lane]), self.run[:-1]) if len(docs) else np.zeros(0)
+        self.run = np.append(np.flatnonzero(change).astype(np.uint32), np.uint32(len(docs)))      # where each run of a term in a block starts
+        del change
+        self.run_max = np.empty(len(self.run) - 1, dtype=np.float32)
+        for at in range(0, len(self.run_max), RUNS):                   # some at a time: impacts are eight bytes a posting
+            starts = self.run[at:at + RUNS + 1].astype(np.int64)
+            p = slice(starts[0], starts[-1])
+            self.run_max[at:at + RUNS] = np.maximum.reduceat(self.impact(self.tf[p], self.norm[self.block[p], self.lane[p]]), starts[:-1] - starts[0])
         self.run_block = self.block[self.run[:-1]]
         self.runs = np.searchsorted(self.run, np.append(first, len(docs)))      # and where each term's runs do
         self.column = np.full(len(self.terms), -1)
@@ -226,7 +236,7 @@ class Shard:
         row = where.take(self.run_block.take(runs))
         here = np.flatnonzero(row >= 0)
         runs, idf, row = runs.take(here), idf.take(here), row.take(here)
-        first = self.run.take(runs)
+        first = self.run.take(runs).astype(np.int64)
         count = self.run.take(runs + 1) - first
         at = _ranges(first, count)
         self.postings += len(at)
@@ -257,7 +267,7 @@ class Shard:
         docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         at, step = 0, -(-k // BLOCK) + 1
         self.all_blocks += len(order)
-        self.all_postings += int((self.run[runs + 1] - self.run[runs]).sum())
+        self.all_postings += int((self.run[runs + 1] - self.run[runs]).sum(dtype=np.int64))
         while True:
             pivot = min(int(np.searchsorted(falling, slack - least, side="right")), int(np.searchsorted(falling, 0.0)))
             rows = np.sort(order[at:min(pivot, at + step)])

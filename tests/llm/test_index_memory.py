@@ -38,3 +38,21 @@ def test_frequent_terms_take_the_bytes_that_their_counts_need():
     (docs, scores), = shard.search([(np.array([7, 9], dtype=np.uint64), np.array([1.0, 1.0]))], 3)
     norm = 1.2 * (0.25 + 0.75 * len(many) / 250)
     assert docs.tolist() == [0] and scores.tolist() == [round(300 * 2.2 / (300 + norm) + 70_000 * 2.2 / (70_000 + norm), 6)]
+
+
+def test_a_shard_is_built_in_few_bytes_a_posting():
+    words, lengths = shard_words()
+    row = _pack([str(i) for i in range(len(lengths))], [words], [lengths])
+    postings = len(row[4]) // 2
+    assert len(row[5]) == postings * (1 if np.frombuffer(row[5], dtype=f"u{len(row[5]) // postings}").max() < 256 else 2)
+    tracemalloc.start()
+    try:
+        shard = Shard(*row, 250.0, 1.2, 0.75)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    cells = shard.dense.nbytes + shard.short.nbytes
+    assert (kept - cells) / postings < 15 and (peak - cells) / postings < 25      # 18 and 29 with wide runs and all impacts at once
+    # blocks' maxima are those of the whole postings at once
+    whole = np.maximum.reduceat(shard.impact(shard.tf, shard.norm[shard.block, shard.lane]), shard.run[:-1].astype(np.int64))
+    assert np.allclose(shard.run_max, whole, rtol=1e-6)
