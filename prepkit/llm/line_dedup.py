@@ -145,45 +145,44 @@ class LineDedup:
                 .select("wanted", F.posexplode(F.split("whole", "\n")).alias("line", "body")).where("array_contains(wanted, line)")
                 .select(codes_of(F.col("body"), self.levels).alias("codes")).select(*_keys(), "codes").dropDuplicates(["k1", "k2"]))
 
-    def _postings(self, classes: DataFrame) -> DataFrame:
+    def _postings(self, classes: DataFrame, part: int) -> DataFrame:
         """The prefix codes of the classes with their ``rank`` among a code's classes,
         the earliest 0; codes of one class are left out.  Ranks are prefix sums over
-        chunks of neighbouring classes, so a frequent code is never one task's list."""
+        chunks of neighbouring classes, so a frequent code is never one task's list.
+        Codes come in ``rounds`` parts, which bounds what ranking shuffles at a time."""
         one = classes.select(F.shiftright("at", 33).alias("chunk"), "at", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
+        one = one.where(F.pmod(F.xxhash64("code"), F.lit(self.rounds)) == part)
         code = Window.partitionBy("code")
         sums = (one.groupBy("code", "chunk").agg(F.count(F.lit(1)).alias("here"))
                 .select("code", "chunk", F.sum("here").over(code).alias("all"),
                         (F.sum("here").over(code.orderBy("chunk")) - F.col("here")).alias("before")).where("all > 1"))
         local = F.row_number().over(Window.partitionBy("code", "chunk").orderBy("at")) - 1
         return one.withColumn("local", local).join(sums, ["code", "chunk"]).select(
-            "code", "at", "n", "parity", "pos", (F.col("before") + F.col("local")).alias("rank"))
+            "code", "at", "n", "parity", "pos", (F.col("before") + F.col("local")).alias("rank"), F.lit(True).alias("alive"))
 
-    def later_classes(self, first: int = 4, factor: int = 8) -> DataFrame:
+    def later_classes(self, first: int = 4, factor: int = 128) -> DataFrame:
         """The classes (k1, k2) that have a similar class with an earlier first line.
 
         One earlier class is enough, so no list of all links is made: live classes meet
         the ``first`` earliest of each of their codes, those without a match the next
         ``factor`` times as many, until no code has more.  The variants of one line go in
-        the first round, however many they are."""
+        the first round, however many they are.  Each round codes the lines that it
+        compares from the texts, so rounds are few."""
         classes = self._classes()
-        postings = stage(self._postings(classes), "line-postings", release=True)
-        live, low, high = postings, 0, first
+        n_classes = classes.count()
+        postings = [stage(self._postings(classes, i), "line-postings", release=True) for i in range(self.rounds)]
+        low, high = 0, first
         words: list[DataFrame] = []
         gone: list[DataFrame] = []
-        while live.where(F.col("rank") > low).limit(1).count():
+        while reduce(DataFrame.union, postings).where(F.col("alive") & (F.col("rank") > low)).limit(1).count():
             parts = []
-            for i in range(self.rounds):        # codes in parts, which bounds the shuffles of their postings
-                some = F.pmod(F.xxhash64("code"), F.lit(self.rounds)) == i
-                heads = postings.where(F.col("rank").between(low, high - 1) & some)
-                a = heads.select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
-                b = live.where(some).select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+            for some in postings:
+                a = some.where(F.col("rank") < high).select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
+                b = some.where("alive").select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
                 parts.append(stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
                                    .select("a_at", "b_at").distinct(), "line-part", release=True))
             pairs = stage(reduce(DataFrame.union, parts).distinct(), "line-round", release=True)
             drop_stages(*parts)
-            rest = stage(postings.where(F.col("rank") >= high), "line-postings", release=True)      # all that later rounds read
-            behind = rest if live is postings else live.where(F.col("rank") >= high)
-            drop_stages(postings)
             wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
             for known in words:
                 wanted = wanted.join(known, "at", "left_anti")
@@ -191,24 +190,27 @@ class LineDedup:
             words.append(stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"),
                                "line-words", release=True))
             drop_stages(named)
-            found = self._in_rounds(pairs, reduce(DataFrame.union, words), "b_at")
+            found = self._in_rounds(pairs, reduce(DataFrame.union, words), "b_at", parts=-(-4 * pairs.count() // max(1, n_classes)))
             gone.append(stage(reduce(DataFrame.union, found).select(F.col("b_at").alias("at")).distinct(), "line-later", release=True))
             drop_stages(pairs, *found)
-            still = stage(behind.join(gone[-1], "at", "left_anti"), "line-live", release=True)
-            drop_stages(live)
-            postings, live = rest, still
             low, high = high, high * factor
-        drop_stages(postings, live, *words)
+            for i, some in enumerate(postings):      # all that later rounds read
+                rest = some.where(F.col("rank") >= low).join(gone[-1].withColumn("gone", F.lit(True)), "at", "left")
+                postings[i] = stage(rest.select("code", "at", "n", "parity", "pos", "rank", (F.col("alive") & F.col("gone").isNull()).alias("alive")),
+                                    "line-postings", release=True)
+                drop_stages(some)
+        drop_stages(*postings, *words)
         if not gone:
             return classes.select("k1", "k2").limit(0)
         return classes.select("at", "k1", "k2").join(reduce(DataFrame.union, gone), "at").select("k1", "k2").distinct()
 
-    def _in_rounds(self, pairs: DataFrame, sets: DataFrame, *kept: str) -> list[DataFrame]:
+    def _in_rounds(self, pairs: DataFrame, sets: DataFrame, *kept: str, parts: int | None = None) -> list[DataFrame]:
         """The similar ones of ``pairs`` (a_at, b_at), or what is ``kept`` of them once each.  A pair's two
-        word sets (at, codes) meet by shuffling them with the pair: in rounds, to bound what is on disk at a time."""
-        out = []
-        for i in range(self.rounds):
-            part = pairs.where(F.pmod(F.xxhash64("a_at"), F.lit(self.rounds)) == i)
+        word sets (at, codes) meet by shuffling them with the pair: in ``rounds``, or ``parts`` if they are
+        fewer, to bound what is on disk at a time."""
+        out, parts = [], min(self.rounds, max(1, self.rounds if parts is None else parts))
+        for i in range(parts):
+            part = pairs.where(F.pmod(F.xxhash64("a_at"), F.lit(parts)) == i)
             for side in "ab":
                 part = part.join(sets.select(F.col("at").alias(f"{side}_at"), F.col("codes").alias(f"{side}_codes")), f"{side}_at")
             part = part.where(self._similar())

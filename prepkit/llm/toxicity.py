@@ -51,11 +51,11 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+def _slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
     total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
         yield at, texts.slice(at, to - at)
         at = to
 
@@ -68,7 +68,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(batches):
         total = np.zeros(_LETTERS ** 3, dtype=np.int64)
         for b in batches:
-            for _, part in _slices(b.column(0)):
+            for _, part in _slices(b.column(0), SLICE_BYTES // 8):       # a letter takes 8 bytes in each of a few arrays
                 raw = "\n".join(pc.utf8_lower(part).to_pylist()).encode()
                 s = of_byte[np.frombuffer(raw, dtype=np.uint8)]
                 s = np.concatenate(([0], s[s >= 0], [0]))
@@ -278,6 +278,7 @@ class Scorer:
                 words.setdefault(at + d, set()).add(word)
             for d, w in words.items():
                 found[d] = ",".join(sorted(w))
+        pa.default_memory_pool().release_unused()       # the worker lives on beside the JVM's later stages
         return most, many, found
 
     def run(self, tokens: list[str]) -> list[tuple[int, int, float, str]]:
