@@ -11,7 +11,7 @@ line) stands for it.  A class sends the codes of its prefix, the
 ``n - ceil(t n) + 1`` rarest, with its length, the code's position and a 64-bit
 parity map of all codes.  Two classes meet in an equal join on a code when length
 and position leave room for similarity ``t`` and their parity maps do not differ in
-more bits than the sets may differ in words.  Jaccard is then verified on the
+more bits than the sets may differ in words; maps of 128 bits are compared next.  Jaccard is then verified on the
 whole word sets of the pairs that are left.  A line goes if an earlier one is similar.
 
 ``documents`` counts every link.  ``texts`` needs no links, only whether a class has an
@@ -89,18 +89,22 @@ class LineDedup:
         self.levels = _rarity(rows.select(F.posexplode(F.split("text", "\n")).alias("line", "body")))
         n, long = F.size("codes"), F.size("codes") >= min_words
         k1, k2 = _keys()
-        parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+
+        def parity_of(codes: Column) -> Column:
+            return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(
+                F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+
+        parity, half = parity_of(F.col("codes")), parity_of(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) == 0))
         lines = (rows.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
                  .select("id", "row", "copy", "line", codes_of(F.col("body"), self.levels).alias("codes")))
         self.lines = stage(lines.select(
-            "id", "row", "copy", "line", n.alias("n"), F.when(long, k1).alias("k1"), F.when(long, k2).alias("k2"), F.when(long, parity).alias("parity"),
+            "id", "row", "copy", "line", n.alias("n"), F.when(long, k1).alias("k1"), F.when(long, k2).alias("k2"), F.when(long, parity).alias("parity"), F.when(long, half).alias("half"),
             F.when(long, F.slice("codes", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("prefix")), "line-codes")
 
     def _classes(self) -> DataFrame:
         """The classes, each by its first line, numbered (``at``) in the order of those."""
         classes = stage(
-            self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "line", "n", "parity", "prefix")).alias("c"))
+            self.lines.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("id", "row", "line", "n", "parity", "half", "prefix")).alias("c"))
             .select("k1", "k2", "c.*").repartitionByRange("id", "row", "line").sortWithinPartitions("id", "row", "line")
             .withColumn("at", F.monotonically_increasing_id()), "line-classes", release=True)
         self.numbered.append(classes)
@@ -113,10 +117,21 @@ class LineDedup:
         b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("at", "n", "parity", "pos")])
         return a.join(b, "code").where((F.col("a_at") < F.col("b_at")) & self._able()).select("a_at", "b_at").distinct()
 
+    def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The ``pairs`` whose parity maps of 128 bits, in two halves, do not differ in more bits than the
+        sets may differ in words: long lines often pass one of 64 bits by chance."""
+        for side in "ab":
+            pairs = pairs.join(classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("at", "n", "parity", "half")]), f"{side}_at")
+        one, whole = F.col("a_half").bitwiseXOR(F.col("b_half")), F.col("a_parity").bitwiseXOR(F.col("b_parity"))
+        return pairs.where(F.bit_count(one) + F.bit_count(whole.bitwiseXOR(one)) <= F.col("a_n") + F.col("b_n") - 2 * self._need()).select("a_at", "b_at")
+
+    def _need(self) -> Column:
+        """The words that similar sets of these sizes have in common at least."""
+        return F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(self.t / (1 + self.t)) - 1e-9)
+
     def _able(self) -> Column:
         """The length, position and parity filters of a pair that shares a prefix code."""
-        both = F.col("a_n") + F.col("b_n")
-        need = F.ceil(both * F.lit(self.t / (1 + self.t)) - 1e-9)
+        both, need = F.col("a_n") + F.col("b_n"), self._need()
         return ((F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(self.t) - 1e-9)
                 & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= need)
                 & (F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) <= both - 2 * need))
@@ -128,7 +143,7 @@ class LineDedup:
     def links(self, classes: DataFrame) -> DataFrame:
         """The pairs of classes (a_at, b_at; the earlier first) whose whole word sets have a Jaccard
         similarity of ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
-        pairs = stage(self.candidates(classes), "line-candidates", release=True)
+        pairs = stage(self._near(self.candidates(classes), classes), "line-candidates", release=True)
         wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
         named = stage(classes.select("at", "id", "line", "k1", "k2").join(wanted, "at"), "line-wanted", release=True)
         found = stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"), "line-words", release=True)
@@ -181,7 +196,7 @@ class LineDedup:
                 b = some.where("alive").select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
                 parts.append(stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
                                    .select("a_at", "b_at").distinct(), "line-part", release=True))
-            pairs = stage(reduce(DataFrame.union, parts).distinct(), "line-round", release=True)
+            pairs = stage(self._near(reduce(DataFrame.union, parts).distinct(), classes), "line-round", release=True)
             drop_stages(*parts)
             wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
             for known in words:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from prepkit.llm.line_dedup import LineDedup
 
@@ -90,3 +91,20 @@ def test_links_meet_no_table_and_stages_go_when_they_have_served(spark, monkeypa
         assert LineDedup(frame).texts().count() == 1
         left = {os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.exists(p)}
         assert not left & {"line-postings", "line-live", "line-words", "line-named", "line-round", "line-part", "line-links", "line-classes"}
+
+
+def test_long_lines_that_share_rare_words_only_are_no_pairs_to_verify(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(30):
+        words = [f"v{w}" for w in rng.choice(4_000, size=170, replace=False)]
+        rows.append((i, " ".join(["key1", "key2", *words])))
+        if i % 10 == 0:
+            rows.append((100 + i, " ".join([*words[:160], "key1", "key2", "more"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = LineDedup(frame)
+    classes = lines._classes().cache()
+    every = classes.selectExpr("at as a_at").join(classes.selectExpr("at as b_at")).where("a_at < b_at")
+    one_map = lines._near(every, classes.withColumn("half", F.lit(0).cast("long"))).count()
+    assert one_map > 50 and lines._near(every, classes).count() < 10        # 64 bits alone let many pass
+    assert lines.links(classes).count() == 3 and found(frame) == removed_by_force(rows) == {(100, 0), (110, 0), (120, 0)}
