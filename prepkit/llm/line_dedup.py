@@ -8,10 +8,10 @@ exact; a good one keeps it small.
 
 Lines with one word set are one class, the first of which (by document id, then
 line) stands for it.  A class sends the codes of its prefix, the
-``n - ceil(t n) + 1`` rarest, with its length, the code's position and a 64-bit
+``n - ceil(t n) + 1`` rarest, with its length, the code's position and a 128-bit
 parity map of all codes.  Two classes meet in an equal join on a code when length
 and position leave room for similarity ``t`` and their parity maps do not differ in
-more bits than the sets may differ in words; maps of 128 bits are compared next.  Jaccard is then verified on the
+more bits than the sets may differ in words.  Jaccard is then verified on the
 whole word sets of the pairs that are left.  A line goes if an earlier one is similar.
 
 ``documents`` counts every link.  ``texts`` needs no links, only whether a class has an
@@ -29,6 +29,8 @@ from prepkit.llm.common import SPACES, WORD, drop_stages, join_rows, row_key, st
 
 #: Buckets of the rarity count (a fixed size, whatever the corpus).
 BUCKETS = 1 << 17
+#: What a class brings where it meets others on a code: its number, length and parity map of 128 bits.
+MET = ("at", "n", "parity", "half")
 
 
 def words_of(line: Column) -> Column:
@@ -111,16 +113,17 @@ class LineDedup:
         return classes
 
     def candidates(self, classes: DataFrame) -> DataFrame:
-        """Pairs of classes, the earlier first, that pass the prefix, length, position and parity filters."""
-        codes = classes.select("at", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
-        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in ("at", "n", "parity", "pos")])
-        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in ("at", "n", "parity", "pos")])
-        return a.join(b, "code").where((F.col("a_at") < F.col("b_at")) & self._able()).select("a_at", "b_at").distinct()
+        """Pairs of classes, the earlier first, that pass the prefix, length, position and (128 bits) parity filters."""
+        codes = classes.select(*MET, F.posexplode("prefix").alias("pos", "code"))
+        a = codes.select("code", *[F.col(c).alias(f"a_{c}") for c in (*MET, "pos")])
+        b = codes.select("code", *[F.col(c).alias(f"b_{c}") for c in (*MET, "pos")])
+        return self._near(a.join(b, "code").where((F.col("a_at") < F.col("b_at")) & self._able())).distinct()
 
-    def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def _near(self, pairs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
         """The ``pairs`` whose parity maps of 128 bits, in two halves, do not differ in more bits than the
-        sets may differ in words: long lines often pass one of 64 bits by chance."""
-        for side in "ab":
+        sets may differ in words: long lines often pass one of 64 bits by chance.  Pairs that meet on a code
+        bring their maps, so those that fail never leave that join; others take them from ``classes``."""
+        for side in "ab" if classes is not None else "":
             pairs = pairs.join(classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("at", "n", "parity", "half")]), f"{side}_at")
         one, whole = F.col("a_half").bitwiseXOR(F.col("b_half")), F.col("a_parity").bitwiseXOR(F.col("b_parity"))
         return pairs.where(F.bit_count(one) + F.bit_count(whole.bitwiseXOR(one)) <= F.col("a_n") + F.col("b_n") - 2 * self._need()).select("a_at", "b_at")
@@ -143,7 +146,7 @@ class LineDedup:
     def links(self, classes: DataFrame) -> DataFrame:
         """The pairs of classes (a_at, b_at; the earlier first) whose whole word sets have a Jaccard
         similarity of ``t`` or more.  Words are compared by their codes (56 bits and the level)."""
-        pairs = stage(self._near(self.candidates(classes), classes), "line-candidates", release=True)
+        pairs = stage(self.candidates(classes), "line-candidates", release=True)
         wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
         named = stage(classes.select("at", "id", "line", "k1", "k2").join(wanted, "at"), "line-wanted", release=True)
         found = stage(self._word_sets(named).join(named.select("at", "k1", "k2"), ["k1", "k2"]).select("at", "codes"), "line-words", release=True)
@@ -165,7 +168,7 @@ class LineDedup:
         the earliest 0; codes of one class are left out.  Ranks are prefix sums over
         chunks of neighbouring classes, so a frequent code is never one task's list.
         Codes come in ``rounds`` parts, which bounds what ranking shuffles at a time."""
-        one = classes.select(F.shiftright("at", 33).alias("chunk"), "at", "n", "parity", F.posexplode("prefix").alias("pos", "code"))
+        one = classes.select(F.shiftright("at", 33).alias("chunk"), *MET, F.posexplode("prefix").alias("pos", "code"))
         one = one.where(F.pmod(F.xxhash64("code"), F.lit(self.rounds)) == part)
         code = Window.partitionBy("code")
         sums = (one.groupBy("code", "chunk").agg(F.count(F.lit(1)).alias("here"))
@@ -173,7 +176,7 @@ class LineDedup:
                         (F.sum("here").over(code.orderBy("chunk")) - F.col("here")).alias("before")).where("all > 1"))
         local = F.row_number().over(Window.partitionBy("code", "chunk").orderBy("at")) - 1
         return one.withColumn("local", local).join(sums, ["code", "chunk"]).select(
-            "code", "at", "n", "parity", "pos", (F.col("before") + F.col("local")).alias("rank"), F.lit(True).alias("alive"))
+            "code", *MET, "pos", (F.col("before") + F.col("local")).alias("rank"), F.lit(True).alias("alive"))
 
     def later_classes(self, first: int = 4, factor: int = 128) -> DataFrame:
         """The classes (k1, k2) that have a similar class with an earlier first line.
@@ -192,11 +195,11 @@ class LineDedup:
         while reduce(DataFrame.union, postings).where(F.col("alive") & (F.col("rank") > low)).limit(1).count():
             parts = []
             for some in postings:
-                a = some.where(F.col("rank") < high).select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", "at", "n", "parity", "pos")])
-                b = some.where("alive").select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", "at", "n", "parity", "pos")])
-                parts.append(stage(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())
-                                   .select("a_at", "b_at").distinct(), "line-part", release=True))
-            pairs = stage(self._near(reduce(DataFrame.union, parts).distinct(), classes), "line-round", release=True)
+                a = some.where(F.col("rank") < high).select("code", *[F.col(c).alias(f"a_{c}") for c in ("rank", *MET, "pos")])
+                b = some.where("alive").select("code", *[F.col(c).alias(f"b_{c}") for c in ("rank", *MET, "pos")])
+                parts.append(stage(self._near(a.join(b, "code").where((F.col("a_rank") < F.col("b_rank")) & self._able())).distinct(),
+                                   "line-part", release=True))
+            pairs = stage(reduce(DataFrame.union, parts).distinct(), "line-round", release=True)
             drop_stages(*parts)
             wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
             for known in words:
@@ -211,7 +214,7 @@ class LineDedup:
             low, high = high, high * factor
             for i, some in enumerate(postings):      # all that later rounds read
                 rest = some.where(F.col("rank") >= low).join(gone[-1].withColumn("gone", F.lit(True)), "at", "left")
-                postings[i] = stage(rest.select("code", "at", "n", "parity", "pos", "rank", (F.col("alive") & F.col("gone").isNull()).alias("alive")),
+                postings[i] = stage(rest.select("code", *MET, "pos", "rank", (F.col("alive") & F.col("gone").isNull()).alias("alive")),
                                     "line-postings", release=True)
                 drop_stages(some)
         drop_stages(*postings, *words)

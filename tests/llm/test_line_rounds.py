@@ -108,3 +108,14 @@ def test_long_lines_that_share_rare_words_only_are_no_pairs_to_verify(spark):
     one_map = lines._near(every, classes.withColumn("half", F.lit(0).cast("long"))).count()
     assert one_map > 50 and lines._near(every, classes).count() < 10        # 64 bits alone let many pass
     assert lines.links(classes).count() == 3 and found(frame) == removed_by_force(rows) == {(100, 0), (110, 0), (120, 0)}
+
+
+def test_pairs_that_meet_on_a_code_bring_maps_of_128_bits(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join([f"key{i // 4}", f"rare{i // 4}", *(f"v{w}" for w in rng.choice(400, size=170, replace=False))])) for i in range(40)]
+    rows.append((100, rows[0][1] + " more"))
+    lines = LineDedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = lines._classes()
+    met = {(r.a_at, r.b_at) for r in lines.candidates(classes).collect()}
+    at = {r.id: r.at for r in classes.collect()}
+    assert (at[0], at[100]) in met and len(met) < 10        # 64 bits alone let most of the 65 pairs through
