@@ -45,8 +45,8 @@ SLICE_BYTES = 1 << 20
 #: Bytes of a word that its digest has numbers for; words whose digests are computed together.
 WORD_BYTES, WORDS = 64, 1 << 17
 SHARD_DOCS, SHARD_WORDS = 16_384, 8_000_000
-#: Bundles of shards, at least, where there are so many shards; more than twice as many are searched in two turns.
-SPREAD = 16
+#: Bundles of shards, at least, where there are so many shards; more than half as many again are searched in two turns.
+SPREAD = 8
 #: Runs of postings whose impacts are computed together; terms merged together; steps of a posting's impact.
 RUNS, MERGED, UNITS = 1 << 16, 1 << 14, (1 << 16) - 1
 #: Lists of so many postings on average are copied one by one, shorter ones by places.
@@ -225,15 +225,17 @@ def _bundles(shards: list[tuple[int, int, int, int]], bundle: float) -> list[tup
 
 
 def merge(rows: list[tuple]) -> tuple:
-    """Several shards' rows as one; documents are ordered anew, by their most frequent word among the frequent ones, then by length."""
+    """Several shards' rows as one; documents are ordered anew, by their most frequent word among the frequent ones, then by
+    length.  The list is emptied, as the rows' bytes need not be held beside their copies."""
     if len(rows) == 1:
-        return rows[0]
+        return rows.pop()
     ids, length = [x for r in rows for x in r[0]], np.concatenate([np.frombuffer(r[1], dtype=np.int64) for r in rows])
     term = np.concatenate([np.frombuffer(r[2], dtype=np.uint64) for r in rows])
     size = np.concatenate([np.frombuffer(r[3], dtype=np.uint32) for r in rows]).astype(np.int64)
     before = np.cumsum([0] + [len(r[0]) for r in rows[:-1]])
     docs = np.concatenate([np.frombuffer(r[4], dtype=np.uint16) + np.uint16(at) for r, at in zip(rows, before)])
     tfs = np.concatenate([np.frombuffer(r[5], dtype=f"u{len(r[5]) // max(len(r[4]) // 2, 1) or 1}") for r in rows])
+    rows.clear()
     first = np.cumsum(size) - size
     order = np.argsort(term, kind="stable")
     term, size, first = term[order], size[order], first[order]
@@ -259,7 +261,7 @@ def merge(rows: list[tuple]) -> tuple:
         key, out_tfs[to:to + len(at)] = _in_order(key | rank.take(docs.take(at)), tfs.take(at))
         out_docs[to:to + len(at)] = key & np.uint64(0xFFFF)
         to += len(at)
-    return [ids[i] for i in placed], length[placed].tobytes(), term[heads].tobytes(), sizes.astype(np.uint32).tobytes(), out_docs.tobytes(), out_tfs.tobytes()
+    return [ids[i] for i in placed], length[placed].tobytes(), term[heads].tobytes(), sizes.astype(np.uint32).tobytes(), memoryview(out_docs).cast("B"), memoryview(out_tfs).cast("B")
 
 
 class Shard:
@@ -416,7 +418,7 @@ class _Way:
         return rows
 
     def _segments(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the postings of rare terms in the blocks ``rows`` begin and end, neighbouring runs of a term at once; idfs."""
+        """Where the postings of rare terms in the blocks ``rows`` begin, how many they are, neighbouring runs of a term at once; idfs."""
         wanted = np.zeros(self.shard.n_blocks, dtype=bool)
         wanted[rows] = True
         here = np.flatnonzero(wanted.take(self.block))
@@ -504,7 +506,7 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
     mean = sum(x[3] for x in shards) / max(n, 1)
     held = _bundles(shards, bundle)
     bundles = held[-1][2] + 1 if held else 0
-    first = SPREAD if bundles > 2 * SPREAD else bundles
+    first = SPREAD if bundles > SPREAD * 3 // 2 else bundles
 
     def words(batches):
         terms = Terms()
@@ -534,7 +536,6 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
                 while rows and sum(len(r[0]) for r in some) + len(rows[0][0]) <= 1 << 16:
                     some.append(rows.pop(0))
                 shards.append(Shard(*merge(some), mean, k1, b))
-                del some
                 pa.default_memory_pool().release_unused()
             floor = np.array([x[2] for x in waiting])
             best = [np.zeros(0)] * len(waiting)
@@ -555,18 +556,20 @@ def search(df: DataFrame, queries: Column, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             kinds, names, least = (batch.column(c).to_pylist() for c in ("kind", "id", "least"))
-            number, ends = {}, {}
-            for c in ("q_term", "q_df"):
-                number[c], ends[c] = batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()
+            (term, ends), (df, _) = ((batch.column(c).values.to_numpy(), batch.column(c).offsets.to_numpy()) for c in ("q_term", "q_df"))
+            came = []
             for i, kind in enumerate(kinds):
                 if kind == 0:
                     rows.append(tuple(batch.column(c)[i].as_py() for c in empty))
                 else:
-                    term, df = (number[c][ends[c][i]:ends[c][i + 1]] for c in ("q_term", "q_df"))
-                    waiting.append((names[i], (term.view(np.uint64), np.log(1 + (n - df + 0.5) / (df + 0.5))), least[i]))
-                    terms += len(term)
-                    if len(waiting) == TOGETHER or terms >= TERMS:
-                        yield answer()
+                    p = slice(ends[i], ends[i + 1])
+                    came.append((names[i], (term[p].astype(np.uint64), np.log(1 + (n - df[p] + 0.5) / (df[p] + 0.5))), least[i]))
+            del batch, term, df, ends              # copied; shards are built and searched without it
+            for q in came:
+                waiting.append(q)
+                terms += len(q[1][0])
+                if len(waiting) == TOGETHER or terms >= TERMS:
+                    yield answer()
         if waiting:
             yield answer()
 
